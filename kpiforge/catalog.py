@@ -68,7 +68,12 @@ def register(name: str, sql: str | None = None, with_view: bool = True):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE_SQL[name] = (ORDER_LINES_CTE + sql) if with_view else sql
+            body = sql.strip()
+            if with_view and body.upper().startswith("WITH "):
+                body = ORDER_LINES_CTE + ", " + body[5:]
+            elif with_view:
+                body = ORDER_LINES_CTE + body
+            ORACLE_SQL[name] = body
         return fn
     return deco
 
@@ -110,3 +115,202 @@ for _name, (_dim, _ms) in _BY_DIM.items():
     register(_name, f"""
 SELECT {_dim} AS breakdown, {sql_metrics(_ms)}
 FROM order_lines GROUP BY {_dim}""")(_make_by_dim(_dim, _ms))
+
+
+# ── Q3: trends ───────────────────────────────────────────────────────────
+
+from kpiforge.functions.dates import previous_window  # noqa: E402
+from kpiforge.operators import compare, dashboard, detail, insights  # noqa: E402
+from kpiforge.operators.filters import relative_window  # noqa: E402
+
+_TRENDS = {
+    "trend_week": ("week", ["sales", "orders"], None),
+    "trend_month": ("month", ["sales", "profit"], None),
+    "trend_quarter": ("quarter", ["profit", "profit_margin"], None),
+    "trend_year": ("year", ["sales", "orders"], None),
+    "trend_month_by_segment": ("month", ["sales"], "segment"),
+}
+
+
+def _make_trend(grain, metrics, dim):
+    def q(spark, sf_dir):
+        return kpi.kpi_trend(_ol(spark, sf_dir), metrics, grain, breakdown_by=dim)
+    return q
+
+
+for _name, (_g, _ms, _dim) in _TRENDS.items():
+    _bd = f", {_dim} AS breakdown" if _dim else ""
+    _gb = ", breakdown" if _dim else ""
+    register(_name, f"""
+SELECT CAST(date_trunc('{_g}', order_date) AS DATE) AS period{_bd}, {sql_metrics(_ms)}
+FROM order_lines GROUP BY period{_gb}""")(_make_trend(_g, _ms, _dim))
+
+
+@register("orders_by_month", """
+SELECT CAST(date_trunc('month', order_date) AS DATE) AS order_date, COUNT(DISTINCT order_id) AS orders
+FROM order_lines WHERE order_date IS NOT NULL GROUP BY 1""")
+def q_orders_by_month(spark, sf_dir):
+    return dashboard.orders_by_month(_ol(spark, sf_dir))
+
+
+# ── Q4 and filtered / windowed values ────────────────────────────────────
+
+@register("rank_sub_category", f"""
+SELECT sub_category AS breakdown, {sql_metrics(['profit', 'sales'])}
+FROM order_lines GROUP BY sub_category
+ORDER BY profit DESC NULLS LAST, breakdown ASC NULLS LAST LIMIT 5""")
+def q_rank_sub_category(spark, sf_dir):
+    return kpi.kpi_rank(_ol(spark, sf_dir), ["profit", "sales"], "sub_category", 5)
+
+
+_IN_FILTERS = {"region": ["ASIA", "EUROPE"], "segment": ["BUILDING", "MACHINERY"]}
+
+
+@register("filtered_in_lists", f"""
+SELECT category AS breakdown, {sql_metrics(['sales', 'profit'])}
+FROM order_lines
+WHERE order_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'
+  AND region IN ('ASIA', 'EUROPE') AND segment IN ('BUILDING', 'MACHINERY')
+GROUP BY category""")
+def q_filtered_in_lists(spark, sf_dir):
+    return kpi.kpi_value(_ol(spark, sf_dir), ["sales", "profit"], "1996-01-01", "1998-12-31",
+                         breakdown_by="category", filters=_IN_FILTERS)
+
+
+_ANCHOR = "(SELECT MAX(order_date) FROM order_lines)"
+
+
+@register("relative_30d", f"""
+SELECT region AS breakdown, {sql_metrics(['sales', 'orders'])}
+FROM order_lines
+WHERE order_date BETWEEN CAST({_ANCHOR} - INTERVAL 30 DAY AS DATE) AND {_ANCHOR}
+GROUP BY region""")
+def q_relative_30d(spark, sf_dir):
+    df = _ol(spark, sf_dir)
+    start, end = relative_window(df, 30, "day")
+    return kpi.kpi_value(df, ["sales", "orders"], start, end, breakdown_by="region")
+
+
+@register("calendar_quarter", f"""
+SELECT {sql_metrics(['sales', 'profit'])}
+FROM order_lines WHERE order_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'""")
+def q_calendar_quarter(spark, sf_dir):
+    from kpiforge.operators.filters import calendar_window
+    start, end = calendar_window(1998, quarter=1)
+    return kpi.kpi_value(_ol(spark, sf_dir), ["sales"], start, end)
+
+
+# ── C1-C5 ────────────────────────────────────────────────────────────────
+
+def sql_compare(metric, cs, ce, cp, dim=None, flags=False):
+    ps, pe = previous_window(cs, ce, cp)
+    cur = f"order_date BETWEEN DATE '{cs}' AND DATE '{ce}'"
+    prv = f"order_date BETWEEN DATE '{ps}' AND DATE '{pe}'"
+    c_expr = sql_metrics([metric], cur).rsplit(" AS ", 1)[0]
+    p_expr = sql_metrics([metric], prv).rsplit(" AS ", 1)[0]
+    bd = f"{dim} AS breakdown, " if dim else ""
+    inner = f"""
+SELECT {bd}COALESCE(CAST({c_expr} AS DOUBLE), 0.0) AS "current",
+       COALESCE(CAST({p_expr} AS DOUBLE), 0.0) AS previous,
+       COUNT(CASE WHEN {cur} THEN 1 END) AS n_cur
+FROM order_lines WHERE ({cur}) OR ({prv}){' GROUP BY ' + dim if dim else ''}"""
+    extra = ""
+    if flags:
+        extra = (""", COALESCE(change_pct < 0, false) AS underperforming,
+       CASE WHEN change_pct < 0 THEN 'down' WHEN change_pct > 5 THEN 'up' ELSE 'flat' END AS arrow""")
+    return f"""
+SELECT *{extra} FROM (
+SELECT {'breakdown, ' if dim else ''}'{metric}' AS metric, DATE '{cs}' AS current_start, DATE '{ce}' AS current_end,
+       DATE '{ps}' AS prev_start, DATE '{pe}' AS prev_end, "current", previous,
+       CASE WHEN previous <> 0 THEN ("current" - previous) / abs(previous) * 100 END AS change_pct
+FROM ({inner}) t {'WHERE n_cur > 0' if dim else ''}) u"""
+
+
+_CMP = {
+    "compare_yoy": ("sales", "2000-01-01", "2000-12-31", "yoy"),
+    "compare_mom": ("profit", "2000-06-01", "2000-06-30", "mom"),
+    "compare_prev": ("orders", "2000-01-01", "2000-03-31", "prev_period"),
+}
+
+
+def _make_cmp(metric, cs, ce, cp):
+    def q(spark, sf_dir):
+        return compare.kpi_compare(_ol(spark, sf_dir), metric, cs, ce, cp)
+    return q
+
+
+for _name, _args in _CMP.items():
+    register(_name, sql_compare(*_args))(_make_cmp(*_args))
+
+
+@register("compare_yoy_by_region", sql_compare("profit", "2000-01-01", "2000-12-31", "yoy", "region", True))
+def q_compare_yoy_by_region(spark, sf_dir):
+    return compare.compare_flags(compare.kpi_compare(
+        _ol(spark, sf_dir), "profit", "2000-01-01", "2000-12-31", "yoy", breakdown_by="region"))
+
+
+@register("rank_by_change", sql_compare("sales", "2000-01-01", "2000-12-31", "yoy", "sub_category")
+          + "\nORDER BY change_pct DESC NULLS LAST, breakdown ASC NULLS LAST LIMIT 5")
+def q_rank_by_change(spark, sf_dir):
+    return compare.rank_by_change(_ol(spark, sf_dir), "sales", "sub_category", "2000-01-01",
+                                  "2000-12-31", "yoy", top_k=5)
+
+
+@register("rank_recent", f"""
+SELECT state AS breakdown, {sql_metrics(['sales'])}
+FROM order_lines
+WHERE order_date BETWEEN CAST({_ANCHOR} - INTERVAL 30 DAY AS DATE) AND {_ANCHOR}
+GROUP BY state ORDER BY sales DESC NULLS LAST, breakdown ASC NULLS LAST LIMIT 10""")
+def q_rank_recent(spark, sf_dir):
+    return compare.rank_recent(_ol(spark, sf_dir), "state", top_k=10, days=30)
+
+
+# ── N1-N3 ────────────────────────────────────────────────────────────────
+
+@register("detail_loss_groups", """
+SELECT breakdown, category, orders, sales, profit, avg_discount_pct, profit_margin,
+       CASE WHEN avg_discount_pct >= 30 THEN 'heavy_discount' WHEN avg_discount_pct >= 15 THEN 'discount'
+            WHEN profit_margin < -20 THEN 'structural_margin' END AS loss_reason
+FROM (
+SELECT sub_category AS breakdown, category, COUNT(DISTINCT order_id) AS orders,
+       CAST(ROUND(SUM(sales), 2) AS DOUBLE) AS sales, CAST(ROUND(SUM(profit), 2) AS DOUBLE) AS profit,
+       ROUND(CAST(SUM(discount) AS DOUBLE) / COUNT(discount) * 100, 1) AS avg_discount_pct,
+       CASE WHEN SUM(sales) = 0 THEN 0.0
+            ELSE ROUND(CAST(SUM(profit) AS DOUBLE) / CAST(SUM(sales) AS DOUBLE) * 100, 2) END AS profit_margin,
+       SUM(profit) AS p
+FROM order_lines GROUP BY sub_category, category HAVING SUM(profit) < 0
+ORDER BY p ASC, breakdown, category LIMIT 15) t""")
+def q_detail_loss_groups(spark, sf_dir):
+    return detail.loss_reason(detail.detail_summary(_ol(spark, sf_dir), "sub_category"))
+
+
+@register("detail_loss_rows", """
+SELECT order_id, order_date, sub_category AS breakdown, category, product_name, sales, profit, discount
+FROM order_lines WHERE profit < 0
+ORDER BY profit, order_id, order_date, breakdown, category, product_name, sales, discount LIMIT 10""")
+def q_detail_loss_rows(spark, sf_dir):
+    return detail.detail_rows(_ol(spark, sf_dir), "sub_category")
+
+
+@register("extremes", f"""
+WITH r AS (SELECT state AS breakdown, {sql_metrics(['sales'])} FROM order_lines GROUP BY state),
+k AS (
+  SELECT breakdown, sales AS value, COUNT(*) OVER () AS nrows,
+         LEAST(3, GREATEST(1, CAST(floor(COUNT(*) OVER () / 3) AS BIGINT))) AS n,
+         ROW_NUMBER() OVER (ORDER BY sales DESC NULLS LAST, breakdown ASC NULLS LAST) AS d,
+         ROW_NUMBER() OVER (ORDER BY sales ASC NULLS FIRST, breakdown DESC NULLS FIRST) AS u
+  FROM r),
+g AS (
+  SELECT *, MAX(CASE WHEN d = 1 THEN value END) OVER () - MAX(CASE WHEN u = 1 THEN value END) OVER () AS gap,
+         MAX(CASE WHEN d = 1 THEN value END) OVER () AS hi
+  FROM k)
+SELECT 'top' AS side, d AS rank, breakdown, value, gap,
+       CASE WHEN hi <> 0 THEN gap / abs(hi) * 100 ELSE 0.0 END AS gap_pct
+FROM g WHERE d <= n AND nrows >= 2
+UNION ALL
+SELECT 'bottom' AS side, u AS rank, breakdown, value, gap,
+       CASE WHEN hi <> 0 THEN gap / abs(hi) * 100 ELSE 0.0 END AS gap_pct
+FROM g WHERE u <= n AND nrows >= 2""")
+def q_extremes(spark, sf_dir):
+    res = kpi.kpi_value(_ol(spark, sf_dir), ["sales"], breakdown_by="state")
+    return detail.extremes(res, "sales")
