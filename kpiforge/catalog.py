@@ -314,3 +314,292 @@ FROM g WHERE u <= n AND nrows >= 2""")
 def q_extremes(spark, sf_dir):
     res = kpi.kpi_value(_ol(spark, sf_dir), ["sales"], breakdown_by="state")
     return detail.extremes(res, "sales")
+
+
+# ── B5-B8: dashboard frames ──────────────────────────────────────────────
+
+@register("heatmap", """
+PIVOT (SELECT segment, region, profit FROM order_lines WHERE segment IS NOT NULL AND region IS NOT NULL)
+ON region USING CAST(SUM(profit) AS DOUBLE) GROUP BY segment""")
+def q_heatmap(spark, sf_dir):
+    return dashboard.profit_heatmap(_ol(spark, sf_dir))
+
+
+@register("discount_buckets", """
+WITH m AS (SELECT MAX(discount) AS mx FROM order_lines),
+n AS (SELECT CASE WHEN (SELECT mx FROM m) > 1 THEN discount / 100 ELSE discount END AS d, sales, profit
+      FROM order_lines)
+SELECT CASE WHEN d >= 0 AND d <= 0.1 THEN '0-10%' WHEN d > 0.1 AND d <= 0.2 THEN '10-20%'
+            WHEN d > 0.2 AND d <= 0.3 THEN '20-30%' WHEN d > 0.3 AND d <= 1.0 THEN '>30%' END AS discount_bucket,
+       CAST(SUM(sales) AS DOUBLE) / COUNT(sales) AS avg_sales,
+       CAST(SUM(profit) AS DOUBLE) / COUNT(profit) AS avg_profit
+FROM n WHERE d IS NOT NULL AND d BETWEEN 0 AND 1 GROUP BY 1""")
+def q_discount_buckets(spark, sf_dir):
+    return dashboard.discount_impact(_ol(spark, sf_dir))
+
+
+@register("top_subcategories", """
+SELECT sub_category, COALESCE(CAST(SUM(profit) AS DOUBLE), 0.0) AS profit
+FROM order_lines WHERE sub_category IS NOT NULL GROUP BY sub_category
+ORDER BY profit DESC, sub_category LIMIT 10""")
+def q_top_subcategories(spark, sf_dir):
+    return dashboard.top_sub_categories(_ol(spark, sf_dir), 10)
+
+
+@register("category_share", """
+SELECT category, CAST(p AS DOUBLE) AS profit,
+       CASE WHEN CAST(SUM(p) OVER () AS DOUBLE) <> 0
+            THEN CAST(p AS DOUBLE) / CAST(SUM(p) OVER () AS DOUBLE) * 100 END AS share_pct
+FROM (SELECT category, SUM(profit) AS p FROM order_lines WHERE category IS NOT NULL GROUP BY category) t""")
+def q_category_share(spark, sf_dir):
+    return dashboard.category_share(_ol(spark, sf_dir))
+
+
+# ── W1-W16: insights over aggregates ─────────────────────────────────────
+
+def _growth_sql(x):
+    return (f"CASE WHEN {x} >= 20 THEN 'strong_growth' WHEN {x} >= 5 THEN 'moderate_growth' "
+            f"WHEN {x} < 0 THEN 'decline' ELSE 'flat' END")
+
+
+@register("yoy_change", f"""
+WITH t AS (SELECT CAST(date_trunc('year', order_date) AS DATE) AS period, region AS breakdown,
+                  {sql_metrics(['sales'])} FROM order_lines GROUP BY 1, 2),
+c AS (SELECT *, LAG(sales) OVER (PARTITION BY breakdown ORDER BY period) AS previous,
+             ROW_NUMBER() OVER (PARTITION BY breakdown ORDER BY period) AS rn FROM t),
+d AS (SELECT *, CASE WHEN previous <> 0 THEN (sales - previous) / abs(previous) * 100 END AS change_pct FROM c)
+SELECT period, breakdown, sales, previous, change_pct,
+       CASE WHEN rn > 1 THEN {_growth_sql('COALESCE(change_pct, 0.0)')} END AS growth_class
+FROM d""")
+def q_yoy_change(spark, sf_dir):
+    t = kpi.kpi_trend(_ol(spark, sf_dir), ["sales"], "year", breakdown_by="region")
+    return insights.period_changes(t, "sales")
+
+
+def _trend_insight_sql(grain, metric, dim, year_grain):
+    cagr = ("CASE WHEN n >= 2 THEN CASE WHEN first_value > 0 THEN CASE WHEN last_value >= 0 THEN "
+            "round((pow(last_value / first_value, 1.0 / (n - 1)) - 1) * 100, 6) END ELSE 0.0 END END"
+            if year_grain else "CAST(NULL AS DOUBLE)")
+    return f"""
+WITH t AS (SELECT CAST(date_trunc('{grain}', order_date) AS DATE) AS period, {dim} AS breakdown,
+                  {sql_metrics([metric])} FROM order_lines GROUP BY 1, 2),
+r AS (SELECT breakdown, period, CAST({metric} AS DOUBLE) AS v,
+             ROW_NUMBER() OVER (PARTITION BY breakdown ORDER BY period) AS a,
+             ROW_NUMBER() OVER (PARTITION BY breakdown ORDER BY period DESC) AS z,
+             ROW_NUMBER() OVER (PARTITION BY breakdown ORDER BY {metric} DESC, period) AS pk,
+             ROW_NUMBER() OVER (PARTITION BY breakdown ORDER BY {metric} ASC, period) AS tr FROM t),
+g AS (SELECT breakdown, COUNT(*) AS n,
+             MAX(CASE WHEN a = 1 THEN period END) AS first_period, MAX(CASE WHEN a = 1 THEN v END) AS first_value,
+             MAX(CASE WHEN z = 1 THEN period END) AS last_period, MAX(CASE WHEN z = 1 THEN v END) AS last_value,
+             MAX(CASE WHEN pk = 1 THEN period END) AS peak_period, MAX(CASE WHEN pk = 1 THEN v END) AS peak_value,
+             MAX(CASE WHEN tr = 1 THEN period END) AS trough_period, MAX(CASE WHEN tr = 1 THEN v END) AS trough_value,
+             AVG(CASE WHEN z <= 2 THEN v END) AS ra, AVG(CASE WHEN z IN (3, 4) THEN v END) AS pa
+      FROM r GROUP BY breakdown),
+h AS (SELECT *, CASE WHEN n >= 2 THEN CASE WHEN first_value <> 0
+                     THEN (last_value - first_value) / abs(first_value) * 100 ELSE 0.0 END END AS growth_pct,
+             {cagr} AS cagr,
+             abs(peak_value - trough_value) AS range,
+             CASE WHEN n >= 4 AND pa <> 0 THEN (ra - pa) / abs(pa) * 100 END AS momentum_pct
+      FROM g)
+SELECT breakdown, n, first_period, first_value, last_period, last_value, peak_period, peak_value,
+       trough_period, trough_value,
+       CASE WHEN n >= 4 THEN ra END AS recent_avg, CASE WHEN n >= 4 THEN pa END AS prior_avg,
+       growth_pct, CASE WHEN n >= 2 THEN abs(last_value - first_value) END AS abs_change,
+       CASE WHEN n >= 2 THEN CASE WHEN growth_pct > 0 THEN 'grown' ELSE 'declined' END END AS direction,
+       cagr, CASE WHEN cagr >= 10 THEN 'healthy' WHEN cagr >= 5 THEN 'moderate'
+                  WHEN cagr IS NOT NULL THEN 'slow' END AS cagr_class,
+       range, CASE WHEN peak_value <> 0 THEN range / abs(peak_value) * 100 END AS swing_pct,
+       momentum_pct,
+       CASE WHEN momentum_pct > 10 THEN 'accelerating' WHEN momentum_pct < -10 THEN 'decelerating'
+            WHEN momentum_pct IS NOT NULL THEN 'stable' END AS momentum_class,
+       CASE WHEN momentum_pct > 5 THEN 'continued_growth' WHEN momentum_pct < -5 THEN 'slowdown'
+            WHEN momentum_pct IS NOT NULL THEN 'steady' END AS outlook
+FROM h"""
+
+
+def _make_trend_insight(grain, metric, dim):
+    def q(spark, sf_dir):
+        t = kpi.kpi_trend(_ol(spark, sf_dir), [metric], grain, breakdown_by=dim)
+        return insights.trend_insights(t, metric, grain)
+    return q
+
+
+for _name, (_g, _m, _d) in {"growth_cagr": ("year", "sales", "region"),
+                            "peak_trough": ("month", "profit", "segment"),
+                            "momentum": ("quarter", "sales", "category")}.items():
+    register(_name, _trend_insight_sql(_g, _m, _d, _g == "year"))(_make_trend_insight(_g, _m, _d))
+
+
+@register("leader_gap_concentration", """
+WITH g AS (SELECT sub_category AS breakdown, SUM(profit) AS p FROM order_lines GROUP BY sub_category),
+t AS (SELECT ROW_NUMBER() OVER (ORDER BY p DESC NULLS LAST, breakdown ASC NULLS LAST) AS rank, breakdown,
+             CAST(p AS DOUBLE) AS value,
+             CASE WHEN CAST(SUM(p) OVER () AS DOUBLE) <> 0
+                  THEN CAST(p AS DOUBLE) / CAST(SUM(p) OVER () AS DOUBLE) * 100 ELSE 0.0 END AS share_pct,
+             p FROM g),
+a AS (SELECT COUNT(*) AS n, CAST(SUM(p) AS DOUBLE) AS total,
+             MAX(CASE WHEN rank = 1 THEN breakdown END) AS leader,
+             MAX(CASE WHEN rank = 1 THEN value END) AS leader_value,
+             MAX(CASE WHEN rank = 1 THEN share_pct END) AS leader_share_pct,
+             MAX(CASE WHEN rank = 2 THEN breakdown END) AS runner_up,
+             MAX(CASE WHEN rank = 2 THEN value END) AS runner_up_value,
+             CAST(SUM(CASE WHEN rank <= 2 THEN p END) AS DOUBLE) AS top2,
+             arg_max(breakdown, rank) AS bottom, arg_max(value, rank) AS bottom_value,
+             string_agg(CASE WHEN value < 0 THEN breakdown END, ', ' ORDER BY rank) AS loss_values,
+             MIN(CASE WHEN value < 0 THEN value END) AS worst_loss
+      FROM t)
+SELECT n, total, leader, leader_value, leader_share_pct, runner_up, runner_up_value,
+       CASE WHEN n >= 4 THEN bottom END AS bottom, CASE WHEN n >= 4 THEN bottom_value END AS bottom_value,
+       loss_values, worst_loss,
+       CASE WHEN n >= 2 THEN CASE WHEN leader_value <> 0
+            THEN abs(leader_value - runner_up_value) / abs(leader_value) * 100 ELSE 0.0 END END AS leader_gap_pct,
+       CASE WHEN n >= 2 THEN CASE WHEN leader_value <> 0
+            THEN abs(leader_value - runner_up_value) / abs(leader_value) * 100 ELSE 0.0 END END > 40 AS uneven,
+       CASE WHEN n >= 3 AND total > 0 THEN top2 / total * 100 END AS top2_pct,
+       CASE WHEN n >= 3 AND total > 0 THEN top2 / total * 100 END >= 60 AS concentrated
+FROM a""")
+def q_leader_gap_concentration(spark, sf_dir):
+    g = _ol(spark, sf_dir).groupBy(F.col("sub_category").alias("breakdown")).agg(
+        F.sum("profit").alias("profit"))
+    return insights.rank_summary(g, "profit")
+
+
+@register("margin_class", f"""
+WITH k AS (SELECT COALESCE(CAST(SUM(sales) AS DOUBLE), 0.0) AS total_sales,
+                  COALESCE(CAST(SUM(profit) AS DOUBLE), 0.0) AS total_profit,
+                  COUNT(DISTINCT order_id) AS total_orders,
+                  COALESCE({SQL_METRIC['profit_margin']}, 0.0) AS profit_margin FROM order_lines),
+m AS (SELECT *, CASE WHEN total_sales <> 0 THEN total_profit / total_sales * 100 ELSE 0.0 END AS margin_pct FROM k)
+SELECT *, CASE WHEN margin_pct < 5 THEN 'low' WHEN margin_pct > 20 THEN 'strong' ELSE 'normal' END AS margin_class,
+       CASE WHEN margin_pct >= 10 THEN 'healthy' ELSE 'tight' END AS profit_health,
+       CASE WHEN margin_pct >= 12 THEN 'above' ELSE 'below' END AS vs_benchmark,
+       CASE WHEN total_orders <> 0 THEN total_sales / CAST(total_orders AS DOUBLE) ELSE 0.0 END AS avg_order_value,
+       total_profit > 0 AS profitable
+FROM m""")
+def q_margin_class(spark, sf_dir):
+    return insights.value_insights(kpi.kpi_total(_ol(spark, sf_dir)))
+
+
+# ── A20, S6, S8, M-b ─────────────────────────────────────────────────────
+
+@register("grouping_sets_all", f"""
+SELECT CASE GROUPING(region, segment, category, sub_category) WHEN 7 THEN 'region' WHEN 11 THEN 'segment'
+            WHEN 13 THEN 'category' WHEN 14 THEN 'sub_category' ELSE 'total' END AS dimension,
+       CASE GROUPING(region, segment, category, sub_category) WHEN 7 THEN region WHEN 11 THEN segment
+            WHEN 13 THEN category WHEN 14 THEN sub_category END AS value,
+       {sql_metrics(['sales', 'profit', 'orders', 'profit_margin'])}
+FROM order_lines GROUP BY GROUPING SETS ((region), (segment), (category), (sub_category), ())""")
+def q_grouping_sets_all(spark, sf_dir):
+    return kpi.breakdown_all(_ol(spark, sf_dir))
+
+
+@register("filter_options", """
+SELECT array_to_string(list_sort(array_agg(DISTINCT region) FILTER (WHERE region IS NOT NULL)), '|') AS regions,
+       array_to_string(list_sort(array_agg(DISTINCT segment) FILTER (WHERE segment IS NOT NULL)), '|') AS segments,
+       array_to_string(list_sort(array_agg(DISTINCT category) FILTER (WHERE category IS NOT NULL)), '|')
+         AS categories,
+       MIN(order_date) AS min_date, MAX(order_date) AS max_date
+FROM order_lines""")
+def q_filter_options(spark, sf_dir):
+    from kpiforge.sources.order_lines import filter_options
+    o = filter_options(_ol(spark, sf_dir))
+    return o.select(*[F.array_join(c, "|").alias(c) for c in ("regions", "segments", "categories")],
+                    "min_date", "max_date")
+
+
+@register("preview_100", """
+SELECT * FROM order_lines
+ORDER BY order_date, order_id, ship_date, region, state, segment, category, sub_category, product_name,
+         sales, discount, profit LIMIT 100""")
+def q_preview_100(spark, sf_dir):
+    from kpiforge.sources.order_lines import preview
+    return preview(_ol(spark, sf_dir), 100)
+
+
+@register("clean_numeric", r"""
+WITH t AS (
+  SELECT l_orderkey, l_linenumber,
+         replace(CAST(CAST(l_discount * 100 AS DECIMAL(6,2)) AS VARCHAR), '.', ',') || '%' AS discount_text,
+         '  ' || CAST(CAST(l_tax AS DECIMAL(4,2)) AS VARCHAR) || ' ' AS tax_text,
+         l_returnflag || '.' || l_linestatus AS flag_text
+  FROM lineitem),
+c AS (
+  SELECT *, replace(replace(regexp_replace(discount_text, '^\s+|\s+$', '', 'g'), '%', ''), ',', '.') AS d,
+            replace(replace(regexp_replace(tax_text, '^\s+|\s+$', '', 'g'), '%', ''), ',', '.') AS x,
+            replace(replace(regexp_replace(flag_text, '^\s+|\s+$', '', 'g'), '%', ''), ',', '.') AS f
+  FROM t)
+SELECT l_orderkey, l_linenumber, discount_text, tax_text, flag_text,
+       CASE WHEN regexp_full_match(d, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(d AS DOUBLE) END
+         AS discount_value,
+       CASE WHEN regexp_full_match(x, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(x AS DOUBLE) END
+         AS tax_value,
+       CASE WHEN regexp_full_match(f, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(f AS DOUBLE) END
+         AS flag_value
+FROM c""", with_view=False)
+def q_clean_numeric(spark, sf_dir):
+    from kpiforge.functions.numeric import clean_numeric
+    from kpiforge.sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem")
+    t = li.select(
+        "l_orderkey", "l_linenumber",
+        F.concat(F.replace((F.col("l_discount") * 100).cast("decimal(6,2)").cast("string"), F.lit("."), F.lit(",")),
+                 F.lit("%")).alias("discount_text"),
+        F.concat(F.lit("  "), F.col("l_tax").cast("decimal(4,2)").cast("string"), F.lit(" ")).alias("tax_text"),
+        F.concat(F.col("l_returnflag"), F.lit("."), F.col("l_linestatus")).alias("flag_text"))
+    return t.select("*", clean_numeric(F.col("discount_text")).alias("discount_value"),
+                    clean_numeric(F.col("tax_text")).alias("tax_value"),
+                    clean_numeric(F.col("flag_text")).alias("flag_value"))
+
+
+# ── K4, K8, K9, K13 as numbers ───────────────────────────────────────────
+
+from kpiforge.operators import facts  # noqa: E402
+
+
+@register("time_range", """
+SELECT MIN(order_date) AS min_date, MAX(order_date) AS max_date,
+       array_to_string(list_sort(list_distinct(list(CAST(year(order_date) AS VARCHAR)))), ', ') AS years,
+       COUNT(DISTINCT year(order_date)) AS n_years,
+       COUNT(DISTINCT date_trunc('month', order_date)) AS n_months
+FROM order_lines WHERE order_date IS NOT NULL""")
+def q_time_range(spark, sf_dir):
+    return facts.time_range(_ol(spark, sf_dir))
+
+
+@register("last_8_quarters", """
+SELECT CAST(year(q) AS VARCHAR) || 'Q' || CAST(quarter(q) AS VARCHAR) AS quarter, sales, profit FROM (
+  SELECT CAST(date_trunc('quarter', order_date) AS DATE) AS q, CAST(SUM(sales) AS DOUBLE) AS sales,
+         COALESCE(CAST(SUM(profit) AS DOUBLE), 0.0) AS profit
+  FROM order_lines WHERE order_date IS NOT NULL GROUP BY 1 ORDER BY q DESC LIMIT 8) t""")
+def q_last_8_quarters(spark, sf_dir):
+    return facts.last_quarters(_ol(spark, sf_dir), 8)
+
+
+@register("best_worst_month", """
+WITH m AS (SELECT CAST(date_trunc('month', order_date) AS DATE) AS m, SUM(sales) AS s,
+                  COALESCE(SUM(profit), 0) AS p
+           FROM order_lines WHERE order_date IS NOT NULL GROUP BY 1),
+b AS (SELECT m, s, p FROM m ORDER BY s DESC, m ASC LIMIT 1),
+w AS (SELECT m, p FROM m ORDER BY p ASC, m ASC LIMIT 1)
+SELECT strftime(b.m, '%Y-%m') AS best_month, CAST(b.s AS DOUBLE) AS best_sales, CAST(b.p AS DOUBLE) AS best_profit,
+       CASE WHEN w.p < 0 THEN strftime(w.m, '%Y-%m') END AS worst_month,
+       CASE WHEN w.p < 0 THEN CAST(w.p AS DOUBLE) END AS worst_profit
+FROM b, w""")
+def q_best_worst_month(spark, sf_dir):
+    return facts.best_worst_month(_ol(spark, sf_dir))
+
+
+@register("segment_category_top9", """
+SELECT * FROM (
+  SELECT segment, category, COALESCE(CAST(SUM(profit) AS DOUBLE), 0.0) AS profit,
+         COALESCE(CAST(SUM(sales) AS DOUBLE), 0.0) AS sales,
+         ROW_NUMBER() OVER (ORDER BY COALESCE(CAST(SUM(profit) AS DOUBLE), 0.0) DESC, segment, category) AS rank
+  FROM order_lines WHERE segment IS NOT NULL AND category IS NOT NULL GROUP BY segment, category) t
+WHERE rank <= 9""")
+def q_segment_category_top9(spark, sf_dir):
+    return facts.segment_category_top(_ol(spark, sf_dir), 9)
+
+
+@register("facts")
+def q_facts(spark, sf_dir):
+    return facts.build_facts(_ol(spark, sf_dir)).select("chunk_id", "text")

@@ -60,7 +60,7 @@ def trend_insights(trend: DataFrame, metric: str, grain: str | None = None,
     """W3-W6 per breakdown value (or one row without a breakdown).
 
     n, first/last period and value, growth_pct (0 when first is 0), abs_change,
-    cagr (year grain; 0 when first <= 0, NULL when last < 0 (D21)) and its
+    cagr (year grain, 6 decimals; 0 when first <= 0, NULL when last < 0 (D21)) and its
     class, peak / trough (earliest period on ties), range, swing_pct (NULL
     when the peak is 0), momentum of the last 2 vs the 2 before (n >= 4) with
     class and outlook.  growth figures are NULL when n < 2.
@@ -90,8 +90,9 @@ def trend_insights(trend: DataFrame, metric: str, grain: str | None = None,
     first, last, n = F.col("first_value"), F.col("last_value"), F.col("n")
     growth = F.when(n >= 2, F.when(first != 0, (last - first) / F.abs(first) * 100).otherwise(F.lit(0.0)))
     years = n - 1
-    cagr = F.when(first > 0, F.when(last >= 0, (F.pow(last / first, F.try_divide(F.lit(1.0), years)) - 1) * 100)) \
-        .otherwise(F.lit(0.0))
+    # rounded to 6 decimals: pow() may differ in the last bit between math libraries
+    cagr = F.when(first > 0, F.when(last >= 0, F.round(
+        (F.pow(last / first, F.try_divide(F.lit(1.0), years)) - 1) * 100, 6))).otherwise(F.lit(0.0))
     cagr = F.when((n >= 2) & F.lit(grain == "year"), cagr)
     rng = F.abs(F.col("peak_value") - F.col("trough_value"))
     prior, recent = F.col("prior_avg"), F.col("recent_avg")
