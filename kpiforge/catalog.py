@@ -603,3 +603,86 @@ def q_segment_category_top9(spark, sf_dir):
 @register("facts")
 def q_facts(spark, sf_dir):
     return facts.build_facts(_ol(spark, sf_dir)).select("chunk_id", "text")
+
+
+# ── R1-R8: retrieval and conversation windows ────────────────────────────
+
+from kpiforge.operators import history, retrieval  # noqa: E402
+from kpiforge.sources.tables import read_table  # noqa: E402
+
+
+def _sql_tokens(table, id_col, text_col, alias):
+    """DuckDB: (id, tok) rows of unigrams + bigrams, as kpiforge.functions.text.tokenize."""
+    return f"""
+{alias}_u AS (SELECT {id_col} AS id, regexp_extract_all(lower({text_col}), '[a-z0-9_]+') AS u FROM {table}),
+{alias}_t AS (SELECT id, list_concat(u, list_transform(range(1, len(u)), lambda i: u[i] || '_' || u[i + 1])) AS toks
+              FROM {alias}_u)"""
+
+
+_TFIDF_SQL = f"""
+WITH {_sql_tokens('documents', 'doc_id', 'text', 'd')},
+d_x AS (SELECT id AS doc_id, len(toks) AS n_tok, unnest(toks) AS tok FROM d_t),
+tf AS (SELECT doc_id, tok, COUNT(*) / MAX(n_tok) AS tf FROM d_x GROUP BY doc_id, tok),
+idf AS (SELECT tok, ln(((SELECT COUNT(*) FROM documents) + 1) / (COUNT(*) + 1)) + 1 AS idf
+        FROM tf GROUP BY tok),
+w AS (SELECT doc_id, tok, tf * idf AS wr FROM tf JOIN idf USING (tok)),
+p AS (SELECT doc_id, tok, wr / sqrt(SUM(wr * wr) OVER (PARTITION BY doc_id)) AS w FROM w),
+{_sql_tokens('benchmark', 'item_id', 'text', 'q')},
+q_x AS (SELECT id AS qid, unnest(toks) AS tok FROM q_t),
+q_c AS (SELECT qid, tok, COUNT(*) AS c FROM q_x GROUP BY qid, tok),
+qv AS (SELECT qid, tok, c * idf AS qr FROM q_c JOIN idf USING (tok)),
+qn AS (SELECT qid, tok, qr / sqrt(SUM(qr * qr) OVER (PARTITION BY qid)) AS qw FROM qv),
+s AS (SELECT qid, doc_id, round(SUM(qw * w), 9) AS score FROM qn JOIN p USING (tok) GROUP BY qid, doc_id),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)"""
+
+
+@register("tfidf_topk", _TFIDF_SQL + """
+SELECT qid, doc_id, score, rank FROM r WHERE rank <= 10""", with_view=False)
+def q_tfidf_topk(spark, sf_dir):
+    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return retrieval.retrieve(idx, read_table(spark, sf_dir, "benchmark"), 10, "item_id", "text")
+
+
+_PINS = (0, 1, 2)
+
+
+@register("tfidf_pinned", _TFIDF_SQL + f"""
+, hits AS (SELECT qid, doc_id, score, rank AS c FROM r WHERE rank <= 10 AND score >= 0.03),
+pins AS (SELECT item_id AS qid, unnest([{', '.join(map(str, _PINS))}]) AS doc_id,
+                unnest(range(0, {len(_PINS)})) AS pp FROM benchmark),
+m AS (SELECT COALESCE(h.qid, p.qid) AS qid, COALESCE(h.doc_id, p.doc_id) AS doc_id, h.score, h.c, p.pp
+      FROM hits h FULL OUTER JOIN pins p ON h.qid = p.qid AND h.doc_id = p.doc_id)
+SELECT qid, doc_id, COALESCE(score, 0.0) AS score, pp IS NOT NULL AS pinned,
+       ROW_NUMBER() OVER (PARTITION BY qid ORDER BY CASE WHEN pp IS NOT NULL THEN 0 ELSE 1 END,
+                          CASE WHEN pp IS NOT NULL AND c IS NOT NULL THEN 0 ELSE 1 END,
+                          CASE WHEN pp IS NOT NULL THEN c END NULLS FIRST,
+                          CASE WHEN pp IS NOT NULL THEN pp END NULLS FIRST,
+                          score DESC NULLS LAST, c ASC NULLS LAST) AS position
+FROM m""", with_view=False)
+def q_tfidf_pinned(spark, sf_dir):
+    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return retrieval.retrieve_pinned(idx, read_table(spark, sf_dir, "benchmark"), k=6, min_score=0.03,
+                                     pinned_ids=_PINS, qid_col="item_id", text_col="text")
+
+
+@register("history_window", """
+WITH k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
+SELECT conv_id, COUNT(*) AS kept_messages, MIN(turn) AS first_kept_turn,
+       COALESCE(string_agg(CASE WHEN r <= 10 THEN
+           CASE WHEN role = 'user' THEN 'User' ELSE 'Bot' END || ': ' ||
+           CASE WHEN length(COALESCE(text, '')) > 200 THEN substring(COALESCE(text, ''), 1, 200) || '...'
+                ELSE COALESCE(text, '') END END, chr(10) ORDER BY turn), '') AS summary
+FROM k WHERE r <= 16 GROUP BY conv_id""", with_view=False)
+def q_history_window(spark, sf_dir):
+    return history.history_summary(read_table(spark, sf_dir, "conversations"))
+
+
+@register("followup_query", """
+SELECT * FROM (
+  SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS last_question,
+         arg_max(text, turn) FILTER (WHERE role = 'assistant') AS last_answer
+  FROM conversations GROUP BY conv_id) t
+  , LATERAL (SELECT last_question || ' ' || last_answer AS query)
+WHERE last_question IS NOT NULL AND last_answer IS NOT NULL""", with_view=False)
+def q_followup_query(spark, sf_dir):
+    return history.followup_query(read_table(spark, sf_dir, "conversations"))

@@ -125,7 +125,8 @@ def fact_aggregates(df: DataFrame) -> DataFrame:
 
 def order_counts(df: DataFrame) -> DataFrame:
     """Distinct orders per year and in total: (set, k1, orders)."""
-    g = df.groupingSets([[F.year("order_date")], []], F.year("order_date").alias("year")).agg(
+    y = df.select(F.year("order_date").alias("year"), "order_id")
+    g = y.groupingSets([[F.col("year")], []], F.col("year")).agg(
         F.count_distinct("order_id").alias("orders"), F.grouping_id().alias("_gid"))
     return g.select(F.when(F.col("_gid") == 0, F.lit("year")).otherwise(F.lit("total")).alias("set"),
                     F.col("year").cast("string").alias("k1"), "orders")
