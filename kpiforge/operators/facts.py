@@ -317,8 +317,10 @@ def segment_category_fact(agg: DataFrame, n: int = 9) -> DataFrame:
 def build_facts(df: DataFrame, filters: dict | None = None) -> DataFrame:
     """All facts (K1-K13) as one DataFrame, in the reference's order of kinds."""
     spark = df.sparkSession
-    agg = fact_aggregates(df)
-    orders = order_counts(df)
+    # both aggregates are small (hundreds of rows) and feed ~20 fact branches:
+    # keep them so the order lines are scanned once, not once per branch
+    agg = fact_aggregates(df).persist()
+    orders = order_counts(df).persist()
     parts = [schema_facts(spark), filter_context_fact(spark, filters), kpi_facts(agg, orders),
              time_range_fact(agg), yearly_facts(agg, orders), monthly_facts(agg), quarterly_fact(agg)]
     parts += [dimension_fact(agg, d) for d in DIM_FACTS]

@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiforge.functions.text import tokenize, truncate
+from kpiforge.functions.text import truncate, unigrams, with_bigrams
 
 SCORE_DIGITS = 9
 
@@ -45,14 +45,32 @@ class TfidfIndex:
     n_docs: Column       # scalar subquery: rows in the indexed table
 
 
+def token_rows(df: DataFrame, id_col: str, text_col: str, out_id: str,
+               with_length: bool = False) -> DataFrame:
+    """``(id, [n_tok,] tok)``: one row per token occurrence (unigrams + bigrams).
+
+    The regex runs once per text: the unigram array is its own projection and
+    the bigrams are built from that column (Catalyst does not inline a costly
+    expression that is referenced several times).
+    """
+    u = df.select(F.col(id_col).alias(out_id), unigrams(F.col(text_col)).alias("_u"))
+    t = u.select(out_id, with_bigrams(F.col("_u")).alias("_t"))
+    cols = [out_id] + ([F.size("_t").alias("n_tok")] if with_length else [])
+    # explode_outer + NULL filter: plain explode makes Catalyst infer a
+    # ``size(tokens) > 0`` filter that it pushes below the projection, which
+    # would run the whole tokenizer a second time per text
+    return t.select(*cols, F.explode_outer("_t").alias("tok")).filter(F.col("tok").isNotNull())
+
+
 def fit_tfidf(df: DataFrame, id_col: str = "id", text_col: str = "text") -> TfidfIndex:
     """Build the posting table, the idf table and N."""
-    docs = df.select(F.col(id_col).alias("doc_id"), tokenize(F.col(text_col)).alias("toks"))
-    toks = docs.select("doc_id", F.size("toks").alias("n_tok"), F.explode("toks").alias("tok"))
+    toks = token_rows(df, id_col, text_col, "doc_id", with_length=True)
     tf = (toks.groupBy("doc_id", "tok")
               .agg((F.count(F.lit(1)) / F.max("n_tok")).alias("tf")))
     n_docs = df.agg(F.count(F.lit(1))).scalar()
-    dfreq = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    # count(tf) (not count(*)) keeps this branch's partial aggregate identical to
+    # the postings branch, so Spark reuses one exchange instead of tokenising twice
+    dfreq = tf.groupBy("tok").agg(F.count("tf").alias("df"))
     idf = dfreq.select("tok", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     w = tf.join(idf, "tok").select("doc_id", "tok", (F.col("tf") * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
@@ -78,8 +96,8 @@ def save_index(index: TfidfIndex, path: str, buckets: int = 0) -> TfidfIndex:
 def query_vectors(index: TfidfIndex, queries: DataFrame, qid_col: str = "qid",
                   text_col: str = "text") -> DataFrame:
     """``(qid, tok, qw)``: normalised query weights over known tokens only."""
-    q = (queries.select(F.col(qid_col).alias("qid"), F.explode(tokenize(F.col(text_col))).alias("tok"))
-                .groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("c")))
+    q = (token_rows(queries, qid_col, text_col, "qid")
+         .groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("c")))
     qv = q.join(index.idf, "tok").select("qid", "tok", (F.col("c") * F.col("idf")).alias("_q"))
     norm = F.sqrt(F.sum(F.col("_q") * F.col("_q")).over(Window.partitionBy("qid")))
     return qv.select("qid", "tok", (F.col("_q") / norm).alias("qw"))
@@ -158,4 +176,4 @@ def context_block(ranked: DataFrame, docs: DataFrame, id_col: str = "id", text_c
 
 
 __all__ = ["TfidfIndex", "fit_tfidf", "save_index", "query_vectors", "score", "retrieve",
-           "retrieve_pinned", "context_block", "truncate"]
+           "retrieve_pinned", "context_block", "token_rows", "truncate"]
