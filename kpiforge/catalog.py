@@ -686,3 +686,15 @@ SELECT * FROM (
 WHERE last_question IS NOT NULL AND last_answer IS NOT NULL""", with_view=False)
 def q_followup_query(spark, sf_dir):
     return history.followup_query(read_table(spark, sf_dir, "conversations"))
+
+
+# ── G1-G10: question-log tagging ─────────────────────────────────────────
+
+from kpiforge.operators import questions  # noqa: E402
+
+
+@register("question_tags")
+def q_question_tags(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    return questions.tag_questions(qs, _ol(spark, sf_dir))
