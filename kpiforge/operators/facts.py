@@ -5,8 +5,10 @@ lines (year, month, quarter, each dimension, segment x category, discount
 bucket and the total).  Partial aggregation shrinks every task's rows to a
 few hundred groups before the shuffle, so the scan is the only cost that
 grows with the data.  Distinct order counts (year and total only) come from
-a second, narrow aggregate.  Every fact is then a filter + ``collect_list``
-over that small result; nothing is collected to the driver.
+a second, narrow aggregate.  The two small results are gathered into one row
+(a few hundred entries, bounded by the number of periods and dimension
+values, not by the data) and every fact text is built from it with array
+functions; nothing is collected to the driver.
 
 Like the reference's pandas code, fact aggregates drop NULL keys and rows
 without a parseable date (D17).
@@ -14,9 +16,7 @@ without a parseable date (D17).
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.functions.numeric import BUCKET_LABELS, bucket_order, discount_bucket
@@ -57,17 +57,6 @@ def _meta(**kv) -> Column:
     return F.map_from_arrays(F.array(*keys), F.array(*vals))
 
 
-def _fact(df: DataFrame, chunk_id, text: Column, meta: Column) -> DataFrame:
-    cid = chunk_id if isinstance(chunk_id, Column) else F.lit(chunk_id)
-    return df.select(cid.alias("chunk_id"), text.alias("text"), meta.alias("metadata"))
-
-
-def _join_items(item: Column, order: list[Column], sep: str = "; ") -> Column:
-    """``sep``-joined items of a group, in ``order`` (collect_list of a small group)."""
-    s = F.struct(*[o.alias(f"_k{i}") for i, o in enumerate(order)], item.alias("_item"))
-    return F.array_join(F.transform(F.sort_array(F.collect_list(s)), lambda x: x["_item"]), sep)
-
-
 def _py_list(arr: Column, quote: bool) -> Column:
     """Python ``repr`` of a list: ``[1995, 1996]`` / ``['AFRICA', 'ASIA']``."""
     if quote:
@@ -132,201 +121,225 @@ def order_counts(df: DataFrame) -> DataFrame:
                     F.col("year").cast("string").alias("k1"), "orders")
 
 
-def _set(agg: DataFrame, name: str) -> DataFrame:
-    out = agg.filter(F.col("set") == name)
-    if name != "total":
-        out = out.filter(F.col("k1").isNotNull())
-    return out
+def fact_rows(df: DataFrame) -> DataFrame:
+    """Both aggregates as ONE row: ``rows`` = array of (set, k1, k2, s, p, ns,
+    np, lo, hi, orders) structs.  A few hundred entries: one per year, month,
+    quarter, dimension value, segment x category pair and discount bucket,
+    independent of the number of order lines."""
+    agg = fact_aggregates(df)
+    orders = order_counts(df)
+    key = F.coalesce(F.col("k1"), F.lit(""))
+    # both sides are a few hundred rows; the planner broadcasts one of them
+    a = agg.withColumn("_key", key).join(orders.select("set", key.alias("_key"), "orders"),
+                                         ["set", "_key"], "left")
+    entry = F.struct(F.col("set"), F.col("k1"), F.col("k2"), F.col("sales").alias("s"),
+                     F.col("profit").alias("p"), F.col("n_sales").alias("ns"), F.col("n_profit").alias("np"),
+                     F.col("min_date").alias("lo"), F.col("max_date").alias("hi"), F.col("orders"))
+    return a.agg(F.collect_list(entry).alias("rows"))
+
+
+def _of(rows: Column, name: str) -> Column:
+    """Entries of one set (non-NULL key unless it is the total)."""
+    if name == "total":
+        return F.filter(rows, lambda r: r["set"] == name)
+    return F.filter(rows, lambda r: (r["set"] == name) & r["k1"].isNotNull())
+
+
+def _sorted(arr: Column, *keys) -> Column:
+    """Sort an array of entries by key functions (ascending, NULLs first)."""
+    wrapped = F.transform(arr, lambda r: F.struct(*[k(r).alias(f"_k{i}") for i, k in enumerate(keys)],
+                                                  r.alias("_r")))
+    return F.transform(F.sort_array(wrapped), lambda x: x["_r"])
+
+
+def _facts(cond: Column, chunk_id, text: Column, meta: Column) -> Column:
+    """Array with one fact struct when ``cond`` holds, else empty."""
+    cid = chunk_id if isinstance(chunk_id, Column) else F.lit(chunk_id)
+    one = F.array(F.struct(cid.alias("chunk_id"), text.alias("text"), meta.alias("metadata")))
+    return F.when(cond, one).otherwise(F.array().cast(f"array<struct<{FACT_SCHEMA.replace(' string', ':string').replace(' map', ':map')}>>"))
 
 
-def schema_facts(spark: SparkSession) -> DataFrame:
-    """K1: the four schema facts (constant rows)."""
-    rows = [(cid, text, {"type": "schema"}) for cid, text in SCHEMA_FACTS]
-    return spark.createDataFrame(rows, FACT_SCHEMA)
+def _d(c: Column) -> Column:
+    return F.coalesce(c.cast("double"), F.lit(0.0))
 
 
-def filter_context_fact(spark: SparkSession, filters: dict | None = None) -> DataFrame:
-    """K2: one fact describing the active filters (from the arguments)."""
+def _const_facts(filters: dict | None) -> Column:
+    """K1 + K2: schema facts and the filter context (constants)."""
     f = filters or {}
     dr = f.get("date_range") or ()
     parts = [f"Date range: {dr[0]} to {dr[1]}" if len(dr) == 2 else "Date range: full history"]
     for label, key in (("Region", "region"), ("Segment", "segment"), ("Category", "category")):
         if f.get(key):
             parts.append(f"{label}: {', '.join(str(v) for v in f[key])}")
-    text = "Current dashboard filters: " + "; ".join(parts) + "."
-    return spark.createDataFrame([("filter_context", text, {"type": "filter"})], FACT_SCHEMA)
+    items = [(cid, text, "schema") for cid, text in SCHEMA_FACTS]
+    items.append(("filter_context", "Current dashboard filters: " + "; ".join(parts) + ".", "filter"))
+    return F.array(*[F.struct(F.lit(c).alias("chunk_id"), F.lit(t).alias("text"), _meta(type=k).alias("metadata"))
+                     for c, t, k in items])
 
 
-def kpi_facts(agg: DataFrame, orders: DataFrame) -> DataFrame:
-    """K3: KPI summary and profitability."""
-    tot = _set(agg, "total").select("set", "sales", "profit")
-    o = orders.filter(F.col("set") == "total").select("set", "orders")
-    k = tot.join(o, "set")  # one row each, keyed by the set name
-    ts = F.coalesce(F.col("sales").cast("double"), F.lit(0.0))
-    tp = F.coalesce(F.col("profit").cast("double"), F.lit(0.0))
+def _kpi_facts(rows: Column) -> Column:
+    """K3: KPI summary and profitability (also for an empty table: zeros)."""
+    tot = F.get(_of(rows, "total"), 0)
+    ts, tp = _d(tot["s"]), _d(tot["p"])
+    orders = F.coalesce(tot["orders"], F.lit(0))
     pm = F.when(ts != 0, tp / ts * 100).otherwise(F.lit(0.0))
     summary = F.concat(F.lit("KPI summary (current filters): Total Sales="), money(ts),
                        F.lit(", Total Profit="), money(tp), F.lit(", Total Orders="),
-                       thousands(F.col("orders")), F.lit(", Profit Margin="), fixed(pm, 2), F.lit("%."))
+                       thousands(orders), F.lit(", Profit Margin="), fixed(pm, 2), F.lit("%."))
     prof = F.concat(F.lit("Net profit "), money(tp), F.lit(" on revenue "), money(ts),
                     F.lit(" → margin "), fixed(pm, 2), F.lit("%. "),
                     F.when(tp > 0, F.lit("Profitable.")).otherwise(F.lit("Operating at a loss.")))
-    return _fact(k, "kpi_summary", summary, _meta(type="kpi")).unionByName(
-        _fact(k, "kpi_profitability", prof, _meta(type="kpi", topic="profitability")))
+    return F.concat(_facts(F.lit(True), "kpi_summary", summary, _meta(type="kpi")),
+                    _facts(F.lit(True), "kpi_profitability", prof, _meta(type="kpi", topic="profitability")))
 
 
-def time_range_fact(agg: DataFrame) -> DataFrame:
+def _time_range_fact(rows: Column) -> Column:
     """K4: date span, list of years, number of months."""
-    st, k1 = F.col("set"), F.col("k1")
-    t = agg.agg(
-        F.min(F.when(st == "total", F.col("min_date"))).alias("min_date"),
-        F.max(F.when(st == "total", F.col("max_date"))).alias("max_date"),
-        F.sort_array(F.collect_list(F.when((st == "year") & k1.isNotNull(), k1.cast("int")))).alias("years"),
-        F.count(F.when((st == "month") & k1.isNotNull(), 1)).alias("n_months"),
-    ).filter(F.col("min_date").isNotNull())
-    yl = _py_list(F.transform("years", lambda y: y.cast("string")), quote=False)
-    text = F.concat(F.lit("Data spans "), F.col("min_date").cast("string"), F.lit(" to "),
-                    F.col("max_date").cast("string"), F.lit(". "), F.size("years").cast("string"),
-                    F.lit(" years: "), yl, F.lit(". "), F.col("n_months").cast("string"), F.lit(" months total."))
-    return _fact(t, "time_range", text, _meta(type="time", years=yl))
-
-
-def yearly_facts(agg: DataFrame, orders: DataFrame) -> DataFrame:
-    """K5 (one per year), K6 (year-over-year changes), K7 (first -> last year growth)."""
-    y = _set(agg, "year").join(orders.filter(F.col("set") == "year").select("k1", "orders"), "k1", "left")
-    s, p = F.col("sales").cast("double"), F.col("profit").cast("double")
-    pm = F.when(s != 0, F.coalesce(p, F.lit(0.0)) / s * 100).otherwise(F.lit(0.0))
-    text = F.concat(F.lit("Year "), F.col("k1"), F.lit(": Sales="), money(s), F.lit(", Profit="),
-                    money(F.coalesce(p, F.lit(0.0))), F.lit(", Orders="),
-                    thousands(F.coalesce(F.col("orders"), F.lit(0))), F.lit(", Margin="),
-                    fixed(pm, 1), F.lit("%."))
-    per_year = _fact(y, F.concat(F.lit("yearly_"), F.col("k1")), text,
-                     _meta(type="trend", grain="year", year=F.col("k1")))
-
-    # K6/K7 pair consecutive years: a window over the handful of year rows
-    from pyspark.sql import Window
-    w = Window.orderBy("yr")
-    yy = (y.select(F.col("k1").cast("int").alias("yr"), s.alias("s"), F.coalesce(p, F.lit(0.0)).alias("p"))
-           .withColumn("ps", F.lag("s").over(w)).withColumn("pp", F.lag("p").over(w))
-           .withColumn("py", F.lag("yr").over(w)))
-    chg = F.when(F.col("ps") != 0, (F.col("s") - F.col("ps")) / F.col("ps") * 100).otherwise(F.lit(0.0))
-    pchg = F.when(F.col("pp") != 0, (F.col("p") - F.col("pp")) / F.abs(F.col("pp")) * 100).otherwise(F.lit(0.0))
-    line = F.concat(F.col("py").cast("string"), F.lit("→"), F.col("yr").cast("string"), F.lit(": Sales "),
-                    signed(chg, 1), F.lit("%, Profit "), signed(pchg, 1), F.lit("%"))
-    pairs = yy.filter(F.col("py").isNotNull()).agg(_join_items(line, [F.col("yr")]).alias("lines"))
-    yoy = _fact(pairs.filter(F.col("lines") != ""), "yoy_comparison",
-                F.concat(F.lit("Year-over-year changes: "), F.col("lines"), F.lit(".")),
-                _meta(type="trend", topic="yoy"))
-
-    ends = yy.agg(F.count(F.lit(1)).alias("n"), F.min("yr").alias("y0"), F.max("yr").alias("y1"),
-                  F.min_by("s", "yr").alias("s0"), F.max_by("s", "yr").alias("s1")).filter(F.col("n") >= 2)
-    growth = F.when(F.col("s0") != 0, (F.col("s1") - F.col("s0")) / F.col("s0") * 100).otherwise(F.lit(0.0))
-    gtext = F.concat(F.lit("Revenue growth "), F.col("y0").cast("string"), F.lit("→"), F.col("y1").cast("string"),
-                     F.lit(": "), signed(growth, 1), F.lit("% ("), money(F.col("s0")), F.lit(" → "),
-                     money(F.col("s1")), F.lit(")."))
-    grow = _fact(ends, "yearly_growth", gtext, _meta(type="trend", topic="growth"))
-    return per_year.unionByName(yoy).unionByName(grow)
-
-
-def monthly_facts(agg: DataFrame) -> DataFrame:
-    """K8: best month by sales; worst month by profit when it is a loss (earliest on ties)."""
-    m = _set(agg, "month").select(F.col("k1").cast("date").alias("m"), F.col("sales").cast("double").alias("s"),
-                                  F.coalesce(F.col("profit").cast("double"), F.lit(0.0)).alias("p"))
-    best = m.agg(F.max_by(F.struct("m", "s", "p"), F.struct(F.col("s"), -F.unix_date("m"))).alias("b"))
-    label = F.date_format(F.col("b.m"), "yyyy-MM")
-    btext = F.concat(F.lit("Peak month by sales: "), label, F.lit(" — "), money(F.col("b.s")),
-                     F.lit(", profit "), money(F.col("b.p")), F.lit("."))
-    bf = _fact(best.filter(F.col("b").isNotNull()), "monthly_best_sales", btext, _meta(type="time", grain="month"))
-    worst = m.agg(F.min_by(F.struct("m", "p"), F.struct(F.col("p"), F.unix_date("m"))).alias("w"))
-    wtext = F.concat(F.lit("Worst month by profit: "), F.date_format(F.col("w.m"), "yyyy-MM"), F.lit(" — "),
-                     money(F.col("w.p")), F.lit("."))
-    wf = _fact(worst.filter(F.col("w.p") < 0), "monthly_worst_profit", wtext, _meta(type="time", grain="month"))
-    return bf.unionByName(wf)
-
-
-def quarterly_fact(agg: DataFrame) -> DataFrame:
-    """K9: sales and profit of the last 8 quarters, oldest first."""
-    q = _set(agg, "quarter").select(F.col("k1").cast("date").alias("q"), F.col("sales").cast("double").alias("s"),
-                                    F.coalesce(F.col("profit").cast("double"), F.lit(0.0)).alias("p"))
-    label = F.concat(F.year("q").cast("string"), F.lit("Q"), F.quarter("q").cast("string"))
-    item = F.concat(label, F.lit(": Sales="), money(F.col("s")), F.lit(", Profit="), money(F.col("p")))
-    last8 = q.agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("q"), item.alias("t"))), asc=False), 1, 8)
-                  .alias("l"))
-    rows = F.array_join(F.transform(F.reverse(F.col("l")), lambda x: x["t"]), "; ")
-    return _fact(last8.filter(F.size("l") > 0), "quarterly_summary",
-                 F.concat(F.lit("Last 8 quarters: "), rows, F.lit(".")), _meta(type="trend", grain="quarter"))
-
-
-def dimension_fact(agg: DataFrame, dim: str) -> DataFrame:
-    """Sorted value list and per-value sales / profit (highest sales first)."""
-    d = _set(agg, dim).select(F.col("k1").alias("v"), F.col("sales").cast("double").alias("s"),
-                              F.coalesce(F.col("profit").cast("double"), F.lit(0.0)).alias("p"))
-    item = F.concat(F.col("v"), F.lit(": Sales="), money(F.col("s")), F.lit(", Profit="), money(F.col("p")))
-    g = d.agg(F.sort_array(F.collect_list("v")).alias("values"),
-              _join_items(item, [-F.col("s"), F.col("v")]).alias("detail"))
-    vl = _py_list(F.col("values"), quote=True)
-    text = F.concat(F.lit(f"Dimension '{dim}' values: "), vl, F.lit(". Detail: "), F.col("detail"), F.lit("."))
-    return _fact(g.filter(F.size("values") > 0), f"dim_{dim}", text,
-                 _meta(type="dimension", dimension=dim, values=vl))
-
-
-def top_k_facts(agg: DataFrame, dim: str, k: int) -> DataFrame:
+    tot = F.get(_of(rows, "total"), 0)
+    years = F.sort_array(F.transform(_of(rows, "year"), lambda r: r["k1"].cast("int")))
+    yl = _py_list(F.transform(years, lambda y: y.cast("string")), quote=False)
+    text = F.concat(F.lit("Data spans "), tot["lo"].cast("string"), F.lit(" to "), tot["hi"].cast("string"),
+                    F.lit(". "), F.size(years).cast("string"), F.lit(" years: "), yl, F.lit(". "),
+                    F.size(_of(rows, "month")).cast("string"), F.lit(" months total."))
+    return _facts(tot["lo"].isNotNull(), "time_range", text, _meta(type="time", years=yl))
+
+
+def _yearly_facts(rows: Column) -> Column:
+    """K5 (one per year), K6 (year-over-year changes), K7 (first -> last growth)."""
+    ys = _sorted(_of(rows, "year"), lambda r: r["k1"].cast("int"))
+    n = F.size(ys)
+
+    def year_fact(r):
+        s, p = _d(r["s"]), _d(r["p"])
+        pm = F.when(s != 0, p / s * 100).otherwise(F.lit(0.0))
+        text = F.concat(F.lit("Year "), r["k1"], F.lit(": Sales="), money(s), F.lit(", Profit="), money(p),
+                        F.lit(", Orders="), thousands(F.coalesce(r["orders"], F.lit(0))), F.lit(", Margin="),
+                        fixed(pm, 1), F.lit("%."))
+        return F.struct(F.concat(F.lit("yearly_"), r["k1"]).alias("chunk_id"), text.alias("text"),
+                        _meta(type="trend", grain="year", year=r["k1"]).alias("metadata"))
+
+    per_year = F.transform(ys, year_fact)
+
+    def pair(i):
+        prev, cur = F.element_at(ys, i - 1), F.element_at(ys, i)
+        ps, cs, pp, cp = _d(prev["s"]), _d(cur["s"]), _d(prev["p"]), _d(cur["p"])
+        chg = F.when(ps != 0, (cs - ps) / ps * 100).otherwise(F.lit(0.0))
+        pchg = F.when(pp != 0, (cp - pp) / F.abs(pp) * 100).otherwise(F.lit(0.0))
+        return F.concat(prev["k1"], F.lit("→"), cur["k1"], F.lit(": Sales "), signed(chg, 1),
+                        F.lit("%, Profit "), signed(pchg, 1), F.lit("%"))
+
+    lines = F.array_join(F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), pair), "; ")
+    yoy = _facts(n >= 2, "yoy_comparison", F.concat(F.lit("Year-over-year changes: "), lines, F.lit(".")),
+                 _meta(type="trend", topic="yoy"))
+    first, last = F.element_at(ys, 1), F.element_at(ys, -1)
+    s0, s1 = _d(first["s"]), _d(last["s"])
+    growth = F.when(s0 != 0, (s1 - s0) / s0 * 100).otherwise(F.lit(0.0))
+    gtext = F.concat(F.lit("Revenue growth "), first["k1"], F.lit("→"), last["k1"], F.lit(": "), signed(growth, 1),
+                     F.lit("% ("), money(s0), F.lit(" → "), money(s1), F.lit(")."))
+    grow = _facts(n >= 2, "yearly_growth", gtext, _meta(type="trend", topic="growth"))
+    return F.concat(per_year, yoy, grow)
+
+
+def _monthly_facts(rows: Column) -> Column:
+    """K8: best month by sales; worst month by profit if it is a loss (earliest on ties)."""
+    ms = _of(rows, "month")
+    best = F.get(_sorted(ms, lambda r: -_d(r["s"]), lambda r: r["k1"]), 0)
+    worst = F.get(_sorted(ms, lambda r: _d(r["p"]), lambda r: r["k1"]), 0)
+    label = lambda r: F.substring(r["k1"], 1, 7)  # noqa: E731  yyyy-MM of the month start
+    btext = F.concat(F.lit("Peak month by sales: "), label(best), F.lit(" — "), money(_d(best["s"])),
+                     F.lit(", profit "), money(_d(best["p"])), F.lit("."))
+    wtext = F.concat(F.lit("Worst month by profit: "), label(worst), F.lit(" — "), money(_d(worst["p"])),
+                     F.lit("."))
+    return F.concat(_facts(best.isNotNull(), "monthly_best_sales", btext, _meta(type="time", grain="month")),
+                    _facts(F.coalesce(_d(worst["p"]) < 0, F.lit(False)), "monthly_worst_profit", wtext,
+                           _meta(type="time", grain="month")))
+
+
+def _quarterly_fact(rows: Column) -> Column:
+    """K9: the last 8 quarters, oldest first."""
+    qs = F.reverse(F.slice(F.reverse(_sorted(_of(rows, "quarter"), lambda r: r["k1"])), 1, 8))
+
+    def item(r):
+        q = r["k1"].cast("date")
+        return F.concat(F.year(q).cast("string"), F.lit("Q"), F.quarter(q).cast("string"), F.lit(": Sales="),
+                        money(_d(r["s"])), F.lit(", Profit="), money(_d(r["p"])))
+
+    text = F.concat(F.lit("Last 8 quarters: "), F.array_join(F.transform(qs, item), "; "), F.lit("."))
+    return _facts(F.size(qs) > 0, "quarterly_summary", text, _meta(type="trend", grain="quarter"))
+
+
+def _dimension_fact(rows: Column, dim: str) -> Column:
+    """Sorted value list and per-value sales / profit, highest sales first."""
+    ds = _of(rows, dim)
+    values = F.sort_array(F.transform(ds, lambda r: r["k1"]))
+    detail = F.array_join(F.transform(
+        _sorted(ds, lambda r: -_d(r["s"]), lambda r: r["k1"]),
+        lambda r: F.concat(r["k1"], F.lit(": Sales="), money(_d(r["s"])), F.lit(", Profit="), money(_d(r["p"])))),
+        "; ")
+    vl = _py_list(values, quote=True)
+    text = F.concat(F.lit(f"Dimension '{dim}' values: "), vl, F.lit(". Detail: "), detail, F.lit("."))
+    return _facts(F.size(values) > 0, f"dim_{dim}", text, _meta(type="dimension", dimension=dim, values=vl))
+
+
+def _top_k_facts(rows: Column, dim: str, k: int) -> Column:
     """Top k values of a dimension by profit and by sales (ties: value order)."""
-    d = _set(agg, dim).select(F.col("k1").alias("v"),
-                              F.coalesce(F.col("sales").cast("double"), F.lit(0.0)).alias("sales"),
-                              F.coalesce(F.col("profit").cast("double"), F.lit(0.0)).alias("profit"))
+    ds = _of(rows, dim)
     out = []
-    for metric in ("profit", "sales"):
-        item = F.concat(F.col("v"), F.lit(" ("), money(F.col(metric)), F.lit(")"))
-        s = F.struct((-F.col(metric)).alias("o"), F.col("v").alias("v2"), item.alias("t"))
-        g = d.agg(F.slice(F.sort_array(F.collect_list(s)), 1, k).alias("l"))
-        text = F.concat(F.lit(f"Top {k} {dim.replace('_', ' ')} by {metric}: "),
-                        F.array_join(F.transform("l", lambda x: x["t"]), ", "), F.lit("."))
-        out.append(_fact(g.filter(F.size("l") > 0), f"top{k}_{dim}_{metric}", text,
-                         _meta(type="rank", dimension=dim, metric=metric, k=k)))
-    return out[0].unionByName(out[1])
-
-
-def discount_fact(agg: DataFrame) -> DataFrame:
+    def by(f):  # key / item builders bound to one field (lambdas must take one argument)
+        return (lambda r: -_d(r[f])), (lambda r: F.concat(r["k1"], F.lit(" ("), money(_d(r[f])), F.lit(")")))
+
+    for metric, fld in (("profit", "p"), ("sales", "s")):
+        key, item = by(fld)
+        top = F.slice(_sorted(ds, key, lambda r: r["k1"]), 1, k)
+        items = F.array_join(F.transform(top, item), ", ")
+        text = F.concat(F.lit(f"Top {k} {dim.replace('_', ' ')} by {metric}: "), items, F.lit("."))
+        out.append(_facts(F.size(top) > 0, f"top{k}_{dim}_{metric}", text,
+                          _meta(type="rank", dimension=dim, metric=metric, k=k)))
+    return F.concat(*out)
+
+
+def _discount_fact(rows: Column) -> Column:
     """Mean profit, mean sales and line count per discount bucket."""
-    b = _set(agg, "bucket").filter(F.col("n_profit") > 0)
-    ap = F.col("profit").cast("double") / F.col("n_profit")
-    av = F.col("sales").cast("double") / F.col("n_sales")
-    item = F.concat(F.lit("Discount "), F.col("k1"), F.lit(": avg profit="), money(ap), F.lit(", avg sales="),
-                    money(av), F.lit(" ("), F.col("n_profit").cast("string"), F.lit(" orders)"))
-    g = b.agg(_join_items(item, [bucket_order(F.col("k1"))]).alias("rows"), F.count(F.lit(1)).alias("n"))
-    return _fact(g.filter(F.col("n") > 0), "discount_impact",
-                 F.concat(F.lit("Discount impact on profit: "), F.col("rows"), F.lit(".")),
-                 _meta(type="insight", topic="discount"))
-
-
-def segment_category_fact(agg: DataFrame, n: int = 9) -> DataFrame:
+    bs = _sorted(F.filter(_of(rows, "bucket"), lambda r: r["np"] > 0), lambda r: bucket_order(r["k1"]))
+
+    def item(r):
+        return F.concat(F.lit("Discount "), r["k1"], F.lit(": avg profit="), money(r["p"].cast("double") / r["np"]),
+                        F.lit(", avg sales="), money(r["s"].cast("double") / r["ns"]), F.lit(" ("),
+                        r["np"].cast("string"), F.lit(" orders)"))
+
+    text = F.concat(F.lit("Discount impact on profit: "), F.array_join(F.transform(bs, item), "; "), F.lit("."))
+    return _facts(F.size(bs) > 0, "discount_impact", text, _meta(type="insight", topic="discount"))
+
+
+def _segment_category_fact(rows: Column, n: int = 9) -> Column:
     """The ``n`` segment x category pairs with the highest profit."""
-    c = _set(agg, "segment_category").filter(F.col("k2").isNotNull()).select(
-        F.col("k1").alias("seg"), F.col("k2").alias("cat"),
-        F.coalesce(F.col("profit").cast("double"), F.lit(0.0)).alias("p"))
-    item = F.concat(F.col("seg"), F.lit("/"), F.col("cat"), F.lit(": Profit="), money(F.col("p")))
-    s = F.struct((-F.col("p")).alias("o"), F.col("seg").alias("a"), F.col("cat").alias("b"), item.alias("t"))
-    g = c.agg(F.slice(F.sort_array(F.collect_list(s)), 1, n).alias("l"))
-    text = F.concat(F.lit(f"Top {n} Segment×Category combos by profit: "),
-                    F.array_join(F.transform("l", lambda x: x["t"]), "; "), F.lit("."))
-    return _fact(g.filter(F.size("l") > 0), "segment_category_cross", text,
-                 _meta(type="cross", dimensions="segment,category"))
+    cs = F.filter(_of(rows, "segment_category"), lambda r: r["k2"].isNotNull())
+    top = F.slice(_sorted(cs, lambda r: -_d(r["p"]), lambda r: r["k1"], lambda r: r["k2"]), 1, n)
+    items = F.array_join(F.transform(top, lambda r: F.concat(r["k1"], F.lit("/"), r["k2"], F.lit(": Profit="),
+                                                            money(_d(r["p"])))), "; ")
+    text = F.concat(F.lit(f"Top {n} Segment×Category combos by profit: "), items, F.lit("."))
+    return _facts(F.size(top) > 0, "segment_category_cross", text,
+                  _meta(type="cross", dimensions="segment,category"))
 
 
 def build_facts(df: DataFrame, filters: dict | None = None) -> DataFrame:
-    """All facts (K1-K13) as one DataFrame, in the reference's order of kinds."""
-    spark = df.sparkSession
-    # both aggregates are small (hundreds of rows) and feed ~20 fact branches:
-    # keep them so the order lines are scanned once, not once per branch
-    agg = fact_aggregates(df).persist()
-    orders = order_counts(df).persist()
-    parts = [schema_facts(spark), filter_context_fact(spark, filters), kpi_facts(agg, orders),
-             time_range_fact(agg), yearly_facts(agg, orders), monthly_facts(agg), quarterly_fact(agg)]
-    parts += [dimension_fact(agg, d) for d in DIM_FACTS]
-    parts += [top_k_facts(agg, d, k) for d, k in TOP_K_FACTS]
-    parts += [discount_fact(agg), segment_category_fact(agg)]
-    return reduce(DataFrame.unionByName, parts)
+    """All facts (K1-K13) as rows ``(chunk_id, text, metadata)``, in the
+    reference's order of kinds.
+
+    Plan: one grouping-sets aggregate and one distinct-count aggregate over
+    the order lines (partial aggregation before their shuffles), a join of
+    the two small results, one global ``collect_list`` of a few hundred
+    entries, then every fact text is built with array functions on that one
+    row and exploded.  Three shuffles in total, whatever the number of facts.
+    """
+    rows = F.col("rows")
+    parts = [_const_facts(filters), _kpi_facts(rows), _time_range_fact(rows), _yearly_facts(rows),
+             _monthly_facts(rows), _quarterly_fact(rows)]
+    parts += [_dimension_fact(rows, d) for d in DIM_FACTS]
+    parts += [_top_k_facts(rows, d, k) for d, k in TOP_K_FACTS]
+    parts += [_discount_fact(rows), _segment_category_fact(rows)]
+    return (fact_rows(df).select(F.posexplode(F.concat(*parts)).alias("pos", "f"))
+            .select("f.chunk_id", "f.text", "f.metadata"))
 
 
 # ── numeric views of single facts (for checks and callers that want numbers) ──

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.text import truncate
+from kpiforge.sources.tables import spread
 
 # fixed values: the reference's window sizes and cut
 MAX_TURNS = 8                 # kept messages = 2 * MAX_TURNS
@@ -36,7 +37,7 @@ def history_summary(conv: DataFrame, max_messages: int = 2 * MAX_TURNS,
     ``max_chars`` characters plus ``...`` when longer, joined by newlines.
     """
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    last = conv.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_messages)
+    last = spread(conv, "conv_id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_messages)
     label = F.when(F.col("role") == "user", F.lit("User")).otherwise(F.lit("Bot"))
     line = F.concat(label, F.lit(": "), truncate(F.coalesce(F.col("text"), F.lit("")), max_chars))
     item = F.when(F.col("_r") <= summary_messages, F.struct(F.col("turn").alias("t"), line.alias("l")))

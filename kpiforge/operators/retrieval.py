@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.text import truncate, unigrams, with_bigrams
+from kpiforge.sources.tables import spread
 
 SCORE_DIGITS = 9
 
@@ -53,7 +54,8 @@ def token_rows(df: DataFrame, id_col: str, text_col: str, out_id: str,
     the bigrams are built from that column (Catalyst does not inline a costly
     expression that is referenced several times).
     """
-    u = df.select(F.col(id_col).alias(out_id), unigrams(F.col(text_col)).alias("_u"))
+    src = spread(df.select(F.col(id_col).alias(out_id), F.col(text_col).alias("_text")), out_id)
+    u = src.select(out_id, unigrams(F.col("_text")).alias("_u"))
     t = u.select(out_id, with_bigrams(F.col("_u")).alias("_t"))
     cols = [out_id] + ([F.size("_t").alias("n_tok")] if with_length else [])
     # explode_outer + NULL filter: plain explode makes Catalyst infer a

@@ -14,3 +14,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a scan at least the cluster's parallelism.
+
+    A file written as one parquet row group is read by ONE task, whatever
+    ``spark.sql.files.maxPartitionBytes`` says, and every narrow step after
+    it (tokenising, exploding, partial aggregation, joins on the probe side)
+    runs single-threaded.  When the scan has fewer partitions than the
+    default parallelism, hash-partition it on ``keys`` (the key the next
+    operator groups or windows on, so that operator needs no further
+    shuffle) or round-robin.  Large tables come in many splits and pass
+    through unchanged.
+    """
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001  (e.g. a Connect session without RDDs)
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
