@@ -698,3 +698,97 @@ def q_question_tags(spark, sf_dir):
     conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     return questions.tag_questions(qs, _ol(spark, sf_dir))
+
+
+# ── remaining single operators: chart frames, conditions, windows, W13/W14, R6, S4 ──
+
+@register("chart_sales_profit_by_month", """
+SELECT CAST(date_trunc('month', order_date) AS DATE) AS order_date,
+       COALESCE(CAST(SUM(sales) AS DOUBLE), 0.0) AS sales, COALESCE(CAST(SUM(profit) AS DOUBLE), 0.0) AS profit
+FROM order_lines WHERE order_date IS NOT NULL GROUP BY 1""")
+def q_chart_sales_profit_by_month(spark, sf_dir):
+    return dashboard.sales_profit_by_month(_ol(spark, sf_dir))
+
+
+@register("chart_profit_by_region", """
+SELECT region, COALESCE(CAST(SUM(profit) AS DOUBLE), 0.0) AS profit
+FROM order_lines WHERE region IS NOT NULL GROUP BY region""")
+def q_chart_profit_by_region(spark, sf_dir):
+    return dashboard.profit_by(_ol(spark, sf_dir), "region")
+
+
+@register("chart_profit_by_segment", """
+SELECT segment, COALESCE(CAST(SUM(profit) AS DOUBLE), 0.0) AS profit
+FROM order_lines WHERE segment IS NOT NULL GROUP BY segment""")
+def q_chart_profit_by_segment(spark, sf_dir):
+    return dashboard.profit_by(_ol(spark, sf_dir), "segment")
+
+
+@register("detail_high_discount_rows", """
+SELECT order_id, order_date, region AS breakdown, category, product_name, sales, profit, discount
+FROM order_lines WHERE order_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' AND discount > 0.2
+ORDER BY profit, order_id, order_date, breakdown, category, product_name, sales, discount LIMIT 10""")
+def q_detail_high_discount_rows(spark, sf_dir):
+    return detail.detail_rows(_ol(spark, sf_dir), "region", "1998-01-01", "1998-12-31", cond="high_discount")
+
+
+@register("current_quarter", f"""
+SELECT segment AS breakdown, {sql_metrics(['sales', 'profit_margin'])}
+FROM order_lines
+WHERE order_date BETWEEN CAST(date_trunc('quarter', {_ANCHOR}) AS DATE) AND {_ANCHOR}
+GROUP BY segment""")
+def q_current_quarter(spark, sf_dir):
+    from kpiforge.operators.filters import current_window
+    df = _ol(spark, sf_dir)
+    start, end = current_window(df, "quarter")
+    return kpi.kpi_value(df, ["sales", "profit_margin"], start, end, breakdown_by="segment")
+
+
+@register("last_24_top5", f"""
+WITH t AS (SELECT CAST(date_trunc('month', order_date) AS DATE) AS period, sub_category AS breakdown,
+                  {sql_metrics(['sales'])} FROM order_lines GROUP BY 1, 2),
+r AS (SELECT * FROM t WHERE period IN (SELECT DISTINCT period FROM t ORDER BY period DESC LIMIT 24)),
+b AS (SELECT breakdown FROM r GROUP BY breakdown ORDER BY SUM(CAST(sales AS DECIMAL(38,10))) DESC, breakdown LIMIT 5)
+SELECT * FROM r WHERE breakdown IN (SELECT breakdown FROM b)""")
+def q_last_24_top5(spark, sf_dir):
+    t = kpi.kpi_trend(_ol(spark, sf_dir), ["sales"], "month", breakdown_by="sub_category")
+    return insights.last_periods_top(t, "sales", 24, 5)
+
+
+@register("compare_insights", f"""
+SELECT * EXCLUDE (chg), CASE WHEN chg > 0 THEN 'increased' WHEN chg IS NOT NULL THEN 'decreased' END AS direction,
+       abs(chg) AS abs_change_pct,
+       CASE WHEN abs(chg) >= 50 THEN 'structural' WHEN abs(chg) >= 30 THEN 'notable'
+            WHEN abs(chg) >= 10 THEN 'meaningful' WHEN chg IS NOT NULL THEN 'modest' END AS magnitude,
+       CASE WHEN chg IS NOT NULL THEN abs("current" - previous) END AS abs_delta
+FROM (SELECT *, CASE WHEN previous <> 0 THEN ("current" - previous) / abs(previous) * 100 END AS chg
+      FROM ({sql_compare("sales", "2000-01-01", "2000-12-31", "yoy", "category")}) v) w""")
+def q_compare_insights(spark, sf_dir):
+    c = compare.kpi_compare(_ol(spark, sf_dir), "sales", "2000-01-01", "2000-12-31", "yoy", breakdown_by="category")
+    return insights.compare_insights(c)
+
+
+@register("sql_params", """
+SELECT region, COUNT(DISTINCT order_id) AS orders, CAST(SUM(sales) AS DOUBLE) AS sales
+FROM order_lines WHERE order_date >= DATE '1997-01-01' AND order_date <= DATE '1997-12-31'
+  AND segment IN ('AUTOMOBILE', 'HOUSEHOLD') GROUP BY region""")
+def q_sql_params(spark, sf_dir):
+    from kpiforge.sources.order_lines import run_sql
+    return run_sql(spark, _ol(spark, sf_dir), """
+        SELECT region, COUNT(DISTINCT order_id) AS orders, CAST(SUM(sales) AS DOUBLE) AS sales
+        FROM order_lines WHERE order_date >= :start AND order_date <= :end AND segment IN (:s1, :s2)
+        GROUP BY region""", {"start": date(1997, 1, 1), "end": date(1997, 12, 31),
+                             "s1": "AUTOMOBILE", "s2": "HOUSEHOLD"})
+
+
+@register("tfidf_context", _TFIDF_SQL + """
+, top AS (SELECT qid, doc_id, rank FROM r WHERE rank <= 6)
+SELECT top.qid, '
+[Verified data facts from dashboard]
+' || string_agg('  - ' || d.text, chr(10) ORDER BY top.rank) AS context
+FROM top JOIN documents d ON d.doc_id = top.doc_id GROUP BY top.qid""", with_view=False)
+def q_tfidf_context(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    idx = retrieval.fit_tfidf(docs, "doc_id", "text")
+    ranked = retrieval.retrieve(idx, read_table(spark, sf_dir, "benchmark"), 6, "item_id", "text")
+    return retrieval.context_block(ranked.withColumnRenamed("rank", "position"), docs, "doc_id", "text")

@@ -165,3 +165,14 @@ def preview(df: DataFrame, n: int = 100) -> DataFrame:
     keys = [F.col("order_date").asc_nulls_last()] + [
         F.col(c).asc_nulls_last() for c in df.columns if c != "order_date"]
     return df.orderBy(*keys).limit(n)
+
+
+def run_sql(spark: SparkSession, df: DataFrame, sql: str, args: dict | None = None,
+            view: str = "order_lines") -> DataFrame:
+    """Run parameterised SQL over the order lines (named ``:param`` markers).
+
+    The DataFrame is exposed as a temporary view; parameters are bound by
+    Spark (no string formatting), like the reference's bound query params.
+    """
+    df.createOrReplaceTempView(view)
+    return spark.sql(sql, args=args or {})
