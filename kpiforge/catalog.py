@@ -792,3 +792,96 @@ def q_tfidf_context(spark, sf_dir):
     idx = retrieval.fit_tfidf(docs, "doc_id", "text")
     ranked = retrieval.retrieve(idx, read_table(spark, sf_dir, "benchmark"), 6, "item_id", "text")
     return retrieval.context_block(ranked.withColumnRenamed("rank", "position"), docs, "doc_id", "text")
+
+
+# ── K1-K13 fact text ─────────────────────────────────────────────────────
+
+def _m(x):
+    return f"'$' || format('{{:,.0f}}', CAST(COALESCE({x}, 0) AS DOUBLE))"
+
+
+_FACTS_SQL = f"""
+WITH mx AS (SELECT MAX(discount) AS mx FROM order_lines),
+bk AS (SELECT sales, profit,
+              CASE WHEN d >= 0 AND d <= 0.1 THEN '0-10%' WHEN d > 0.1 AND d <= 0.2 THEN '10-20%'
+                   WHEN d > 0.2 AND d <= 0.3 THEN '20-30%' WHEN d > 0.3 AND d <= 1.0 THEN '>30%' END AS bucket
+       FROM (SELECT sales, profit, CASE WHEN (SELECT mx FROM mx) > 1 THEN discount / 100 ELSE discount END AS d
+             FROM order_lines) t),
+tot AS (SELECT CAST(COALESCE(SUM(sales), 0) AS DOUBLE) AS ts, CAST(COALESCE(SUM(profit), 0) AS DOUBLE) AS tp,
+               COUNT(DISTINCT order_id) AS o, MIN(order_date) AS lo, MAX(order_date) AS hi FROM order_lines),
+yr AS (SELECT year(order_date) AS y, CAST(COALESCE(SUM(sales), 0) AS DOUBLE) AS s,
+              CAST(COALESCE(SUM(profit), 0) AS DOUBLE) AS p, COUNT(DISTINCT order_id) AS o
+       FROM order_lines WHERE order_date IS NOT NULL GROUP BY 1),
+yl AS (SELECT *, LAG(y) OVER (ORDER BY y) AS py, LAG(s) OVER (ORDER BY y) AS ps, LAG(p) OVER (ORDER BY y) AS pp
+       FROM yr),
+mo AS (SELECT CAST(date_trunc('month', order_date) AS DATE) AS m, CAST(COALESCE(SUM(sales), 0) AS DOUBLE) AS s,
+              CAST(COALESCE(SUM(profit), 0) AS DOUBLE) AS p FROM order_lines WHERE order_date IS NOT NULL GROUP BY 1),
+qu AS (SELECT * FROM (SELECT CAST(date_trunc('quarter', order_date) AS DATE) AS q,
+              CAST(COALESCE(SUM(sales), 0) AS DOUBLE) AS s, CAST(COALESCE(SUM(profit), 0) AS DOUBLE) AS p
+       FROM order_lines WHERE order_date IS NOT NULL GROUP BY 1) t ORDER BY q DESC LIMIT 8),
+dims AS (
+  SELECT 'region' AS dim, region AS v, CAST(COALESCE(SUM(sales), 0) AS DOUBLE) AS s,
+         CAST(COALESCE(SUM(profit), 0) AS DOUBLE) AS p FROM order_lines WHERE region IS NOT NULL GROUP BY region
+  UNION ALL SELECT 'segment', segment, CAST(COALESCE(SUM(sales), 0) AS DOUBLE), CAST(COALESCE(SUM(profit), 0) AS DOUBLE)
+  FROM order_lines WHERE segment IS NOT NULL GROUP BY segment
+  UNION ALL SELECT 'category', category, CAST(COALESCE(SUM(sales), 0) AS DOUBLE), CAST(COALESCE(SUM(profit), 0) AS DOUBLE)
+  FROM order_lines WHERE category IS NOT NULL GROUP BY category
+  UNION ALL SELECT 'sub_category', sub_category, CAST(COALESCE(SUM(sales), 0) AS DOUBLE),
+         CAST(COALESCE(SUM(profit), 0) AS DOUBLE) FROM order_lines WHERE sub_category IS NOT NULL GROUP BY sub_category),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY dim ORDER BY p DESC, v) AS rp,
+                  ROW_NUMBER() OVER (PARTITION BY dim ORDER BY s DESC, v) AS rs FROM dims),
+topk AS (SELECT * FROM (VALUES ('sub_category', 10), ('category', 5), ('region', 4)) t(dim, k)),
+disc AS (SELECT bucket, CAST(SUM(profit) AS DOUBLE) / COUNT(profit) AS ap, CAST(SUM(sales) AS DOUBLE) / COUNT(sales) AS av,
+                COUNT(profit) AS n
+         FROM bk WHERE bucket IS NOT NULL GROUP BY bucket HAVING COUNT(profit) > 0),
+sc AS (SELECT * FROM (SELECT segment, category, CAST(COALESCE(SUM(profit), 0) AS DOUBLE) AS p
+       FROM order_lines WHERE segment IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2) t
+       ORDER BY p DESC, segment, category LIMIT 9)
+SELECT 'schema_metrics' AS chunk_id, 'Queryable metrics: sales (total revenue USD), profit (can be negative), orders (COUNT DISTINCT order_id), profit_margin (profit/sales × 100, %).' AS text
+UNION ALL SELECT 'schema_dimensions', 'Supported breakdowns: region, segment, category, sub_category. Time grains: week, month, quarter, year.'
+UNION ALL SELECT 'schema_compare', 'Period comparisons: yoy (vs same period last year), mom (vs prior month), prev_period (vs prior window of equal length).'
+UNION ALL SELECT 'schema_intents', 'Supported query intents: kpi_value (aggregates), kpi_trend (time series), kpi_rank (top-k by dimension), kpi_compare (period-over-period).'
+UNION ALL SELECT 'filter_context', 'Current dashboard filters: Date range: full history.'
+UNION ALL SELECT 'kpi_summary', 'KPI summary (current filters): Total Sales=' || {_m('ts')} || ', Total Profit=' || {_m('tp')}
+  || ', Total Orders=' || format('{{:,}}', o) || ', Profit Margin='
+  || format('{{:.2f}}', CASE WHEN ts <> 0 THEN tp / ts * 100 ELSE 0.0 END) || '%.' FROM tot
+UNION ALL SELECT 'kpi_profitability', 'Net profit ' || {_m('tp')} || ' on revenue ' || {_m('ts')} || ' → margin '
+  || format('{{:.2f}}', CASE WHEN ts <> 0 THEN tp / ts * 100 ELSE 0.0 END) || '%. '
+  || CASE WHEN tp > 0 THEN 'Profitable.' ELSE 'Operating at a loss.' END FROM tot
+UNION ALL SELECT 'time_range', 'Data spans ' || CAST(lo AS VARCHAR) || ' to ' || CAST(hi AS VARCHAR) || '. '
+  || (SELECT COUNT(*) FROM yr) || ' years: [' || (SELECT string_agg(CAST(y AS VARCHAR), ', ' ORDER BY y) FROM yr)
+  || ']. ' || (SELECT COUNT(*) FROM mo) || ' months total.' FROM tot WHERE lo IS NOT NULL
+UNION ALL SELECT 'yearly_' || y, 'Year ' || y || ': Sales=' || {_m('s')} || ', Profit=' || {_m('p')} || ', Orders='
+  || format('{{:,}}', o) || ', Margin=' || format('{{:.1f}}', CASE WHEN s <> 0 THEN p / s * 100 ELSE 0.0 END) || '%.'
+  FROM yr
+UNION ALL SELECT 'yoy_comparison', 'Year-over-year changes: ' || string_agg(py || '→' || y || ': Sales '
+  || format('{{:+.1f}}', CASE WHEN ps <> 0 THEN (s - ps) / ps * 100 ELSE 0.0 END) || '%, Profit '
+  || format('{{:+.1f}}', CASE WHEN pp <> 0 THEN (p - pp) / abs(pp) * 100 ELSE 0.0 END) || '%', '; ' ORDER BY y) || '.'
+  FROM yl WHERE py IS NOT NULL HAVING COUNT(*) > 0
+UNION ALL SELECT 'yearly_growth', 'Revenue growth ' || MIN(y) || '→' || MAX(y) || ': '
+  || format('{{:+.1f}}', CASE WHEN arg_min(s, y) <> 0 THEN (arg_max(s, y) - arg_min(s, y)) / arg_min(s, y) * 100 ELSE 0.0 END)
+  || '% (' || {_m('arg_min(s, y)')} || ' → ' || {_m('arg_max(s, y)')} || ').' FROM yr HAVING COUNT(*) >= 2
+UNION ALL SELECT 'monthly_best_sales', 'Peak month by sales: ' || strftime(m, '%Y-%m') || ' — ' || {_m('s')}
+  || ', profit ' || {_m('p')} || '.' FROM (SELECT * FROM mo ORDER BY s DESC, m LIMIT 1) t
+UNION ALL SELECT 'monthly_worst_profit', 'Worst month by profit: ' || strftime(m, '%Y-%m') || ' — ' || {_m('p')} || '.'
+  FROM (SELECT * FROM mo ORDER BY p, m LIMIT 1) t WHERE p < 0
+UNION ALL SELECT 'quarterly_summary', 'Last 8 quarters: ' || string_agg(year(q) || 'Q' || quarter(q) || ': Sales='
+  || {_m('s')} || ', Profit=' || {_m('p')}, '; ' ORDER BY q) || '.' FROM qu HAVING COUNT(*) > 0
+UNION ALL SELECT 'dim_' || dim, 'Dimension ''' || dim || ''' values: [' || string_agg('''' || v || '''', ', ' ORDER BY v)
+  || ']. Detail: ' || string_agg(v || ': Sales=' || {_m('s')} || ', Profit=' || {_m('p')}, '; ' ORDER BY s DESC, v) || '.'
+  FROM dims WHERE dim IN ('region', 'segment', 'category') GROUP BY dim
+UNION ALL SELECT 'top' || k || '_' || r.dim || '_profit', 'Top ' || k || ' ' || replace(r.dim, '_', ' ') || ' by profit: '
+  || string_agg(v || ' (' || {_m('p')} || ')', ', ' ORDER BY rp) || '.'
+  FROM ranked r JOIN topk USING (dim) WHERE rp <= k GROUP BY r.dim, k
+UNION ALL SELECT 'top' || k || '_' || r.dim || '_sales', 'Top ' || k || ' ' || replace(r.dim, '_', ' ') || ' by sales: '
+  || string_agg(v || ' (' || {_m('s')} || ')', ', ' ORDER BY rs) || '.'
+  FROM ranked r JOIN topk USING (dim) WHERE rs <= k GROUP BY r.dim, k
+UNION ALL SELECT 'discount_impact', 'Discount impact on profit: ' || string_agg('Discount ' || bucket || ': avg profit='
+  || {_m('ap')} || ', avg sales=' || {_m('av')} || ' (' || n || ' orders)', '; '
+  ORDER BY CASE bucket WHEN '0-10%' THEN 0 WHEN '10-20%' THEN 1 WHEN '20-30%' THEN 2 ELSE 3 END) || '.'
+  FROM disc HAVING COUNT(*) > 0
+UNION ALL SELECT 'segment_category_cross', 'Top 9 Segment×Category combos by profit: '
+  || string_agg(segment || '/' || category || ': Profit=' || {_m('p')}, '; ' ORDER BY p DESC, segment, category) || '.'
+  FROM sc HAVING COUNT(*) > 0
+"""
+ORACLE_SQL["facts"] = ORDER_LINES_CTE + ", " + _FACTS_SQL.strip()[5:]

@@ -31,8 +31,9 @@ def fixed(col: Column, digits: int) -> Column:
 
 def signed(col: Column, digits: int) -> Column:
     """``f"{x:+.Nf}"``."""
-    c = col.cast("double")
-    return F.concat(F.when(c >= 0, F.lit("+")).otherwise(F.lit("")), fixed(c, digits))
+    body = fixed(col.cast("double"), digits)
+    # '+' unless the formatted number already carries a '-' (also for -0.0)
+    return F.concat(F.when(body.startswith("-"), F.lit("")).otherwise(F.lit("+")), body)
 
 
 def truncate(col: Column, n: int, suffix: str = "...") -> Column:
