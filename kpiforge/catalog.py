@@ -693,11 +693,183 @@ def q_followup_query(spark, sf_dir):
 from kpiforge.operators import questions  # noqa: E402
 
 
-@register("question_tags")
+def _q(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _sql_hits(table):
+    items = ", ".join(f"{{'kw': {_q(k)}, 'val': {_q(v)}}}" for k, v in questions.longest_first(table))
+    return f"list_transform(list_filter([{items}], lambda x: contains(ql, x.kw)), lambda x: x.val)"
+
+
+def _sql_parse_date(x):
+    parts = f"string_split(regexp_replace({x}, '[/.]', '-', 'g'), '-')"
+    a, b, c = f"{parts}[1]", f"{parts}[2]", f"{parts}[3]"
+
+    def z(v):
+        return f"CASE WHEN length({v}) < 2 THEN lpad({v}, 2, '0') ELSE {v} END"
+
+    def day(y, m, d):
+        return (f"CAST(try_strptime({y} || '-' || lpad(CAST({m} AS VARCHAR), 2, '0') || '-' || "
+                f"lpad(CAST({d} AS VARCHAR), 2, '0'), '%Y-%m-%d') AS DATE)")
+
+    ai, bi = f"TRY_CAST({a} AS INTEGER)", f"TRY_CAST({b} AS INTEGER)"
+    ymd = f"CAST(try_strptime({a} || '-' || {z(b)} || '-' || {z(c)}, '%Y-%m-%d') AS DATE)"
+    dmy = f"CASE WHEN {ai} BETWEEN 1 AND 31 AND {bi} BETWEEN 1 AND 12 THEN {day(c, bi, ai)} END"
+    mdy = f"CASE WHEN {ai} BETWEEN 1 AND 12 AND {bi} BETWEEN 1 AND 31 THEN {day(c, ai, bi)} END"
+    return (f"(CASE WHEN len({parts}) <> 3 THEN NULL WHEN length({a}) = 4 THEN {ymd} "
+            f"WHEN length({c}) = 4 THEN COALESCE({dmy}, {mdy}) END)")
+
+
+def _nz(x):
+    return f"NULLIF({x}, '')"
+
+
+def _question_sql():
+    Q = questions
+    months = " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in Q.MONTHS.items())
+    rng1 = _sql_parse_date(_nz(f"regexp_extract(ql, {_q(Q.DATE_RANGE)}, 1)"))
+    rng2 = _sql_parse_date(_nz(f"regexp_extract(ql, {_q(Q.DATE_RANGE)}, 2)"))
+    dates = (f"list_filter(list_transform(regexp_extract_all(ql, {_q(Q.NUMERIC_DATE)}), "
+             f"lambda s: {_sql_parse_date('s')}), lambda d: d IS NOT NULL)")
+    mname = (f"lower(COALESCE({_nz(f'regexp_extract(ql, {_q(Q.MONTH_YEAR)}, 1)')}, "
+             f"{_nz(f'regexp_extract(ql, {_q(Q.MONTH_YEAR)}, 4)')}))")
+    myear = (f"COALESCE({_nz(f'regexp_extract(ql, {_q(Q.MONTH_YEAR)}, 2)')}, "
+             f"{_nz(f'regexp_extract(ql, {_q(Q.MONTH_YEAR)}, 3)')})")
+    mments = ", ".join(
+        f"CASE WHEN len(list_filter(v.{d}, lambda x: regexp_matches(ql, '\\b' || regexp_escape(lower(x)) || '\\b'))) "
+        f"< len(v.{d}) THEN list_filter(v.{d}, lambda x: regexp_matches(ql, '\\b' || regexp_escape(lower(x)) || '\\b')) "
+        f"ELSE [] END AS m_{d}" for d in Q.VALUE_DIMS)
+    subdim = " ".join(
+        f"WHEN len(list_filter(v.{d}, lambda x: contains(ql, lower(x)))) > 0 AND "
+        f"len(list_filter(v.{d}, lambda x: contains(ql, lower(x)))) < len(v.{d}) THEN '{d}'"
+        for d in ("sub_category", "region", "segment", "category"))
+    return f"""
+WITH v AS (SELECT {', '.join(f"list_sort(list_distinct(list({d}) FILTER (WHERE {d} IS NOT NULL))) AS {d}"
+                              for d in Q.VALUE_DIMS)},
+                  MIN(order_date) AS lo, MAX(order_date) AS hi FROM order_lines),
+q AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, COALESCE(text, '') AS q,
+             trim(lower(COALESCE(text, ''))) AS ql FROM conversations WHERE role = 'user'),
+a AS (
+  SELECT q.*, v.lo, v.hi,
+         regexp_matches(q, {_q(Q.DETAIL_NEGATIVE)}) AS is_loss,
+         regexp_matches(q, {_q(Q.EXTREMES)}) AS is_extremes,
+         regexp_matches(q, {_q(Q.GROWTH_RANK)}) AS is_growth_rank,
+         list_filter({_sql_hits(Q.METRIC_KEYWORDS)}, lambda x, i: list_position({_sql_hits(Q.METRIC_KEYWORDS)}, x) = i)
+           AS mk,
+         {_sql_hits(Q.BREAKDOWN_KEYWORDS)}[1] AS kw_dim,
+         CASE WHEN {rng1} IS NOT NULL AND {rng2} IS NOT NULL
+              THEN {{'start': least({rng1}, {rng2}), 'end': greatest({rng1}, {rng2})}} END AS w_rng,
+         {dates} AS nd,
+         CASE WHEN {mname} IS NOT NULL AND {myear} IS NOT NULL
+              THEN make_date(CAST({myear} AS INTEGER), CASE {mname} {months} END, 1) END AS m_start,
+         {_nz(f"regexp_extract(ql, {_q(Q.QUARTER_YEAR)}, 1)")} AS qn,
+         regexp_extract(ql, {_q(Q.QUARTER_YEAR)}, 2) AS qy,
+         regexp_extract_all(ql, {_q(Q.TIME_YEAR)}, 1) AS yrs,
+         TRY_CAST({_nz(f"regexp_extract(ql, {_q(Q.RELATIVE)}, 1)")} AS INTEGER) AS rel_n,
+         lower(regexp_extract(ql, {_q(Q.RELATIVE)}, 2)) AS rel_unit,
+         lower(regexp_extract(ql, {_q(Q.RELATIVE)}, 4)) AS rel_grain,
+         {mments},
+         CASE WHEN regexp_extract(q, {_q(Q.BREAKDOWN_PHRASE)}, 2) = '' THEN NULL ELSE
+           CASE WHEN contains(regexp_replace(lower(regexp_extract(q, {_q(Q.BREAKDOWN_PHRASE)}, 2)), '[ -]', '_', 'g'), 'sub')
+                THEN 'sub_category'
+                ELSE regexp_replace(lower(regexp_extract(q, {_q(Q.BREAKDOWN_PHRASE)}, 2)), '[ -]', '_', 'g') END END AS raw_dim,
+         CASE {subdim} END AS value_dim,
+         TRY_CAST({_nz(f"regexp_extract(ql, {_q(Q.TOP_N)}, 1)")} AS INTEGER) AS top_n,
+         {_sql_hits(Q.GRAIN_KEYWORDS)}[1] AS grain_kw,
+         {_sql_hits(Q.COMPARE_KEYWORDS)}[1] AS cmp_kw
+  FROM q, v),
+b AS (
+  SELECT *,
+         CASE WHEN len(mk) = 0 THEN ['sales'] ELSE mk[1:2] END AS metrics,
+         COALESCE(kw_dim, CASE WHEN raw_dim IN ('region', 'segment', 'category', 'sub_category', 'state') THEN raw_dim END,
+                  value_dim) AS dim,
+         COALESCE(w_rng,
+                  CASE WHEN len(nd) = 2 THEN {{'start': least(nd[1], nd[2]), 'end': greatest(nd[1], nd[2])}} END,
+                  CASE WHEN len(nd) = 1 THEN {{'start': nd[1], 'end': nd[1]}} END,
+                  CASE WHEN m_start IS NOT NULL THEN {{'start': m_start, 'end': last_day(m_start)}} END,
+                  CASE WHEN qn IS NOT NULL THEN {{'start': make_date(CAST(qy AS INTEGER), (CAST(qn AS INTEGER) - 1) * 3 + 1, 1),
+                       'end': last_day(make_date(CAST(qy AS INTEGER), (CAST(qn AS INTEGER) - 1) * 3 + 3, 1))}} END,
+                  CASE WHEN len(yrs) = 1 THEN {{'start': make_date(CAST(yrs[1] AS INTEGER), 1, 1),
+                       'end': make_date(CAST(yrs[1] AS INTEGER), 12, 31)}} END) AS w_explicit,
+         CASE WHEN rel_n IS NOT NULL THEN
+                CASE rel_unit WHEN 'day' THEN CAST(hi - rel_n * INTERVAL 1 DAY AS DATE)
+                              WHEN 'week' THEN CAST(hi - rel_n * 7 * INTERVAL 1 DAY AS DATE)
+                              WHEN 'month' THEN CAST(hi - rel_n * INTERVAL 1 MONTH AS DATE)
+                              WHEN 'year' THEN CAST(hi - rel_n * 12 * INTERVAL 1 MONTH AS DATE) END
+              WHEN rel_grain <> '' THEN CAST(date_trunc(rel_grain, hi) AS DATE) END AS rel_start
+  FROM a),
+c AS (
+  SELECT *,
+         COALESCE(w_explicit, CASE WHEN rel_start IS NOT NULL THEN {{'start': rel_start, 'end': hi}} END) AS dts,
+         COALESCE(top_n, CASE WHEN regexp_matches(q, {_q(Q.SUPERLATIVE)}) AND dim IS NOT NULL THEN 1 END) AS tp,
+         COALESCE(cmp_kw, CASE WHEN regexp_matches(ql, {_q(Q.COMPARE_WORD)}) THEN 'prev_period' END) AS cmp
+  FROM b),
+d AS (
+  SELECT *,
+         CASE WHEN dts IS NOT NULL AND regexp_matches(q, {_q(Q.THIS_PERIOD)}) THEN NULL ELSE grain_kw END AS grn,
+         CASE WHEN is_loss THEN 'detail' WHEN is_growth_rank AND dim IS NOT NULL THEN 'growth'
+              WHEN cmp = 'yoy' AND dts IS NULL AND regexp_matches(q, {_q(Q.GENERAL_YOY)}) THEN 'yoy_general'
+              WHEN cmp = 'yoy' AND dts IS NULL THEN 'yoy' WHEN cmp = 'mom' THEN 'mom' END AS path
+  FROM c),
+e AS (
+  SELECT *,
+         CASE WHEN is_loss THEN 'kpi_detail' WHEN is_growth_rank AND dim IS NOT NULL THEN 'kpi_rank'
+              WHEN cmp = 'yoy' AND dts IS NULL THEN 'kpi_trend' WHEN cmp = 'mom' THEN 'kpi_trend'
+              WHEN cmp IS NOT NULL THEN 'kpi_compare' WHEN tp IS NOT NULL AND dim IS NOT NULL THEN 'kpi_rank'
+              WHEN grn IS NOT NULL THEN 'kpi_trend' WHEN dim IS NOT NULL THEN 'kpi_value'
+              WHEN dts IS NOT NULL OR len(metrics) > 1 THEN 'kpi_value' END AS intent
+  FROM d),
+f AS (
+  SELECT *,
+         CASE WHEN path = 'detail' THEN ['sales', 'profit'] WHEN path = 'growth' THEN ['sales']
+              WHEN path IN ('yoy_general', 'yoy', 'mom') OR intent = 'kpi_compare' THEN metrics[1:1]
+              ELSE metrics END AS out_metrics,
+         COALESCE(CASE WHEN path = 'detail' THEN COALESCE(kw_dim, 'sub_category')
+                       WHEN path IN ('yoy_general', 'mom') THEN NULL
+                       WHEN intent IN ('kpi_value', 'kpi_trend', 'kpi_rank', 'kpi_compare') THEN dim END,
+                  CASE WHEN intent IN ('kpi_value', 'kpi_trend') THEN
+                       CASE WHEN len(m_region) > 0 THEN 'region' WHEN len(m_segment) > 0 THEN 'segment'
+                            WHEN len(m_category) > 0 THEN 'category' WHEN len(m_sub_category) > 0 THEN 'sub_category' END
+                  END) AS out_dim,
+         CASE WHEN path = 'detail' THEN w_explicit
+              WHEN path = 'growth' AND dts IS NULL THEN {{'start': CAST(hi - 30 * INTERVAL 1 DAY AS DATE), 'end': hi}}
+              ELSE dts END AS win
+  FROM e)
+SELECT id, q AS text, intent,
+       CASE WHEN intent IS NOT NULL THEN array_to_string(out_metrics, ',') END AS metrics,
+       CASE WHEN intent IS NOT NULL THEN out_dim END AS breakdown,
+       CASE WHEN path IN ('yoy_general', 'yoy') THEN 'year' WHEN path = 'mom' THEN 'month'
+            WHEN intent = 'kpi_trend' THEN grn END AS time_grain,
+       CASE WHEN intent = 'kpi_compare' THEN cmp END AS compare_period,
+       CAST(CASE WHEN path = 'detail' THEN 15 WHEN path = 'growth' THEN COALESCE(tp, 10)
+                 WHEN intent = 'kpi_rank' THEN tp END AS INTEGER) AS top_k,
+       COALESCE(win.start, lo) AS start_date, COALESCE(win."end", hi) AS end_date,
+       is_loss, is_extremes, is_growth_rank,
+       array_to_string(m_region, '|') AS mentioned_region, array_to_string(m_segment, '|') AS mentioned_segment,
+       array_to_string(m_category, '|') AS mentioned_category,
+       array_to_string(m_sub_category, '|') AS mentioned_sub_category,
+       CASE WHEN is_loss OR ql = '' OR regexp_matches(q, {_q(Q.BREAKDOWN_PHRASE)}) OR regexp_matches(ql, {_q(Q.TIME_YEAR)})
+                 OR regexp_matches(ql, {_q(Q.TIME_YM)}) OR regexp_matches(ql, {_q(Q.TIME_GRAIN)})
+                 OR regexp_matches(ql, {_q(Q.TIME_REL)}) OR regexp_matches(ql, {_q(Q.NUMERIC_DATE)}) THEN NULL
+            WHEN regexp_matches(ql, {_q(Q.FAST_SUMMARY)}) THEN 'summary'
+            WHEN regexp_matches(ql, {_q(Q.FAST_SALES)}) THEN 'total_sales'
+            WHEN regexp_matches(ql, {_q(Q.FAST_PROFIT)}) THEN 'total_profit'
+            WHEN regexp_matches(ql, {_q(Q.FAST_ORDERS)}) THEN 'total_orders'
+            WHEN regexp_matches(ql, {_q(Q.FAST_MARGIN)}) THEN 'margin' END AS fast_kpi
+FROM f"""
+
+
+@register("question_tags", _question_sql())
 def q_question_tags(spark, sf_dir):
     conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return questions.tag_questions(qs, _ol(spark, sf_dir))
+    t = questions.tag_questions(qs, _ol(spark, sf_dir))
+    # flat output for the check: lists as delimited strings
+    return t.select("id", "text", "intent", F.array_join("metrics", ",").alias("metrics"),
+                    *[c for c in t.columns if c not in ("id", "text", "intent", "metrics")
+                      and not c.startswith("mentioned_")],
+                    *[F.array_join(f"mentioned_{d}", "|").alias(f"mentioned_{d}") for d in questions.VALUE_DIMS])
 
 
 # ── remaining single operators: chart frames, conditions, windows, W13/W14, R6, S4 ──

@@ -127,7 +127,10 @@ def parse_numeric_date(s: Column) -> Column:
     """D-e: ``Y-M-D`` when the first part has 4 digits; else ``D/M/Y`` then ``M/D/Y``."""
     parts = F.split(F.regexp_replace(s, r"[/.]", "-"), "-")
     a, b, c = F.get(parts, 0), F.get(parts, 1), F.get(parts, 2)
-    ymd = F.try_to_date(F.concat_ws("-", a, F.lpad(b, 2, "0"), F.lpad(c, 2, "0")), "yyyy-MM-dd")
+    def zfill2(x):  # lpad would also cut longer strings
+        return F.when(F.length(x) < 2, F.lpad(x, 2, "0")).otherwise(x)
+
+    ymd = F.try_to_date(F.concat_ws("-", a, zfill2(b), zfill2(c)), "yyyy-MM-dd")
     ai, bi = a.cast("int"), b.cast("int")
 
     def day(y, m, d):

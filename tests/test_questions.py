@@ -1,8 +1,14 @@
 """Question tagging (G1-G10) on the FIXTURES question list."""
 
+import os
+import sys
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from conftest import line
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from kpiforge.operators.questions import tag_questions
 
 QUESTIONS = ["total sales", "profit by region", "top 3 sub-categories by profit", "sales in Q1 2017",
@@ -50,3 +56,45 @@ def test_tags(spark, make_lines):
     r = out[13]
     assert (r["intent"], r["time_grain"], r["breakdown"], r["mentioned_sub_category"]) == \
         ("kpi_trend", "month", "sub_category", ["Phones"])
+
+
+MORE = QUESTIONS[:10] + [
+    "profit in asia vs europe", "monthly sales for AUTOMOBILE", "which region had the strongest growth",
+    "show year-over-year sales trend", "sales month over month", "compare profit by segment",
+    "top 5 states by orders in 2016", "orders from 2016-01-01 to 2016-03-31", "revenue in march 2016",
+    "profit margin", "kpi overview", "number of orders", "sales past 2 weeks by region",
+    "best and worst category by profit", "profit 1/2/2016 and 3/4/2016", "sales for brand#1 this year",
+    "total profit", "loss-making products in africa", "sales per sub-category", "income by province"]
+
+
+def test_tags_match_sql(spark):
+    """The Spark job and the registered DuckDB SQL agree on meaningful questions."""
+    import duckdb
+    import pandas as pd
+
+    from check_oracle import rows_of
+    from conftest import SF_SMALL
+    from kpiforge import catalog
+    from kpiforge.sources.order_lines import order_lines
+    from kpiforge.sources.tables import TABLES
+
+    con = duckdb.connect()
+    for t in TABLES:
+        if t != "conversations":
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    conv = pd.DataFrame({"conv_id": list(range(len(MORE))), "turn": [0] * len(MORE),
+                         "role": ["user"] * len(MORE), "text": MORE})
+    con.register("conversations", conv)
+    want = con.sql(catalog.ORACLE_SQL["question_tags"]).arrow()
+    if hasattr(want, "read_all"):
+        want = want.read_all()
+    qs = spark.createDataFrame(conv).select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    t = tag_questions(qs, order_lines(spark, SF_SMALL))
+    from kpiforge.operators.questions import VALUE_DIMS
+    got = t.select("id", "text", "intent", F.array_join("metrics", ",").alias("metrics"),
+                   *[c for c in t.columns if c not in ("id", "text", "intent", "metrics")
+                     and not c.startswith("mentioned_")],
+                   *[F.array_join(f"mentioned_{d}", "|").alias(f"mentioned_{d}") for d in VALUE_DIMS]).toArrow()
+    a, b = rows_of(got, False), rows_of(want, False)
+    assert [r for r in a if r not in b] == [] and len(a) == len(b)
+    assert sorted(got.column_names) == sorted(want.column_names)
