@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kpiforge.functions.dates import COMPARE_PERIODS, previous_window, previous_window_cols
 from kpiforge.functions.metrics import change_pct, metric_agg
-from kpiforge.operators.filters import as_date_col, in_lists, relative_window
+from kpiforge.operators.filters import PARTITION_YEAR, as_date_col, in_lists, relative_window
 from kpiforge.operators.kpi import check_dimension, check_metrics, check_top_k
 
 
@@ -45,7 +45,11 @@ def kpi_compare(df: DataFrame, metric, start, end, compare_period: str,
     cs, ce, ps, pe = _windows(start, end, compare_period)
     d = F.col("order_date")
     in_cur, in_prev = d.between(cs, ce), d.between(ps, pe)
-    rows = in_lists(df, filters).filter(in_cur | in_prev)
+    rows = in_lists(df, filters)
+    if PARTITION_YEAR in df.columns:  # prune year directories of a materialised table
+        y = F.col(PARTITION_YEAR)
+        rows = rows.filter(y.between(F.year(F.least(cs, ps)), F.year(F.greatest(ce, pe))))
+    rows = rows.filter(in_cur | in_prev)
     aggs = [F.coalesce(metric_agg(metric, in_cur).cast("double"), F.lit(0.0)).alias("current"),
             F.coalesce(metric_agg(metric, in_prev).cast("double"), F.lit(0.0)).alias("previous")]
     bounds = [F.lit(metric).alias("metric"), cs.alias("current_start"), ce.alias("current_end"),

@@ -35,9 +35,28 @@ def as_date_col(v) -> Column:
     return F.lit(to_date(v))
 
 
+PARTITION_YEAR = "order_year"
+
+
+def year_prune(df: DataFrame, start=None, end=None) -> DataFrame:
+    """On a wide table written by ``materialize_order_lines`` (partitioned by
+    ``order_year``) add the implied year bounds, so the scan skips whole year
+    directories; tables without the column pass through."""
+    if PARTITION_YEAR not in df.columns:
+        return df
+    y = F.col(PARTITION_YEAR)
+    if start is not None:
+        df = df.filter(y >= F.year(as_date_col(start)))
+    if end is not None:
+        df = df.filter(y <= F.year(as_date_col(end)))
+    return df
+
+
 def date_window(df: DataFrame, start=None, end=None, col: str = "order_date") -> DataFrame:
     """``start <= d <= end``, both ends included; a missing end is open."""
     d = F.col(col)
+    if col == "order_date":
+        df = year_prune(df, start, end)
     if start is not None and end is not None:
         return df.filter(d.between(as_date_col(start), as_date_col(end)))
     if start is not None:

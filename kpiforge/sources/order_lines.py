@@ -45,10 +45,13 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type",
                                                  "p_retailprice")
 
+    # dimensions first: orders gets its customer attributes (an orders-sized
+    # shuffle by custkey when customer is too big to broadcast), so the
+    # line-sized data is shuffled at most twice (by orderkey, by partkey)
     geo = n.join(r, n.n_regionkey == r.r_regionkey)
     cust = c.join(geo, c.c_nationkey == geo.n_nationkey)
-    joined = (li.join(o, li.l_orderkey == o.o_orderkey)
-                .join(cust, o.o_custkey == cust.c_custkey)
+    orders = o.join(cust, o.o_custkey == cust.c_custkey)
+    joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
                 .join(p, li.l_partkey == p.p_partkey))
 
     sales = F.col("l_extendedprice").cast("decimal(12,2)")
