@@ -115,7 +115,7 @@ def trend_insights(trend: DataFrame, metric: str, grain: str | None = None,
                           .when(momentum.isNotNull(), "steady"))
               .withColumn("recent_avg", F.when(n >= 4, recent))
               .withColumn("prior_avg", F.when(n >= 4, prior)))
-    return out
+    return out.filter(n > 0)  # a global aggregate over no periods would give one empty row
 
 
 def _exact_sum(col: Column) -> Column:
@@ -171,7 +171,7 @@ def rank_summary(result: DataFrame, metric: str, key: str = "breakdown") -> Data
                .withColumn("loss_values", F.when(F.col("loss_values") != "", F.col("loss_values")))
                .withColumn("bottom", F.when(n >= 4, F.col("bottom")))
                .withColumn("bottom_value", F.when(n >= 4, F.col("bottom_value")))
-               .drop("_top2"))
+               .drop("_top2").filter(n > 0))
 
 
 def compare_insights(cmp: DataFrame) -> DataFrame:
