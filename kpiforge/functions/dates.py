@@ -30,6 +30,11 @@ def period_label(col: Column, grain: str) -> Column:
     return F.date_format(col, "yyyy-MM-dd")
 
 
+def context_label(col: Column) -> Column:
+    """``Jan 2014``: month and year of a plan's window bounds (D-c)."""
+    return F.date_format(col, "MMM yyyy")
+
+
 def to_date(value) -> date:
     if isinstance(value, datetime):
         return value.date()

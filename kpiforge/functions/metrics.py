@@ -29,8 +29,12 @@ def change_pct(cur: Column, prev: Column) -> Column:
     return F.when(prev_d != 0, (cur_d - prev_d) / F.abs(prev_d) * 100)
 
 
-def metric_agg(name: str, cond: Column | None = None) -> Column:
-    """Aggregate for one metric, optionally only over rows where ``cond`` holds."""
+def metric_agg(name: str, cond: Column | None = None, approx_orders: bool = False) -> Column:
+    """Aggregate for one metric, optionally only over rows where ``cond`` holds.
+
+    ``approx_orders`` counts orders with HyperLogLog (``approx_count_distinct``,
+    a plain partial aggregate) instead of the exact distinct count, which
+    Spark evaluates by grouping on (key, order_id)."""
     if name not in METRICS:
         raise ValueError(f"Invalid metric: {name!r}")
 
@@ -42,12 +46,12 @@ def metric_agg(name: str, cond: Column | None = None) -> Column:
     if name == "profit":
         return F.sum(only("profit")).cast("double")
     if name == "orders":
-        return F.count_distinct(only("order_id"))
+        return F.approx_count_distinct(only("order_id")) if approx_orders else F.count_distinct(only("order_id"))
     return ratio_pct(F.sum(only("profit")), F.sum(only("sales")))
 
 
-def metric_cols(metrics, cond: Column | None = None) -> list[Column]:
-    return [metric_agg(m, cond).alias(m) for m in metrics]
+def metric_cols(metrics, cond: Column | None = None, approx_orders: bool = False) -> list[Column]:
+    return [metric_agg(m, cond, approx_orders).alias(m) for m in metrics]
 
 
 def kpi_aggs() -> list[Column]:

@@ -184,3 +184,16 @@ def test_breakdown_all_matches_group_bys(make_lines):
     got = {(r["dimension"], r["value"]): r["sales"] for r in out}
     assert got == {("region", "A"): 3.0, ("region", "B"): 7.0, ("segment", "x"): 5.0,
                    ("segment", "y"): 5.0, ("total", None): 10.0}
+
+
+def test_labels_and_approx(spark, make_lines):
+    from kpiforge.functions.dates import context_label, period_label
+    d = spark.createDataFrame([(date(2014, 1, 6),), (date(2014, 4, 1),)], "d date")
+    got = d.select(*[period_label(F.col("d"), g).alias(g) for g in ("year", "quarter", "month", "week")],
+                   context_label(F.col("d")).alias("ctx")).collect()
+    assert tuple(got[0]) == ("2014", "2014 Q1", "2014-01", "2014-01-06", "Jan 2014")
+    assert got[1]["quarter"] == "2014 Q2"
+    df = make_lines([line(i % 7, "2024-01-01", region="AB"[i % 2]) for i in range(40)])
+    exact = {r["value"]: r["orders"] for r in kpi.breakdown_all(df, ("region",)).collect()}
+    approx = {r["value"]: r["orders"] for r in kpi.breakdown_all(df, ("region",), approx_orders=True).collect()}
+    assert exact == approx == {"A": 7, "B": 7, None: 7}
