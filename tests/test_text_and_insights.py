@@ -159,3 +159,18 @@ def test_history_window(spark):
     assert lines[-2] == "User: " + "x" * 200 and lines[-1] == "Bot: " + "y" * 200 + "..."
     f = rows(history.followup_query(conv))[0]
     assert f["query"] == "x" * 200 + " " + "y" * 201
+
+
+def test_saved_index_and_context_block(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, "id long, text string")
+    idx = retrieval.fit_tfidf(docs)
+    saved = retrieval.save_index(idx, str(tmp_path / "idx"), buckets=4)
+    q = spark.createDataFrame([(1, "profit by region")], "qid long, text string")
+    a = {(r["doc_id"], r["score"]) for r in retrieval.score(idx, q).collect()}
+    b = {(r["doc_id"], r["score"]) for r in retrieval.score(saved, q).collect()}
+    assert a == b
+    ranked = retrieval.retrieve_pinned(saved, q, k=2, min_score=0.0, pinned_ids=(7,))
+    summ = spark.createDataFrame([(1, "User: hi\nBot: hello")], "qid long, summary string")
+    ctx = retrieval.context_block(ranked, docs, summaries=summ, max_chunks=2).collect()[0]["context"]
+    assert ctx == ("[Recent conversation]\nUser: hi\nBot: hello\n\n[Verified data facts from dashboard]\n"
+                   "  - region\n  - Profit by region and segment")
