@@ -59,9 +59,9 @@ def main() -> None:
         "kpi_total": lambda: kpi.kpi_total(ol),
         "facts": lambda: facts.build_facts(ol),
         "tfidf_topk": lambda: retrieval.retrieve(
-            retrieval.fit_tfidf(read_table(spark, sf_dir, "documents"), "doc_id", "text"),
+            retrieval.fit_tfidf(read_table(spark, sf_dir, "documents", spread_on="doc_id"), "doc_id", "text"),
             read_table(spark, sf_dir, "benchmark"), 10, "item_id", "text"),
-        "history_window": lambda: history.history_summary(read_table(spark, sf_dir, "conversations")),
+        "history_window": lambda: history.history_summary(read_table(spark, sf_dir, "conversations", spread_on="conv_id")),
     }
     only = [q for q in os.environ.get("BENCH_ONLY", "").split(",") if q]
     for name, build in headline.items():

@@ -639,7 +639,7 @@ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)
 @register("tfidf_topk", _TFIDF_SQL + """
 SELECT qid, doc_id, score, rank FROM r WHERE rank <= 10""", with_view=False)
 def q_tfidf_topk(spark, sf_dir):
-    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents", spread_on="doc_id"), "doc_id", "text")
     return retrieval.retrieve(idx, read_table(spark, sf_dir, "benchmark"), 10, "item_id", "text")
 
 
@@ -660,7 +660,7 @@ SELECT qid, doc_id, COALESCE(score, 0.0) AS score, pp IS NOT NULL AS pinned,
                           score DESC NULLS LAST, c ASC NULLS LAST) AS position
 FROM m""", with_view=False)
 def q_tfidf_pinned(spark, sf_dir):
-    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents", spread_on="doc_id"), "doc_id", "text")
     return retrieval.retrieve_pinned(idx, read_table(spark, sf_dir, "benchmark"), k=6, min_score=0.03,
                                      pinned_ids=_PINS, qid_col="item_id", text_col="text")
 
@@ -674,7 +674,7 @@ SELECT conv_id, COUNT(*) AS kept_messages, MIN(turn) AS first_kept_turn,
                 ELSE COALESCE(text, '') END END, chr(10) ORDER BY turn), '') AS summary
 FROM k WHERE r <= 16 GROUP BY conv_id""", with_view=False)
 def q_history_window(spark, sf_dir):
-    return history.history_summary(read_table(spark, sf_dir, "conversations"))
+    return history.history_summary(read_table(spark, sf_dir, "conversations", spread_on="conv_id"))
 
 
 @register("followup_query", """
@@ -685,7 +685,7 @@ SELECT * FROM (
   , LATERAL (SELECT last_question || ' ' || last_answer AS query)
 WHERE last_question IS NOT NULL AND last_answer IS NOT NULL""", with_view=False)
 def q_followup_query(spark, sf_dir):
-    return history.followup_query(read_table(spark, sf_dir, "conversations"))
+    return history.followup_query(read_table(spark, sf_dir, "conversations", spread_on="conv_id"))
 
 
 # ── G1-G10: question-log tagging ─────────────────────────────────────────
@@ -862,7 +862,7 @@ FROM f"""
 
 @register("question_tags", _question_sql())
 def q_question_tags(spark, sf_dir):
-    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    conv = read_table(spark, sf_dir, "conversations", spread_on="conv_id").filter(F.col("role") == "user")
     qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     t = questions.tag_questions(qs, _ol(spark, sf_dir))
     # flat output for the check: lists as delimited strings
@@ -960,7 +960,7 @@ SELECT top.qid, '
 ' || string_agg('  - ' || d.text, chr(10) ORDER BY top.rank) AS context
 FROM top JOIN documents d ON d.doc_id = top.doc_id GROUP BY top.qid""", with_view=False)
 def q_tfidf_context(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents", spread_on="doc_id")
     idx = retrieval.fit_tfidf(docs, "doc_id", "text")
     ranked = retrieval.retrieve(idx, read_table(spark, sf_dir, "benchmark"), 6, "item_id", "text")
     return retrieval.context_block(ranked.withColumnRenamed("rank", "position"), docs, "doc_id", "text")

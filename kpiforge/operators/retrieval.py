@@ -17,6 +17,9 @@ Semantics (same as the reference):
 * ties: id ascending (the reference's order comes from an unstable argsort).
   Documents sharing no token with the query (score 0) are not returned.
 
+Input: read document tables with ``read_table(..., spread_on="doc_id")`` so
+that the per-document token counts and norms need no shuffle of their own.
+
 Scale: the query side is usually small and Spark broadcasts it when its
 planned size is under the broadcast threshold, so postings are never
 shuffled for scoring; otherwise the join is sort-merge with AQE splitting a
@@ -34,7 +37,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.text import truncate, unigrams, with_bigrams
-from kpiforge.sources.tables import spread
 
 SCORE_DIGITS = 9
 
@@ -54,8 +56,7 @@ def token_rows(df: DataFrame, id_col: str, text_col: str, out_id: str,
     the bigrams are built from that column (Catalyst does not inline a costly
     expression that is referenced several times).
     """
-    src = spread(df.select(F.col(id_col).alias(out_id), F.col(text_col).alias("_text")), out_id)
-    u = src.select(out_id, unigrams(F.col("_text")).alias("_u"))
+    u = df.select(F.col(id_col).alias(out_id), unigrams(F.col(text_col)).alias("_u"))
     t = u.select(out_id, with_bigrams(F.col("_u")).alias("_t"))
     cols = [out_id] + ([F.size("_t").alias("n_tok")] if with_length else [])
     # explode_outer + NULL filter: plain explode makes Catalyst infer a

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType
 
 from kpiforge.functions.numeric import clean_numeric
-from kpiforge.sources.tables import read_table, spread
+from kpiforge.sources.tables import read_table
 
 ORDER_LINES_COLUMNS = ("order_id", "order_date", "ship_date", "region", "state", "segment",
                        "category", "sub_category", "product_name", "sales", "discount", "profit")
@@ -34,8 +34,8 @@ FILTER_DIMS = ("region", "segment", "category", "sub_category", "state")
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Star schema -> wide order-line rows (mapping of SURVEY §1.3)."""
-    li = spread(read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"), "l_orderkey")
+    li = read_table(spark, sf_dir, "lineitem", spread_on="l_orderkey").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
     # only the line table is spread: orders is usually the broadcast side at
     # small scale, and comes in many splits at large scale
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")

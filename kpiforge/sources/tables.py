@@ -9,15 +9,23 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_on: str | None = None) -> DataFrame:
+    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
+
+    ``spread_on``: see :func:`spread`; give the key the next operator groups
+    or windows on (``doc_id`` for TF-IDF, ``conv_id`` for chat windows).
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, spread_on) if spread_on else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan at least the cluster's parallelism.
+    """Give a plain file scan at least the cluster's parallelism.
+
+    Only for a scan straight off files: counting the partitions of a
+    DataFrame that contains shuffles would run them.
 
     A file written as one parquet row group is read by ONE task, whatever
     ``spark.sql.files.maxPartitionBytes`` says, and every narrow step after
