@@ -1057,3 +1057,16 @@ UNION ALL SELECT 'segment_category_cross', 'Top 9 Segment×Category combos by pr
   FROM sc HAVING COUNT(*) > 0
 """
 ORACLE_SQL["facts"] = ORDER_LINES_CTE + ", " + _FACTS_SQL.strip()[5:]
+
+
+@register("detail_loss_totals", """
+SELECT COUNT(*) AS groups, CAST(COALESCE(SUM(orders), 0) AS BIGINT) AS orders,
+       CAST(COALESCE(SUM(CAST(profit AS DECIMAL(38,2))), 0) AS DOUBLE) AS total_loss,
+       CAST(COALESCE(SUM(CAST(sales AS DECIMAL(38,2))), 0) AS DOUBLE) AS total_sales
+FROM (
+  SELECT COUNT(DISTINCT order_id) AS orders, CAST(ROUND(SUM(sales), 2) AS DOUBLE) AS sales,
+         CAST(ROUND(SUM(profit), 2) AS DOUBLE) AS profit, SUM(profit) AS p, sub_category, category
+  FROM order_lines GROUP BY sub_category, category HAVING SUM(profit) < 0
+  ORDER BY p ASC, sub_category, category LIMIT 15) t""")
+def q_detail_loss_totals(spark, sf_dir):
+    return detail.detail_totals(detail.detail_summary(_ol(spark, sf_dir), "sub_category"))

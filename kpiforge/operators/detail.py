@@ -98,3 +98,14 @@ def extremes(result: DataFrame, metric: str, key: str = "breakdown") -> DataFram
         F.lit("bottom").alias("side"), F.col("_up").cast("long").alias("rank"), "breakdown", "value", "gap", "gap_pct",
         "_rows")
     return top.unionByName(bottom).filter(F.col("_rows") >= 2).drop("_rows")
+
+
+def detail_totals(summary: DataFrame) -> DataFrame:
+    """Totals over the shown loss groups: groups, orders (summed, so an
+    order in two groups counts twice, D20), total loss, total sales."""
+    return summary.agg(F.count(F.lit(1)).alias("groups"),
+                       F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"),
+                       F.coalesce(F.sum(F.col("profit").cast("decimal(38,2)")), F.lit(0)).cast("double")
+                        .alias("total_loss"),
+                       F.coalesce(F.sum(F.col("sales").cast("decimal(38,2)")), F.lit(0)).cast("double")
+                        .alias("total_sales"))

@@ -40,5 +40,5 @@ def test_query(spark, duck, name):
     want = duck.sql(sql).arrow()
     if hasattr(want, "read_all"):
         want = want.read_all()
-    assert sorted(got.column_names) == sorted(want.column_names)
+    assert sorted((f.name, str(f.type)) for f in got.schema) == sorted((f.name, str(f.type)) for f in want.schema)
     assert rows_of(got, False) == rows_of(want, False)
