@@ -70,6 +70,12 @@ def fact_aggregates(df: DataFrame) -> DataFrame:
     Columns: ``set`` (name from _SETS), ``k1``/``k2`` (string keys; period
     start dates for time sets), ``sales``/``profit`` (exact DECIMAL sums),
     ``n_sales``/``n_profit`` (non-NULL counts), ``min_date``/``max_date``.
+
+    One level on purpose: every task expands its lines into the ten sets
+    but keeps only ~200 groups in its partial aggregate, so the shuffle is
+    ~200 rows per task.  Pre-aggregating to the base grain first (month x
+    dimensions x bucket) would shuffle up to a million groups per task and
+    was measured slower.
     """
     d = F.col("order_date")
     mx = df.agg(F.max("discount")).scalar()
