@@ -20,14 +20,15 @@ import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from kpiforge.operators import compare, detail, facts, history, kpi, retrieval  # noqa: E402
+from kpiforge.operators import compare, dashboard, detail, facts, history, kpi, retrieval  # noqa: E402
 from kpiforge.session import checkpoint_dir, get_session  # noqa: E402
 from kpiforge.sources.order_lines import materialize_order_lines, order_lines  # noqa: E402
 from kpiforge.sources.tables import read_table  # noqa: E402
 
 
-def run(df) -> None:
-    df.write.format("noop").mode("overwrite").save()
+def run(result) -> None:
+    for df in (result.values() if isinstance(result, dict) else [result]):
+        df.write.format("noop").mode("overwrite").save()
 
 
 def main() -> None:
@@ -58,6 +59,7 @@ def main() -> None:
         "grouping_sets_all": lambda: kpi.breakdown_all(ol),
         "kpi_total": lambda: kpi.kpi_total(ol),
         "facts": lambda: facts.build_facts(ol),
+        "dashboard_frames": lambda: dashboard.dashboard_frames(ol),
         "tfidf_topk": lambda: retrieval.retrieve(
             retrieval.fit_tfidf(read_table(spark, sf_dir, "documents", spread_on="doc_id"), "doc_id", "text"),
             read_table(spark, sf_dir, "benchmark"), 10, "item_id", "text"),

@@ -100,3 +100,62 @@ def category_share(df: DataFrame) -> DataFrame:
     return (g.select("category", F.col("_p").cast("double").alias("profit"),
                      F.when(total != 0, F.col("_p").cast("double") / total * 100).alias("share_pct"))
              .orderBy("category"))
+
+
+def dashboard_frames(df: DataFrame) -> dict[str, DataFrame]:
+    """All eight chart frames from two scans instead of eight (S7 re-aimed).
+
+    One grouping-sets aggregate (month, region, segment, category,
+    sub_category, segment x region, discount bucket) holds every sum and
+    count the charts need; it is small (bounded by months and dimension
+    values) and persisted because all frames read it.  Orders per month need
+    an exact distinct count and come from their own aggregate.  Each frame
+    equals the one of the single-chart function above.
+    """
+    d = F.col("order_date")
+    disc = _num(df, "discount")
+    mx = df.agg(F.max(disc)).scalar()
+    scaled = F.when(mx > 1, disc / 100).otherwise(disc)
+    base = df.select(F.trunc(d, "month").alias("month"), "region", "segment", "category", "sub_category",
+                     F.when(valid_discount(scaled), discount_bucket(scaled)).alias("bucket"),
+                     _num(df, "sales").alias("sales"), _num(df, "profit").alias("profit"))
+    keys = ["month", "region", "segment", "category", "sub_category", "bucket"]
+    sets = [[F.col("month")], [F.col("region")], [F.col("segment")], [F.col("category")],
+            [F.col("sub_category")], [F.col("segment"), F.col("region")], [F.col("bucket")]]
+    agg = base.groupingSets(sets, *[F.col(k) for k in keys]).agg(
+        F.sum("sales").alias("s"), F.sum("profit").alias("p"),
+        F.count("sales").alias("ns"), F.count("profit").alias("np"),
+        F.grouping_id(*[F.col(k) for k in keys]).alias("_gid")).persist()
+
+    def only(*present):
+        m = (1 << len(keys)) - 1
+        for k in present:
+            m ^= 1 << (len(keys) - 1 - keys.index(k))
+        cond = F.col("_gid") == m
+        for k in present:  # pandas-style: NULL keys are dropped
+            cond = cond & F.col(k).isNotNull()
+        return agg.filter(cond)
+
+    def total(c):
+        return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+
+    per_dim = {k: only(k).select(k, total("p").alias("profit")) for k in ("region", "segment", "sub_category")}
+    cat = only("category").select("category", F.col("p").alias("_p"))
+    share_total = F.sum("_p").over(Window.partitionBy()).cast("double")
+    heat = only("segment", "region")
+    return {
+        "sales_profit_by_month": only("month").select(F.col("month").alias("order_date"), total("s").alias("sales"),
+                                                      total("p").alias("profit")).orderBy("order_date"),
+        "orders_by_month": orders_by_month(df),
+        "profit_by_region": per_dim["region"].orderBy("region"),
+        "profit_by_segment": per_dim["segment"].orderBy("segment"),
+        "profit_heatmap": heat.groupBy("segment").pivot("region").agg(F.first(F.col("p").cast("double")))
+                              .orderBy("segment"),
+        "discount_impact": only("bucket").select(
+            F.col("bucket").alias("discount_bucket"), (F.col("s").cast("double") / F.col("ns")).alias("avg_sales"),
+            (F.col("p").cast("double") / F.col("np")).alias("avg_profit")).orderBy(bucket_order(F.col("discount_bucket"))),
+        "top_sub_categories": per_dim["sub_category"].orderBy(F.col("profit").desc(), F.col("sub_category")).limit(10),
+        "category_share": cat.select("category", F.col("_p").cast("double").alias("profit"),
+                                     F.when(share_total != 0, F.col("_p").cast("double") / share_total * 100)
+                                      .alias("share_pct")).orderBy("category"),
+    }

@@ -197,3 +197,23 @@ def test_labels_and_approx(spark, make_lines):
     exact = {r["value"]: r["orders"] for r in kpi.breakdown_all(df, ("region",)).collect()}
     approx = {r["value"]: r["orders"] for r in kpi.breakdown_all(df, ("region",), approx_orders=True).collect()}
     assert exact == approx == {"A": 7, "B": 7, None: 7}
+
+
+def test_dashboard_frames_equal_single_charts(spark):
+    from conftest import SF_SMALL
+    from kpiforge.sources.order_lines import order_lines
+    df = order_lines(spark, SF_SMALL)
+    frames = dashboard.dashboard_frames(df)
+    single = {
+        "sales_profit_by_month": dashboard.sales_profit_by_month(df),
+        "orders_by_month": dashboard.orders_by_month(df),
+        "profit_by_region": dashboard.profit_by(df, "region"),
+        "profit_by_segment": dashboard.profit_by(df, "segment"),
+        "profit_heatmap": dashboard.profit_heatmap(df),
+        "discount_impact": dashboard.discount_impact(df),
+        "top_sub_categories": dashboard.top_sub_categories(df),
+        "category_share": dashboard.category_share(df),
+    }
+    for name, want in single.items():
+        assert frames[name].columns == want.columns, name
+        assert frames[name].collect() == want.collect(), name
