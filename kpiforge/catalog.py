@@ -619,15 +619,17 @@ def _sql_tokens(table, id_col, text_col, alias):
               FROM {alias}_u)"""
 
 
-_TFIDF_SQL = f"""
-WITH {_sql_tokens('documents', 'doc_id', 'text', 'd')},
+def _tfidf_sql(query_table="benchmark", query_id="item_id", query_text="text", query_cte=""):
+    """DuckDB TF-IDF over ``documents``; ``query_cte`` may define the query table."""
+    return f"""
+WITH {query_cte}{_sql_tokens('documents', 'doc_id', 'text', 'd')},
 d_x AS (SELECT id AS doc_id, len(toks) AS n_tok, unnest(toks) AS tok FROM d_t),
 tf AS (SELECT doc_id, tok, COUNT(*) / MAX(n_tok) AS tf FROM d_x GROUP BY doc_id, tok),
 idf AS (SELECT tok, ln(((SELECT COUNT(*) FROM documents) + 1) / (COUNT(*) + 1)) + 1 AS idf
         FROM tf GROUP BY tok),
 w AS (SELECT doc_id, tok, tf * idf AS wr FROM tf JOIN idf USING (tok)),
 p AS (SELECT doc_id, tok, wr / sqrt(SUM(wr * wr) OVER (PARTITION BY doc_id)) AS w FROM w),
-{_sql_tokens('benchmark', 'item_id', 'text', 'q')},
+{_sql_tokens(query_table, query_id, query_text, 'q')},
 q_x AS (SELECT id AS qid, unnest(toks) AS tok FROM q_t),
 q_c AS (SELECT qid, tok, COUNT(*) AS c FROM q_x GROUP BY qid, tok),
 qv AS (SELECT qid, tok, c * idf AS qr FROM q_c JOIN idf USING (tok)),
@@ -636,6 +638,9 @@ s AS (SELECT qid, doc_id, round(SUM(qw * w), 9) AS score FROM qn JOIN p USING (t
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)"""
 
 
+_TFIDF_SQL = _tfidf_sql()
+
+
 @register("tfidf_topk", _TFIDF_SQL + """
 SELECT qid, doc_id, score, rank FROM r WHERE rank <= 10""", with_view=False)
 def q_tfidf_topk(spark, sf_dir):
@@ -1070,3 +1075,34 @@ FROM (
   ORDER BY p ASC, sub_category, category LIMIT 15) t""")
 def q_detail_loss_totals(spark, sf_dir):
     return detail.detail_totals(detail.detail_summary(_ol(spark, sf_dir), "sub_category"))
+
+
+_FOLLOWUP_CTE = """fq AS (
+  SELECT conv_id, last_question || ' ' || last_answer AS query FROM (
+    SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'user') AS last_question,
+           arg_max(text, turn) FILTER (WHERE role = 'assistant') AS last_answer
+    FROM conversations GROUP BY conv_id) t
+  WHERE last_question IS NOT NULL AND last_answer IS NOT NULL),
+"""
+
+
+@register("followup_retrieval", _tfidf_sql("fq", "conv_id", "query", _FOLLOWUP_CTE) + f"""
+, hits AS (SELECT qid, doc_id, score, rank AS c FROM r WHERE rank <= 12 AND score >= 0.02),
+pins AS (SELECT conv_id AS qid, unnest([{', '.join(map(str, _PINS))}]) AS doc_id,
+                unnest(range(0, {len(_PINS)})) AS pp FROM fq),
+m AS (SELECT COALESCE(h.qid, p.qid) AS qid, COALESCE(h.doc_id, p.doc_id) AS doc_id, h.score, h.c, p.pp
+      FROM hits h FULL OUTER JOIN pins p ON h.qid = p.qid AND h.doc_id = p.doc_id)
+SELECT qid, doc_id, COALESCE(score, 0.0) AS score, pp IS NOT NULL AS pinned,
+       ROW_NUMBER() OVER (PARTITION BY qid ORDER BY CASE WHEN pp IS NOT NULL THEN 0 ELSE 1 END,
+                          CASE WHEN pp IS NOT NULL AND c IS NOT NULL THEN 0 ELSE 1 END,
+                          CASE WHEN pp IS NOT NULL THEN c END NULLS FIRST,
+                          CASE WHEN pp IS NOT NULL THEN pp END NULLS FIRST,
+                          score DESC NULLS LAST, c ASC NULLS LAST) AS position
+FROM m""", with_view=False)
+def q_followup_retrieval(spark, sf_dir):
+    """R8 -> R3-R5: each conversation's last question + last answer retrieved
+    with k = 8 and the follow-up floor 0.02 (the suggestion path)."""
+    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents", spread_on="doc_id"), "doc_id", "text")
+    fq = history.followup_query(read_table(spark, sf_dir, "conversations", spread_on="conv_id"))
+    return retrieval.retrieve_pinned(idx, fq, k=8, min_score=0.02, pinned_ids=_PINS,
+                                     qid_col="conv_id", text_col="query")
