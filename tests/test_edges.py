@@ -3,7 +3,6 @@
 from datetime import date
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import OL_SCHEMA, line
 from kpiforge.operators import compare, dashboard, detail, facts, history, insights, kpi, retrieval

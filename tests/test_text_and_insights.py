@@ -1,16 +1,13 @@
 """Insights, facts, TF-IDF retrieval (against a brute-force numpy model), history."""
 
-import math
 import re
-from collections import Counter
 from datetime import date
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import line
-from kpiforge.operators import facts, history, insights, kpi, retrieval
+from kpiforge.operators import facts, history, insights, retrieval
 
 
 def rows(df):
