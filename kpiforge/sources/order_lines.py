@@ -96,40 +96,48 @@ def apply_filters(df: DataFrame, filters: dict | None) -> DataFrame:
     """F1 (closed date range) and F2 (IN-list per dimension, AND between them).
 
     ``filters``: ``{"date_range": (start, end), "region": [...], ...}``;
-    an empty list means no filter on that dimension.
+    an empty list means no filter on that dimension.  Same predicates as the
+    plan operators, so they reach the scan (and prune year directories).
     """
+    from kpiforge.operators.filters import date_window, in_lists
+
     if not filters:
         return df
     dr = filters.get("date_range")
     if isinstance(dr, (tuple, list)) and len(dr) == 2:
-        df = df.filter(F.col("order_date").between(F.to_date(F.lit(str(dr[0]))),
-                                                   F.to_date(F.lit(str(dr[1])))))
-    for dim in FILTER_DIMS:
-        vals = filters.get(dim)
-        if vals:
-            df = df.filter(F.col(dim).isin([str(v) for v in vals]))
-    return df
+        df = date_window(df, dr[0], dr[1])
+    return in_lists(df, filters)
 
 
 def load_orders(spark: SparkSession, path: str, filters: dict | None = None,
-                fmt: str = "parquet") -> DataFrame:
+                fmt: str = "parquet", options: dict | None = None) -> DataFrame:
     """Read a wide order-line table, coerce types, apply the filters.
 
     Rows stay on the executors; sort only the final (small) results.
+    ``options`` go to the reader (e.g. ``{"header": "true"}`` for CSV).
     """
-    df = spark.read.format(fmt).load(path)
+    df = spark.read.format(fmt).options(**(options or {})).load(path)
     return apply_filters(coerce_order_lines(df), filters)
 
 
+def year_predicates(first_year: int, last_year: int, column: str = "order_date") -> list[str]:
+    """One JDBC predicate per order year, so each year is read by its own task."""
+    return [f"{column} >= DATE '{y}-01-01' AND {column} < DATE '{y + 1}-01-01'"
+            for y in range(first_year, last_year + 1)]
+
+
 def read_order_lines_jdbc(spark: SparkSession, url: str, table: str, properties: dict,
                           partition_column: str = "order_id", lower_bound: int = 0,
-                          upper_bound: int = 0, num_partitions: int = 1) -> DataFrame:
+                          upper_bound: int = 0, num_partitions: int = 1,
+                          predicates: list[str] | None = None) -> DataFrame:
     """Wide table from a database (the reference's PostgreSQL source).
 
-    With ``num_partitions > 1`` the read is split into range predicates on
-    ``partition_column`` so executors read in parallel.
+    ``predicates`` (e.g. :func:`year_predicates`) or ``num_partitions > 1``
+    (range split of ``partition_column``) make executors read in parallel.
     """
-    if num_partitions > 1:
+    if predicates:
+        df = spark.read.jdbc(url, table, predicates=predicates, properties=properties)
+    elif num_partitions > 1:
         df = spark.read.jdbc(url, table, column=partition_column, lowerBound=lower_bound,
                              upperBound=upper_bound, numPartitions=num_partitions,
                              properties=properties)

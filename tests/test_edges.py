@@ -71,3 +71,16 @@ def test_coerce_text_columns(spark):
     assert (out[0]["sales"], out[0]["discount"], out[0]["profit"]) == (12.5, 10.0, 3.0)
     assert out[1]["order_date"] is None and out[1]["sales"] is None and out[1]["profit"] is None
     assert dict(coerce_order_lines(raw).dtypes)["order_date"] == "date"
+
+
+def test_load_orders_with_filters(spark, tmp_path):
+    from conftest import SF_SMALL
+    from kpiforge.sources.order_lines import load_orders, order_lines, year_predicates
+    path = str(tmp_path / "wide")
+    order_lines(spark, SF_SMALL).write.parquet(path)
+    f = {"date_range": ("1997-01-01", "1997-12-31"), "region": ["ASIA"], "segment": []}
+    got = load_orders(spark, path, f)
+    want = kpi.kpi_value(order_lines(spark, SF_SMALL), ["sales", "orders"], "1997-01-01", "1997-12-31",
+                         filters={"region": ["ASIA"]}).collect()[0]
+    assert kpi.kpi_value(got, ["sales", "orders"]).collect()[0] == want
+    assert year_predicates(1997, 1998)[1] == "order_date >= DATE '1998-01-01' AND order_date < DATE '1999-01-01'"
