@@ -34,7 +34,7 @@ def run(result) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=2 * cpus, app_name="kpiforge-bench")
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", 2 * cpus)), app_name="kpiforge-bench")
     wide_path = f"{checkpoint_dir(spark)}/order_lines-{uuid.uuid4().hex[:8]}"
 
     times: dict[str, float] = {}
