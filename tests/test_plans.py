@@ -55,3 +55,12 @@ def test_run_plan(make_lines):
     assert (r["current"], r["previous"], r["change_pct"]) == (-2.0, 4.0, -150.0)
     s, rows = run_plan(df, validate_plan({"intent": "kpi_detail"}, DR))
     assert s.count() == 1 and rows.count() == 1
+
+
+def test_run_plan_extremes(make_lines):
+    df = make_lines([line(i, "2024-01-05", region=r, sales=f"{i}.00") for i, r in enumerate("ABCDEF", 1)])
+    res, ext = run_plan(df, validate_plan({"intent": "kpi_value", "metrics": ["sales"], "breakdown_by": "region",
+                                           "show_extremes": True}, DR))
+    assert res.count() == 6
+    got = {(r["side"], r["rank"]): r["breakdown"] for r in ext.collect()}
+    assert got == {("top", 1): "F", ("top", 2): "E", ("bottom", 1): "A", ("bottom", 2): "B"}
