@@ -634,7 +634,7 @@ q_x AS (SELECT id AS qid, unnest(toks) AS tok FROM q_t),
 q_c AS (SELECT qid, tok, COUNT(*) AS c FROM q_x GROUP BY qid, tok),
 qv AS (SELECT qid, tok, c * idf AS qr FROM q_c JOIN idf USING (tok)),
 qn AS (SELECT qid, tok, qr / sqrt(SUM(qr * qr) OVER (PARTITION BY qid)) AS qw FROM qv),
-s AS (SELECT qid, doc_id, round(SUM(qw * w), 9) AS score FROM qn JOIN p USING (tok) GROUP BY qid, doc_id),
+s AS (SELECT qid, doc_id, round(SUM(qw * w), 7) AS score FROM qn JOIN p USING (tok) GROUP BY qid, doc_id),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)"""
 
 
