@@ -109,3 +109,10 @@ def detail_totals(summary: DataFrame) -> DataFrame:
                         .alias("total_loss"),
                        F.coalesce(F.sum(F.col("sales").cast("decimal(38,2)")), F.lit(0)).cast("double")
                         .alias("total_sales"))
+
+
+def kpi_detail(df: DataFrame, start=None, end=None, condition: str = "profit_negative",
+               breakdown_by: str = "sub_category", top_k: int = 15, filters=None):
+    """The drill-down as one call: ``(loss groups with reasons, worst lines)``."""
+    summary = loss_reason(detail_summary(df, breakdown_by, start, end, filters, top_k))
+    return summary, detail_rows(df, breakdown_by, start, end, filters, cond=condition)

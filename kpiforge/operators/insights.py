@@ -217,3 +217,8 @@ def last_periods_top(trend: DataFrame, metric: str, periods: int = 24, top: int
     t = best.select(F.col("breakdown").alias("_b"))
     return (recent.join(t, recent["breakdown"].eqNullSafe(t["_b"]), "left_semi")
                   .orderBy("period", "breakdown"))
+
+
+def rank_insights(result: DataFrame, metric: str, key: str = "breakdown") -> tuple[DataFrame, DataFrame]:
+    """W7-W12 for a ranked / broken-down result: ``(rank_table, rank_summary)``."""
+    return rank_table(result, metric, key), rank_summary(result, metric, key)

@@ -64,3 +64,14 @@ def test_run_plan_extremes(make_lines):
     assert res.count() == 6
     got = {(r["side"], r["rank"]): r["breakdown"] for r in ext.collect()}
     assert got == {("top", 1): "F", ("top", 2): "E", ("bottom", 1): "A", ("bottom", 2): "B"}
+
+
+def test_api_wrappers(make_lines):
+    from kpiforge.operators import detail, insights, kpi
+    df = make_lines([line(i, "2024-01-05", region=r, profit=p) for i, (r, p) in enumerate(
+        [("A", "-3"), ("B", "5"), ("C", "1")], 1)])
+    s, rows = detail.kpi_detail(df, breakdown_by="region")
+    assert [r["breakdown"] for r in s.collect()] == ["A"] and rows.count() == 1
+    table, summary = insights.rank_insights(kpi.kpi_value(df, ["profit"], breakdown_by="region"), "profit")
+    assert [r["breakdown"] for r in table.orderBy("rank").collect()] == ["B", "C", "A"]
+    assert summary.collect()[0]["leader"] == "B"
