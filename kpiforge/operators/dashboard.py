@@ -110,7 +110,9 @@ def dashboard_frames(df: DataFrame) -> dict[str, DataFrame]:
     count the charts need; it is small (bounded by months and dimension
     values) and persisted because all frames read it.  Orders per month need
     an exact distinct count and come from their own aggregate.  Each frame
-    equals the one of the single-chart function above.
+    equals the one of the single-chart function above.  The persisted
+    aggregate is returned too (key ``shared``) so the caller can
+    ``unpersist()`` it when the dashboard is refreshed.
     """
     d = F.col("order_date")
     disc = _num(df, "discount")
@@ -144,6 +146,7 @@ def dashboard_frames(df: DataFrame) -> dict[str, DataFrame]:
     share_total = F.sum("_p").over(Window.partitionBy()).cast("double")
     heat = only("segment", "region")
     return {
+        "shared": agg,
         "sales_profit_by_month": only("month").select(F.col("month").alias("order_date"), total("s").alias("sales"),
                                                       total("p").alias("profit")).orderBy("order_date"),
         "orders_by_month": orders_by_month(df),
