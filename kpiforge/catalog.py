@@ -619,13 +619,14 @@ def _sql_tokens(table, id_col, text_col, alias):
               FROM {alias}_u)"""
 
 
-def _tfidf_sql(query_table="benchmark", query_id="item_id", query_text="text", query_cte=""):
-    """DuckDB TF-IDF over ``documents``; ``query_cte`` may define the query table."""
+def _tfidf_sql(query_table="benchmark", query_id="item_id", query_text="text", query_cte="",
+               doc_table="documents", doc_id="doc_id", doc_text="text"):
+    """DuckDB TF-IDF over ``doc_table``; ``query_cte`` may define the query / document tables."""
     return f"""
-WITH {query_cte}{_sql_tokens('documents', 'doc_id', 'text', 'd')},
+WITH {query_cte}{_sql_tokens(doc_table, doc_id, doc_text, 'd')},
 d_x AS (SELECT id AS doc_id, len(toks) AS n_tok, unnest(toks) AS tok FROM d_t),
 tf AS (SELECT doc_id, tok, COUNT(*) / MAX(n_tok) AS tf FROM d_x GROUP BY doc_id, tok),
-idf AS (SELECT tok, ln(((SELECT COUNT(*) FROM documents) + 1) / (COUNT(*) + 1)) + 1 AS idf
+idf AS (SELECT tok, ln(((SELECT COUNT(*) FROM {doc_table}) + 1) / (COUNT(*) + 1)) + 1 AS idf
         FROM tf GROUP BY tok),
 w AS (SELECT doc_id, tok, tf * idf AS wr FROM tf JOIN idf USING (tok)),
 p AS (SELECT doc_id, tok, wr / sqrt(SUM(wr * wr) OVER (PARTITION BY doc_id)) AS w FROM w),
@@ -1106,3 +1107,38 @@ def q_followup_retrieval(spark, sf_dir):
     fq = history.followup_query(read_table(spark, sf_dir, "conversations", spread_on="conv_id"))
     return retrieval.retrieve_pinned(idx, fq, k=8, min_score=0.02, pinned_ids=_PINS,
                                      qid_col="conv_id", text_col="query")
+
+
+# ── the answer path: facts -> TF-IDF -> k = 7 with the pinned schema / KPI facts ──
+
+# fixed values: facts the engine always returns first
+_FACT_PINS = ("schema_metrics", "schema_dimensions", "kpi_summary")
+
+_FACT_QUERY_CTE = f"""facts AS ({_FACTS_SQL.strip()}),
+uq AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qid, text
+       FROM conversations WHERE role = 'user'),
+"""
+
+
+@register("fact_retrieval", _tfidf_sql("uq", "qid", "text", _FACT_QUERY_CTE, "facts", "chunk_id", "text") + f"""
+, hits AS (SELECT qid, doc_id, score, rank AS c FROM r WHERE rank <= 11 AND score >= 0.03),
+pins AS (SELECT qid, unnest([{', '.join(_q(x) for x in _FACT_PINS)}]) AS doc_id,
+                unnest(range(0, {len(_FACT_PINS)})) AS pp FROM uq),
+m AS (SELECT COALESCE(h.qid, p.qid) AS qid, COALESCE(h.doc_id, p.doc_id) AS doc_id, h.score, h.c, p.pp
+      FROM hits h FULL OUTER JOIN pins p ON h.qid = p.qid AND h.doc_id = p.doc_id)
+SELECT qid, doc_id, COALESCE(score, 0.0) AS score, pp IS NOT NULL AS pinned,
+       ROW_NUMBER() OVER (PARTITION BY qid ORDER BY CASE WHEN pp IS NOT NULL THEN 0 ELSE 1 END,
+                          CASE WHEN pp IS NOT NULL AND c IS NOT NULL THEN 0 ELSE 1 END,
+                          CASE WHEN pp IS NOT NULL THEN c END NULLS FIRST,
+                          CASE WHEN pp IS NOT NULL THEN pp END NULLS FIRST,
+                          score DESC NULLS LAST, c ASC NULLS LAST) AS position
+FROM m""")
+def q_fact_retrieval(spark, sf_dir):
+    """Every user question of ``conversations`` against the fact rows built
+    from the order lines: top 7 + 4 candidates, floor 0.03, schema and KPI
+    facts pinned first (the engine's answer path, R1-R5 over K1-K13)."""
+    f = facts.build_facts(_ol(spark, sf_dir)).select("chunk_id", "text")
+    idx = retrieval.fit_tfidf(f, "chunk_id", "text")
+    qs = read_table(spark, sf_dir, "conversations", spread_on="conv_id").filter(F.col("role") == "user").select(
+        F.concat_ws(":", "conv_id", "turn").alias("qid"), "text")
+    return retrieval.retrieve_pinned(idx, qs, k=7, min_score=0.03, pinned_ids=_FACT_PINS)
