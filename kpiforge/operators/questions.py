@@ -208,7 +208,10 @@ def dimension_values(order_lines: DataFrame) -> Column:
 def _mentioned(ql: Column, values: Column) -> Column:
     """Values named in the question as whole words (case-insensitive); empty
     when none or when every value is named (then it is no filter)."""
-    hit = F.filter(values, lambda v: F.regexp_like(ql, F.concat(F.lit(r"\b\Q"), F.lower(v), F.lit(r"\E\b"))))
+    # a whole-word match implies a substring match: the cheap test runs first,
+    # so the per-value regex is only compiled for values the question contains
+    hit = F.filter(values, lambda v: (F.instr(ql, F.lower(v)) > 0)
+                   & F.regexp_like(ql, F.concat(F.lit(r"\b\Q"), F.lower(v), F.lit(r"\E\b"))))
     return F.when(F.size(hit) < F.size(values), hit).otherwise(F.array().cast("array<string>"))
 
 
