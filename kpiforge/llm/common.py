@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -94,38 +96,37 @@ def slices(bounds: np.ndarray, most: int = 1 << 21):
         i = j
 
 
-def classes(space: str, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte: whether it belongs to a word, and its value in the hash (A-Z as a-z if ``fold``)."""
-    inside = np.ones(256, bool)
-    inside[[ord(c) for c in space]] = False
+def classes(space: str, fold: bool, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte its kind (0 outside words, 1 in a word, 2 in a run of ASCII punctuation, if that is told apart)
+    and its value in the hash (A-Z as a-z if ``fold``)."""
+    kind = np.ones(256, np.uint8)
+    if punctuation:
+        kind[[b for b in range(33, 127) if not chr(b).isalnum() and b != ord("_")]] = 2
+    kind[[ord(c) for c in space]] = 0
     value = _TABLE.copy()
     if fold:
         value[65:91] = value[97:123]
-    return inside, value
+    return kind, value
 
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 FOLDED = classes(SPACE, True)
-EXACT = classes(SPACE, False)
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and one-past-last byte of every word, and the row each lies in; words never cross rows."""
+def word_spans(data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and one-past-last byte of every run of one kind, and the row each lies in; runs never cross rows."""
     if len(data) == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    on = inside[data]
-    before = np.empty(len(data), bool)
-    before[0] = False
-    before[1:] = on[:-1]
-    edge = bounds[(bounds > 0) & (bounds < len(data))]
-    before[edge] = False
-    starts = np.flatnonzero(on & ~before)
-    after = np.empty(len(data), bool)
-    after[-1] = False
-    after[:-1] = on[1:]
-    after[edge - 1] = False
-    ends = np.flatnonzero(on & ~after) + 1
+    kind = kinds[data]
+    change = np.empty(len(data) + 1, bool)
+    change[0] = change[-1] = True
+    np.not_equal(kind[1:], kind[:-1], out=change[1:-1])
+    change[bounds] = True
+    at = np.flatnonzero(change)
+    starts, ends = at[:-1], at[1:]
+    words = kind[starts] > 0
+    starts, ends = starts[words], ends[words]
     return starts, ends, np.searchsorted(bounds, starts, "right") - 1
 
 
@@ -149,6 +150,21 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
+def hash_slices(col, table=FOLDED, most: int = 1 << 21):
+    """Word hashes of a string column, a few megabytes at a time: first row, number of rows, hashes, each word's row."""
+    data, bounds = byte_view(col)
+    kinds, value = table
+    for i, j in slices(bounds, most):
+        part, edge = data[bounds[i]: bounds[j]], bounds[i: j + 1] - bounds[i]
+        starts, ends, rows = word_spans(part, edge, kinds)
+        yield i, j - i, word_hashes(part, starts, ends, value), rows
+
+
+def worker_state() -> dict:
+    """A dictionary that lives as long as the Python worker: caches that any task may rebuild."""
+    return sys.modules.setdefault("_kpiforge_worker", types.SimpleNamespace(state={})).state
+
+
 # ------------------------------------------------------------------ connected components
 
 

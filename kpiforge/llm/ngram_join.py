@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.llm.common import (
-    FOLDED, MULTIPLIERS, byte_view, components, mix, ngram_hashes, parts, same_type, slices, stored, word_hashes, word_spans)
+    FOLDED, MULTIPLIERS, components, hash_slices, mix, ngram_hashes, parts, same_type, stored)
 
 LONG = 64  # an inverted list with more classes than this is long
 FLUSH = 1 << 24  # bytes of text whose postings a map task packs together
@@ -58,21 +58,14 @@ _POSTINGS, _DOCS, _SIZES, _BACK = 0, 1, 2, 3
 
 def text_sets(col, n: int = 5):
     """For each text its sorted distinct n-gram hashes (uint64), in row order."""
-    data, bounds = byte_view(col)
-    inside, value = FOLDED
-    for i, j in slices(bounds):
-        b = bounds[i: j + 1] - bounds[i]
-        d = data[bounds[i]: bounds[j]]
-        starts, ends, rows = word_spans(d, b, inside)
-        words = word_hashes(d, starts, ends, value)
+    for _, m, words, rows in hash_slices(col, FOLDED):
         grams = ngram_hashes(words, n)
-        first = np.searchsorted(rows, np.arange(j - i + 1))
-        for r in range(j - i):
-            lo, hi = first[r], first[r + 1]
+        first = np.searchsorted(rows, np.arange(m + 1))
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
             if hi - lo >= n:
                 yield np.unique(grams[lo: hi - n + 1])
             elif hi > lo:
-                yield ngram_hashes(words[lo:hi], int(hi - lo))
+                yield ngram_hashes(words[lo:hi], hi - lo)
             else:
                 yield np.zeros(0, np.uint64)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kpiforge.llm import ngram_join
+from kpiforge.llm import ngram_join, packing, sharding
 from kpiforge.sources.tables import read_table
 
 
@@ -15,8 +15,22 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 15 (two regions of two racks of four), and in one shard more."""
+    return sharding.place(read_table(spark, sf_dir, "documents"), sharding.grid(16))
+
+
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 4096 ids of the public word vocabulary."""
+    import public_tokenizers
+
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("class")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_hash_tree_sharding": op4_hash_tree_sharding,
+    "op6_harmonic_packing": op6_harmonic_packing,
 }
 
 _SHINGLES = r"""
@@ -30,9 +44,9 @@ grams AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM sets)
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""
 WITH RECURSIVE {_SHINGLES},
-overlaps AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS o
+inter AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS o
     FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT x, y FROM overlaps WHERE 100 * o >= 75 * (nx + ny - o)),
+links AS (SELECT x, y FROM inter WHERE 100 * o >= 75 * (nx + ny - o)),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON reach.r = links.x)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id FROM sets s
 JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
