@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kpiforge.llm import ngram_join, packing, sharding
+from kpiforge.llm import embedding_dedup, ngram_join, packing, resample, sharding
 from kpiforge.sources.tables import read_table
 
 
@@ -15,6 +15,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn by importance resampling towards those labelled good."""
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 15 (two regions of two racks of four), and in one shard more."""
     return sharding.place(read_table(spark, sf_dir, "documents"), sharding.grid(16))
@@ -27,17 +32,24 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("class")
 
 
+def op8_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings of equal label with cosine of 0.98 or more."""
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_importance_resampling": op2_importance_resampling,
     "op4_hash_tree_sharding": op4_hash_tree_sharding,
     "op6_harmonic_packing": op6_harmonic_packing,
+    "op8_cross_polytope_dedup": op8_cross_polytope_dedup,
 }
 
 _SHINGLES = r"""
-words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+words AS (SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+    ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM words),
 grams AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM sets)
 """
 
@@ -50,5 +62,16 @@ links AS (SELECT x, y FROM inter WHERE 100 * o >= 75 * (nx + ny - o)),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON reach.r = links.x)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id FROM sets s
 JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
+""",
+    "op8_cross_polytope_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e, sqrt(list_sum([x * x for x in e])) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+    AND len([x for x in e if x IS NULL OR NOT isfinite(x)]) = 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.e) = len(b.e) WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) >= 0.98 * a.n * b.n),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.vec_id, links.y FROM reach JOIN links ON reach.r = links.x)
+SELECT vec_id, coalesce(d.n, 0)::BIGINT AS n_links, m.component_id, vec_id = m.component_id AS kept
+FROM (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id) m
+LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x) d USING (vec_id)
 """,
 }
