@@ -1,21 +1,70 @@
-"""A training corpus from ``documents``: each stage works on what its predecessor kept."""
+"""A training corpus from ``documents``: each stage works on all that its predecessor kept.
+
+Stages, each one operator of :mod:`kpiforge.llm` with production parameters:
+
+1. ``quality``: documents that importance resampling does not draw go.
+2. ``line_dedup``: lines of templates that recur in three or more documents
+   go, except in the first of them; ``n_chars`` follows the text.  A document
+   all of whose lines went (a copy of others) goes with them.
+3. ``near_duplicates``: of documents linked by five-word shingles (Jaccard
+   similarity of 0.75 or more) the one with the smallest id stays.  Rows that
+   repeat an id count as one document; rows without an id stay once a text.
+4. ``decontamination``: documents that a benchmark item leaks into go.
+5. ``packing``: what is left as pieces of sequences of at most 4096 ids.
+
+All but the last return the columns of ``documents``.  Empty tables give
+empty results; null texts are kept as they are by stages 2 to 4.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kpiforge.llm import decontam, line_dedup, ngram_join, packing, resample
 from kpiforge.llm.common import stored
 from kpiforge.sources.tables import read_table
 
-STAGES: list = []
-ORACLE_SQL = None
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return resample.keep(docs, read_table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_recurring(docs).where("n_dropped = 0 OR trim(text) <> ''")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = stored(ngram_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    unnamed = docs.where("doc_id IS NULL").dropDuplicates(["text"])
+    return named.unionByName(unnamed)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("class")
+
+
+STAGES = [("quality", quality), ("line_dedup", dedup_lines), ("near_duplicates", near_duplicates),
+          ("decontamination", decontamination), ("packing", pack)]
+
+ORACLE_SQL = None  # a drawn sample and trained weights are not SQL; tests/llm holds each stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage's result is written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage{k}")
+            docs = stored(docs, f"stage{k}-{name}")
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kpiforge.llm import embedding_dedup, ngram_join, packing, resample, sharding
+from kpiforge.llm import decontam, embedding_dedup, extraction, langid, line_dedup, ngram_join, packing, resample, sharding, toxicity
 from kpiforge.sources.tables import read_table
 
 
@@ -20,11 +20,22 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_consensus_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the container path that its host's pages agree on."""
+    return extraction.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 15 (two regions of two racks of four), and in one shard more."""
     return sharding.place(read_table(spark, sf_dir, "documents"), sharding.grid(16))
 
 
+def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; ids whose CRC-32 leaves 0 modulo 5 are never learned from."""
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of at most 4096 ids of the public word vocabulary."""
     import public_tokenizers
@@ -32,18 +43,30 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("class")
 
 
+def op7_log_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines whose template recurs in three or more documents (the first keeps them)."""
+    return line_dedup.drop_recurring(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of embeddings of equal label with cosine of 0.98 or more."""
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.98)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    "op2_importance_resampling": op2_importance_resampling,
-    "op4_hash_tree_sharding": op4_hash_tree_sharding,
-    "op6_harmonic_packing": op6_harmonic_packing,
-    "op8_cross_polytope_dedup": op8_cross_polytope_dedup,
-}
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that leak into them, exactly or with other slot values."""
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; ids whose CRC-32 leaves 1 modulo 3 are never learned from."""
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_ngram_jaccard_join, op2_importance_resampling, op3_consensus_extraction, op4_hash_tree_sharding, op5_counterfactual_toxicity,
+    op6_harmonic_packing, op7_log_template_lines, op8_cross_polytope_dedup, op9_template_decontamination, op10_byte_gru_language)}
 
 _SHINGLES = r"""
 words AS (SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
