@@ -22,10 +22,12 @@ form a class (named by a 64-bit hash of the set) that is searched once.
    thousands is spread over many tasks).  A block builds the inverted lists
    of its members, heap-merges the query's short lists, binary-probes the long
    ones (:func:`divide_skip`) and keeps members that reach the overlap.
-   Lists that still hold two components get another leader; when few pairs
-   are left (estimated by counts), all of them are searched.  A pair is left
-   out only if its two classes are connected already, so the components are
-   exact and a group of k copies costs about k searches, not k * k / 2.
+   Lists that still hold two components get other leaders, and at last every
+   pair of classes in different components is searched at the first list it
+   shares, if the lists after that suffice for the overlap.  A pair is left
+   out only if its two classes are connected already or cannot reach the
+   threshold, so the components are exact and a group of k copies costs
+   about k searches, not k * k / 2.
 
 Cases.  Null or empty text, or only white space: empty set, ``n_shingles`` 0,
 ``component_id`` its own ``doc_id``.  Fewer than n words: the whole sequence
@@ -49,6 +51,7 @@ from kpiforge.llm.common import (
 
 LONG = 64  # an inverted list with more classes than this is long
 FLUSH = 1 << 24  # bytes of text whose postings a map task packs together
+LEADERS = 2  # rounds in which a leader searches each list, before what is left is searched pair by pair
 BLOCK = 512  # members searched by one task per leader
 _PACKED = "dest int, kind int, keys binary, counts binary, hashes binary, flags binary"
 _PACKED_ARROW = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
@@ -346,6 +349,20 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .groupBy("task").applyInArrow(lambda t: _search_blocks(percent)(t), "a long, b long"))
 
 
+def _merge_lists(sets: DataFrame) -> DataFrame:
+    """The lists to merge: a row per class and list, with the list before it in the class (``before``) and how many
+    shared lists the class has from it on (``after``).
+
+    Lists of one class are left out, and so are lists that all their members
+    reach from one and the same list: whatever meets in them has met there.
+    """
+    rows = sets.select("c", "n", (F.octet_length("shared") / 8).cast("long").alias("shared"), "prefix", F.posexplode("prefix").alias("i", "h"))
+    rows = rows.select("h", "c", "n", "shared", F.get("prefix", F.col("i") - 1).alias("before"), (F.col("shared") - F.col("i")).alias("after"))
+    live = rows.groupBy("h").agg(F.count("*").alias("k"), F.count("before").alias("b"), F.min("before").alias("x"), F.max("before").alias("y"))
+    live = live.where("k > 1 AND (b < k OR x <> y)").select("h")
+    return stored(rows.join(live, "h", "left_semi"), "merge-lists")
+
+
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75):
     """``(rows, links)``: each document's ``doc_id, n_shingles, c`` (class, null for an empty set) and links (a, b) of classes."""
     spark = docs.sparkSession
@@ -356,30 +373,26 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = packed.where(F.col("kind") == _DOCS).mapInArrow(_unpack_docs, "doc_id long, n_shingles long, c long")
     sets = stored(packed.where(F.col("kind") > _DOCS).groupBy("dest").applyInArrow(
         lambda t: prefixes(t), "c long, n long, shared binary, prefix array<long>"), "sets")
-    size_ok = "100 * least(n, n2) >= {p} * greatest(n, n2)".format(p=percent)
-    lead = stored(sets.select(F.explode("prefix").alias("h"), "c", "n"), "merge-lists")
-    links, tested, comp = None, None, None
-    for turn in range(6):
+    merge = _merge_lists(sets)
+    # the first list that two classes share: no list before it is shared, and what follows must suffice for the overlap
+    able = f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND {100 + percent} * least(after, after2) >= {percent} * (n + n2)"
+    links, tested = None, None
+    for turn in range(LEADERS + 1):
         if turn:
             comp = components(links)
-            lead = lead.select("h", "c", "n").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-            live = lead.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
-            lead = stored(lead.join(live, "h", "left_semi"), "merge-lists")
-            sizes = lead.groupBy("h", "component").count().groupBy("h").agg(
-                F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("q"))
-            left, rows_left = sizes.agg(F.sum((F.col("k") * F.col("k") - F.col("q")) / 2), F.sum("k")).first()
-            if not left:
-                break
-        if turn and (left <= 2 * rows_left or turn == 5):  # few enough: every pair of the live lists
-            other = lead.select("h", F.col("c").alias("m"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            pairs = lead.join(other, "h").where("component <> component2 AND c < m").where(size_ok).select(F.col("c").alias("leader"), "m")
+            merge = merge.drop("component").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn(
+                "component", F.coalesce("component", "c"))
+            live = merge.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
+            merge = stored(merge.join(live, "h", "left_semi"), "merge-lists")
+        if turn < LEADERS:
+            best = F.col("shared") / F.col("n") if turn == 0 else F.lit(0)
+            lead = merge.groupBy("h").agg(F.max_by(F.struct("c", "n", "shared"), F.struct(best, F.xxhash64("c", F.lit(turn)))).alias("l"))
+            pairs = merge.join(lead, "h").where("c <> l.c").withColumns({"n2": F.col("l.n"), "after": F.col("shared"), "after2": F.col("l.shared")})
+            pairs = pairs.where(able).select(F.col("l.c").alias("leader"), F.col("c").alias("m"))
         else:
-            first = lead.groupBy("h").agg(F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("r"), F.col("c").alias("leader"), F.col("n").alias("n2"))).alias("first"))
-            pairs = lead.join(first.select("h", "first.leader", "first.n2"), "h").where("c <> leader").where(size_ok)
-            if turn:
-                own = lead.select(F.col("c").alias("leader"), F.col("component").alias("component2")).distinct()
-                pairs = pairs.join(own, "leader").where("component <> component2")
-            pairs = pairs.select("leader", F.col("c").alias("m"))
+            other = merge.select("h", *[F.col(k).alias(f"{k}2") for k in ("c", "n", "before", "after", "component")])
+            pairs = merge.join(other, "h").where("component <> component2 AND c < c2 AND (before IS NULL OR before2 IS NULL OR before <> before2)")
+            pairs = pairs.where(able).select(F.col("c").alias("leader"), F.col("c2").alias("m"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["leader", "m"], "left_anti")
@@ -387,8 +400,6 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = stored(_links(pairs, sets, percent), "links")
         links = found if links is None else links.unionByName(found)
-        if turn and (left <= 2 * rows_left or turn == 5):
-            break
     return rows, links
 
 
