@@ -46,7 +46,7 @@ def main() -> None:
 
     # untimed: start the executors' JVM threads and code paths once
     spark.range(1000).selectExpr("sum(id)").collect()
-    timed("materialize", lambda: materialize_order_lines(order_lines(spark, sf_dir), wide_path))
+    timed("materialize", lambda: materialize_order_lines(order_lines(spark, sf_dir, partitions=cpus), wide_path))
     ol = spark.read.parquet(wide_path)
 
     headline = {
@@ -61,9 +61,9 @@ def main() -> None:
         "facts": lambda: facts.build_facts(ol),
         "dashboard_frames": lambda: dashboard.dashboard_frames(ol),
         "tfidf_topk": lambda: retrieval.retrieve(
-            retrieval.fit_tfidf(read_table(spark, sf_dir, "documents", spread_on="doc_id"), "doc_id", "text"),
+            retrieval.fit_tfidf(read_table(spark, sf_dir, "documents", partitions=cpus), "doc_id", "text"),
             read_table(spark, sf_dir, "benchmark"), 10, "item_id", "text"),
-        "history_window": lambda: history.history_summary(read_table(spark, sf_dir, "conversations", spread_on="conv_id")),
+        "history_window": lambda: history.history_summary(read_table(spark, sf_dir, "conversations")),
     }
     only = [q for q in os.environ.get("BENCH_ONLY", "").split(",") if q]
     for name, build in headline.items():

@@ -318,10 +318,20 @@ def q_extremes(spark, sf_dir):
 
 # ── B5-B8: dashboard frames ──────────────────────────────────────────────
 
-@register("heatmap", """
-PIVOT (SELECT segment, region, profit FROM order_lines WHERE segment IS NOT NULL AND region IS NOT NULL)
-ON region USING CAST(SUM(profit) AS DOUBLE) GROUP BY segment""")
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@register("heatmap", f"""
+SELECT segment, {', '.join(f"""CAST(SUM(CASE WHEN region = '{r}' THEN profit END) AS DOUBLE) AS "{r}" """ for r in _REGIONS)}
+FROM order_lines WHERE segment IS NOT NULL AND region IS NOT NULL GROUP BY segment""")
 def q_heatmap(spark, sf_dir):
+    return dashboard.profit_heatmap(_ol(spark, sf_dir), list(_REGIONS))
+
+
+@register("heatmap_cells", """
+SELECT segment, region, CAST(SUM(profit) AS DOUBLE) AS profit
+FROM order_lines WHERE segment IS NOT NULL AND region IS NOT NULL GROUP BY segment, region""")
+def q_heatmap_cells(spark, sf_dir):
     return dashboard.profit_heatmap(_ol(spark, sf_dir))
 
 
@@ -645,7 +655,7 @@ _TFIDF_SQL = _tfidf_sql()
 @register("tfidf_topk", _TFIDF_SQL + """
 SELECT qid, doc_id, score, rank FROM r WHERE rank <= 10""", with_view=False)
 def q_tfidf_topk(spark, sf_dir):
-    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents", spread_on="doc_id"), "doc_id", "text")
+    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     return retrieval.retrieve(idx, read_table(spark, sf_dir, "benchmark"), 10, "item_id", "text")
 
 
@@ -666,7 +676,7 @@ SELECT qid, doc_id, COALESCE(score, 0.0) AS score, pp IS NOT NULL AS pinned,
                           score DESC NULLS LAST, c ASC NULLS LAST) AS position
 FROM m""", with_view=False)
 def q_tfidf_pinned(spark, sf_dir):
-    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents", spread_on="doc_id"), "doc_id", "text")
+    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     return retrieval.retrieve_pinned(idx, read_table(spark, sf_dir, "benchmark"), k=6, min_score=0.03,
                                      pinned_ids=_PINS, qid_col="item_id", text_col="text")
 
@@ -680,7 +690,7 @@ SELECT conv_id, COUNT(*) AS kept_messages, MIN(turn) AS first_kept_turn,
                 ELSE COALESCE(text, '') END END, chr(10) ORDER BY turn), '') AS summary
 FROM k WHERE r <= 16 GROUP BY conv_id""", with_view=False)
 def q_history_window(spark, sf_dir):
-    return history.history_summary(read_table(spark, sf_dir, "conversations", spread_on="conv_id"))
+    return history.history_summary(read_table(spark, sf_dir, "conversations"))
 
 
 @register("followup_query", """
@@ -691,7 +701,7 @@ SELECT * FROM (
   , LATERAL (SELECT last_question || ' ' || last_answer AS query)
 WHERE last_question IS NOT NULL AND last_answer IS NOT NULL""", with_view=False)
 def q_followup_query(spark, sf_dir):
-    return history.followup_query(read_table(spark, sf_dir, "conversations", spread_on="conv_id"))
+    return history.followup_query(read_table(spark, sf_dir, "conversations"))
 
 
 # ── G1-G10: question-log tagging ─────────────────────────────────────────
@@ -731,7 +741,11 @@ def _nz(x):
     return f"NULLIF({x}, '')"
 
 
-def _question_sql():
+_CONV_QUESTIONS = """q AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, COALESCE(text, '') AS q,
+             trim(lower(COALESCE(text, ''))) AS ql FROM conversations WHERE role = 'user')"""
+
+
+def _question_sql(source=_CONV_QUESTIONS):
     Q = questions
     months = " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in Q.MONTHS.items())
     rng1 = _sql_parse_date(_nz(f"regexp_extract(ql, {_q(Q.DATE_RANGE)}, 1)"))
@@ -754,8 +768,7 @@ def _question_sql():
 WITH v AS (SELECT {', '.join(f"list_sort(list_distinct(list({d}) FILTER (WHERE {d} IS NOT NULL))) AS {d}"
                               for d in Q.VALUE_DIMS)},
                   MIN(order_date) AS lo, MAX(order_date) AS hi FROM order_lines),
-q AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id, COALESCE(text, '') AS q,
-             trim(lower(COALESCE(text, ''))) AS ql FROM conversations WHERE role = 'user'),
+{source},
 a AS (
   SELECT q.*, v.lo, v.hi,
          regexp_matches(q, {_q(Q.DETAIL_NEGATIVE)}) AS is_loss,
@@ -788,6 +801,7 @@ a AS (
 b AS (
   SELECT *,
          CASE WHEN len(mk) = 0 THEN ['sales'] ELSE mk[1:2] END AS metrics,
+         COALESCE(kw_dim, CASE WHEN raw_dim IN ('region', 'segment', 'category', 'sub_category', 'state') THEN raw_dim END) AS asked_dim,
          COALESCE(kw_dim, CASE WHEN raw_dim IN ('region', 'segment', 'category', 'sub_category', 'state') THEN raw_dim END,
                   value_dim) AS dim,
          COALESCE(w_rng,
@@ -808,7 +822,7 @@ b AS (
 c AS (
   SELECT *,
          COALESCE(w_explicit, CASE WHEN rel_start IS NOT NULL THEN {{'start': rel_start, 'end': hi}} END) AS dts,
-         COALESCE(top_n, CASE WHEN regexp_matches(q, {_q(Q.SUPERLATIVE)}) AND dim IS NOT NULL THEN 1 END) AS tp,
+         COALESCE(top_n, CASE WHEN regexp_matches(q, {_q(Q.SUPERLATIVE)}) AND asked_dim IS NOT NULL THEN 1 END) AS tp,
          COALESCE(cmp_kw, CASE WHEN regexp_matches(ql, {_q(Q.COMPARE_WORD)}) THEN 'prev_period' END) AS cmp
   FROM b),
 d AS (
@@ -866,18 +880,56 @@ SELECT id, q AS text, intent,
 FROM f"""
 
 
-@register("question_tags", _question_sql())
-def q_question_tags(spark, sf_dir):
-    conv = read_table(spark, sf_dir, "conversations", spread_on="conv_id").filter(F.col("role") == "user")
-    qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    t = questions.tag_questions(qs, _ol(spark, sf_dir))
-    # flat output for the check: lists as delimited strings
+def _flat_tags(t):
+    """Flat output for the check: lists as delimited strings."""
     return t.select("id", "text", "intent", F.array_join("metrics", ",").alias("metrics"),
                     *[c for c in t.columns if c not in ("id", "text", "intent", "metrics")
                       and not c.startswith("mentioned_")],
                     *[F.array_join(f"mentioned_{d}", "|").alias(f"mentioned_{d}") for d in questions.VALUE_DIMS])
 
 
+@register("question_tags", _question_sql())
+def q_question_tags(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    qs = conv.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    return _flat_tags(questions.tag_questions(qs, _ol(spark, sf_dir)))
+
+
+# Questions composed from the tables: one per customer, its form chosen by the key, naming the customer's region and
+# segment, the type and brand of the part with the same key, and years and days that follow the key.
+_QUESTION_FORMS = (
+    "'best sales in ' || r_name", "'highest profit for ' || c_mktsegment", "'total sales'", "'total profit'", "'number of orders'",
+    "'profit margin'", "'dashboard overview'", "'profit by region'", "'top 3 sub-categories by profit'",
+    "'sales in Q' || CAST(1 + c_custkey % 4 AS VARCHAR(1)) || ' ' || y", "'sales 13/02/' || y || ' to 01/02/' || y",
+    "'which products are losing money'", "'sales past 30 days'", "'orders last 2 weeks'", "'profit past 3 months'", "'revenue last 1 year'",
+    "'sales this quarter'", "'sales this week'", "'profit current month'", "'sales this year'", "'profit vs last year'",
+    "'sales month over month'", "'how did sales change year-over-year'", "'compare sales in ' || y || ' vs previous period by segment'",
+    "'highest and lowest state by sales'", "'sales and profit of ' || p_type", "'monthly profit for ' || p_brand",
+    "'sales on ' || y || '-05-06'", "'sales between 5/6/' || y || ' and 7.8.' || y", "'sales in march ' || y", "y || ' december orders'",
+    "'strongest growth by segment'", "'which region has fastest growth in ' || y", "'weekly orders'", "'best region by profit'",
+    "'sales in ' || r_name || ' and ' || c_mktsegment || ' for ' || y", "'most profit in ' || r_name || ' by category'",
+    "'quarterly sales of ' || c_mktsegment", "'at least sales'", "'compare profit of ' || r_name || ' and others'",
+    "'yoy growth of orders in ' || y", "'which orders are at a loss in ' || y", "'   '", "'unprofitable ' || p_brand || ' by state'",
+)
+_FORMS_SQL = f"""
+SELECT CAST(c_custkey AS VARCHAR(20)) AS id, CASE c_custkey % {len(_QUESTION_FORMS)}
+       {' '.join(f'WHEN {k} THEN {form}' for k, form in enumerate(_QUESTION_FORMS))} END AS text
+FROM (SELECT c_custkey, c_mktsegment, r_name, p_type, p_brand, CAST(1998 + c_custkey % 5 AS VARCHAR(4)) AS y
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+      JOIN part ON p_partkey = c_custkey) t"""
+
+
+@register("question_forms", _question_sql(
+    f"q AS (SELECT id, COALESCE(text, '') AS q, trim(lower(COALESCE(text, ''))) AS ql FROM ({_FORMS_SQL}) f)"))
+def q_question_forms(spark, sf_dir):
+    """Every rule at work: all intents, flags, date forms and mentions occur among the composed questions."""
+    tables = {t: read_table(spark, sf_dir, t) for t in ("customer", "nation", "region", "part")}
+    sql = _FORMS_SQL
+    for t in tables:
+        sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
+    return _flat_tags(questions.tag_questions(spark.sql(sql, **tables), _ol(spark, sf_dir)))
+
+
 # ── remaining single operators: chart frames, conditions, windows, W13/W14, R6, S4 ──
 
 @register("chart_sales_profit_by_month", """
@@ -966,7 +1018,7 @@ SELECT top.qid, '
 ' || string_agg('  - ' || d.text, chr(10) ORDER BY top.rank) AS context
 FROM top JOIN documents d ON d.doc_id = top.doc_id GROUP BY top.qid""", with_view=False)
 def q_tfidf_context(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents", spread_on="doc_id")
+    docs = read_table(spark, sf_dir, "documents")
     idx = retrieval.fit_tfidf(docs, "doc_id", "text")
     ranked = retrieval.retrieve(idx, read_table(spark, sf_dir, "benchmark"), 6, "item_id", "text")
     return retrieval.context_block(ranked.withColumnRenamed("rank", "position"), docs, "doc_id", "text")
@@ -1103,12 +1155,64 @@ FROM m""", with_view=False)
 def q_followup_retrieval(spark, sf_dir):
     """R8 -> R3-R5: each conversation's last question + last answer retrieved
     with k = 8 and the follow-up floor 0.02 (the suggestion path)."""
-    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents", spread_on="doc_id"), "doc_id", "text")
-    fq = history.followup_query(read_table(spark, sf_dir, "conversations", spread_on="conv_id"))
+    idx = retrieval.fit_tfidf(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    fq = history.followup_query(read_table(spark, sf_dir, "conversations"))
     return retrieval.retrieve_pinned(idx, fq, k=8, min_score=0.02, pinned_ids=_PINS,
                                      qid_col="conv_id", text_col="query")
 
 
+# ── U2, R5, R6: duplicate ids, a pin that is not indexed, a prompt with the chat's summary ──
+
+_DOUBLED_CTE = """bq AS (SELECT item_id, text FROM benchmark WHERE item_id < 20),
+doubled AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, 'zz ' || text FROM documents),
+once AS (SELECT doc_id, min(text) AS text FROM doubled GROUP BY doc_id),
+"""
+_PINS_ABSENT = (1, -5, 3)
+
+
+@register("tfidf_duplicates_pins", _tfidf_sql("bq", "item_id", "text", _DOUBLED_CTE, "once") + f"""
+, hits AS (SELECT qid, doc_id, score, rank AS c FROM r WHERE rank <= 10 AND score >= 0.03),
+pins AS (SELECT * FROM (SELECT item_id AS qid, unnest([{', '.join(map(str, _PINS_ABSENT))}]) AS doc_id,
+                unnest(range(0, {len(_PINS_ABSENT)})) AS pp FROM bq) t WHERE doc_id IN (SELECT doc_id FROM once)),
+m AS (SELECT COALESCE(h.qid, p.qid) AS qid, COALESCE(h.doc_id, p.doc_id) AS doc_id, h.score, h.c, p.pp
+      FROM hits h FULL OUTER JOIN pins p ON h.qid = p.qid AND h.doc_id = p.doc_id)
+SELECT qid, doc_id, COALESCE(score, 0.0) AS score, pp IS NOT NULL AS pinned,
+       ROW_NUMBER() OVER (PARTITION BY qid ORDER BY CASE WHEN pp IS NOT NULL THEN 0 ELSE 1 END,
+                          CASE WHEN pp IS NOT NULL AND c IS NOT NULL THEN 0 ELSE 1 END,
+                          CASE WHEN pp IS NOT NULL THEN c END NULLS FIRST,
+                          CASE WHEN pp IS NOT NULL THEN pp END NULLS FIRST,
+                          score DESC NULLS LAST, c ASC NULLS LAST) AS position
+FROM m""", with_view=False)
+def q_tfidf_duplicates_pins(spark, sf_dir):
+    """Every document twice under its id (de-duplicated before fitting); one pinned id is in no document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    twice = docs.unionByName(docs.select("doc_id", F.concat(F.lit("zz "), "text").alias("text")))
+    queries = read_table(spark, sf_dir, "benchmark").filter("item_id < 20")  # the batch of queries, against all documents
+    return retrieval.retrieve_pinned(retrieval.fit_tfidf(twice, "doc_id", "text"), queries, k=6, min_score=0.03,
+                                     pinned_ids=_PINS_ABSENT, qid_col="item_id", text_col="text")
+
+
+@register("chat_context", _tfidf_sql("fq", "conv_id", "query", _FOLLOWUP_CTE) + """
+, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rr FROM conversations),
+h AS (SELECT conv_id, COALESCE(string_agg(CASE WHEN rr <= 10 THEN
+           CASE WHEN role = 'user' THEN 'User' ELSE 'Bot' END || ': ' ||
+           CASE WHEN length(COALESCE(text, '')) > 200 THEN substring(COALESCE(text, ''), 1, 200) || '...'
+                ELSE COALESCE(text, '') END END, chr(10) ORDER BY turn), '') AS summary
+      FROM k WHERE rr <= 16 GROUP BY conv_id),
+t AS (SELECT r.qid, string_agg('  - ' || d.text, chr(10) ORDER BY r.rank) AS facts
+      FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE r.rank <= 6 GROUP BY r.qid)
+SELECT COALESCE(t.qid, h.conv_id) AS qid, concat_ws(chr(10),
+       CASE WHEN COALESCE(h.summary, '') <> '' THEN '[Recent conversation]' || chr(10) || h.summary END,
+       CASE WHEN t.facts IS NOT NULL THEN chr(10) || '[Verified data facts from dashboard]' || chr(10) || t.facts END) AS context
+FROM t FULL OUTER JOIN h ON t.qid = h.conv_id""", with_view=False)
+def q_chat_context(spark, sf_dir):
+    """R6 with both parts: every conversation's summary and the facts its last exchange retrieves."""
+    docs, conv = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "conversations")
+    ranked = retrieval.retrieve(retrieval.fit_tfidf(docs, "doc_id", "text"), history.followup_query(conv), 6, "conv_id", "query")
+    summaries = history.history_summary(conv).select(F.col("conv_id").alias("qid"), "summary")
+    return retrieval.context_block(ranked.withColumnRenamed("rank", "position"), docs, "doc_id", "text", summaries)
+
+
 # ── the answer path: facts -> TF-IDF -> k = 7 with the pinned schema / KPI facts ──
 
 # fixed values: facts the engine always returns first
@@ -1139,6 +1243,133 @@ def q_fact_retrieval(spark, sf_dir):
     facts pinned first (the engine's answer path, R1-R5 over K1-K13)."""
     f = facts.build_facts(_ol(spark, sf_dir)).select("chunk_id", "text")
     idx = retrieval.fit_tfidf(f, "chunk_id", "text")
-    qs = read_table(spark, sf_dir, "conversations", spread_on="conv_id").filter(F.col("role") == "user").select(
+    qs = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select(
         F.concat_ws(":", "conv_id", "turn").alias("qid"), "text")
     return retrieval.retrieve_pinned(idx, qs, k=7, min_score=0.03, pinned_ids=_FACT_PINS)
+
+
+# ── rows for what only unit tests exercised: wide load, semi-top, labels, percent discounts, other relative units ──
+
+@register("wide_load", f"""
+SELECT region AS breakdown, {sql_metrics(['sales', 'profit', 'orders'])}, MIN(order_date) AS first_date, MAX(ship_date) AS last_shipped
+FROM order_lines WHERE order_date BETWEEN DATE '1996-02-01' AND DATE '1999-06-30' AND segment IN ('AUTOMOBILE', 'BUILDING')
+GROUP BY region""")
+def q_wide_load(spark, sf_dir):
+    """The lines written as a wide text table (dates as text, decimal commas, percent signs), loaded with
+    filters: dates and money are coerced to their types before the sums."""
+    from kpiforge.sources.order_lines import load_orders
+    from kpiforge.sources.tables import shared_path
+
+    ol = _ol(spark, sf_dir)
+    comma = [F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")).alias(c) for c in ("sales", "profit")]
+    text = ol.select("order_id", F.col("order_date").cast("string").alias("order_date"), F.col("ship_date").cast("string").alias("ship_date"),
+                     "region", "state", "segment", "category", "sub_category", "product_name", *comma,
+                     F.concat((F.col("discount") * 100).cast("string"), F.lit("%")).alias("discount"))
+    path = shared_path(spark, "wide-text")
+    text.write.csv(path, header=True)
+    rows = load_orders(spark, path, {"date_range": ("1996-02-01", "1999-06-30"), "segment": ["AUTOMOBILE", "BUILDING"]},
+                       fmt="csv", options={"header": "true"})
+    return rows.groupBy(F.col("region").alias("breakdown")).agg(
+        *kpi.metric_cols(["sales", "profit", "orders"]), F.min("order_date").alias("first_date"), F.max("ship_date").alias("last_shipped"))
+
+
+@register("trend_of_top3", f"""
+WITH t AS (SELECT CAST(date_trunc('month', order_date) AS DATE) AS period, sub_category AS breakdown, {sql_metrics(['profit'])}
+           FROM order_lines GROUP BY 1, 2),
+top AS (SELECT sub_category FROM order_lines GROUP BY sub_category ORDER BY SUM(profit) DESC, sub_category LIMIT 3)
+SELECT * FROM t WHERE breakdown IN (SELECT sub_category FROM top)""")
+def q_trend_of_top3(spark, sf_dir):
+    """the monthly trend of the three best sub-categories."""
+    from kpiforge.operators.filters import semi_top
+    ol = _ol(spark, sf_dir)
+    return semi_top(kpi.kpi_trend(ol, ["profit"], "month", breakdown_by="sub_category"), kpi.kpi_rank(ol, ["profit"], "sub_category", 3))
+
+
+@register("period_labels", """
+SELECT 'year' AS grain, strftime(date_trunc('year', order_date), '%Y') AS label, strftime(MIN(order_date), '%b %Y') AS context,
+       COUNT(*) AS lines FROM order_lines GROUP BY 2
+UNION ALL SELECT 'quarter', year(order_date) || ' Q' || quarter(order_date), strftime(MIN(order_date), '%b %Y'), COUNT(*) FROM order_lines GROUP BY 2
+UNION ALL SELECT 'month', strftime(order_date, '%Y-%m'), strftime(MIN(order_date), '%b %Y'), COUNT(*) FROM order_lines GROUP BY 2
+UNION ALL SELECT 'week', strftime(date_trunc('week', order_date), '%Y-%m-%d'), strftime(MIN(order_date), '%b %Y'), COUNT(*)
+FROM order_lines GROUP BY 2""")
+def q_period_labels(spark, sf_dir):
+    """D-c: the label of every period of every grain, and the context label of its first line, in one pass."""
+    from kpiforge.functions.dates import GRAINS, context_label, period_label, period_start
+
+    grains = [g for g in GRAINS]
+    cells = F.explode(F.array(*[F.struct(F.lit(g).alias("grain"), period_label(period_start(F.col("order_date"), g), g).alias("label")) for g in grains]))
+    rows = _ol(spark, sf_dir).select("order_date", cells.alias("c")).select("order_date", "c.grain", "c.label")
+    return rows.groupBy("grain", "label").agg(context_label(F.min("order_date")).alias("context"), F.count(F.lit(1)).alias("lines"))
+
+
+def _percent(ol):
+    return ol.withColumn("discount", (F.col("discount") * 100).cast("decimal(8,2)"))
+
+
+@register("discount_buckets_percent", ORACLE_SQL["discount_buckets"], with_view=False)
+def q_discount_buckets_percent(spark, sf_dir):
+    """M-c: discounts stored as percentages fall into the same buckets."""
+    return dashboard.discount_impact(_percent(_ol(spark, sf_dir)))
+
+
+@register("normalized_discount", """
+SELECT segment, MAX(discount) AS largest, CAST(SUM(discount) AS DOUBLE) AS total FROM order_lines GROUP BY segment""")
+def q_normalized_discount(spark, sf_dir):
+    """M-c: percentages divided by 100 because the column's maximum is above 1."""
+    from kpiforge.functions.numeric import normalize_discount
+
+    ol = _percent(_ol(spark, sf_dir))
+    d = normalize_discount(ol).cast("decimal(6,2)")
+    return ol.withColumn("d", d).groupBy("segment").agg(F.max("d").alias("largest"), F.sum("d").cast("double").alias("total"))
+
+
+_RELATIVE = {"relative_6w": (6, "week", "42 DAY"), "relative_5m": (5, "month", "5 MONTH"), "relative_2y": (2, "year", "24 MONTH")}
+
+
+def _make_relative(n, unit):
+    def q(spark, sf_dir):
+        df = _ol(spark, sf_dir)
+        return kpi.kpi_value(df, ["sales", "profit"], *relative_window(df, n, unit), breakdown_by="region")
+    return q
+
+
+for _name, (_n, _unit, _interval) in _RELATIVE.items():
+    register(_name, f"""
+SELECT region AS breakdown, {sql_metrics(['sales', 'profit'])} FROM order_lines
+WHERE order_date BETWEEN CAST({_ANCHOR} - INTERVAL {_interval} AS DATE) AND {_ANCHOR} GROUP BY region""")(_make_relative(_n, _unit))
+
+
+@register("current_periods", f"""
+SELECT g AS grain, {sql_metrics(['sales', 'orders'])} FROM order_lines, (VALUES ('week'), ('month'), ('year')) t(g)
+WHERE order_date BETWEEN CASE g WHEN 'week' THEN CAST(date_trunc('week', {_ANCHOR}) AS DATE)
+      WHEN 'month' THEN CAST(date_trunc('month', {_ANCHOR}) AS DATE) ELSE CAST(date_trunc('year', {_ANCHOR}) AS DATE) END AND {_ANCHOR}
+GROUP BY g""")
+def q_current_periods(spark, sf_dir):
+    """F8: this week, month and year up to the latest date."""
+    from kpiforge.operators.filters import current_window
+
+    df, out = _ol(spark, sf_dir), None
+    for g in ("week", "month", "year"):
+        one = kpi.kpi_value(df, ["sales", "orders"], *current_window(df, g)).select(F.lit(g).alias("grain"), "sales", "orders")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("detail_profit_positive", """
+SELECT order_id, order_date, segment AS breakdown, category, product_name, sales, profit, discount
+FROM order_lines WHERE order_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' AND profit > 0
+ORDER BY profit, order_id, order_date, breakdown, category, product_name, sales, discount LIMIT 10""")
+def q_detail_profit_positive(spark, sf_dir):
+    return detail.detail_rows(_ol(spark, sf_dir), "segment", "1997-01-01", "1997-12-31", cond="profit_positive")
+
+
+@register("detail_loss_totals_all", """
+SELECT COUNT(*) AS groups, CAST(COALESCE(SUM(orders), 0) AS BIGINT) AS orders,
+       CAST(COALESCE(SUM(CAST(profit AS DECIMAL(38,2))), 0) AS DOUBLE) AS total_loss,
+       CAST(COALESCE(SUM(CAST(sales AS DECIMAL(38,2))), 0) AS DOUBLE) AS total_sales
+FROM (SELECT COUNT(DISTINCT order_id) AS orders, CAST(ROUND(SUM(sales), 2) AS DOUBLE) AS sales,
+             CAST(ROUND(SUM(profit), 2) AS DOUBLE) AS profit
+      FROM order_lines GROUP BY sub_category, category HAVING SUM(profit) < 0) t""")
+def q_detail_loss_totals_all(spark, sf_dir):
+    """A19 over every loss group, not only the shown ones."""
+    return detail.detail_totals(detail.detail_summary(_ol(spark, sf_dir), "sub_category", top_k=None))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kpiforge.functions.dates import COMPARE_PERIODS, previous_window, previous_window_cols
 from kpiforge.functions.metrics import change_pct, metric_agg
 from kpiforge.operators.filters import PARTITION_YEAR, as_date_col, in_lists, relative_window
-from kpiforge.operators.kpi import check_dimension, check_metrics, check_top_k
+from kpiforge.operators.kpi import dimension, limited, metric_list
 
 
 def _windows(start, end, compare_period: str) -> tuple[Column, Column, Column, Column]:
@@ -37,11 +37,11 @@ def kpi_compare(df: DataFrame, metric, start, end, compare_period: str,
     prev_end, current, previous, change_pct.  Missing values count as 0;
     change_pct is NULL when previous is 0 (D4).
     """
-    metric = check_metrics(metric)
+    metric = metric_list(metric)
     if len(metric) != 1:
         raise ValueError("kpi_compare supports exactly 1 metric.")
     metric = metric[0]
-    breakdown_by = check_dimension(breakdown_by)
+    breakdown_by = dimension(breakdown_by)
     cs, ce, ps, pe = _windows(start, end, compare_period)
     d = F.col("order_date")
     in_cur, in_prev = d.between(cs, ce), d.between(ps, pe)
@@ -74,22 +74,18 @@ def compare_flags(df: DataFrame) -> DataFrame:
 
 
 def rank_by_change(df: DataFrame, metric: str, breakdown_by: str, start, end,
-                   compare_period: str, top_k: int = 10, filters=None) -> DataFrame:
+                   compare_period: str, top_k: int | None = 10, filters=None) -> DataFrame:
     """C5 (what the question asks): dimension values with the largest change first."""
-    top_k = check_top_k(top_k)
     cmp = kpi_compare(df, metric, start, end, compare_period, breakdown_by, filters)
-    return (cmp.orderBy(F.col("change_pct").desc_nulls_last(), F.col("breakdown").asc_nulls_last())
-               .limit(top_k))
+    return limited(cmp.orderBy(F.col("change_pct").desc_nulls_last(), F.col("breakdown").asc_nulls_last()), top_k)
 
 
-def rank_recent(df: DataFrame, breakdown_by: str, top_k: int = 10, days: int = 30,
+def rank_recent(df: DataFrame, breakdown_by: str, top_k: int | None = 10, days: int = 30,
                 filters=None) -> DataFrame:
     """C5 (what the reference does, D18): top values by sales of the last ``days`` days."""
-    top_k = check_top_k(top_k)
-    breakdown_by = check_dimension(breakdown_by)
+    breakdown_by = dimension(breakdown_by)
     start, end = relative_window(df, days, "day")
     rows = in_lists(df, filters).filter(F.col("order_date").between(start, end))
-    return (rows.groupBy(F.col(breakdown_by).alias("breakdown"))
-                .agg(metric_agg("sales").alias("sales"))
-                .orderBy(F.col("sales").desc_nulls_last(), F.col("breakdown").asc_nulls_last())
-                .limit(top_k))
+    return limited(rows.groupBy(F.col(breakdown_by).alias("breakdown"))
+                       .agg(metric_agg("sales").alias("sales"))
+                       .orderBy(F.col("sales").desc_nulls_last(), F.col("breakdown").asc_nulls_last()), top_k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.operators.filters import condition
-from kpiforge.operators.kpi import check_dimension, check_top_k, scoped
+from kpiforge.operators.kpi import dimension, limited, scoped
 
 ROW_SAMPLE = 10
 DETAIL_COLUMNS = ("order_id", "order_date", "breakdown", "category", "product_name",
@@ -14,15 +14,14 @@ DETAIL_COLUMNS = ("order_id", "order_date", "breakdown", "category", "product_na
 
 
 def detail_summary(df: DataFrame, breakdown_by: str = "sub_category", start=None, end=None,
-                   filters=None, top_k: int = 15) -> DataFrame:
+                   filters=None, top_k: int | None = 15) -> DataFrame:
     """(breakdown, category) groups whose summed profit is negative, worst first.
 
     orders, sales (2 dp), profit (2 dp), avg_discount_pct (1 dp), profit_margin
-    (2 dp, 0 when sales is 0); HAVING sum(profit) < 0; at most ``top_k``.
+    (2 dp, 0 when sales is 0); HAVING sum(profit) < 0; at most ``top_k`` (None: every group).
     Rounding is done on the exact DECIMAL sums.
     """
-    breakdown_by = check_dimension(breakdown_by or "sub_category")
-    top_k = check_top_k(top_k)
+    breakdown_by = dimension(breakdown_by or "sub_category")
     rows = scoped(df, start, end, filters)
     s, p = F.sum("sales"), F.sum("profit")
     margin = F.when(s == 0, F.lit(0.0)).otherwise(
@@ -36,9 +35,8 @@ def detail_summary(df: DataFrame, breakdown_by: str = "sub_category", start=None
                   margin.alias("profit_margin"),
                   p.alias("_profit"))
              .filter(F.col("_profit") < 0))
-    return (g.orderBy(F.col("_profit").asc(), F.col("breakdown").asc_nulls_last(),
-                      F.col("category").asc_nulls_last())
-             .limit(top_k).drop("_profit"))
+    return limited(g.orderBy(F.col("_profit").asc(), F.col("breakdown").asc_nulls_last(),
+                             F.col("category").asc_nulls_last()), top_k).drop("_profit")
 
 
 def detail_rows(df: DataFrame, breakdown_by: str = "sub_category", start=None, end=None,
@@ -49,7 +47,7 @@ def detail_rows(df: DataFrame, breakdown_by: str = "sub_category", start=None, e
     the query without it).  Ties are broken on every output column so the
     result is deterministic; ``orderBy().limit()`` keeps only n rows per task.
     """
-    breakdown_by = check_dimension(breakdown_by or "sub_category")
+    breakdown_by = dimension(breakdown_by or "sub_category")
     rows = scoped(df, start, end, filters).filter(condition(cond))
     cols = [F.col("order_id"), F.col("order_date"), F.col(breakdown_by).alias("breakdown"),
             F.col("category")]
@@ -76,32 +74,30 @@ def extremes(result: DataFrame, metric: str, key: str = "breakdown") -> DataFram
 
     Output rows: side ('top' / 'bottom'), rank within side (bottom listed worst
     first), key, value, plus the gap between highest and lowest and the gap in
-    % of the highest.  Needs at least two rows.  Runs on an aggregate, so the
-    unpartitioned windows see only a handful of rows.
+    % of the highest.  Needs at least two rows.  Each side is ``orderBy().limit(3)``
+    (every task keeps three rows), and only those six are ranked.
     """
-    w_all = Window.partitionBy()
-    desc = Window.orderBy(F.col("value").desc_nulls_last(), F.col("breakdown").asc_nulls_last())
-    asc = Window.orderBy(F.col("value").asc_nulls_first(), F.col("breakdown").desc_nulls_first())
-    r = (result.select(F.col(key).alias("breakdown"), F.col(metric).cast("double").alias("value"))
-               .withColumn("_rows", F.count(F.lit(1)).over(w_all))
-               .withColumn("_n", F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.col("_rows") / 3))))
-               .withColumn("_down", F.row_number().over(desc))
-               .withColumn("_up", F.row_number().over(asc)))
-    hi = F.max(F.when(F.col("_down") == 1, F.col("value"))).over(w_all)
-    lo = F.max(F.when(F.col("_up") == 1, F.col("value"))).over(w_all)
-    r = r.withColumn("gap", hi - lo).withColumn(
+    r = result.select(F.col(key).alias("breakdown"), F.col(metric).cast("double").alias("value"))
+    rows = r.agg(F.count(F.lit(1)).alias("_rows"))
+    down = [F.col("value").desc_nulls_last(), F.col("breakdown").asc_nulls_last()]
+    up = [F.col("value").asc_nulls_first(), F.col("breakdown").desc_nulls_first()]
+    both = None
+    for side, order in (("top", down), ("bottom", up)):
+        s = r.orderBy(*order).limit(3).withColumn("side", F.lit(side)).withColumn(
+            "rank", F.row_number().over(Window.partitionBy("side").orderBy(*order)).cast("long"))
+        both = s if both is None else both.unionByName(s)
+    w = Window.partitionBy()  # six rows
+    hi = F.max(F.when((F.col("side") == "top") & (F.col("rank") == 1), F.col("value"))).over(w)
+    lo = F.max(F.when((F.col("side") == "bottom") & (F.col("rank") == 1), F.col("value"))).over(w)
+    n = rows.scalar()
+    both = both.withColumn("gap", hi - lo).withColumn(
         "gap_pct", F.when(hi != 0, (hi - lo) / F.abs(hi) * 100).otherwise(F.lit(0.0)))
-    top = r.filter(F.col("_down") <= F.col("_n")).select(
-        F.lit("top").alias("side"), F.col("_down").cast("long").alias("rank"), "breakdown", "value", "gap", "gap_pct",
-        "_rows")
-    bottom = r.filter(F.col("_up") <= F.col("_n")).select(
-        F.lit("bottom").alias("side"), F.col("_up").cast("long").alias("rank"), "breakdown", "value", "gap", "gap_pct",
-        "_rows")
-    return top.unionByName(bottom).filter(F.col("_rows") >= 2).drop("_rows")
+    return both.filter((n >= 2) & (F.col("rank") <= F.least(F.lit(3), F.greatest(F.lit(1), F.floor(n / 3))))).select(
+        "side", "rank", "breakdown", "value", "gap", "gap_pct")
 
 
 def detail_totals(summary: DataFrame) -> DataFrame:
-    """Totals over the shown loss groups: groups, orders (summed, so an
+    """Totals over the loss groups of ``summary`` (the shown ones, or all for ``detail_summary(top_k=None)``): groups, orders (summed, so an
     order in two groups counts twice, D20), total loss, total sales."""
     return summary.agg(F.count(F.lit(1)).alias("groups"),
                        F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"),

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiforge.functions.numeric import BUCKET_LABELS, bucket_order, discount_bucket
+from kpiforge.functions.numeric import bucket_order, discount_bucket
 from kpiforge.functions.text import fixed, money, signed, thousands
 
 FACT_SCHEMA = "chunk_id string, text string, metadata map<string,string>"
@@ -44,11 +44,6 @@ SCHEMA_FACTS = (
 TOP_K_FACTS = (("sub_category", 10), ("category", 5), ("region", 4))
 DIM_FACTS = ("region", "segment", "category")
 
-# grouping keys of the shared aggregate (name -> expression)
-_SETS = ("year", "month", "quarter", "region", "segment", "category", "sub_category",
-         "segment_category", "bucket", "total")
-
-
 def _meta(**kv) -> Column:
     keys, vals = [], []
     for k, v in kv.items():
@@ -58,16 +53,22 @@ def _meta(**kv) -> Column:
 
 
 def _py_list(arr: Column, quote: bool) -> Column:
-    """Python ``repr`` of a list: ``[1995, 1996]`` / ``['AFRICA', 'ASIA']``."""
+    """The list text of facts: ``[1995, 1996]`` / ``['AFRICA', 'ASIA']``; a value with an
+    apostrophe stands in double quotes unless it holds both kinds of quotes."""
+    def quoted(v):
+        v = F.replace(v, F.lit("\\"), F.lit("\\\\"))
+        plain = F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        return F.when(v.contains("'") & ~v.contains('"'), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(plain)
+
     if quote:
-        arr = F.transform(arr, lambda v: F.concat(F.lit("'"), v, F.lit("'")))
+        arr = F.transform(arr, quoted)
     return F.concat(F.lit("["), F.array_join(arr, ", "), F.lit("]"))
 
 
 def fact_aggregates(df: DataFrame) -> DataFrame:
     """The shared aggregate: one row per (set, key1, key2).
 
-    Columns: ``set`` (name from _SETS), ``k1``/``k2`` (string keys; period
+    Columns: ``set`` (see the branches below), ``k1``/``k2`` (string keys; period
     start dates for time sets), ``sales``/``profit`` (exact DECIMAL sums),
     ``n_sales``/``n_profit`` (non-NULL counts), ``min_date``/``max_date``.
 
@@ -78,18 +79,17 @@ def fact_aggregates(df: DataFrame) -> DataFrame:
     was measured slower.
     """
     d = F.col("order_date")
-    mx = df.agg(F.max("discount")).scalar()
-    disc = F.when(mx > 1, F.col("discount") / 100).otherwise(F.col("discount"))
     base = df.select(
         F.year(d).alias("year"), F.trunc(d, "month").alias("month"), F.trunc(d, "quarter").alias("quarter"),
         "region", "segment", "category", "sub_category",
-        discount_bucket(disc).alias("bucket"), "sales", "profit", d.alias("order_date"))
-    keys = ["year", "month", "quarter", "region", "segment", "category", "sub_category", "bucket"]
-    sets = [[F.col(k)] for k in keys[:7]] + [[F.col("segment"), F.col("category")], [F.col("bucket")], []]
+        discount_bucket(F.col("discount")).alias("raw"), discount_bucket(F.col("discount") / 100).alias("pct"),
+        "discount", "sales", "profit", d.alias("order_date"))
+    keys = ["year", "month", "quarter", "region", "segment", "category", "sub_category", "raw", "pct"]
+    sets = [[F.col(k)] for k in keys] + [[F.col("segment"), F.col("category")], []]
     g = base.groupingSets(sets, *[F.col(k) for k in keys]).agg(
         F.sum("sales").alias("sales"), F.sum("profit").alias("profit"),
         F.count("sales").alias("n_sales"), F.count("profit").alias("n_profit"),
-        F.min("order_date").alias("min_date"), F.max("order_date").alias("max_date"),
+        F.min("order_date").alias("min_date"), F.max("order_date").alias("max_date"), F.max("discount").alias("max_discount"),
         F.grouping_id(*[F.col(k) for k in keys]).alias("_gid"))
     n = len(keys)
     full = (1 << n) - 1
@@ -106,7 +106,7 @@ def fact_aggregates(df: DataFrame) -> DataFrame:
     for name, present in (("year", ("year",)), ("month", ("month",)), ("quarter", ("quarter",)),
                           ("region", ("region",)), ("segment", ("segment",)),
                           ("category", ("category",)), ("sub_category", ("sub_category",)),
-                          ("segment_category", ("segment", "category")), ("bucket", ("bucket",)),
+                          ("segment_category", ("segment", "category")), ("raw", ("raw",)), ("pct", ("pct",)),
                           ("total", ())):
         hit = F.col("_gid") == only(*present)
         set_name = F.when(hit, F.lit(name)).otherwise(set_name)
@@ -115,7 +115,7 @@ def fact_aggregates(df: DataFrame) -> DataFrame:
         if len(present) > 1:
             k2 = F.when(hit, F.col(present[1]).cast("string")).otherwise(k2)
     return g.select(set_name.alias("set"), k1.alias("k1"), k2.alias("k2"), "sales", "profit",
-                    "n_sales", "n_profit", "min_date", "max_date")
+                    "n_sales", "n_profit", "min_date", "max_date", "max_discount")
 
 
 def order_counts(df: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def fact_rows(df: DataFrame) -> DataFrame:
                                          ["set", "_key"], "left")
     entry = F.struct(F.col("set"), F.col("k1"), F.col("k2"), F.col("sales").alias("s"),
                      F.col("profit").alias("p"), F.col("n_sales").alias("ns"), F.col("n_profit").alias("np"),
-                     F.col("min_date").alias("lo"), F.col("max_date").alias("hi"), F.col("orders"))
+                     F.col("min_date").alias("lo"), F.col("max_date").alias("hi"), F.col("max_discount").alias("md"), F.col("orders"))
     return a.agg(F.collect_list(entry).alias("rows"))
 
 
@@ -306,7 +306,9 @@ def _top_k_facts(rows: Column, dim: str, k: int) -> Column:
 
 def _discount_fact(rows: Column) -> Column:
     """Mean profit, mean sales and line count per discount bucket."""
-    bs = _sorted(F.filter(_of(rows, "bucket"), lambda r: r["np"] > 0), lambda r: bucket_order(r["k1"]))
+    percent = F.coalesce(F.get(_of(rows, "total"), 0)["md"] > 1, F.lit(False))
+    found = F.when(percent, _of(rows, "pct")).otherwise(_of(rows, "raw"))
+    bs = _sorted(F.filter(found, lambda r: r["np"] > 0), lambda r: bucket_order(r["k1"]))
 
     def item(r):
         return F.concat(F.lit("Discount "), r["k1"], F.lit(": avg profit="), money(r["p"].cast("double") / r["np"]),
@@ -396,5 +398,3 @@ def segment_category_top(df: DataFrame, n: int = 9) -> DataFrame:
     w = Window.orderBy(F.col("profit").desc(), F.col("segment"), F.col("category"))
     return g.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
 
-
-BUCKETS = BUCKET_LABELS

@@ -82,11 +82,6 @@ def condition(name: str) -> Column:
     return CONDITIONS[name]()
 
 
-def loss_rows(df: DataFrame) -> DataFrame:
-    """lines with negative profit."""
-    return df.filter(F.col("profit") < 0)
-
-
 def valid_dates(df: DataFrame, col: str = "order_date") -> DataFrame:
     """drop rows whose date did not parse."""
     return df.filter(F.col(col).isNotNull())

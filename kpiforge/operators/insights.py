@@ -73,7 +73,7 @@ def trend_insights(trend: DataFrame, metric: str, grain: str | None = None,
             .withColumn("_asc", F.row_number().over(part.orderBy(F.col("period").asc())))
             .withColumn("_desc", F.row_number().over(part.orderBy(F.col("period").desc())))
             .withColumn("_peak", F.row_number().over(part.orderBy(F.col("_v").desc(), F.col("period").asc())))
-            .withColumn("_trough", F.row_number().over(part.orderBy(F.col("_v").asc(), F.col("period").asc()))))
+            .withColumn("_trough", F.row_number().over(part.orderBy(F.col("_v").asc_nulls_last(), F.col("period").asc()))))
 
     def at(flag: str, n: int, col: str = "_v") -> Column:
         return F.max(F.when(F.col(flag) == n, F.col(col)))
@@ -208,8 +208,8 @@ def value_insights(kpis: DataFrame, sales: str = "total_sales", profit: str = "t
 def last_periods_top(trend: DataFrame, metric: str, periods: int = 24, top: int = 5) -> DataFrame:
     """The last ``periods`` periods, then only the ``top`` breakdown values by
     summed metric over them (D7: periods, not rows)."""
-    recent = trend.withColumn("_p", F.dense_rank().over(Window.orderBy(F.col("period").desc())))
-    recent = recent.filter(F.col("_p") <= periods).drop("_p")
+    last = trend.select(F.col("period").alias("_p")).distinct().orderBy(F.col("_p").desc()).limit(periods)
+    recent = trend.join(last, trend["period"].eqNullSafe(last["_p"]), "left_semi")
     if "breakdown" not in trend.columns:
         return recent.orderBy("period")
     best = (recent.groupBy("breakdown").agg(_exact_sum(F.col(metric).cast("double")).alias("_s"))

@@ -7,11 +7,12 @@ loss / extremes / growth-rank flags, date window, mentioned dimension values,
 intent and the fast-KPI label.  Only built-in string, regex, array and date
 functions; no UDF.
 
-Dimension values for the "mentioned value" rules (G8) come from the
-order-line table as ONE scalar subquery (sorted distinct values per
-dimension), so no join with the question table is needed and nothing is
-collected on the driver.  Relative windows ("past 30 days") end at the
-table's latest order date, also a scalar subquery.
+Values named in a question (G8) are found by an equi-join: every distinct
+question is cut into its 3-letter (for shorter values 2- and 1-letter) parts,
+which meet the values that begin with them; only those pairs are tested for
+the whole value.  Values and date bounds come from one aggregate over the
+order lines, written once to the shared folder.  Relative windows ("past 30
+days") end at the latest order date of that table (a scalar subquery).
 
 Regexes are Java regexes with the same text as the reference's Python ones;
 ``\\b`` and ``(?i)`` behave the same on ASCII text.
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.functions.metrics import DIMENSIONS
+from kpiforge.sources.tables import shared_table
 
 # ── fixed values: keyword tables (keyword -> value), in the reference's order ──
 METRIC_KEYWORDS = {
@@ -200,35 +202,43 @@ def relative_window(ql: Column, anchor: Column) -> Column:
     return F.when(start.isNotNull(), F.struct(start.alias("start"), anchor.alias("end")))
 
 
-def dimension_values(order_lines: DataFrame) -> Column:
-    """Scalar subquery: struct of sorted distinct non-NULL values per dimension."""
-    return order_lines.agg(F.struct(*[F.sort_array(F.collect_set(d)).alias(d) for d in VALUE_DIMS])).scalar()
-
-
-def _mentioned(ql: Column, values: Column) -> Column:
-    """Values named in the question as whole words (case-insensitive); empty
-    when none or when every value is named (then it is no filter)."""
-    # a whole-word match implies a substring match: the cheap test runs first,
-    # so the per-value regex is only compiled for values the question contains
-    hit = F.filter(values, lambda v: (F.instr(ql, F.lower(v)) > 0)
-                   & F.regexp_like(ql, F.concat(F.lit(r"\b\Q"), F.lower(v), F.lit(r"\E\b"))))
-    return F.when(F.size(hit) < F.size(values), hit).otherwise(F.array().cast("array<string>"))
-
-
-def _substring_dim(ql: Column, values: Column) -> Column:
-    hit = F.filter(values, lambda v: F.instr(ql, F.lower(v)) > 0)
-    return (F.size(hit) > 0) & (F.size(hit) < F.size(values))
+def dimension_values(order_lines: DataFrame) -> DataFrame:
+    """``(dim, value, lo, hi)``: the values of each dimension (NULL among them) with their date bounds, in one pass."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in VALUE_DIMS]))
+    rows = order_lines.select("order_date", pairs.alias("p")).select("order_date", "p.dim", "p.value")
+    return shared_table(rows.groupBy("dim", "value").agg(F.min("order_date").alias("lo"), F.max("order_date").alias("hi")),
+                        "question-values")
+
+
+def mentions(questions: DataFrame, values: DataFrame) -> DataFrame:
+    """Per distinct question ``ql``: for each dimension the values named as whole words (``m_<dim>``, sorted) and whether
+    values occur in it at all (``s_<dim>``); both empty / false when every value of the dimension does, as it is no filter then."""
+    q = questions.select("ql").distinct()
+    part = F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("ql"), F.lit(1))),
+        lambda i: F.array(*[F.substring(F.col("ql"), i, F.lit(n)) for n in (1, 2, 3)])))))
+    v = values.filter(F.length("value") > 0).select("dim", "value", F.lower("value").alias("_v"))
+    v = v.withColumn("_part", F.substring("_v", 1, 3))
+    hits = q.select("ql", part.alias("_part")).join(v, "_part").filter(F.instr(F.col("ql"), F.col("_v")) > 0)
+    whole = F.regexp_like("ql", F.concat(F.lit(r"\b\Q"), F.col("_v"), F.lit(r"\E\b")))
+    hits = hits.select("ql", "dim", F.when(whole, F.col("value")).alias("_w"))
+    counts = values.filter(F.col("value").isNotNull()).groupBy("dim").agg(F.count(F.lit(1)).alias("_all"))  # a row a dimension
+    per = (hits.groupBy("ql", "dim").agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list("_w")).alias("_w"))
+               .join(counts, "dim"))
+    none = F.array().cast("array<string>")
+    return per.groupBy("ql").agg(
+        *[F.coalesce(F.max(F.when((F.col("dim") == d) & (F.size("_w") < F.col("_all")), F.col("_w"))), none).alias(f"m_{d}") for d in VALUE_DIMS],
+        *[F.coalesce(F.max((F.col("dim") == d) & (F.col("_n") < F.col("_all"))), F.lit(False)).alias(f"s_{d}") for d in VALUE_DIMS])
 
 
 def tag_questions(questions: DataFrame, order_lines: DataFrame, id_col: str = "id",
                   text_col: str = "text") -> DataFrame:
     """G1-G10 for every question.  See the module docstring."""
-    vals = dimension_values(order_lines)
-    bounds = order_lines.agg(F.struct(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))).scalar()
+    values = dimension_values(order_lines)
+    bounds = values.agg(F.struct(F.min("lo").alias("lo"), F.max("hi").alias("hi"))).scalar()
     q = questions.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("q"))
-    # subqueries may not sit inside higher-order functions: project them first
-    q = q.withColumn("ql", F.trim(F.lower("q"))).withColumn("_vals", vals).withColumn("_hi", bounds["hi"])
-    vals = F.col("_vals")
+    q = q.withColumn("ql", F.trim(F.lower("q")))
+    q = q.join(mentions(q, values), "ql", "left").withColumn("_hi", bounds["hi"])
     ql = F.col("ql")
 
     t = (q
@@ -244,10 +254,8 @@ def tag_questions(questions: DataFrame, order_lines: DataFrame, id_col: str = "i
     raw = F.regexp_replace(F.lower(F.regexp_extract(F.col("q"), BREAKDOWN_PHRASE, 2)), "[ -]", "_")
     raw = F.when(raw.contains("sub"), F.lit("sub_category")).otherwise(raw)
     phrase_dim = F.when(raw.isin(*DIMENSIONS), raw)
-    value_dim = (F.when(_substring_dim(ql, vals["sub_category"]), F.lit("sub_category"))
-                  .when(_substring_dim(ql, vals["region"]), F.lit("region"))
-                  .when(_substring_dim(ql, vals["segment"]), F.lit("segment"))
-                  .when(_substring_dim(ql, vals["category"]), F.lit("category")))
+    value_dim = (F.when(F.col("s_sub_category"), F.lit("sub_category")).when(F.col("s_region"), F.lit("region"))
+                  .when(F.col("s_segment"), F.lit("segment")).when(F.col("s_category"), F.lit("category")))
     top_n = _found(F.regexp_extract(ql, TOP_N, 1)).cast("int")
     grain_kw = first_keyword(ql, GRAIN_KEYWORDS)
     cmp_kw = first_keyword(ql, COMPARE_KEYWORDS)
@@ -255,8 +263,9 @@ def tag_questions(questions: DataFrame, order_lines: DataFrame, id_col: str = "i
     t = (t.withColumn("metrics", metrics)
           .withColumn("_dim", F.coalesce(F.col("_kw_dim"), phrase_dim, value_dim))
           .withColumn("_dates", F.coalesce(F.col("_explicit"), F.col("_relative")))
-          .withColumn("_top", F.coalesce(top_n, F.when(F.col("q").rlike(SUPERLATIVE) & F.col("_dim").isNotNull(),
-                                                        F.lit(1))))
+          # "best ..." means the first one only of a dimension that is asked for, not of one whose value is named
+          .withColumn("_top", F.coalesce(top_n, F.when(
+              F.col("q").rlike(SUPERLATIVE) & F.coalesce(F.col("_kw_dim"), phrase_dim).isNotNull(), F.lit(1))))
           .withColumn("_grain", F.when(F.col("_dates").isNotNull() & F.col("q").rlike(THIS_PERIOD), F.lit(None))
                       .otherwise(grain_kw))
           .withColumn("_cmp", F.coalesce(cmp_kw, F.when(ql.rlike(COMPARE_WORD), F.lit("prev_period")))))
@@ -281,7 +290,7 @@ def tag_questions(questions: DataFrame, order_lines: DataFrame, id_col: str = "i
     breakdown = (F.when(p == "detail", F.coalesce(F.col("_kw_dim"), F.lit("sub_category")))
                   .when(p.isin("yoy_general", "mom"), F.lit(None))
                   .when(F.col("intent").isin("kpi_value", "kpi_trend", "kpi_rank", "kpi_compare"), dim))
-    mentioned = {d: _mentioned(ql, vals[d]) for d in VALUE_DIMS}
+    mentioned = {d: F.coalesce(F.col(f"m_{d}"), F.array().cast("array<string>")) for d in VALUE_DIMS}
     inject = None
     for d in VALUE_DIMS:
         inject = F.when(F.size(mentioned[d]) > 0, F.lit(d)) if inject is None else \

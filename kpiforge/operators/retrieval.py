@@ -1,53 +1,63 @@
 """Sparse TF-IDF retrieval over any ``(id, text)`` table.
 
-The reference builds a dense N x V float matrix in one process.  Here the
-index is a posting table ``(doc_id, tok, w)`` with ``w = tf * idf / |doc|``,
-built with explode + group-bys, and a batch of queries is scored by joining
-the query's token weights to the postings on ``tok`` and summing per
-``(query, doc)``.  Work is proportional to the postings that share a token
-with a query, not to N x V.
+The index is three tables: term frequencies ``(doc_id, tok, tf)``, ``(tok,
+idf)`` and one row per document ``(doc_id, norm)``.  A batch of queries is
+scored from the terms the queries hold; work follows the postings that share
+a token with a query, not N x V.
 
 Semantics (same as the reference):
+* documents are de-duplicated by id first (U2; of several texts the smallest
+  in text order stays, so the result does not depend on row order);
 * tokens: lower-cased ``[a-z0-9_]+`` plus adjacent pairs joined with ``_``;
 * tf = count / tokens in the doc; idf = ln((N + 1) / (df + 1)) + 1, N counts
-  every row of the table (also empty texts); rows are L2-normalised;
+  every document (also empty texts); documents are L2-normalised;
 * a query uses raw counts x idf of the tokens the index knows, L2-normalised;
-  score = cosine.  Scores are rounded to 7 decimals (about the float32
-  precision the reference scores with) so that ranking does not depend on
-  floating-point summation order, which varies with partitioning and between
-  engines: measured differences reach ~1e-14, enough to flip a 9th decimal.
+  score = cosine, rounded to ``digits`` decimals (``SCORE_DIGITS``, about the
+  float32 precision the reference scores with) before ranking, so that ties
+  do not hang on summation order, which differs between partitionings and
+  engines by ~1e-14;
 * ties: id ascending (the reference's order comes from an unstable argsort).
   Documents sharing no token with the query (score 0) are not returned.
 
-Input: read document tables with ``read_table(..., spread_on="doc_id")`` so
-that the per-document token counts and norms need no shuffle of their own.
-
-Scale: the query side is usually small and Spark broadcasts it when its
-planned size is under the broadcast threshold, so postings are never
-shuffled for scoring; otherwise the join is sort-merge with AQE splitting a
-hot token's partition.  The score aggregate is partial (map-side) and the
-top-k uses ``row_number() <= k``, which Spark plans with a partial
-WindowGroupLimit before the shuffle, so each task forwards at most k rows per
-query.
+Scale.  Fitting shuffles the texts once, by id (de-duplication); tokenising
+and counting then need no further shuffle and run once: the term frequencies
+are written to the shared folder and every later step reads them.  Document
+norms move one number per (document, task).  Scoring keeps the terms of the
+batch's tokens (left-semi join), deals them by document once, and sums and
+ranks inside the task: what moves between tasks afterwards is at most k rows
+per query and task (partial WindowGroupLimit), never query-document pairs.
+Sides are broadcast only where Spark finds them small.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.text import truncate, unigrams, with_bigrams
+from kpiforge.sources.tables import shared_table
 
 SCORE_DIGITS = 7
 
 
 @dataclass(frozen=True)
 class TfidfIndex:
-    postings: DataFrame  # doc_id, tok, w
-    idf: DataFrame       # tok, idf
-    n_docs: Column       # scalar subquery: rows in the indexed table
+    terms: DataFrame  # doc_id, tok, tf
+    idf: DataFrame    # tok, idf
+    docs: DataFrame   # doc_id, norm (0 for a document without tokens): every indexed document
+
+    @property
+    def postings(self) -> DataFrame:
+        """Normalised weights ``(doc_id, tok, w)``."""
+        return (self.terms.join(self.idf, "tok").join(self.docs, "doc_id")
+                    .select("doc_id", "tok", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w")))
+
+
+def distinct_documents(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """One row ``(doc_id, text)`` per id."""
+    return df.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(text_col).alias("text"))
 
 
 def token_rows(df: DataFrame, id_col: str, text_col: str, out_id: str,
@@ -68,58 +78,62 @@ def token_rows(df: DataFrame, id_col: str, text_col: str, out_id: str,
 
 
 def fit_tfidf(df: DataFrame, id_col: str = "id", text_col: str = "text") -> TfidfIndex:
-    """Build the posting table, the idf table and N."""
-    toks = token_rows(df, id_col, text_col, "doc_id", with_length=True)
-    tf = (toks.groupBy("doc_id", "tok")
-              .agg((F.count(F.lit(1)) / F.max("n_tok")).alias("tf")))
-    n_docs = df.agg(F.count(F.lit(1))).scalar()
-    # count(tf) (not count(*)) keeps this branch's partial aggregate identical to
-    # the postings branch, so Spark reuses one exchange instead of tokenising twice
-    dfreq = tf.groupBy("tok").agg(F.count("tf").alias("df"))
-    idf = dfreq.select("tok", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    w = tf.join(idf, "tok").select("doc_id", "tok", (F.col("tf") * F.col("idf")).alias("_w"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
-    postings = w.select("doc_id", "tok", (F.col("_w") / norm).alias("w"))
-    return TfidfIndex(postings, idf, n_docs)
+    """Term frequencies, idf and norms, written once to the shared folder."""
+    one = distinct_documents(df, id_col, text_col)
+    toks = token_rows(one, "doc_id", "text", "doc_id", with_length=True)
+    terms = shared_table(toks.groupBy("doc_id", "tok").agg((F.count(F.lit(1)) / F.max("n_tok")).alias("tf")), "tfidf-terms")
+    every = shared_table(df.select(F.col(id_col).alias("doc_id")).distinct(), "tfidf-ids")
+    n_docs = every.agg(F.count(F.lit(1))).scalar()
+    idf = shared_table(terms.groupBy("tok").agg(F.count("tf").alias("df"))
+                       .select("tok", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf")), "tfidf-idf")
+    return TfidfIndex(terms, idf, shared_table(_norms(terms, idf, every), "tfidf-docs"))
+
+
+def _norms(terms: DataFrame, idf: DataFrame, every: DataFrame) -> DataFrame:
+    w = F.col("tf") * F.col("idf")
+    norm = terms.join(idf, "tok").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    return every.join(norm, "doc_id", "left").select("doc_id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
 
 
 def save_index(index: TfidfIndex, path: str, buckets: int = 0) -> TfidfIndex:
-    """Write postings and idf as parquet under ``path`` (a shared folder) and
-    return an index that reads them back, so repeated query batches do not
-    rebuild it.  Postings are clustered by token for the scoring join."""
-    spark = index.postings.sparkSession
-    post = index.postings
-    if buckets:
-        post = post.repartition(buckets, "tok")
-    post.sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{path}/postings")
+    """Write the index under ``path`` (a shared folder) and read it back.
+
+    Terms are dealt by document (into ``buckets`` files, or as many as the
+    session's shuffle partitions) and sorted by token inside a file, so row
+    groups carry narrow token ranges and a batch skips what it has no use for.
+    """
+    spark = index.terms.sparkSession
+    terms = index.terms.repartition(buckets, "doc_id") if buckets else index.terms.repartition("doc_id")
+    terms.sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{path}/terms")
     index.idf.write.mode("overwrite").parquet(f"{path}/idf")
-    p = spark.read.parquet(f"{path}/postings")
-    i = spark.read.parquet(f"{path}/idf")
-    return TfidfIndex(p, i, index.n_docs)
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    return TfidfIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("terms", "idf", "docs")))
 
 
 def query_vectors(index: TfidfIndex, queries: DataFrame, qid_col: str = "qid",
                   text_col: str = "text") -> DataFrame:
-    """``(qid, tok, qw)``: normalised query weights over known tokens only."""
+    """``(qid, tok, qw, idf)``: normalised query weights over known tokens only."""
     q = (token_rows(queries, qid_col, text_col, "qid")
          .groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("c")))
-    qv = q.join(index.idf, "tok").select("qid", "tok", (F.col("c") * F.col("idf")).alias("_q"))
+    qv = q.join(index.idf, "tok").select("qid", "tok", "idf", (F.col("c") * F.col("idf")).alias("_q"))
     norm = F.sqrt(F.sum(F.col("_q") * F.col("_q")).over(Window.partitionBy("qid")))
-    return qv.select("qid", "tok", (F.col("_q") / norm).alias("qw"))
+    return qv.select("qid", "tok", (F.col("_q") / norm).alias("qw"), "idf")
 
 
-def score(index: TfidfIndex, queries: DataFrame, qid_col: str = "qid", text_col: str = "text") -> DataFrame:
+def score(index: TfidfIndex, queries: DataFrame, qid_col: str = "qid", text_col: str = "text",
+          digits: int = SCORE_DIGITS) -> DataFrame:
     """R2: ``(qid, doc_id, score)`` for every document sharing a token with a query."""
-    qv = query_vectors(index, queries, qid_col, text_col)
-    hits = qv.join(index.postings, "tok")
-    return (hits.groupBy("qid", "doc_id")
-                .agg(F.round(F.sum(F.col("qw") * F.col("w")), SCORE_DIGITS).alias("score")))
+    # written, so that its size is known when the joins below are planned
+    qv = shared_table(query_vectors(index, queries, qid_col, text_col), "query-vectors")
+    terms = index.terms.join(qv.select("tok").distinct(), "tok", "left_semi").repartition("doc_id")
+    hits = terms.join(qv, "tok").groupBy("doc_id", "qid").agg(F.sum(F.col("qw") * F.col("tf") * F.col("idf")).alias("_s"))
+    return hits.join(index.docs, "doc_id").select("qid", "doc_id", F.round(F.col("_s") / F.col("norm"), digits).alias("score"))
 
 
 def retrieve(index: TfidfIndex, queries: DataFrame, k: int = 6, qid_col: str = "qid",
-             text_col: str = "text") -> DataFrame:
+             text_col: str = "text", digits: int = SCORE_DIGITS) -> DataFrame:
     """Top ``k`` documents per query: ``(qid, doc_id, score, rank)``."""
-    s = score(index, queries, qid_col, text_col)
+    s = score(index, queries, qid_col, text_col, digits)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return (s.withColumn("rank", F.row_number().over(w).cast("long"))
              .filter(F.col("rank") <= k))
@@ -131,17 +145,19 @@ def retrieve_pinned(index: TfidfIndex, queries: DataFrame, k: int = 6, min_score
     """The engine's retrieval.
 
     Take the top ``k + 4`` candidates, keep those scoring at least
-    ``min_score`` (R4), add every pinned id that is missing (score 0), then
-    order: pinned first (candidates in score order, then the rest in the
-    given order), others by score (R5).  ``position`` is 1-based.
+    ``min_score`` (R4), add every pinned id that is missing and in the index
+    (score 0), then order: pinned first (candidates in score order, then the
+    rest in the given order), others by score (R5).  ``position`` is 1-based.
     """
     cand = retrieve(index, queries, k + extra_candidates, qid_col, text_col)
     hits = cand.filter(F.col("score") >= min_score).select("qid", "doc_id", "score", F.col("rank").alias("_c"))
     out = hits
     if pinned_ids:
-        pins = queries.select(F.col(qid_col).alias("qid"),
-                              F.posexplode(F.array(*[F.lit(p) for p in pinned_ids])).alias("_p", "doc_id"))
-        out = hits.join(pins, ["qid", "doc_id"], "full_outer")
+        given = F.array(*[F.lit(p) for p in pinned_ids]).cast(f"array<{index.docs.schema['doc_id'].dataType.simpleString()}>")
+        order = F.array_position(given, F.col("doc_id")) - 1
+        there = index.docs.filter(F.col("doc_id").isin(list(pinned_ids))).select("doc_id", order.cast("int").alias("_p"))
+        pins = queries.select(F.col(qid_col).alias("qid"), F.explode(F.array_distinct(given)).alias("doc_id"))
+        out = hits.join(pins.join(there, "doc_id"), ["qid", "doc_id"], "full_outer")
     else:
         out = out.withColumn("_p", F.lit(None).cast("int"))
     pinned = F.col("_p").isNotNull()
@@ -164,8 +180,8 @@ def context_block(ranked: DataFrame, docs: DataFrame, id_col: str = "id", text_c
     ``max_chunks`` results.  ``summaries``: ``(qid, summary)``.
     """
     top = ranked.filter(F.col("position") <= max_chunks).select("qid", "doc_id", "position")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
-    j = top.join(d, "doc_id")
+    d = distinct_documents(docs.join(top.select(F.col("doc_id").alias(id_col)), id_col, "left_semi"), id_col, text_col)
+    j = top.join(d.withColumnRenamed("text", "_t"), "doc_id")
     facts = (j.groupBy("qid").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("position", F.concat(F.lit("  - "), F.col("_t")).alias("l")))),
         lambda x: x["l"]), "\n").alias("_facts")))
@@ -180,5 +196,5 @@ def context_block(ranked: DataFrame, docs: DataFrame, id_col: str = "id", text_c
     return facts.select("qid", F.concat_ws("\n", conv, fact_part).alias("context"))
 
 
-__all__ = ["TfidfIndex", "fit_tfidf", "save_index", "query_vectors", "score", "retrieve",
+__all__ = ["TfidfIndex", "distinct_documents", "fit_tfidf", "save_index", "query_vectors", "score", "retrieve",
            "retrieve_pinned", "context_block", "token_rows", "truncate"]

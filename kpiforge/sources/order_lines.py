@@ -29,15 +29,18 @@ from kpiforge.sources.tables import read_table
 ORDER_LINES_COLUMNS = ("order_id", "order_date", "ship_date", "region", "state", "segment",
                        "category", "sub_category", "product_name", "sales", "discount", "profit")
 
+MONEY = {"sales": "decimal(12,2)", "discount": "decimal(6,2)", "profit": "decimal(18,4)"}
+
 FILTER_DIMS = ("region", "segment", "category", "sub_category", "state")
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Star schema -> wide order-line rows (mapping of SURVEY §1.3)."""
-    li = read_table(spark, sf_dir, "lineitem", spread_on="l_orderkey").select(
+def order_lines(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """Star schema -> wide order-line rows (mapping of SURVEY §1.3).
+
+    ``partitions``: see :func:`kpiforge.sources.tables.read_table`; it applies to the line table.
+    """
+    li = read_table(spark, sf_dir, "lineitem", partitions).select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
-    # only the line table is spread: orders is usually the broadcast side at
-    # small scale, and comes in many splits at large scale
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -75,7 +78,8 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coerce_order_lines(df: DataFrame) -> DataFrame:
     """S5 / M-b on load: text dates -> DATE (NULL when unparseable), numeric
-    text -> DOUBLE.  Typed columns pass through untouched."""
+    text and DOUBLE -> the DECIMAL of the column (exact sums in any order).
+    Other types pass through untouched."""
     out = df
     types = dict(df.dtypes)
     for c in ("order_date", "ship_date"):
@@ -86,9 +90,11 @@ def coerce_order_lines(df: DataFrame) -> DataFrame:
             else:
                 parsed = col.cast(DateType())
             out = out.withColumn(c, parsed)
-    for c in ("sales", "profit", "discount"):
-        if c in types and types[c] == "string":
-            out = out.withColumn(c, clean_numeric(F.col(c)))
+    for c, exact in MONEY.items():
+        if types.get(c) == "string":
+            out = out.withColumn(c, clean_numeric(F.col(c)).cast(exact))
+        elif types.get(c) in ("double", "float"):
+            out = out.withColumn(c, F.col(c).cast(exact))
     return out
 
 
@@ -150,8 +156,11 @@ def materialize_order_lines(df: DataFrame, path: str, mode: str = "overwrite") -
     """Write the wide table once, partitioned by order year (directory pruning
     for F1).  Rows are sorted by date inside each task, so parquet row-group
     min/max statistics on ``order_date`` are tight and windows inside a year
-    skip row groups too (the writer sorts by the partition column anyway)."""
+    skip row groups too (the writer sorts by the partition column anyway).
+    Rows are rebalanced by year first: AQE sizes the tasks and splits a large
+    year, so a year gets a few files of useful size instead of one per task."""
     (df.withColumn("order_year", F.year("order_date"))
+       .hint("rebalance", "order_year")
        .sortWithinPartitions("order_year", "order_date")
        .write.mode(mode).partitionBy("order_year").parquet(path))
 

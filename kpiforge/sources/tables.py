@@ -2,44 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from kpiforge.session import checkpoint_dir
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_on: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
 
-    ``spread_on``: see :func:`spread`; give the key the next operator groups
-    or windows on (``doc_id`` for TF-IDF, ``conv_id`` for chat windows).
+    Spark splits files by ``spark.sql.files.maxPartitionBytes`` and row group.
+    ``partitions``, if the caller gives it, deals the rows round-robin (never
+    by a key, so no key is hot): of use for a file that was written as one
+    row group.  The plan never depends on how large the input is.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, spread_on) if spread_on else df
+    return df.repartition(partitions) if partitions else df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a plain file scan at least the cluster's parallelism.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the session's shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    Only for a scan straight off files: counting the partitions of a
-    DataFrame that contains shuffles would run them.
 
-    A file written as one parquet row group is read by ONE task, whatever
-    ``spark.sql.files.maxPartitionBytes`` says, and every narrow step after
-    it (tokenising, exploding, partial aggregation, joins on the probe side)
-    runs single-threaded.  When the scan has fewer partitions than the
-    default parallelism, hash-partition it on ``keys`` (the key the next
-    operator groups or windows on, so that operator needs no further
-    shuffle) or round-robin.  Large tables come in many splits and pass
-    through unchanged.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001  (e.g. a Connect session without RDDs)
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: later steps
+    neither recompute it nor lose it with an executor."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ every order id in state, so the stream reports ``approx_orders``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,13 +31,26 @@ def kpi_updates(stream: DataFrame, grain: str = "month", dims=("region",)) -> Da
 
 def start_refresh(stream: DataFrame, sink_path: str, checkpoint_location: str, grain: str = "month",
                   dims=("region",), processing_time: str | None = None) -> StreamingQuery:
-    """Run :func:`kpi_updates` and overwrite ``sink_path`` with the complete
-    result after every micro-batch.  ``checkpoint_location`` must be a shared
-    folder (state and progress survive executor and driver restarts)."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_path)
+    """Run :func:`kpi_updates`; every micro-batch writes its complete result to
+    a folder of its own, ``sink_path/epoch=N``, so a dashboard never reads a
+    folder that is being replaced (:func:`latest_refresh` reads the newest that
+    is complete).  ``checkpoint_location`` must be a shared folder (state and
+    progress survive executor and driver restarts)."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink_path}/epoch={epoch:010d}")
 
     w = (kpi_updates(stream, grain, dims).writeStream.outputMode("complete")
          .option("checkpointLocation", checkpoint_location).foreachBatch(write))
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
     return w.start()
+
+
+def latest_refresh(spark: SparkSession, sink_path: str) -> DataFrame:
+    """The newest complete result: Spark marks a finished write with ``_SUCCESS``."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(sink_path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "epoch=*/_SUCCESS"))
+    if not done:
+        raise FileNotFoundError(f"no complete refresh below {sink_path}")
+    return spark.read.parquet(max(s.getPath().getParent().toString() for s in done))

@@ -86,14 +86,10 @@ def test_load_orders_with_filters(spark, tmp_path):
     assert year_predicates(1997, 1998)[1] == "order_date >= DATE '1998-01-01' AND order_date < DATE '1999-01-01'"
 
 
-def test_spread_single_split_scan(spark, tmp_path):
-    from kpiforge.sources.tables import spread
-    target = spark.sparkContext.defaultParallelism
-    one = str(tmp_path / "one")
-    spark.range(100).coalesce(1).write.parquet(one)
-    df = spark.read.parquet(one)
-    assert df.rdd.getNumPartitions() == 1
-    spreaded = spread(df, "id")
-    assert spreaded.rdd.getNumPartitions() == target and spreaded.count() == 100
-    many = spark.range(0, 100, numPartitions=target)
-    assert spread(many, "id") is many
+def test_explicit_partitions_deal_rows_round_robin(spark, tmp_path):
+    from kpiforge.sources.tables import read_table
+
+    spark.range(100).write.parquet(str(tmp_path / "region.parquet"))
+    df = read_table(spark, str(tmp_path), "region", partitions=7)
+    assert df.rdd.getNumPartitions() == 7 and df.count() == 100
+    assert "RoundRobinPartitioning" in df._jdf.queryExecution().toString()

@@ -37,7 +37,25 @@ def test_topk_plans(spark):
     assert "TakeOrderedAndProject" in plan(catalog.QUERIES["preview_100"](spark, SF_SMALL))
     t = plan(catalog.QUERIES["tfidf_topk"](spark, SF_SMALL))
     assert re.search(r"WindowGroupLimit .*Partial", t)
-    assert "WindowGroupLimit" in plan(catalog.QUERIES["history_window"](spark, SF_SMALL))
+    h = plan(catalog.QUERIES["history_window"](spark, SF_SMALL))
+    # read from the top: the final limit, the exchange by conversation, and below it the limit of every task
+    assert re.search(r"WindowGroupLimit[^\n]*Final.*Exchange hashpartitioning\(conv_id[^\n]*.*WindowGroupLimit[^\n]*Partial", h, re.S)
+
+
+def test_no_repartition_by_key_under_the_scan(spark):
+    for name in ("by_region", "history_window", "followup_query"):
+        assert "REPARTITION" not in plan(catalog.QUERIES[name](spark, SF_SMALL)), name
+
+
+def test_one_tokenising_branch(spark):
+    """Scoring reads the stored terms; documents are tokenised when the index is written and not again."""
+    t = plan(catalog.QUERIES["tfidf_topk"](spark, SF_SMALL))
+    assert scans(t, "documents") == 0
+
+
+def test_heatmap_plans_without_a_job_and_in_one_pass(spark):
+    for name in ("heatmap", "heatmap_cells", "discount_buckets"):
+        assert scans(plan(catalog.QUERIES[name](spark, SF_SMALL)), "lineitem") == 1, name
 
 
 def test_no_python_udf_anywhere(spark):

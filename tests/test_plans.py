@@ -75,3 +75,16 @@ def test_api_wrappers(make_lines):
     table, summary = insights.rank_insights(kpi.kpi_value(df, ["profit"], breakdown_by="region"), "profit")
     assert [r["breakdown"] for r in table.orderBy("rank").collect()] == ["B", "C", "A"]
     assert summary.collect()[0]["leader"] == "B"
+
+
+def test_limits_belong_to_plans_not_operators(make_lines):
+    from kpiforge.operators import kpi
+    df = make_lines([line(i, "2024-01-05", sub_category=f"s{i}") for i in range(60)])
+    assert kpi.kpi_rank(df, ["sales", "profit", "orders"], "sub_category", 55).count() == 55
+    assert kpi.kpi_rank(df, "sales", "sub_category", None).count() == 60
+    for k in (0, -1, 2.5, True):
+        with pytest.raises(ValueError):
+            kpi.kpi_rank(df, "sales", "sub_category", k)
+    with pytest.raises(ValueError) as e:
+        validate_plan({"intent": "kpi_rank", "metrics": ["sales"], "breakdown_by": "region", "top_k": 51}, DR)
+    assert e.value.part == "top_k"

@@ -98,3 +98,45 @@ def test_tags_match_sql(spark):
     a, b = rows_of(got, False), rows_of(want, False)
     assert [r for r in a if r not in b] == [] and len(a) == len(b)
     assert sorted(got.column_names) == sorted(want.column_names)
+
+
+# answers derived by hand: a superlative asks for the first one only of a dimension the question names, not of a value's
+SUPERLATIVES = [("best sales in EAST", "kpi_value", "region", None), ("highest profit for Consumer", "kpi_value", "segment", None),
+                ("best region by profit", "kpi_rank", "region", 1), ("most profit in EAST by category", "kpi_rank", "category", 1),
+                ("at least sales", "kpi_value", "region", None)]
+
+
+def test_superlatives(spark, make_lines):
+    ol = make_lines([line(1, "2016-01-01", region="EAST", segment="Consumer"), line(2, "2017-12-31", region="WEST", segment="Corporate")])
+    qs = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(SUPERLATIVES)], "id long, text string")
+    out = {r["id"]: r for r in tag_questions(qs, ol).collect()}
+    for i, (text, intent, dim, k) in enumerate(SUPERLATIVES):
+        assert (out[i]["intent"], out[i]["breakdown"], out[i]["top_k"]) == (intent, dim, k), text
+    # EAST occurs inside "least": it sets the breakdown, but is no value named as a word
+    assert out[4]["mentioned_region"] == [] and out[0]["mentioned_region"] == ["EAST"]
+
+
+def test_mentions_in_repeated_and_odd_questions(spark, make_lines):
+    ol = make_lines([line(1, "2016-01-01", region="A+B", sub_category="X"), line(2, "2016-01-02", region="WEST", sub_category="Y Z"),
+                     line(3, "2016-01-03", region=None, sub_category=None)])
+    qs = spark.createDataFrame([(1, "sales of x in west"), (2, "sales of x in west"), (3, None), (4, "y z, a+b and west"), (None, "X")],
+                               "id long, text string")
+    out = sorted(tag_questions(qs, ol).collect(), key=lambda r: (r["id"] is None, r["id"]))
+    assert [r["mentioned_region"] for r in out] == [["WEST"], ["WEST"], [], [], []]  # both regions named: no filter
+    assert [r["mentioned_sub_category"] for r in out] == [["X"], ["X"], [], ["Y Z"], ["X"]]
+
+
+def test_composed_questions_reach_every_rule(spark):
+    from kpiforge import catalog
+    from conftest import SF_CHECK
+    rows = catalog.QUERIES["question_forms"](spark, SF_CHECK).collect()
+    seen = {c: {r[c] for r in rows} for c in rows[0].asDict()}
+    assert {"kpi_value", "kpi_trend", "kpi_rank", "kpi_compare", "kpi_detail", None} <= seen["intent"]
+    assert {"summary", "total_sales", "total_profit", "total_orders", "margin"} <= seen["fast_kpi"]
+    assert {"region", "segment", "category", "sub_category", "state"} <= seen["breakdown"]
+    assert {"week", "month", "quarter", "year"} <= seen["time_grain"] and {"yoy", "prev_period"} <= seen["compare_period"]
+    assert {1, 3, 10, 15} <= seen["top_k"]
+    for flag in ("is_loss", "is_extremes", "is_growth_rank"):
+        assert seen[flag] == {True, False}
+    for d in ("region", "segment", "category", "sub_category"):
+        assert len(seen[f"mentioned_{d}"]) > 2

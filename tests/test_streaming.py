@@ -1,22 +1,20 @@
 """Streaming refresh: a stream over order-line files gives the batch numbers."""
 
-import tempfile
-
 from conftest import SF_SMALL
 from kpiforge.operators import kpi
 from kpiforge.sources.order_lines import order_lines
-from kpiforge.streaming import start_refresh
+from kpiforge.streaming.refresh import latest_refresh, start_refresh
 
 
-def test_stream_matches_batch(spark):
-    base = tempfile.mkdtemp(prefix="kpiforge-stream-")
+def test_stream_matches_batch(spark, tmp_path):
+    base = str(tmp_path)
     ol = order_lines(spark, SF_SMALL)
     ol.write.mode("overwrite").parquet(f"{base}/in")
     stream = spark.readStream.schema(ol.schema).parquet(f"{base}/in")
     q = start_refresh(stream, f"{base}/out", f"{base}/ckpt", grain="year", dims=("region",))
     q.awaitTermination(300)
     got = {(r["period"], r["region"]): (r["sales"], r["lines"])
-           for r in spark.read.parquet(f"{base}/out").collect()}
+           for r in latest_refresh(spark, f"{base}/out").collect()}
     want = kpi.kpi_trend(ol, ["sales"], "year", breakdown_by="region").collect()
     assert {(r["period"], r["breakdown"]): r["sales"] for r in want} == {k: v[0] for k, v in got.items()}
     assert sum(v[1] for v in got.values()) == ol.count()

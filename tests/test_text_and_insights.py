@@ -171,3 +171,34 @@ def test_saved_index_and_context_block(spark, tmp_path):
     ctx = retrieval.context_block(ranked, docs, summaries=summ, max_chunks=2).collect()[0]["context"]
     assert ctx == ("[Recent conversation]\nUser: hi\nBot: hello\n\n[Verified data facts from dashboard]\n"
                    "  - region\n  - Profit by region and segment")
+
+
+def test_duplicate_ids_and_absent_pins(spark):
+    docs = spark.createDataFrame([(1, "x y"), (1, "z z"), (2, "x"), (3, "")], "id long, text string")
+    once = spark.createDataFrame([(1, "x y"), (2, "x"), (3, "")], "id long, text string")
+    q = spark.createDataFrame([(1, "x")], "qid long, text string")
+    a, b = (sorted(map(tuple, retrieval.retrieve(retrieval.fit_tfidf(d), q, 5).collect())) for d in (docs, once))
+    assert a == b
+    p = retrieval.retrieve_pinned(retrieval.fit_tfidf(docs), q, k=1, pinned_ids=(77, 3)).collect()
+    assert [(r["doc_id"], r["pinned"]) for r in sorted(p, key=lambda r: r["position"])] == [(3, True), (2, False), (1, False)]
+
+
+def test_missing_value_is_no_trough(spark):
+    t = spark.createDataFrame([("2024-01-01", 5.0), ("2024-02-01", None), ("2024-03-01", 3.0)], "period string, sales double")
+    r = insights.trend_insights(t.selectExpr("date(period) AS period", "sales"), "sales", "month").collect()[0]
+    assert (r["trough_value"], r["peak_value"], r["range"]) == (3.0, 5.0, 2.0)
+
+
+def test_value_list_with_apostrophe(spark, make_lines):
+    from kpiforge.operators import facts
+    df = make_lines([line(1, "2024-01-05", region="Children's"), line(2, "2024-01-05", region="Home")])
+    text = {r["chunk_id"]: r["text"] for r in facts.build_facts(df).collect()}["dim_region"]
+    assert text.startswith("""Dimension 'region' values: ["Children's", 'Home'].""")
+
+
+def test_text_money_becomes_decimal(spark):
+    from kpiforge.sources.order_lines import coerce_order_lines
+    df = spark.createDataFrame([("1234,56", "12%", 0.1)], "sales string, discount string, profit double")
+    out = coerce_order_lines(df)
+    assert dict(out.dtypes) == {"sales": "decimal(12,2)", "discount": "decimal(6,2)", "profit": "decimal(18,4)"}
+    assert [str(v) for v in out.collect()[0]] == ["1234.56", "12.00", "0.1000"]
