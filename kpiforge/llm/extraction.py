@@ -2,10 +2,10 @@
 
 A page is read into blocks of text and the elements that contain them.  Each
 container (article, div, section, table cell, ...) is scored by the share of
-the page's running text it holds and by how little else it holds.  A
+the page's running text it holds, by how little else it holds, and by depth.  A
 container's path is the chain of its tags with their classes, generalised
-(numbers and order removed).  Pages vote with the scores of their containers;
-Spark adds the votes by host and path, and the path with most votes wins.
+(numbers and order removed).  Pages vote for the path of their best container,
+with its score; Spark adds the votes by host and path, and the path with most votes wins.
 Pages are then read again: the text of the elements on the winning path, and
 where a page has none, of its own best container.
 
@@ -160,13 +160,20 @@ def read(page: str) -> list[tuple[str, Node, int]]:
 
 
 def _path(node: Node) -> str:
-    if node.path is None:
-        node.path = (f"{_path(node.parent)}>" if node.parent and node.parent.tag else "") + node.label
-    return node.path
+    """Labels from the outermost element down to this one."""
+    chain = []
+    while node.path is None and node.tag:
+        chain.append(node)
+        node = node.parent
+    path = node.path or ""
+    for node in reversed(chain):
+        path = node.path = f"{path}>{node.label}" if path else node.label
+    return path
 
 
 def scores(blocks) -> dict[Node, float]:
-    """Score of each container: its share of the page's running text times the share of that in all its text."""
+    """Score of each container: the square of its share of the page's running text, times the share of that in all its
+    text, times a bonus for depth; so the deepest container that holds nearly all of the text scores best."""
     total, seen = 0, {}
     for text, node, links in blocks:
         good = 0 if node.away else max(len(text) - 2 * links, 0)
@@ -177,17 +184,31 @@ def scores(blocks) -> dict[Node, float]:
                 node.good += good
                 seen[node] = None
             node = node.parent
-    return {x: (x.good / total) * (x.good / x.text) for x in seen if x.good} if total else {}
+    if not total:
+        return {}
+    return {x: (x.good / total) ** 2 * (x.good / x.text) * (1 + 0.1 * min(_depth(x), 8)) for x in seen if x.good}
+
+
+def _depth(node: Node) -> int:
+    """Containers around a container."""
+    n, node = 0, node.parent
+    while node is not None:
+        n += node.tag in CONTAINERS
+        node = node.parent
+    return n
+
+
+def best_container(blocks) -> tuple[Node | None, float]:
+    """The container with the highest score (ties: the deeper one)."""
+    rank = scores(blocks)
+    best = max(rank, key=lambda x: (rank[x], _depth(x)), default=None)
+    return best, rank.get(best, 0.0)
 
 
 def votes(page: str) -> dict[str, int]:
-    """Vote of a page for each container path, in thousandths."""
-    out: dict[str, int] = {}
-    for node, s in scores(read(page)).items():
-        if s >= 0.2:
-            path = _path(node)
-            out[path] = max(out.get(path, 0), round(1000 * s))
-    return out
+    """A page's vote: the path of its best container, with its score in thousandths."""
+    best, score = best_container(read(page))
+    return {_path(best): round(1000 * score)} if best is not None else {}
 
 
 def main_text(page: str | None, path: str | None) -> str:
@@ -197,14 +218,14 @@ def main_text(page: str | None, path: str | None) -> str:
     if path:
         for text, node, _ in blocks:
             if not node.away:
-                up = node
+                # an ancestor's path is a beginning of its descendants' paths
+                up = node if (_path(node) + ">").startswith(path + ">") else None
                 while up is not None and not (up.tag in CONTAINERS and _path(up) == path):
                     up = up.parent
                 if up is not None:
                     inside.append(text)
     if not inside:
-        rank = scores(blocks)
-        best = max(rank, key=lambda x: (rank[x], _path(x).count(">")), default=None)
+        best, _ = best_container(blocks)
         for text, node, _ in blocks:
             up = node
             while best is not None and up is not None and up is not best:

@@ -2,9 +2,9 @@
 
 Features of a text are the presence of words (runs of word characters, A-Z as
 a-z) and of word beginnings (5 to 10 bytes, for inflected and compound words)
-of a vocabulary: those whose share among toxic and other labelled
-texts differs by a clear margin (``Z`` standard errors of the log odds), and
-all identity terms.  A logistic model is fitted on them.  Every labelled text
+of a vocabulary: those whose share among toxic and other labelled texts differs
+by a clear margin (a likelihood ratio of ``Z`` standard errors), and all
+identity terms.  A logistic model is fitted on them.  Every labelled text
 that names a group is also seen with its identity terms swapped for those of
 other groups of the same kind, and the fit penalises the squared change of the
 logit (weight ``penalty``), so that naming a group moves a score by next to
@@ -33,7 +33,7 @@ from kpiforge.llm.common import MULTIPLIERS, byte_view, classes, same_type, slic
 BOUND = 8_000  # labelled documents of either label used at most
 VOCABULARY = 4_096
 STEMS = (5, 6, 7, 8, 10)
-Z = 4.0
+Z = 4.0  # standard errors by which a term must tell the labels apart
 PENALTY = 1.0
 
 # fixed values: identity terms, each line one kind whose terms replace each other
@@ -89,18 +89,29 @@ def vocabulary(rows: np.ndarray, words: np.ndarray, toxic: np.ndarray, most: int
     pos = np.bincount(at, weights=toxic[rows], minlength=len(keys))
     neg = np.bincount(at, weights=~toxic[rows], minlength=len(keys))
     p, n = toxic.sum(), (~toxic).sum()
-    odds = np.log((pos + 0.5) / (p - pos + 0.5)) - np.log((neg + 0.5) / (n - neg + 0.5))
-    z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (p - pos + 0.5) + 1 / (neg + 0.5) + 1 / (n - neg + 0.5))
+    # root of the likelihood ratio of the two-by-two table: about normal where labels and term are unrelated
+    ratio = np.zeros(len(keys))
+    for seen, whole in ((pos, p), (neg, n)):
+        for part, share in ((seen, (pos + neg) / (p + n)), (whole - seen, 1 - (pos + neg) / (p + n))):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio += np.where(part > 0, part * np.log(part / (whole * share)), 0.0)
+    z = np.sqrt(2 * np.maximum(ratio, 0))
     strong = np.flatnonzero(np.abs(z) >= Z)
     strong = strong[np.argsort(-np.abs(z[strong]), kind="stable")][:most]
     return np.unique(np.concatenate([keys[strong], word_keys(" ".join(IDENTITY).split())]))
 
 
+def term_features(term: str, at: dict[int, int]) -> set[int]:
+    """Vocabulary places of a word and of its beginnings."""
+    _, _, _, found = next(presence(pa.array([term], pa.string())))
+    return {at[int(k)] for k in found if int(k) in at}
+
+
 def swaps(rows: np.ndarray, cols: np.ndarray, names: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counterfactual changes: for each text that names a group, (features, -1 or +1) with its terms replaced."""
+    """Counterfactual changes: for each text that names a group, (features, -1 or +1) with its terms replaced by others of their kind."""
     at = {int(k): i for i, k in enumerate(names.tolist())}
-    kinds = [[at[int(k)] for k in word_keys(line.split())] for line in IDENTITY]
-    of = {c: (k, i) for k, line in enumerate(kinds) for i, c in enumerate(line)}
+    kinds = [[(at[int(k)], term_features(t, at)) for k, t in zip(word_keys(line.split()), line.split())] for line in IDENTITY]
+    of = {c: (k, i) for k, line in enumerate(kinds) for i, (c, _) in enumerate(line)}
     own: dict[int, set[int]] = {}
     for r, c in zip(rows.tolist(), cols.tolist()):
         if c in of:
@@ -108,8 +119,12 @@ def swaps(rows: np.ndarray, cols: np.ndarray, names: np.ndarray) -> list[tuple[n
     out = []
     for present in own.values():
         for turn in range(1, max(len(kinds[of[c][0]]) for c in present)):
-            other = {kinds[of[c][0]][(of[c][1] + turn) % len(kinds[of[c][0]])] for c in present}
-            gone, come = sorted(present - other), sorted(other - present)
+            before, after = set(), set()
+            for c in present:
+                kind, place = kinds[of[c][0]], of[c][1]
+                before |= kind[place][1]
+                after |= kind[(place + turn) % len(kind)][1]
+            gone, come = sorted(before - after), sorted(after - before)
             if gone or come:
                 out.append((np.array(gone + come), np.array([-1.0] * len(gone) + [1.0] * len(come))))
     return out
