@@ -247,6 +247,7 @@ def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get(F.col("g.gone"), i), F.lit(False))), "\n")
     n_dropped = F.coalesce(F.size(F.filter(F.col("g.gone"), lambda x: x)), F.lit(0))
     others = [F.when(F.col("g.x0").isNull(), body).otherwise(kept).alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns]
-    return docs.alias("d").join(gone.alias("g"), key, "left").select(
+    # hashed, not sorted: only the small side is held, and texts are dealt once whatever the sizes
+    return docs.alias("d").join(gone.hint("shuffle_hash").alias("g"), key, "left").select(
         *others, F.when(body.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(F.col("g.x0").isNull(), 0).otherwise(n_dropped).cast("long").alias("n_dropped"))
