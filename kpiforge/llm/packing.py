@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,39 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import byte_view, classes, same_type, slices, stored, word_hashes, word_spans, worker_state
+from kpiforge.llm.common import byte_view, classes, same_type, slices, stored, word_hashes, worker_state
 
 WORDS = 1_000_000  # distinct words whose ids a worker keeps; beyond it starts anew
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, split int, at long"
-#: The tokenizer drops white space and never joins across these bytes.
-_GAPS = classes(" \t\n\r", False)
+#: 0: white space, which the tokenizer drops; 1: ASCII letters (it lower-cases them); 2: other ASCII; 3: never cut beside these
+_GAPS = classes(" \t\n\r", True)
+_KIND = np.where(_GAPS[0] == 0, 0, 2).astype(np.uint8)
+_KIND[[b for b in range(128) if chr(b).isalpha()]] = 1
+_KIND[128:] = 3
+_KIND[ord("'")] = 3
+
+
+def word_parts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that the tokenizer treats apart: words cut between ASCII letters and other ASCII characters, but whole
+    beside apostrophes (contractions) and characters beyond ASCII, and wherever a special token could be written out."""
+    kind = _KIND[data]
+    if b"<|" in data.tobytes():
+        kind = np.minimum(kind, 1)
+    inner = np.zeros(len(data) + 1, bool)
+    inner[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] != 3) & (kind[:-1] != 3)
+    space = kind == 0
+    inner[1:-1] |= space[1:] != space[:-1]
+    inner[0] = inner[-1] = True
+    inner[bounds] = True
+    at = np.flatnonzero(inner)
+    starts, ends = at[:-1], at[1:]
+    word = ~space[starts]
+    starts, ends = starts[word], ends[word]
+    return starts, ends, np.searchsorted(bounds, starts, "right") - 1
 
 
 class WordIds:
-    """Token ids of white-space-separated words, by the tokenizer file; every distinct word is encoded once."""
+    """Token ids of words and parts of words (:func:`word_parts`), by the tokenizer file; every distinct word is encoded once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,10 +84,14 @@ class WordIds:
         return np.where(self.known[at] == hashes, at, -1) if len(self.known) else np.full(len(hashes), -1)
 
     def learn(self, hashes: np.ndarray, words: list[str]):
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        count = np.array([len(x) for x in got], np.int64)
+        counts, parts = [], [self.ids]
+        for k in range(0, len(words), 4096):  # an encoding weighs far more than its ids
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(words[k: k + 4096], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+            parts.append(np.fromiter(chain.from_iterable(got), np.uint32, int(counts[-1].sum())))
+        count = np.concatenate(counts)
         first = np.cumsum(count) - count + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
+        self.ids = np.concatenate(parts)
         order = np.argsort(np.concatenate([self.known, hashes]), kind="stable")
         self.known = np.concatenate([self.known, hashes])[order]
         self.first = np.concatenate([self.first, first])[order]
@@ -71,7 +99,9 @@ class WordIds:
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, joined, and each row's bounds in them."""
-        starts, ends, rows = word_spans(data, bounds, _GAPS[0])
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        starts, ends, rows = word_parts(data, bounds)
         hashes, where, back = np.unique(word_hashes(data, starts, ends, _GAPS[1]), return_index=True, return_inverse=True)
         new = self.find(hashes) < 0
         if new.any():
