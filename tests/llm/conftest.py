@@ -18,12 +18,14 @@ def spark():
     yield get_session("local[4]", shuffle_partitions=4, app_name="kpiforge-llm-tests")
 
 
+@pytest.fixture(scope="session")
+def sf():
+    """Folder of the smallest given tables."""
+    return SF
+
+
 @pytest.fixture
 def make_docs(spark):
     def make(rows):
         return spark.createDataFrame([(d, t, "en", "s", None if t is None else len(t), 1, 2, 3, 4, "x", "y", "z") for d, t in rows], DOCS)
     return make
-
-
-def rows(df):
-    return [tuple(r) for r in df.collect()]

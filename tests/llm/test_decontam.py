@@ -50,9 +50,8 @@ def test_empty_tables(make_docs, bench):
     assert clean(make_docs([(1, PLAIN)]), bench([])).count() == 1 and clean(make_docs([]), bench(ITEMS)).count() == 0
 
 
-def test_every_full_copy_in_the_given_tables_is_found(spark):
-    from conftest import SF
-    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+def test_every_full_copy_in_the_given_tables_is_found(spark, sf):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     found = {(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()}
     texts = items.collect()
     assert {(d["doc_id"], b["item_id"]) for d in docs.collect() for b in texts if b["text"] in (d["text"] or "")} <= found

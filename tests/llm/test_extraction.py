@@ -2,7 +2,6 @@
 
 import pytest
 
-from kpiforge.llm import extraction
 from kpiforge.llm.extraction import extract, host_paths, main_text, votes
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var x="</p>";</script></head><body class="c{k}">
@@ -71,16 +70,14 @@ def test_odd_rows(pages):
     assert extract(pages([])).collect() == []
 
 
-def test_article_of_the_given_pages(spark):
+def test_article_of_the_given_pages(spark, sf):
     """The articles of the given pages, cut out by their tags."""
     import html
     import re
 
-    from conftest import SF
-    table = spark.read.parquet(f"{SF}/pages.parquet")
+    table = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in extract(table).collect()}
     for p in table.collect():
         body = re.search(r"<article>(.*?)</article>", p["html"], re.S)[1]
         blocks = (re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h1)>", body))
         assert got[p["page_id"]] == " ".join(b for b in blocks if b)
-    assert extraction.host_of  # the helper is part of the interface

@@ -6,7 +6,6 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
 
 
 @pytest.fixture(scope="module")
@@ -81,7 +80,7 @@ def test_stages_on_empty_documents(spark, folder):
         assert docs.count() == 0
 
 
-def test_every_operator_is_registered_and_runs_over_the_given_tables(spark):
+def test_every_operator_is_registered_and_runs_over_the_given_tables(spark, sf):
     import __spark_entry__ as entry
     from kpiforge.llm import queries
 
@@ -90,6 +89,6 @@ def test_every_operator_is_registered_and_runs_over_the_given_tables(spark):
     assert "pipeline" in entry.queries() and set(queries.ORACLE_SQL) <= set(names)
     rows = {"op3_consensus_extraction": "pages", "op8_cross_polytope_dedup": "embeddings"}
     for name in names:
-        n = entry.queries()[name](spark, SF).count()
-        whole = spark.read.parquet(f"{SF}/{rows.get(name, 'documents')}.parquet").count()
+        n = entry.queries()[name](spark, sf).count()
+        whole = spark.read.parquet(f"{sf}/{rows.get(name, 'documents')}.parquet").count()
         assert n == whole or (n < whole and name.startswith(("op2_", "op9_"))) or (n > whole and name.startswith("op6_")), name
