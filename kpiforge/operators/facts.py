@@ -2,13 +2,14 @@
 
 All sums the facts need come from ONE grouping-sets aggregate over the order
 lines (year, month, quarter, each dimension, segment x category, discount
-bucket and the total).  Partial aggregation shrinks every task's rows to a
+buckets and the total).  Partial aggregation shrinks every task's rows to a
 few hundred groups before the shuffle, so the scan is the only cost that
 grows with the data.  Distinct order counts (year and total only) come from
-a second, narrow aggregate.  The two small results are gathered into one row
-(a few hundred entries, bounded by the number of periods and dimension
-values, not by the data) and every fact text is built from it with array
-functions; nothing is collected to the driver.
+a second, narrow aggregate.  The result, a row per period, value and bucket,
+is written once to the shared folder; every kind of fact is then a small
+frame over the entries it names (the top ones by ``orderBy().limit()``), and
+the frames are put together by ``unionByName``.  Nothing is collected to the
+driver.
 
 Like the reference's pandas code, fact aggregates drop NULL keys and rows
 without a parseable date (D17).
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from kpiforge.functions.numeric import bucket_order, discount_bucket
 from kpiforge.functions.text import fixed, money, signed, thousands
+from kpiforge.sources.tables import shared_table
 
 FACT_SCHEMA = "chunk_id string, text string, metadata map<string,string>"
 
@@ -127,21 +129,28 @@ def order_counts(df: DataFrame) -> DataFrame:
                     F.col("year").cast("string").alias("k1"), "orders")
 
 
-def fact_rows(df: DataFrame) -> DataFrame:
-    """Both aggregates as ONE row: ``rows`` = array of (set, k1, k2, s, p, ns,
-    np, lo, hi, orders) structs.  A few hundred entries: one per year, month,
-    quarter, dimension value, segment x category pair and discount bucket,
-    independent of the number of order lines."""
+def fact_entries(df: DataFrame) -> DataFrame:
+    """Both aggregates as one small table: (set, k1, k2, s, p, ns, np, lo, hi, md, orders), written once."""
     agg = fact_aggregates(df)
     orders = order_counts(df)
     key = F.coalesce(F.col("k1"), F.lit(""))
     # both sides are a few hundred rows; the planner broadcasts one of them
-    a = agg.withColumn("_key", key).join(orders.select("set", key.alias("_key"), "orders"),
-                                         ["set", "_key"], "left")
-    entry = F.struct(F.col("set"), F.col("k1"), F.col("k2"), F.col("sales").alias("s"),
-                     F.col("profit").alias("p"), F.col("n_sales").alias("ns"), F.col("n_profit").alias("np"),
-                     F.col("min_date").alias("lo"), F.col("max_date").alias("hi"), F.col("max_discount").alias("md"), F.col("orders"))
-    return a.agg(F.collect_list(entry).alias("rows"))
+    a = agg.withColumn("_key", key).join(orders.select("set", key.alias("_key"), "orders"), ["set", "_key"], "left")
+    return shared_table(a.select(
+        "set", "k1", "k2", F.col("sales").alias("s"), F.col("profit").alias("p"), F.col("n_sales").alias("ns"),
+        F.col("n_profit").alias("np"), F.col("min_date").alias("lo"), F.col("max_date").alias("hi"),
+        F.col("max_discount").alias("md"), "orders"), "fact-entries")
+
+
+ENTRY = ("set", "k1", "k2", "s", "p", "ns", "np", "lo", "hi", "md", "orders")
+
+
+def _entries(table: DataFrame, *sets: str, order=(), limit: int | None = None) -> DataFrame:
+    """One row ``rows``: the entries of the named sets, or the first ``limit`` of them in the given order."""
+    t = table.filter(F.col("set").isin(*sets))
+    if limit:
+        t = t.filter(F.col("k1").isNotNull()).orderBy(*order).limit(limit)
+    return t.agg(F.collect_list(F.struct(*ENTRY)).alias("rows"))
 
 
 def _of(rows: Column, name: str) -> Column:
@@ -246,11 +255,9 @@ def _yearly_facts(rows: Column) -> Column:
     return F.concat(per_year, yoy, grow)
 
 
-def _monthly_facts(rows: Column) -> Column:
+def _monthly_facts(rows: tuple[Column, Column]) -> Column:
     """K8: best month by sales; worst month by profit if it is a loss (earliest on ties)."""
-    ms = _of(rows, "month")
-    best = F.get(_sorted(ms, lambda r: -_d(r["s"]), lambda r: r["k1"]), 0)
-    worst = F.get(_sorted(ms, lambda r: _d(r["p"]), lambda r: r["k1"]), 0)
+    best, worst = F.get(rows[0], 0), F.get(rows[1], 0)
     label = lambda r: F.substring(r["k1"], 1, 7)  # noqa: E731  yyyy-MM of the month start
     btext = F.concat(F.lit("Peak month by sales: "), label(best), F.lit(" — "), money(_d(best["s"])),
                      F.lit(", profit "), money(_d(best["p"])), F.lit("."))
@@ -287,21 +294,13 @@ def _dimension_fact(rows: Column, dim: str) -> Column:
     return _facts(F.size(values) > 0, f"dim_{dim}", text, _meta(type="dimension", dimension=dim, values=vl))
 
 
-def _top_k_facts(rows: Column, dim: str, k: int) -> Column:
-    """Top k values of a dimension by profit and by sales (ties: value order)."""
-    ds = _of(rows, dim)
-    out = []
-    def by(f):  # key / item builders bound to one field (lambdas must take one argument)
-        return (lambda r: -_d(r[f])), (lambda r: F.concat(r["k1"], F.lit(" ("), money(_d(r[f])), F.lit(")")))
-
-    for metric, fld in (("profit", "p"), ("sales", "s")):
-        key, item = by(fld)
-        top = F.slice(_sorted(ds, key, lambda r: r["k1"]), 1, k)
-        items = F.array_join(F.transform(top, item), ", ")
-        text = F.concat(F.lit(f"Top {k} {dim.replace('_', ' ')} by {metric}: "), items, F.lit("."))
-        out.append(_facts(F.size(top) > 0, f"top{k}_{dim}_{metric}", text,
-                          _meta(type="rank", dimension=dim, metric=metric, k=k)))
-    return F.concat(*out)
+def _top_k_fact(rows: Column, dim: str, k: int, metric: str) -> Column:
+    """Top k values of a dimension by profit or by sales (ties: value order); ``rows`` holds those k."""
+    fld = {"profit": "p", "sales": "s"}[metric]
+    top = _sorted(_of(rows, dim), lambda r: -_d(r[fld]), lambda r: r["k1"])
+    items = F.array_join(F.transform(top, lambda r: F.concat(r["k1"], F.lit(" ("), money(_d(r[fld])), F.lit(")"))), ", ")
+    text = F.concat(F.lit(f"Top {k} {dim.replace('_', ' ')} by {metric}: "), items, F.lit("."))
+    return _facts(F.size(top) > 0, f"top{k}_{dim}_{metric}", text, _meta(type="rank", dimension=dim, metric=metric, k=k))
 
 
 def _discount_fact(rows: Column) -> Column:
@@ -334,20 +333,34 @@ def build_facts(df: DataFrame, filters: dict | None = None) -> DataFrame:
     """All facts (K1-K13) as rows ``(chunk_id, text, metadata)``, in the
     reference's order of kinds.
 
-    Plan: one grouping-sets aggregate and one distinct-count aggregate over
-    the order lines (partial aggregation before their shuffles), a join of
-    the two small results, one global ``collect_list`` of a few hundred
-    entries, then every fact text is built with array functions on that one
-    row and exploded.  Three shuffles in total, whatever the number of facts.
+    The lines are read twice, by the grouping-sets aggregate and by the
+    distinct-count aggregate (:func:`fact_entries`, run here); the kinds of
+    facts are small frames over their result, put together by name (U1).
     """
+    t = fact_entries(df)
     rows = F.col("rows")
-    parts = [_const_facts(filters), _kpi_facts(rows), _time_range_fact(rows), _yearly_facts(rows),
-             _monthly_facts(rows), _quarterly_fact(rows)]
-    parts += [_dimension_fact(rows, d) for d in DIM_FACTS]
-    parts += [_top_k_facts(rows, d, k) for d, k in TOP_K_FACTS]
-    parts += [_discount_fact(rows), _segment_category_fact(rows)]
-    return (fact_rows(df).select(F.posexplode(F.concat(*parts)).alias("pos", "f"))
-            .select("f.chunk_id", "f.text", "f.metadata"))
+
+    def by(field, *ties):
+        return [-_d(F.col(field)), *[F.col(k) for k in ties]]
+
+    frames = [t.agg(_const_facts(filters).alias("f"))]
+    frames += [_entries(t, *sets).select(build(rows).alias("f")) for sets, build in (
+        (("total",), _kpi_facts), (("total", "year", "month"), _time_range_fact), (("year",), _yearly_facts))]
+    best, worst = _entries(t, "month", order=by("s", "k1"), limit=1), _entries(t, "month", order=[_d(F.col("p")), F.col("k1")], limit=1)
+    frames.append(best.select(_monthly_facts((rows, F.array().cast(best.schema["rows"].dataType))).alias("f")))
+    frames.append(worst.select(_monthly_facts((F.array().cast(worst.schema["rows"].dataType), rows)).alias("f")))
+    frames.append(_entries(t, "quarter", order=[F.col("k1").desc()], limit=8).select(_quarterly_fact(rows).alias("f")))
+    frames += [_entries(t, d).select(_dimension_fact(rows, d).alias("f")) for d in DIM_FACTS]
+    frames += [_entries(t, d, order=by({"profit": "p", "sales": "s"}[m], "k1"), limit=k).select(_top_k_fact(rows, d, k, m).alias("f"))
+               for d, k in TOP_K_FACTS for m in ("profit", "sales")]
+    frames.append(_entries(t, "total", "raw", "pct").select(_discount_fact(rows).alias("f")))
+    crossed = t.filter(F.col("k1").isNotNull() & F.col("k2").isNotNull())
+    frames.append(_entries(crossed, "segment_category", order=by("p", "k1", "k2"), limit=9).select(_segment_category_fact(rows).alias("f")))
+    out = None
+    for frame in frames:
+        one = frame.select(F.explode("f").alias("f")).select("f.chunk_id", "f.text", "f.metadata")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ── numeric views of single facts (for checks and callers that want numbers) ──
