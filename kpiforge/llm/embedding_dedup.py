@@ -82,7 +82,7 @@ def _matrix(col) -> np.ndarray:
 def _keys(tables: int, width: int, probes: int):
     def run(batches):
         for batch in batches:
-            cid, dims = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            cid, dims, label = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
                 x = _matrix(batch.column(1).take(pa.array(own)))
@@ -91,7 +91,8 @@ def _keys(tables: int, width: int, probes: int):
                     n, p = key.shape
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.repeat(cid[own], p)), pa.array(np.full(n * p, t, np.int32)), pa.array(key.ravel()),
-                        pa.array(np.tile(np.arange(p) == 0, n).astype(np.int32))], ["cid", "t", "bucket", "home"])
+                        pa.array(np.tile(np.arange(p) == 0, n).astype(np.int32)), pa.array(np.repeat(label[own], p)),
+                        pa.array(np.full(n * p, d, np.int32))], ["cid", "t", "bucket", "home", "label", "dims"])
 
     return run
 
@@ -163,8 +164,8 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     classes = stored(src.where("cid IS NOT NULL").groupBy("cid").agg(
         F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("low"))
         .withColumn("dims", F.size("v")), "vectors")
-    keys = stored(classes.select("cid", "v", "dims").mapInArrow(_keys(tables, width, probes), "cid long, t int, bucket long, home int")
-                  .join(classes.select("cid", "label", "dims"), "cid"), "buckets")
+    keys = stored(classes.select("cid", "v", "dims", "label").mapInArrow(
+        _keys(tables, width, probes), "cid long, t int, bucket long, home int, label long, dims int"), "buckets")
     place = ["label", "t", "bucket", "dims"]
     sizes = keys.groupBy(place).agg(F.sum("home").alias("homes"), F.count("*").alias("n")).where("homes > 0 AND n > 1").select(
         *place, F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("salts"))
