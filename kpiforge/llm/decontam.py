@@ -7,7 +7,8 @@ of ``window`` template words are joined by hash; a document's windows that
 meet an item's windows are aligned with them, and an item leaks into a
 document when
 
-* the windows met cover at least ``coverage`` of the item's windows, and
+* the windows met cover at least ``coverage`` of the item's windows, or as
+  many as a passage of ``PASSAGE`` template words has, and
 * slots are consistent: over all aligned slots an item's value goes with one
   value in the document and the other way round (at most one aligned slot in
   ten may break this), so an exact copy passes with every slot unchanged and
@@ -37,6 +38,7 @@ from kpiforge.llm.common import MULTIPLIERS, byte_view, classes, mix, ngram_hash
 WINDOW = 8
 SHORTEST = 5
 COVERAGE = 0.5
+PASSAGE = 13  # so many words of a long item are a leak too
 BLOCK_WINDOWS = 2_000_000  # windows of items (about 60 bytes each) that travel to the tasks at once
 
 # fixed values: words that count as units when they follow a number
@@ -159,7 +161,7 @@ def find_leaks(data: np.ndarray, bounds: np.ndarray, items: Items, coverage: flo
     for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(d)]):
         k, size = int(i[lo]), int(w[lo])
         met = len(np.unique(q[lo:hi]))
-        if met < coverage * items.windows[k]:
+        if met < min(coverage * items.windows[k], max(PASSAGE - size + 1, 1)):
             continue
         step = np.arange(size)
         a, b = (d[lo:hi, None] + step).ravel(), (q[lo:hi, None] + step).ravel()

@@ -17,22 +17,25 @@ def bench(spark):
     return lambda rows: spark.createDataFrame([(i, t, 1) for i, t in rows], "item_id long, text string, doc_id long")
 
 
-ITEMS = [(1, ITEM), (2, PLAIN), (3, None), (4, ""), (5, "five small words stand here"), (6, "too few words"), (7, PLAIN)]
+LONG = " ".join(f"passage{chr(97 + i % 26)}{chr(97 + i // 26)} of" if i % 3 else f"text{chr(97 + i)}" for i in range(24))
+
+ITEMS = [(8, LONG), (1, ITEM), (2, PLAIN), (3, None), (4, ""), (5, "five small words stand here"), (6, "too few words"), (7, PLAIN)]
 
 
 def test_leaks(make_docs, bench):
     around = "Some unrelated words come first here. {} And other words of no interest follow the passage."
     docs = [(10, around.format(ITEM)), (11, SWAPPED), (12, around.format(MIXED)), (13, around.format(PLAIN)), (14, "nothing at all to see"), (15, None), (16, ""),
             (17, around.format("FIVE small words, stand here")), (18, "too few words"), (13, around.format(PLAIN)), (None, PLAIN),
-            (19, around.format(" ".join(PLAIN.split()[:9]))), (20, "noise " * 50000 + PLAIN + " noise" * 50000)]
+            (19, around.format(" ".join(PLAIN.split()[:9]))),
+            (21, around.format(" ".join(LONG.split()[7:22]))), (22, around.format(" ".join(LONG.split()[7:18]))), (20, "noise " * 50000 + PLAIN + " noise" * 50000)]
     out = leaks(make_docs(docs), bench(ITEMS))
     got = sorted(((r["doc_id"], r["item_id"]) for r in out.collect()), key=str)
-    assert got == sorted([(10, 1), (11, 1), (13, 2), (13, 7), (13, 2), (13, 7), (17, 5), (None, 2), (None, 7), (20, 2), (20, 7)], key=str)
+    assert got == sorted([(10, 1), (11, 1), (13, 2), (13, 7), (13, 2), (13, 7), (17, 5), (None, 2), (None, 7), (20, 2), (20, 7), (21, 8)], key=str)
     of = {(r["doc_id"], r["item_id"]): r for r in out.collect()}
     assert of[10, 1]["n_changed"] == 0 < of[10, 1]["n_slots"] and of[11, 1]["n_changed"] >= 6
     kept = clean(make_docs(docs), bench(ITEMS))
     assert kept.columns == make_docs([]).columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [12, 14, 15, 16, 18, 19]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [12, 14, 15, 16, 18, 19, 22]
 
 
 def test_blocks_of_items(make_docs, bench, monkeypatch):
