@@ -38,10 +38,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = stored(ngram_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = stored(ngram_join.jaccard_components(docs).select("doc_id", "component_id"), "components")
+    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max(F.col("doc_id") != F.col("component_id")).alias("goes"), F.count("*").alias("n"))
+    # texts meet the (shorter) list of ids that go or repeat, written first: Spark broadcasts it only where its size is small
+    special = stored(ids.where("goes OR n > 1"), "ids-that-go-or-repeat")
+    single = docs.where("doc_id IS NOT NULL").join(special.select("doc_id"), "doc_id", "left_anti")
+    again = docs.join(special.where("NOT goes").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     unnamed = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    return named.unionByName(unnamed)
+    return single.unionByName(again).unionByName(unnamed).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,17 +58,32 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[0])
-_POWERS: dict[str, np.ndarray] = {}
+SLICE = (1 << 20) - 1  # bytes of text that are hashed at a time
+
+
+def worker_state() -> dict:
+    """A dictionary that lives as long as the Python worker: caches that any task may rebuild."""
+    return sys.modules.setdefault("_kpiforge_worker", types.SimpleNamespace(state={})).state
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n + 1:
-        m = max(1 << 20, 1 << (n + 1).bit_length())
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(m, base, np.uint64)
+    """Powers of the base and of its inverse, kept up to a slice; a longer row has its own."""
+    held = worker_state().get("powers")
+    if held is None or len(held[0]) <= n:
+        out = []
+        for base in (_BASE, _INVERSE):
+            p = np.full(max(n, SLICE) + 1, base, np.uint64)
             p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+            out.append(np.cumprod(p, dtype=np.uint64, out=p))
+        held = out[0], out[1]
+        if n <= SLICE:
+            worker_state()["powers"] = held
+    return held
+
+
+def binaries(col) -> list:
+    """Buffers of a binary column, without copies."""
+    return [None if not v.is_valid else v.as_buffer() for chunk in (col.chunks if isinstance(col, pa.ChunkedArray) else [col]) for v in chunk]
 
 
 def byte_view(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +101,7 @@ def byte_view(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-def slices(bounds: np.ndarray, most: int = 1 << 21):
+def slices(bounds: np.ndarray, most: int = SLICE):
     """Consecutive row ranges of at most ``most`` bytes; a longer row stands alone."""
     n, i = len(bounds) - 1, 0
     while i < n:
@@ -150,7 +165,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def hash_slices(col, table=FOLDED, most: int = 1 << 21):
+def hash_slices(col, table=FOLDED, most: int = SLICE):
     """Word hashes of a string column, a few megabytes at a time: first row, number of rows, hashes, each word's row."""
     data, bounds = byte_view(col)
     kinds, value = table
@@ -160,11 +175,6 @@ def hash_slices(col, table=FOLDED, most: int = 1 << 21):
         yield i, j - i, word_hashes(part, starts, ends, value), rows
 
 
-def worker_state() -> dict:
-    """A dictionary that lives as long as the Python worker: caches that any task may rebuild."""
-    return sys.modules.setdefault("_kpiforge_worker", types.SimpleNamespace(state={})).state
-
-
 # ------------------------------------------------------------------ connected components
 
 
@@ -187,11 +197,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").selectExpr("b AS a", "m AS b")
         nxt = stored(small.unionByName(least.selectExpr("a", "m AS b")).where("a <> b").distinct(), "edges")
-        # done when no node points at two others and no target points on
-        again = nxt.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a").limit(1)
-        on = nxt.select(F.col("b").alias("a")).join(nxt.select("a").distinct(), "a", "left_semi").limit(1)
+        # done when no node points at two others and no target points on: one grouped pass
+        ends = nxt.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            nxt.select(F.col("b").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        open_ends = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out + into > 1")
         edges = nxt
-        if not again.unionByName(on).take(1):
+        if not open_ends.take(1):
             break
     else:
         raise RuntimeError("components did not settle")

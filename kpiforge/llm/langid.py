@@ -31,7 +31,7 @@ BOUND = 600  # documents of each language that are learned from at most
 LANGUAGES = 256  # languages learned at most (the most frequent ones)
 HIDDEN, EMBED, LONGEST = 16, 8, 24
 STEPS, BATCH = 2500, 256
-CACHE = 1_500_000  # words a worker remembers; beyond it starts anew
+CACHE = 1_000_000  # words a worker remembers; beyond it starts anew
 _GAPS = classes("\x20\x09\x0a\x0b\x0c\x0d", False)
 
 

@@ -33,7 +33,7 @@ from kpiforge.llm.common import MULTIPLIERS, byte_view, classes, mix, parts, sli
 DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCS = 3
-FLUSH = 1 << 24  # bytes of text that one tree of a map task holds
+FLUSH = 1 << 23  # bytes of words and lines that one tree of a map task holds
 VARIABLE, ANY = 1, 0  # a word with a digit; a field that varies inside a template
 _EXACT = classes("\x20\x09\x0a\x0b\x0c\x0d", False)
 _DIGIT = np.array([48 <= b < 58 for b in range(256)])

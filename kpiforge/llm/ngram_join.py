@@ -22,9 +22,9 @@ form a class (named by a 64-bit hash of the set) that is searched once.
    thousands is spread over many tasks).  A block builds the inverted lists
    of its members, heap-merges the query's short lists, binary-probes the long
    ones (:func:`divide_skip`) and keeps members that reach the overlap.
-   Lists that still hold two components get other leaders, and at last every
-   pair of classes in different components is searched at the first list it
-   shares, if the lists after that suffice for the overlap.  A pair is left
+   After ``LEADERS`` such rounds every pair of classes in different components
+   is searched at the first list it shares, if the lists after that suffice
+   for the overlap.  A pair is left
    out only if its two classes are connected already or cannot reach the
    threshold, so the components are exact and a group of k copies costs
    about k searches, not k * k / 2.
@@ -47,11 +47,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.llm.common import (
-    FOLDED, MULTIPLIERS, components, hash_slices, mix, ngram_hashes, parts, same_type, stored)
+    FOLDED, MULTIPLIERS, binaries, components, hash_slices, mix, ngram_hashes, parts, same_type, stored)
 
 LONG = 64  # an inverted list with more classes than this is long
-FLUSH = 1 << 24  # bytes of text whose postings a map task packs together
-LEADERS = 2  # rounds in which a leader searches each list, before what is left is searched pair by pair
+FLUSH = 1 << 23  # bytes of n-gram hashes that a map task packs together
+LEADERS = 1  # rounds in which a leader searches each list, before what is left is searched pair by pair
 BLOCK = 512  # members searched by one task per leader
 _PACKED = "dest int, kind int, keys binary, counts binary, hashes binary, flags binary"
 _PACKED_ARROW = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()),
@@ -174,21 +174,22 @@ def _bucket_lists(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         out, names, hashes, hot = [], [], [], []
-        cols = [table.column(k).to_pylist() for k in range(6)]
-        for dest, kind, keys, counts, hs, flags in zip(*cols):
+        heads = [table.column(k).to_pylist() for k in range(2)]
+        for dest, kind, keys, counts, hs, flags in zip(*heads, *[binaries(table.column(k)) for k in range(2, 6)]):
             if kind != _POSTINGS:
-                out.append((dest, kind, keys, counts, hs, flags))
+                out.append(_row(dest, kind, keys, counts, hs, flags))
                 continue
             names.append(np.repeat(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)))
             hashes.append(np.frombuffer(hs, np.uint64))
             hot.append(np.frombuffer(flags, np.uint64).reshape(-1, 2))
-        del cols
         if hashes:
             h, c = np.concatenate(hashes), np.concatenate(names)
             long_hash = np.unique(np.concatenate(hot)[:, 0])
             del hashes, names
             by = np.argsort(h)
-            h, c = h[by], c[by]
+            h = h[by]
+            c = c[by]
+            del by
             start, length = _runs(h)
             is_long = np.isin(h[start], long_hash)
             keep = np.repeat((length > 1) | is_long, length)
@@ -223,8 +224,8 @@ def _prefixes(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         sizes, names, hashes, flags = {}, [], [], []
-        cols = [table.column(k).to_pylist() for k in range(1, 6)]
-        for kind, keys, counts, hs, fl in zip(*cols):
+        cols = [binaries(table.column(k)) for k in range(2, 6)]
+        for kind, keys, counts, hs, fl in zip(table.column(1).to_pylist(), *cols):
             k = np.frombuffer(keys, np.uint64)
             if kind == _SIZES:
                 sizes.update(zip(k.tolist(), np.frombuffer(counts, np.uint32).tolist()))
@@ -316,7 +317,7 @@ def _search_blocks(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         frame = {k: table.column(k).to_numpy() for k in ("leader", "salt", "m", "n")}
-        shared = table.column("shared").to_pylist()
+        shared = binaries(table.column("shared"))
         order = np.lexsort((frame["m"] != frame["leader"], frame["salt"], frame["leader"]))
         key = np.stack([frame["leader"], frame["salt"]], 1)[order]
         start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(key) else np.zeros(0, np.int64)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from kpiforge.llm.common import byte_view, classes, same_type, slices, stored, word_hashes, worker_state
 
-WORDS = 1_000_000  # distinct words whose ids a worker keeps; beyond it starts anew
+WORDS = 500_000  # distinct words whose ids a worker keeps; beyond it starts anew
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, split int, at long"
 #: 0: white space, which the tokenizer drops; 1: ASCII letters (it lower-cases them); 2: other ASCII; 3: never cut beside these
 _GAPS = classes(" \t\n\r", True)
