@@ -29,6 +29,8 @@ from kpiforge.sources.tables import read_table  # noqa: E402
 def run(result) -> None:
     for df in (result.values() if isinstance(result, dict) else [result]):
         df.write.format("noop").mode("overwrite").save()
+    if isinstance(result, dict) and "shared" in result:
+        result["shared"].unpersist()
 
 
 def main() -> None:
