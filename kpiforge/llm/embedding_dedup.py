@@ -15,8 +15,10 @@ cosine; a pair is counted in the first table where it meets, so no list of
 pairs is made: a block returns counts, and a spanning forest of its links.
 Buckets of many vectors are cut into blocks of queries that other tasks take.
 
-With the defaults a pair at cosine 0.98 in 64 dimensions is missed with
-probability 1e-5 (0.13 per table, measured); links below the threshold never occur.
+The number of tables and hashes follows the number of vectors (:func:`shape`).
+With six tables of two hashes a pair at cosine 0.98 in 64 dimensions is missed
+with probability 1e-5 (0.13 per table, measured); links below the threshold
+never occur.
 
 Cases.  Null, zero or empty vectors, vectors with a null or non-finite
 component, and null labels link with nothing.  Lengths that are no power of
@@ -33,7 +35,19 @@ from pyspark.sql import functions as F
 
 from kpiforge.llm.common import components, mix, parts, same_type, stored
 
-TABLES, WIDTH, PROBES = 6, 2, 4
+PROBES = 4
+FULL = 16  # vectors for each bucket of a table, at most, before tables get one more hash
+
+
+def shape(vectors: int, dims: int) -> tuple[int, int]:
+    """Tables and hashes per table: two hashes, and one more for each factor of 2 * dims in the number of vectors beyond
+    ``FULL`` a bucket; three tables per hash keep the recall."""
+    width, room = 2, FULL * (2 * max(dims, 2)) ** 2
+    while vectors > room:
+        width, room = width + 1, room * 2 * max(dims, 2)
+    return 3 * width, width
+
+
 BLOCK = 2048  # queries of one bucket that one task takes
 
 
@@ -53,7 +67,7 @@ def _signs(table: int, which: int, turn: int, d: int) -> np.ndarray:
     return np.where(bits & np.uint64(1), 1.0, -1.0)
 
 
-def buckets(x: np.ndarray, table: int, width: int = WIDTH, probes: int = PROBES) -> np.ndarray:
+def buckets(x: np.ndarray, table: int, width: int = 2, probes: int = PROBES) -> np.ndarray:
     """Bucket numbers each row looks in; the first is its home."""
     d = 1 << max(0, (x.shape[1] - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, d - x.shape[1])))
@@ -111,51 +125,81 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         low = new
 
 
+def candidates(queries: np.ndarray, index: np.ndarray, first: np.ndarray, most: int = 1 << 17):
+    """Pairs (query row, index row) of many blocks, a bounded number at a time; block k has ``queries[k]`` query rows from
+    ``first[k]`` on, then ``index[k]`` index rows."""
+    total = np.concatenate([[0], np.cumsum(queries * index)])
+    for lo in range(0, int(total[-1]), most):
+        p = np.arange(lo, min(lo + most, int(total[-1])))
+        k = np.searchsorted(total, p, "right") - 1
+        p = p - total[k]
+        yield first[k] + p // index[k], first[k] + queries[k] + p % index[k]
+
+
+def close_pairs(x: np.ndarray, queries: np.ndarray, index: np.ndarray, first: np.ndarray, cosine: float, large: int = 1 << 14):
+    """Pairs of :func:`candidates` with at least the cosine: row by row, and as matrix products in large blocks."""
+    norm = np.sqrt((x * x).sum(1))
+    many = queries * index > large
+    for a, b in candidates(queries[~many], index[~many], first[~many]):
+        near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine * norm[a] * norm[b]
+        yield a[near], b[near]
+    for q, n, f in zip(queries[many].tolist(), index[many].tolist(), first[many].tolist()):
+        for lo in range(f, f + q, 1024):
+            hi = min(lo + 1024, f + q)
+            for k in range(f + q, f + q + n, 1024):
+                end = min(k + 1024, f + q + n)
+                a, b = np.nonzero(x[lo:hi] @ x[k:end].T >= cosine * norm[lo:hi, None] * norm[None, k:end])
+                yield a + lo, b + k
+
+
+def _new_pairs(x: np.ndarray, a: np.ndarray, b: np.ndarray, t: np.ndarray, width: int, probes: int) -> np.ndarray:
+    """Whether a pair that meets in table t has met in none before: its query row looked in no home bucket of its index row."""
+    new = np.ones(len(a), bool)
+    for s in range(int(t.max(initial=0))):
+        on = np.flatnonzero(new & (t > s))
+        if len(on):
+            rows, at = np.unique(np.concatenate([a[on], b[on]]), return_inverse=True)
+            key = buckets(x[rows], s, width, probes)
+            met = (key[at[: len(on)]] == key[at[len(on):], :1]).any(1)
+            new[on[met]] = False
+    return new
+
+
 def _verify(cosine: float, width: int, probes: int):
+    """Blocks of one task: links of each query vector, and a spanning forest of all links found."""
+
     def run(table: pa.Table) -> pa.Table:
-        out = {"cid": [], "links": [], "root": []}
         cols = {c: table.column(c).to_numpy() for c in ("label", "t", "bucket", "dims", "salt", "query", "cid", "copies")}
         vectors = table.column("v").combine_chunks()
-        order = np.lexsort([cols[c] for c in ("cid", "query", "salt", "dims", "bucket", "t", "label")])
-        key = np.stack([cols[c][order] for c in ("label", "t", "bucket", "dims", "salt")], 1)
-        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(order) else []
-        for lo, hi in zip(start, [*start[1:], len(order)]):
-            rows = order[lo:hi]
-            q, i = rows[cols["query"][rows] == 1], rows[cols["query"][rows] == 0]
-            if not len(q) or not len(i):
-                continue
-            t = int(cols["t"][rows[0]])
-            x, y = _matrix(vectors.take(pa.array(q))), _matrix(vectors.take(pa.array(i)))
-            look = [buckets(x, s, width, probes) for s in range(t)]
-            home = [buckets(y, s, width, probes)[:, 0] for s in range(t)]
-            nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-            links, ids = np.zeros(len(q), np.int64), np.unique(cols["cid"][rows])
-            at_q, at_i = np.searchsorted(ids, cols["cid"][q]), np.searchsorted(ids, cols["cid"][i])
-            copies, low = cols["copies"][i], np.arange(len(ids))
-            for k in range(0, len(i), 1024):
-                near = (x @ y[k: k + 1024].T) >= cosine * nx[:, None] * ny[None, k: k + 1024]
-                near &= at_q[:, None] != at_i[None, k: k + 1024]
-                a, b = np.nonzero(near)
-                b += k
-                for probe, own in zip(look, home):  # met in an earlier table already
-                    new = ~(probe[a] == own[b][:, None]).any(1)
-                    a, b = a[new], b[new]
-                np.add.at(links, a, copies[b])
-                low = _forest(np.concatenate([at_q[a], np.arange(len(ids))]), np.concatenate([at_i[b], low]), len(ids))
-            hit = np.flatnonzero(links > 0)
-            out["cid"] += [cols["cid"][q[hit]], ids]
-            out["links"] += [links[hit], np.zeros(len(ids), np.int64)]
-            out["root"] += [cols["cid"][q[hit]], ids[low]]
-        joined = {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for k, v in out.items()}
-        keep = (joined["links"] > 0) | (joined["cid"] != joined["root"])
-        return pa.table({k: v[keep] for k, v in joined.items()})
+        order = np.lexsort([cols["cid"], -cols["query"], *(cols[c] for c in ("salt", "bucket", "t", "label", "dims"))])
+        cols = {c: v[order] for c, v in cols.items()}
+        ids, place = np.unique(cols["cid"], return_inverse=True)
+        links, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for d in np.unique(cols["dims"]):
+            rows = np.flatnonzero(cols["dims"] == d)
+            x = _matrix(vectors.take(pa.array(order[rows])))
+            own = {c: v[rows] for c, v in cols.items()}
+            at = place[rows]
+            key = np.stack([own[c] for c in ("label", "t", "bucket", "salt")], 1)
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+            size = np.diff(np.append(first, len(rows)))
+            asked = np.add.reduceat(own["query"], first).astype(np.int64)
+            for a, b in close_pairs(x, asked, size - asked, first, cosine):
+                other = at[a] != at[b]
+                a, b = a[other], b[other]
+                new = _new_pairs(x, a, b, own["t"][a], width, probes)
+                a, b = a[new], b[new]
+                links += np.bincount(at[a], weights=own["copies"][b], minlength=len(ids)).astype(np.int64)
+                low = _forest(np.concatenate([at[a], np.arange(len(ids))]), np.concatenate([at[b], low]), len(ids))
+        keep = (links > 0) | (low != np.arange(len(ids)))
+        return pa.table({"cid": ids[keep], "links": links[keep], "root": ids[low][keep]})
 
     return run
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label",
-                    tables: int = TABLES, width: int = WIDTH, probes: int = PROBES) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every row (see the module text)."""
+                    tables: int | None = None, width: int | None = None, probes: int = PROBES) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` of every row (see the module text); tables and width by :func:`shape`."""
     src = same_type(rows, {vec_id: "long", vector: "array<double>", label: "long"}).select(
         F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -164,6 +208,8 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     classes = stored(src.where("cid IS NOT NULL").groupBy("cid").agg(
         F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("low"))
         .withColumn("dims", F.size("v")), "vectors")
+    by_rule = shape(*classes.agg(F.count("*"), F.coalesce(F.max("dims"), F.lit(2))).first())
+    tables, width = tables or by_rule[0], width or by_rule[1]
     keys = stored(classes.select("cid", "v", "dims", "label").mapInArrow(
         _keys(tables, width, probes), "cid long, t int, bucket long, home int, label long, dims int"), "buckets")
     place = ["label", "t", "bucket", "dims"]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from kpiforge.llm import embedding_dedup
-from kpiforge.llm.embedding_dedup import buckets, hadamard, near_duplicates
+from kpiforge.llm.embedding_dedup import buckets, candidates, hadamard, near_duplicates, shape
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cid long, v string, t int"
 
@@ -54,6 +54,8 @@ def corpus(seed, d=32, n=400):
 @pytest.mark.parametrize("d", [32, 20])
 def test_equal_to_all_pairs(spark, d, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)  # hot buckets are cut into several query blocks
+    if d == 20:  # every block as matrix products
+        monkeypatch.setattr(embedding_dedup.close_pairs, "__defaults__", (0,))
     rows = corpus(d, d)
     got = near_duplicates(spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA))
     assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
@@ -72,13 +74,23 @@ def test_recall_of_pairs_at_the_threshold():
     e -= (e * x).sum(1)[:, None] * x
     e /= np.linalg.norm(e, axis=1)[:, None]
     y = 0.98 * x + np.sqrt(1 - 0.98 ** 2) * e
-    met = np.zeros(len(x), bool)
-    for t in range(embedding_dedup.TABLES):
-        met |= (buckets(x, t) == buckets(y, t)[:, :1]).any(1)
-    assert met.mean() > 0.999
+    for vectors in (1000, 10 ** 7):
+        tables, width = shape(vectors, 64)
+        met = np.zeros(len(x), bool)
+        for t in range(tables):
+            met |= (buckets(x, t, width) == buckets(y, t, width)[:, :1]).any(1)
+        assert met.mean() > 0.999, (tables, width)
 
 
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(1).normal(size=(5, 16))
     y = hadamard(x)
     assert np.allclose((y * y).sum(1), (x * x).sum(1)) and np.allclose(hadamard(y), x)
+
+
+def test_candidates_are_all_pairs_of_each_block():
+    queries, index = np.array([2, 0, 3, 1]), np.array([3, 2, 0, 1])
+    first = np.cumsum(queries + index) - queries - index
+    got = [p for a, b in candidates(queries, index, first, most=4) for p in zip(a.tolist(), b.tolist())]
+    want = [(f + i, f + q + j) for q, n, f in zip(queries, index, first) for i in range(q) for j in range(n)]
+    assert got == want and shape(10, 64) == (6, 2) and shape(300_000, 64)[1] == 3
