@@ -9,7 +9,7 @@ rewrite, keyed on (group, order_id), so a hot group is spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.dates import period_start
@@ -116,19 +116,31 @@ def breakdown_all(df: DataFrame, dims=("region", "segment", "category", "sub_cat
     GROUPING SETS ((d1), (d2), ..., ()) ; ``dimension`` names the set
     (``total`` for the grand total) and ``value`` holds the group key.
     Replaces the dashboard's separate pass per chart.  For the exact distinct
-    order count lines are first summed per (order, dimension values), so only
-    those rows, not the lines, are expanded into the sets;
-    ``approx_orders=True`` keeps one partial aggregate at ~1% error on
+    order count lines are summed per (order, dimension values) and dealt by
+    order; in its task the first row of an order with a value is marked, and
+    orders are sums of those marks, so the sets themselves are a plain partial
+    aggregate.  ``approx_orders=True`` spares both shuffles at ~1% error on
     ``orders``.
     """
-    dims = list(dims)
+    dims, metrics = list(dims), list(metrics)
     sets = [[F.col(d)] for d in dims] + [[]]
-    if not approx_orders:
-        df = df.groupBy("order_id", *dims).agg(F.sum("sales").alias("sales"), F.sum("profit").alias("profit"))
-    agg = df.groupingSets(sets, *[F.col(d) for d in dims]).agg(
-        *metric_cols(metrics, approx_orders=approx_orders), F.grouping_id().alias("_gid"))
-    # grouping_id bit i (from the left, most significant first) is 1 when dim i is absent
     n = len(dims)
+    gid = F.grouping_id(*[F.col(d) for d in dims])
+    aggs = [m for m in metric_cols(metrics, approx_orders=approx_orders)]
+    if "orders" in metrics and not approx_orders:
+        # lines of an order with the same values are summed first: a huge order (or no order id) is small after that
+        df = df.groupBy("order_id", *dims).agg(F.sum("sales").alias("sales"), F.sum("profit").alias("profit")).repartition("order_id")
+        for k, by in enumerate([*[[d] for d in dims], []]):
+            first = F.row_number().over(Window.partitionBy("order_id", *by).orderBy("order_id")) == 1
+            df = df.withColumn(f"_first{k}", (first & F.col("order_id").isNotNull()).cast("int"))
+        marks = [F.coalesce(F.sum(f"_first{k}"), F.lit(0)) for k in range(n + 1)]
+        full = (1 << n) - 1
+        orders = marks[n]
+        for k in range(n):
+            orders = F.when(gid == (full ^ (1 << (n - 1 - k))), marks[k]).otherwise(orders)
+        aggs[metrics.index("orders")] = orders.alias("orders")
+    agg = df.groupingSets(sets, *[F.col(d) for d in dims]).agg(*aggs, gid.alias("_gid"))
+    # grouping_id bit i (from the left, most significant first) is 1 when dim i is absent
     dim_name = F.lit("total")
     value = F.lit(None).cast("string")
     for i, d in enumerate(dims):
