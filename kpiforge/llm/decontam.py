@@ -15,6 +15,13 @@ document when
   a re-parameterised question with every value replaced throughout, while
   texts that share phrases around unrelated figures do not.
 
+Both are tested over all windows met in the document and, where the slots of
+these do not agree, for every occurrence by itself: windows on one diagonal
+(document position minus item position) and those in order before and after it
+on diagonals at most half an item away.  The item leaks if one of them passes,
+so a worksheet with several versions of a question holds it, and an item of
+parallel sentences is not held against itself.
+
 The benchmark's windows are the query set, searched against all documents:
 items are dealt into blocks of at most ``BLOCK_WINDOWS`` windows, and each
 block travels to the tasks, which scan whole texts; documents never move.
@@ -28,6 +35,8 @@ rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -133,6 +142,39 @@ def consistent(item_values: np.ndarray, doc_values: np.ndarray) -> tuple[int, in
     return len(item_values), int((item_values != doc_values).sum()), bad
 
 
+def occurrences(d: np.ndarray, q: np.ndarray, size: int, length: int, need: float):
+    """Hits (window q of an item at document word d) of each occurrence of the item with at least ``need`` windows: the
+    diagonal with most hits first, joined by hits of near diagonals whose words lie before or after in both texts."""
+    order = np.lexsort((q, d - q))
+    d, q = d[order], q[order]
+    diagonal = d - q
+    first = np.flatnonzero(np.concatenate([[True], diagonal[1:] != diagonal[:-1]]))
+    count = np.diff(np.append(first, len(d)))
+    reach, free = max(length // 2, 1), np.ones(len(d), bool)
+    for s in np.argsort(-count, kind="stable").tolist():
+        at = int(diagonal[first[s]])
+        lo, hi = np.searchsorted(diagonal, [at - reach, at + reach + 1])
+        if hi - lo < need or not free[first[s]: first[s] + count[s]].any():
+            continue
+        near = np.flatnonzero(free[lo:hi]) + lo
+        chain = near[diagonal[near] == at]
+        near = near[diagonal[near] != at]
+        while len(near):
+            have = chain[np.argsort(q[chain], kind="stable")]
+            k = np.searchsorted(q[have], q[near], "right")
+            before, after = have[np.maximum(k - 1, 0)], have[np.minimum(k, len(have) - 1)]
+            fits = (k == 0) | ((q[before] + size <= q[near]) & (d[before] + size <= d[near]))
+            fits &= (k == len(have)) | ((q[near] + size <= q[after]) & (d[near] + size <= d[after]))
+            near = near[fits]
+            if len(near):
+                lines, n = np.unique(diagonal[near], return_counts=True)
+                best = diagonal[near] == lines[n.argmax()]
+                chain, near = np.concatenate([chain, near[best]]), near[~best]
+        free[chain] = False
+        if len(chain) >= need:
+            yield order[chain]
+
+
 def find_leaks(data: np.ndarray, bounds: np.ndarray, items: Items, coverage: float = COVERAGE):
     """(row, item, windows met, slots, changed slots, first byte, end byte) of every leak into the rows."""
     words, values, rows, starts, ends = templates(data, bounds)
@@ -160,17 +202,21 @@ def find_leaks(data: np.ndarray, bounds: np.ndarray, items: Items, coverage: flo
     start = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1])]))
     for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(d)]):
         k, size = int(i[lo]), int(w[lo])
-        met = len(np.unique(q[lo:hi]))
-        if met < min(coverage * items.windows[k], max(PASSAGE - size + 1, 1)):
+        need = min(coverage * items.windows[k], max(PASSAGE - size + 1, 1))
+        if len(np.unique(q[lo:hi])) < need:
             continue
+        length = int(items.first[k + 1] - items.first[k])
         step = np.arange(size)
-        a, b = (d[lo:hi, None] + step).ravel(), (q[lo:hi, None] + step).ravel()
-        aligned = np.unique(a * (items.first[k + 1] - items.first[k] + 1) + b, return_index=True)[1]
-        a, b = a[aligned], b[aligned] + items.first[k]
-        slot = values[a] != 0
-        slots, changed, bad = consistent(items.values[b[slot]], values[a[slot]])
-        if 10 * bad <= slots:
-            yield int(r[lo]), k, met, slots, changed, int(starts[a.min()]), int(ends[a.max()])
+        whole = np.arange(lo, hi)
+        for own in itertools.chain([whole], (whole[x] for x in occurrences(d[lo:hi], q[lo:hi], size, length, need))):
+            a, b = (d[own, None] + step).ravel(), (q[own, None] + step).ravel()
+            aligned = np.unique(a * (length + 1) + b, return_index=True)[1]
+            a, b = a[aligned], b[aligned] + items.first[k]
+            slot = values[a] != 0
+            slots, changed, bad = consistent(items.values[b[slot]], values[a[slot]])
+            if 10 * bad <= slots:
+                yield int(r[lo]), k, len(np.unique(q[own])), slots, changed, int(starts[a.min()]), int(ends[a.max()])
+                break
 
 
 def _scan(items: Items, coverage: float):

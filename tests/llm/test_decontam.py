@@ -38,6 +38,20 @@ def test_leaks(make_docs, bench):
     assert sorted(r["doc_id"] for r in kept.collect()) == [12, 14, 15, 16, 18, 19, 22]
 
 
+def test_each_occurrence_is_judged_by_itself(make_docs, bench):
+    parallel = " ".join(f"In week {i} the small shop by the river sold {i * 7 + 3} boxes of green apples to {n}." for i, n in enumerate(
+        ["Ann", "Bob", "Cid", "Dan", "Eve"], 1))
+    other = ITEM.replace("30", "71").replace("45", "52").replace("12", "19").replace("Alice", "Paula").replace("Bob", "Karl")
+    inserted = ITEM.replace("and meets", "with few stops on the way and meets")
+    docs = [(1, f"First this one. {ITEM} Then that one. {SWAPPED}"), (2, f"{SWAPPED} Then that one. {other} More. {MIXED}"), (3, f"Words. {parallel} Words."),
+            (4, f"{MIXED} And once more. {MIXED}"), (5, f"{MIXED} Then. {inserted} Then. {MIXED}"), (6, f"{ITEM} {ITEM}")]
+    items = [(1, ITEM), (2, parallel)]
+    out = {(r["doc_id"], r["item_id"]): r for r in leaks(make_docs(docs), bench(items)).collect()}
+    assert sorted(out) == [(1, 1), (2, 1), (3, 2), (5, 1), (6, 1)]
+    assert out[3, 2]["coverage"] == 1.0 and out[3, 2]["n_changed"] == 0 < out[3, 2]["n_slots"] and out[1, 1]["coverage"] == 1.0
+    assert [r["doc_id"] for r in clean(make_docs(docs), bench(items)).collect()] == [4]
+
+
 def test_blocks_of_items(make_docs, bench, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 20)
     monkeypatch.setattr(decontam.item_blocks, "__defaults__", ("item_id", "text", 8, 20))
