@@ -22,13 +22,21 @@ on diagonals at most half an item away.  The item leaks if one of them passes,
 so a worksheet with several versions of a question holds it, and an item of
 parallel sentences is not held against itself.
 
+Windows of plain words (A-Z as a-z, no placeholders) are joined as well, so a
+copy in other case, or inside a sentence where its first word looks like a
+name, is found: an item leaks if an occurrence holds enough of its windows of
+plain words.  Where templates met there and their slots did not agree, the
+share of ``coverage`` is asked for, a passage does not do.  Such a leak has
+its windows of plain words in ``n_windows`` and ``coverage``, and no slots.
+
 The benchmark's windows are the query set, searched against all documents:
 items are dealt into blocks of at most ``BLOCK_WINDOWS`` windows, and each
 block travels to the tasks, which scan whole texts; documents never move.
 
 Cases.  Null or empty texts, and items without a word, match nothing.  Items
 shorter than a window are one window of their own length, and need at least
-``SHORTEST`` template words.  Items with equal texts each get their rows;
+``SHORTEST`` template words or, as plain words, that many of those: items of
+fewer plain words match nothing.  Items with equal texts each get their rows;
 documents that repeat each get theirs.  Null ids are kept.  Empty tables: no
 rows.  Other columns are ignored.
 """
@@ -72,13 +80,17 @@ _UNIT = np.sort(_hash_of(UNITS))
 NUM, UNIT, NAME = (np.uint64(k) for k in mix(np.array([11, 12, 13], np.uint64)))
 
 
-def templates(data: np.ndarray, bounds: np.ndarray):
-    """Template words of all rows: hash, value hash of slots (0 for literal words), row, first byte, end byte."""
+def plain_words(data: np.ndarray, bounds: np.ndarray):
+    """Words of all rows as they are, A-Z as a-z: hash, row, first byte, end byte."""
     starts, ends, rows = word_spans(data, bounds, _KINDS)
+    return word_hashes(data, starts, ends, _VALUE), rows, starts, ends
+
+
+def templates(data: np.ndarray, hashes: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Template words of all rows from their plain words: hash, value hash of slots (0 for literal words), row, first byte, end byte."""
     if not len(starts):
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), z, z, z
-    hashes = word_hashes(data, starts, ends, _VALUE)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
     number = digits[ends] > digits[starts]
@@ -104,21 +116,18 @@ def templates(data: np.ndarray, bounds: np.ndarray):
     return words, np.where(slot[first], values, np.uint64(0)), rows[first], starts[first], ends[last]
 
 
-class Items:
-    """A block of benchmark items, ready to be met by windows."""
+class Windows:
+    """Windows of the words of a block's items, by size: sorted hash, item, position."""
 
-    def __init__(self, ids: list, texts: list[str], window: int = WINDOW):
-        data, bounds = byte_view(pa.array(texts, pa.string()))
-        self.words, self.values, rows, _, _ = templates(data, bounds)
-        self.first = np.searchsorted(rows, np.arange(len(ids) + 1))
-        self.ids = ids
+    def __init__(self, words: np.ndarray, rows: np.ndarray, items: int, window: int):
+        self.first = np.searchsorted(rows, np.arange(items + 1))
         length = np.diff(self.first)
         self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.windows = np.where(length >= window, length - window + 1, np.where(length >= SHORTEST, 1, 0))
+        self.count = np.where(length >= window, length - window + 1, np.where(length >= SHORTEST, 1, 0))
         hashes, item, at = {}, {}, {}
-        for k in np.flatnonzero(self.windows).tolist():
+        for k in np.flatnonzero(self.count).tolist():
             w = min(window, int(length[k]))
-            h = ngram_hashes(self.words[self.first[k]: self.first[k + 1]], w)
+            h = ngram_hashes(words[self.first[k]: self.first[k + 1]], w)
             hashes.setdefault(w, []).append(h)
             item.setdefault(w, []).append(np.full(len(h), k))
             at.setdefault(w, []).append(np.arange(len(h)))
@@ -127,6 +136,48 @@ class Items:
             order = np.argsort(h, kind="stable")
             self.sizes[w] = h[order], np.concatenate(item[w])[order], np.concatenate(at[w])[order]
 
+    def met(self, words: np.ndarray, rows: np.ndarray, coverage: float):
+        """Per row and item that meet in enough windows: row, item, window size, windows needed, hits (document word, window)."""
+        hit_d, hit_i, hit_q, hit_w = [], [], [], []
+        for w, (known, item, at) in self.sizes.items():
+            h = ngram_hashes(words, w)
+            if not len(h):
+                continue
+            whole = rows[: len(h)] == rows[w - 1:]
+            lo = np.searchsorted(known, h)
+            pos = np.flatnonzero(whole & (known[np.minimum(lo, len(known) - 1)] == h))
+            lo, hi = lo[pos], np.searchsorted(known, h[pos], "right")
+            n = hi - lo
+            k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            hit_d.append(np.repeat(pos, n))
+            hit_i.append(item[k])
+            hit_q.append(at[k])
+            hit_w.append(np.full(len(k), w))
+        if not hit_d or not sum(map(len, hit_d)):
+            return
+        d, i, q, w = (np.concatenate(x) for x in (hit_d, hit_i, hit_q, hit_w))
+        order = np.lexsort((d, i, rows[d]))
+        d, i, q, w = d[order], i[order], q[order], w[order]
+        r = rows[d]
+        start = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1])]))
+        for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(d)]):
+            k, size = int(i[lo]), int(w[lo])
+            need = min(coverage * self.count[k], max(PASSAGE - size + 1, 1))
+            if len(np.unique(q[lo:hi])) >= need:
+                yield int(r[lo]), k, size, need, d[lo:hi], q[lo:hi]
+
+
+class Items:
+    """A block of benchmark items, ready to be met by windows of templates and of plain words."""
+
+    def __init__(self, ids: list, texts: list[str], window: int = WINDOW):
+        data, bounds = byte_view(pa.array(texts, pa.string()))
+        plain = plain_words(data, bounds)
+        self.words, self.values, rows, _, _ = templates(data, *plain)
+        self.ids = ids
+        self.templates = Windows(self.words, rows, len(ids), window)
+        self.plain = Windows(plain[0], plain[1], len(ids), window)
+
 
 def consistent(item_values: np.ndarray, doc_values: np.ndarray) -> tuple[int, int, int]:
     """Aligned slots, how many of them changed value, and how many break the one-to-one relation."""
@@ -176,46 +227,39 @@ def occurrences(d: np.ndarray, q: np.ndarray, size: int, length: int, need: floa
 
 
 def find_leaks(data: np.ndarray, bounds: np.ndarray, items: Items, coverage: float = COVERAGE):
-    """(row, item, windows met, slots, changed slots, first byte, end byte) of every leak into the rows."""
-    words, values, rows, starts, ends = templates(data, bounds)
-    hit_d, hit_i, hit_q, hit_w = [], [], [], []
-    for w, (known, item, at) in items.sizes.items():
-        h = ngram_hashes(words, w)
-        if not len(h):
-            continue
-        whole = rows[: len(h)] == rows[w - 1:]
-        lo = np.searchsorted(known, h)
-        pos = np.flatnonzero(whole & (known[np.minimum(lo, len(known) - 1)] == h))
-        lo, hi = lo[pos], np.searchsorted(known, h[pos], "right")
-        n = hi - lo
-        k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        hit_d.append(np.repeat(pos, n))
-        hit_i.append(item[k])
-        hit_q.append(at[k])
-        hit_w.append(np.full(len(k), w))
-    if not hit_d or not sum(map(len, hit_d)):
-        return
-    d, i, q, w = (np.concatenate(x) for x in (hit_d, hit_i, hit_q, hit_w))
-    order = np.lexsort((d, i, rows[d]))
-    d, i, q, w = d[order], i[order], q[order], w[order]
-    r = rows[d]
-    start = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1])]))
-    for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(d)]):
-        k, size = int(i[lo]), int(w[lo])
-        need = min(coverage * items.windows[k], max(PASSAGE - size + 1, 1))
-        if len(np.unique(q[lo:hi])) < need:
-            continue
-        length = int(items.first[k + 1] - items.first[k])
-        step = np.arange(size)
-        whole = np.arange(lo, hi)
-        for own in itertools.chain([whole], (whole[x] for x in occurrences(d[lo:hi], q[lo:hi], size, length, need))):
+    """(row, item, windows met, share of the item's windows, slots, changed slots, first byte, end byte) of every leak into the rows."""
+    plain = plain_words(data, bounds)
+    words, values, rows, starts, ends = templates(data, *plain)
+    found, refused = set(), {}
+    for r, k, size, need, d, q in items.templates.met(words, rows, coverage):
+        offset = items.templates.first[k]
+        length = int(items.templates.first[k + 1] - offset)
+        step, whole = np.arange(size), True
+        for own in itertools.chain([np.arange(len(d))], occurrences(d, q, size, length, need)):
             a, b = (d[own, None] + step).ravel(), (q[own, None] + step).ravel()
             aligned = np.unique(a * (length + 1) + b, return_index=True)[1]
-            a, b = a[aligned], b[aligned] + items.first[k]
+            a, b = a[aligned], b[aligned] + offset
             slot = values[a] != 0
             slots, changed, bad = consistent(items.values[b[slot]], values[a[slot]])
+            first, end = int(starts[a.min()]), int(ends[a.max()])
             if 10 * bad <= slots:
-                yield int(r[lo]), k, len(np.unique(q[own])), slots, changed, int(starts[a.min()]), int(ends[a.max()])
+                met = len(np.unique(q[own]))
+                yield r, k, met, met / items.templates.count[k], slots, changed, first, end
+                found.add((r, k))
+                break
+            if not whole:
+                refused.setdefault((r, k), []).append((first, end))
+            whole = False
+    words, rows, starts, ends = plain
+    for r, k, size, need, d, q in items.plain.met(words, rows, coverage):
+        if (r, k) in found:
+            continue
+        length = int(items.plain.first[k + 1] - items.plain.first[k])
+        for own in occurrences(d, q, size, length, need):
+            first, end, met = int(starts[d[own].min()]), int(ends[d[own].max() + size - 1]), len(np.unique(q[own]))
+            judged = any(first < e and f < end for f, e in refused.get((r, k), ()))
+            if met >= (coverage * items.plain.count[k] if judged else need):
+                yield r, k, met, met / items.plain.count[k], 0, 0, first, end
                 break
 
 
@@ -226,13 +270,13 @@ def _scan(items: Items, coverage: float):
             keys = batch.column(0)
             out = []
             for i, j in slices(bounds):
-                for row, k, met, slots, changed, _, _ in find_leaks(data[bounds[i]: bounds[j]], bounds[i: j + 1] - bounds[i], items, coverage):
-                    out.append((i + row, items.ids[k], met, met / items.windows[k], slots, changed))
+                for row, k, met, share, slots, changed, _, _ in find_leaks(data[bounds[i]: bounds[j]], bounds[i: j + 1] - bounds[i], items, coverage):
+                    out.append((i + row, items.ids[k], met, float(share), slots, changed))
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([
                     keys.take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                    pa.array([float(c) for c in cols[3]]), *[pa.array(c, pa.int64()) for c in cols[4:]]],
+                    pa.array(cols[3]), *[pa.array(c, pa.int64()) for c in cols[4:]]],
                     ["doc_id", "item_id", "n_windows", "coverage", "n_slots", "n_changed"])
 
     return run

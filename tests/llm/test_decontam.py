@@ -52,6 +52,20 @@ def test_each_occurrence_is_judged_by_itself(make_docs, bench):
     assert [r["doc_id"] for r in clean(make_docs(docs), bench(items)).collect()] == [4]
 
 
+def test_copies_in_other_case_and_inside_a_sentence(make_docs, bench):
+    names = "Yesterday Ann met Bob and Cid at noon while Dan told Eve about Fay and Gus near Hal before Ivy saw Joe and Kim again at home."
+    short, numbers = "Name the seven seas of legend", "What is 12 13 14 15 plus 9?"
+    items = [(1, names), (2, short), (3, numbers), (4, ITEM)]
+    around = "some words come first {} and others of no interest follow it"
+    docs = [(10, around.format(names)), (11, around.format(names.lower())), (12, around.format(names.upper())), (13, around.format(short)),
+            (14, around.format(short.lower())), (15, around.format(numbers)), (16, around.format(ITEM.lower())), (17, MIXED),
+            (18, around.format(" ".join(names.lower().split()[5:19]))), (19, around.format(" ".join(names.lower().split()[5:14]))),
+            (20, around.format("what is 12 13 14 16 plus 8?")), (21, f"{MIXED} But {' '.join(ITEM.lower().split()[8:22])}")]
+    got = sorted((r["doc_id"], r["item_id"]) for r in leaks(make_docs(docs), bench(items)).collect())
+    assert got == [(10, 1), (11, 1), (12, 1), (13, 2), (14, 2), (15, 3), (16, 4), (18, 1), (20, 3), (21, 4)]
+    assert sorted(r["doc_id"] for r in clean(make_docs(docs), bench(items)).collect()) == [17, 19]
+
+
 def test_blocks_of_items(make_docs, bench, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 20)
     monkeypatch.setattr(decontam.item_blocks, "__defaults__", ("item_id", "text", 8, 20))
