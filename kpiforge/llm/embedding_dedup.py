@@ -13,7 +13,10 @@ whose coordinates come next.  Buckets in which nobody can meet are dropped
 before vectors move.  In a bucket every candidate is verified by its exact
 cosine; a pair is counted in the first table where it meets, so no list of
 pairs is made: a block returns counts, and a spanning forest of its links.
-Buckets of many vectors are cut into blocks of queries that other tasks take.
+Buckets of many vectors are cut into blocks of about ``BLOCK`` queries and
+``BLOCK`` index vectors, every part of the one with every part of the other;
+the number of groups that take blocks follows the number of their rows, so a
+group holds a bounded number of vectors however many lie close together.
 
 The number of tables and hashes follows the number of vectors (:func:`shape`).
 With six tables of two hashes a pair at cosine 0.98 in 64 dimensions is missed
@@ -48,7 +51,8 @@ def shape(vectors: int, dims: int) -> tuple[int, int]:
     return 3 * width, width
 
 
-BLOCK = 2048  # queries of one bucket that one task takes
+BLOCK = 2048  # queries, and index vectors, of one bucket that meet in one block
+GROUP = 1 << 16  # rows of blocks, about, that one group takes
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -213,15 +217,22 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id
     keys = stored(classes.select("cid", "v", "dims", "label").mapInArrow(
         _keys(tables, width, probes), "cid long, t int, bucket long, home int, label long, dims int"), "buckets")
     place = ["label", "t", "bucket", "dims"]
-    sizes = keys.groupBy(place).agg(F.sum("home").alias("homes"), F.count("*").alias("n")).where("homes > 0 AND n > 1").select(
-        *place, F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("salts"))
+    salts = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    sizes = stored(keys.groupBy(place).agg(F.sum("home").alias("homes"), F.count("*").alias("n")).where("homes > 0 AND n > 1").select(
+        *place, "homes", "n", salts("n").alias("asks"), salts("homes").alias("holds")), "bucket-sizes")
+    total = sizes.agg(F.sum(F.col("n") * F.col("holds") + F.col("homes") * F.col("asks"))).first()[0] or 0
+    groups = max(4 * parts(rows.sparkSession), -(-total // GROUP))
     meet = keys.join(sizes, place)
-    queries = meet.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("salts")).cast("int")).withColumn("query", F.lit(1))
-    index = meet.where("home = 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("query", F.lit(0))
+    # each query lies in one part of the queries and meets all parts of the index, and the other way round
+    part = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    queries = meet.withColumn("other", every("holds")).withColumn("salt", part("asks", 3) * F.col("holds") + F.col("other")).withColumn("query", F.lit(1))
+    index = meet.where("home = 1").withColumn("other", every("asks")).withColumn(
+        "salt", F.col("other") * F.col("holds") + part("holds", 5)).withColumn("query", F.lit(0))
     cols = [*place, "salt", "query", "cid"]
     check = _verify(cosine, width, probes)
     found = stored(queries.select(cols).unionByName(index.select(cols)).join(classes.select("cid", "v", "copies"), "cid")
-                   .withColumn("task", F.pmod(F.xxhash64(*place, "salt"), F.lit(4 * parts(rows.sparkSession))))
+                   .withColumn("task", F.pmod(F.xxhash64(*place, "salt"), F.lit(groups)))
                    .groupBy("task").applyInArrow(lambda t: check(t), "cid long, links long, root long"), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))

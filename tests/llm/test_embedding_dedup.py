@@ -62,6 +62,30 @@ def test_equal_to_all_pairs(spark, d, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
 
 
+def test_near_copies_of_one_vector_stay_in_bounded_groups(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=16)
+    rows = [(i, [float(x) for x in (centre + rng.normal(size=16) * 0.02).astype(np.float32)], 0) for i in range(600)]
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    monkeypatch.setattr(embedding_dedup, "GROUP", 512, raising=False)
+    verify = embedding_dedup._verify
+
+    def bounded(*args):
+        check = verify(*args)
+
+        def run(table):
+            blocks = table.group_by(["label", "t", "bucket", "dims", "salt", "query"]).aggregate([("cid", "count")])
+            if max(blocks.column("cid_count").to_pylist(), default=0) > 3 * 32 or table.num_rows > 8 * 512:
+                raise ValueError("a group holds too many vectors")
+            return check(table)
+
+        return run
+
+    monkeypatch.setattr(embedding_dedup, "_verify", bounded)
+    got = near_duplicates(spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
