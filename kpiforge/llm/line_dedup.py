@@ -15,7 +15,7 @@ of all tasks then meet leaf by leaf.  Equal lines (but for variable fields)
 share a template wherever they are; lines that differ elsewhere meet by the
 tree's greedy rule, in the order of their hashes, in the task or the leaf.
 
-Cases.  Null or empty text: unchanged.  A null ``doc_id`` comes after all
+Cases.  ``n_dropped`` counts whole lines.  Null or empty text: unchanged.  A null ``doc_id`` comes after all
 others as first document.  Rows equal in id and text count each, and are
 treated alike.  Other columns pass through.  Empty table: no rows.
 """
@@ -24,15 +24,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from kpiforge.llm.common import MULTIPLIERS, byte_view, classes, mix, parts, slices, stored, word_hashes, word_spans
+from kpiforge.llm.common import MULTIPLIERS, _powers, byte_view, classes, mix, parts, slices, stored, word_hashes, word_spans
 
 DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCS = 3
+LONG, ANCHOR = 50, 16  # words of a passage inside a line, at least, and of the runs that name it
 FLUSH = 1 << 23  # bytes of words and lines that one tree of a map task holds
 VARIABLE, ANY = 1, 0  # a word with a digit; a field that varies inside a template
 _EXACT = classes("\x20\x09\x0a\x0b\x0c\x0d", False)
@@ -43,8 +46,9 @@ _SCHEMA = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("ids", pa.bina
 _TEMPLATES, _LINES = 0, 1
 
 
-def parse(col):
-    """Per slice of a text column: words (32 bits each) and, per line with a word, its first word, length, leaf, hash, row and number."""
+def _words(col):
+    """Per slice of a text column: bytes, row bounds, first row, and per word its first and end byte, row, hash and line number;
+    the first word of each line."""
     data, bounds = byte_view(col)
     for i, j in slices(bounds):
         part, edge = data[bounds[i]: bounds[j]], bounds[i: j + 1] - bounds[i]
@@ -52,12 +56,18 @@ def parse(col):
         if not len(starts):
             continue
         hashes = word_hashes(part, starts, ends, _EXACT[1])
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[part])])
-        words = np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 2)
-        words[digits[ends] > digits[starts]] = VARIABLE
         breaks = np.concatenate([[0], np.cumsum(part == 10)])
         number = breaks[starts] - breaks[edge[rows]]
         first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (number[1:] != number[:-1])]))
+        yield part, edge, i, starts, ends, rows, hashes, number, first
+
+
+def parse(col):
+    """Per slice of a text column: words (32 bits each) and, per line with a word, its first word, length, leaf, hash, row and number."""
+    for part, _, i, starts, ends, rows, hashes, number, first in _words(col):
+        digits = np.concatenate([[0], np.cumsum(_DIGIT[part])])
+        words = np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 2)
+        words[digits[ends] > digits[starts]] = VARIABLE
         length = np.diff(np.append(first, len(starts)))
         at = np.arange(len(starts)) - np.repeat(first, length)
         mixed = mix(words.astype(np.uint64) * MULTIPLIERS[0] + (at + 1).astype(np.uint64) * MULTIPLIERS[1])
@@ -215,6 +225,119 @@ def _unpack(width: int):
     return run
 
 
+def _long_runs(col):
+    """Per slice: every run of ``LONG`` words of a line: its row, line number, name, hash, and first and end byte in its row."""
+    for _, edge, i, starts, ends, rows, hashes, number, first in _words(col):
+        size = np.diff(np.append(first, len(starts)))
+        at = np.flatnonzero(np.repeat(first + size, size) >= np.arange(len(starts)) + LONG)
+        if not len(at):
+            continue
+        up, down = _powers(len(hashes))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
+        low = mix((total[ANCHOR:] - total[:-ANCHOR]) * down[: len(hashes) - ANCHOR + 1])
+        span, most = 1, LONG - ANCHOR + 1
+        while span < most:  # minimum over 2, 4, ... and at last ``most`` runs
+            step = min(span, most - span)
+            low, span = np.minimum(low[:-step], low[step:]), span + step
+        whole = mix((total[at + LONG] - total[at]) * down[at])
+        yield rows[at] + i, number[at], low[at].view(np.int64), whole.view(np.int64), starts[at] - edge[rows[at]], ends[at + LONG - 1] - edge[rows[at]]
+
+
+def _names(batches):
+    for batch in batches:
+        for row, _, name, _, _, _ in _long_runs(batch.column(1)):
+            new = np.concatenate([[True], (name[1:] != name[:-1]) | (row[1:] != row[:-1])])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), pa.array(name[new])], ["k", "name"])
+
+
+def _runs(batches):
+    """Runs of the names listed with each document, but for those in lines that go."""
+    for batch in batches:
+        listed = np.unique(np.asarray(batch.column(3).flatten()))
+        gone = batch.column(4)
+        flags, bounds = np.asarray(gone.flatten().fill_null(False)), np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(gone), 0)))])
+        for row, number, name, whole, first, end in _long_runs(batch.column(2)):
+            place = bounds[row] + number
+            goes = place < bounds[row + 1]
+            goes[goes] = flags[place[goes]]
+            own = np.isin(name, listed) & ~goes
+            of = pa.array(row[own])
+            yield pa.RecordBatch.from_arrays([pa.array(whole[own]), batch.column(0).take(of), batch.column(1).take(of),
+                                              pa.array(first[own].astype(np.int32)), pa.array(end[own].astype(np.int32))], ["run", "x0", "x1", "s", "e"])
+
+
+def _merge(batches):
+    """Overlapping runs as one cut."""
+    for batch in batches:
+        out = []
+        for runs in batch.column(2).to_pylist():
+            cuts = []
+            for r in sorted((r["s"], r["e"]) for r in runs):
+                if cuts and r[0] <= cuts[-1][1]:
+                    cuts[-1][1] = max(cuts[-1][1], r[1])
+                else:
+                    cuts.append(list(r))
+            out.append([x for c in cuts for x in c])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["x0", "x1", "cuts"])
+
+
+def repeated_passages(src: DataFrame, gone: DataFrame) -> DataFrame:
+    """Passages to cut from documents ``i, m, t``: ``x0, x1`` and ``cuts`` (first byte, end byte, first byte, ...); ``gone``: lines that go."""
+    src = src.select(F.coalesce("i", F.lit(_LAST)).alias("x0"), F.col("m").alias("x1"), "t")
+    key = F.xxhash64("x0", "x1")
+    names = stored(src.select(key.alias("k"), "t").mapInArrow(_names, "k long, name long"), "passage-names")
+    shared = names.groupBy("name").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("name")
+    listed = names.join(shared, "name").groupBy("k").agg(F.collect_set("name").alias("names"))
+    listed = stored(listed.join(gone.select(key.alias("k"), "gone"), "k", "left"), "passage-lists")
+    runs = stored(src.withColumn("k", key).join(listed.hint("shuffle_hash"), "k").select("x0", "x1", "t", "names", "gone").mapInArrow(
+        _runs, "run long, x0 long, x1 long, s int, e int"), "passage-runs")
+    first = runs.groupBy("run").agg(F.min(F.struct("x0", "x1")).alias("lo"), F.max(F.struct("x0", "x1")).alias("hi")).where("lo <> hi")
+    again = runs.join(first.select("run", "lo"), "run").where("x0 <> lo.x0 OR x1 <> lo.x1")
+    return again.groupBy("x0", "x1").agg(F.collect_set(F.struct("s", "e")).alias("runs")).mapInArrow(_merge, "x0 long, x1 long, cuts array<int>")
+
+
+def _without(text: str, gone: list, cuts: list) -> tuple[str, int]:
+    """A text without lines that go and without cuts, and how many lines went."""
+    kept, at, k, dropped = [], 0, 0, 0
+    for n, line in enumerate(text.encode().split(b"\n")):
+        end, pieces, low = at + len(line), [], 0
+        while k < len(cuts) and cuts[k] < end:
+            pieces.append(line[low: cuts[k] - at])
+            low, k = cuts[k + 1] - at, k + 2
+        if n < len(gone) and gone[n]:
+            dropped += 1
+        elif not pieces:
+            kept.append(line)
+        else:
+            pieces.append(line[low:])
+            left = [p for p in (x.strip(b" \t\r\x0b\x0c") for x in pieces[1:-1]) if p]
+            ends = [pieces[0].rstrip(b" \t\r\x0b\x0c"), *left, pieces[-1].lstrip(b" \t\r\x0b\x0c")]
+            rest = b" ".join(p for p in ends if p)
+            if rest.strip():
+                kept.append(rest)
+            else:
+                dropped += 1
+        at = end + 1
+    return b"\n".join(kept).decode(), dropped
+
+
+def _apply(at: int, width: int):
+    """Columns of documents, the text (column ``at``) without its lines and passages, number of lines, and of lines dropped."""
+
+    def run(batches):
+        for batch in batches:
+            cols, dropped = batch.columns, np.zeros(batch.num_rows, np.int64)
+            touched = np.asarray(pc.or_(cols[width + 1].is_valid(), cols[width + 2].is_valid()))
+            if touched.any():
+                rows = pa.array(np.flatnonzero(touched))
+                new = [_without(t, g or [], c or []) for t, g, c in zip(*(cols[k].take(rows).to_pylist() for k in (at, width + 1, width + 2)))]
+                cols[at] = pc.replace_with_mask(cols[at], pa.array(touched), pa.array([t for t, _ in new], cols[at].type))
+                dropped[touched] = [n for _, n in new]
+            yield pa.RecordBatch.from_arrays([*cols[: width + 1], pa.array(dropped)], [str(k) for k in range(width + 2)])
+
+    return run
+
+
 def _mask(batches):
     """Line numbers to drop as one flag per line, up to the last of them."""
     for batch in batches:
@@ -226,10 +349,14 @@ def _mask(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.list_(pa.bool_()))], ["x0", "x1", "gone"])
 
 
+def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    body = F.col(f"`{text}`").cast("string")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.xxhash64(body).alias("m"), body.alias("t"))
+
+
 def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """Lines to drop: ``x0`` (doc_id, the largest long for null), ``x1`` (xxhash64 of the text), ``gone`` (a flag per line)."""
-    buckets = parts(docs.sparkSession)
-    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("m"), F.col(f"`{text}`").cast("string").alias("t"))
+    buckets, src = parts(docs.sparkSession), _source(docs, doc_id, text)
     join = _join_trees(min_docs)
     packed = stored(src.mapInArrow(_parse_docs(buckets), _PACKED).groupBy("dest").applyInArrow(lambda t: join(t), _PACKED), "templates")
     lines = packed.where(F.col("kind") == _LINES).select("ids").mapInArrow(_unpack(4), "x0 long, x1 long, x2 long, x3 long")
@@ -239,15 +366,16 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_recurring(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """All rows and columns of ``docs``, ``text`` without its recurring lines, and two more columns: ``n_lines, n_dropped``."""
+    """All rows and columns of ``docs``, ``text`` without its recurring lines and repeated passages, and two more columns:
+    ``n_lines, n_dropped``."""
     gone = stored(recurring_lines(docs, doc_id, text, min_docs), "recurring-lines")
+    cuts = repeated_passages(_source(docs, doc_id, text), gone)
+    changes = stored(gone.join(cuts, ["x0", "x1"], "full"), "changes")
     own, body = F.col(f"d.`{doc_id}`"), F.col(f"d.`{text}`").cast("string")
     key = (F.coalesce(own.cast("long"), F.lit(_LAST)) == F.col("g.x0")) & (F.xxhash64(body) == F.col("g.x1"))
-    lines = F.split(body, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get(F.col("g.gone"), i), F.lit(False))), "\n")
-    n_dropped = F.coalesce(F.size(F.filter(F.col("g.gone"), lambda x: x)), F.lit(0))
-    others = [F.when(F.col("g.x0").isNull(), body).otherwise(kept).alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns]
+    n_lines = F.when(body.isNull(), 0).otherwise(F.size(F.split(body, "\n", -1))).cast("long").alias("n_lines")
+    others = [body.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns]
     # hashed, not sorted: only the small side is held, and texts are dealt once whatever the sizes
-    return docs.alias("d").join(gone.hint("shuffle_hash").alias("g"), key, "left").select(
-        *others, F.when(body.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("g.x0").isNull(), 0).otherwise(n_dropped).cast("long").alias("n_dropped"))
+    joined = docs.alias("d").join(changes.hint("shuffle_hash").alias("g"), key, "left").select(*others, n_lines, "g.gone", "g.cuts")
+    schema = StructType([*joined.schema.fields[: len(docs.columns) + 1], StructField("n_dropped", LongType())])
+    return joined.mapInArrow(_apply(docs.columns.index(text), len(docs.columns)), schema)

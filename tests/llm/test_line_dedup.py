@@ -82,6 +82,21 @@ def test_long_passages_repeat_once(make_docs):
     assert all(len(r["text"].split("\n")) == (3 if i == 0 else 2) for i, r in enumerate(out))
 
 
+def test_passages_inside_lines(make_docs):
+    word = lambda k, n: " ".join(f"{k}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    passage, two, short = word("p", 60), word("é", 53), word("s", 49)
+    docs = [(i, f"{word(f'a{chr(97 + i)}', 3 * i + 1)} {passage}  {word(f'b{chr(97 + i)}', i + 2)}\nown line {chr(97 + i)}") for i in range(5)]
+    docs += [(10, f"head of ten {two} tail of ten"), (11, f"other {two}\nlast"), (12, f"{two}\nlast one"), (13, f"x {short} y"), (14, f"z {short} {short}"),
+             (15, f"one {passage} between {two} end"), (None, f"nameless {two} text"), (16, f"same {word('t', 55)} twice {word('t', 55)}")]
+    out = {r["doc_id"]: r for r in drop_recurring(make_docs(docs).repartition(3)).collect()}
+    text = {d: r["text"] for d, r in out.items()}
+    assert text[0] == docs[0][1] and text[10] == docs[5][1] and all(text[d] == t for d, t in docs if d in (13, 14, 16))
+    for i in range(1, 5):
+        assert text[i] == f"{word(f'a{chr(97 + i)}', 3 * i + 1)} {word(f'b{chr(97 + i)}', i + 2)}\nown line {chr(97 + i)}"
+    assert (text[11], text[12], text[15], text[None]) == ("other\nlast", "last one", "one between end", "nameless text")
+    assert {d: r["n_dropped"] for d, r in out.items() if r["n_dropped"]} == {12: 1} and out[12]["n_lines"] == 2
+
+
 def test_very_long_document_and_empty_table(make_docs):
     big = "\n".join(f"line {chr(97 + i % 26)} {'word ' * (i % 7)}x{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}" for i in range(15000))
     docs = [(1, big), (2, big), (3, big), (4, "other")]
