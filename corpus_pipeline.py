@@ -4,11 +4,14 @@ Stages, each one operator of :mod:`kpiforge.llm` with production parameters:
 
 1. ``quality``: documents that importance resampling does not draw go.
 2. ``line_dedup``: lines of templates that recur in three or more documents
-   go, except in the first of them; ``n_chars`` follows the text.  A document
+   and passages of 50 words or more that two documents share go, except in the
+   first of them; ``n_chars`` follows the text.  A document
    all of whose lines went (a copy of others) goes with them.
 3. ``near_duplicates``: of documents linked by five-word shingles (Jaccard
-   similarity of 0.75 or more) the one with the smallest id stays.  Rows that
-   repeat an id count as one document; rows without an id stay once a text.
+   similarity of 0.75 or more) the one with the smallest id stays (no id comes
+   last, the smallest hash of id and text decides between equal ids).  Rows
+   that repeat an id with its text count as one document, with another text as
+   documents of their own; rows without an id are documents like others.
 4. ``decontamination``: documents that a benchmark item leaks into go.
 5. ``packing``: what is left as pieces of sequences of at most 4096 ids.
 
@@ -38,15 +41,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = stored(ngram_join.jaccard_components(docs).select("doc_id", "component_id"), "components")
-    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max(F.col("doc_id") != F.col("component_id")).alias("goes"), F.count("*").alias("n"))
-    # texts meet the (shorter) list of ids that go or repeat, written first: Spark broadcasts it only where its size is small
-    special = stored(ids.where("goes OR n > 1"), "ids-that-go-or-repeat")
-    single = docs.where("doc_id IS NOT NULL").join(special.select("doc_id"), "doc_id", "left_anti")
-    again = docs.join(special.where("NOT goes").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    return single.unionByName(again).unionByName(unnamed).select(docs.columns)
+    # a row is known by its id and text: rows that repeat an id with another text are documents of their own
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    rows = ngram_join.jaccard_components(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
+    rows = rows.groupBy("key", "component_id").agg(F.count("*").alias("n"))
+    rows = stored(rows.join(docs.select(key.alias("key"), "doc_id").distinct(), "key"), "components")
+    stays = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("stays"))
+    # texts meet the (shorter) list of keys that go or repeat, written first: Spark broadcasts it only where its size is small
+    special = stored(rows.join(stays, "component_id").select("key", (F.col("key") != F.col("stays.key")).alias("goes"), "n").where(
+        "goes OR n > 1"), "rows-that-go-or-repeat")
+    known = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    single = known.join(special.select("key"), "key", "left_anti")
+    again = known.join(special.where("NOT goes").select("key"), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    return single.unionByName(again).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,20 @@ def test_stages(spark, folder):
     assert {r["doc_id"] for r in packed} == {d for d, _ in docs}
 
 
+def test_rows_that_share_an_id_or_have_none(spark, make_docs):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.choice('lmnr')}{rng.choice('aeiou')}" for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    near = lambda t: t + " changed"
+    docs = [(1, a), (2, near(a)), (2, b), (3, c), (3, c), (None, near(c)), (None, d), (None, near(d)), (4, ""), (4, None)]
+    for parts in (1, 4):
+        got = corpus_pipeline.near_duplicates(spark, make_docs(docs).repartition(parts), "")
+        rows = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+        assert got.columns == make_docs([]).columns
+        (kept,) = [t for i, t in rows if i is None]
+        assert kept in (d, near(d)) and [r for r in rows if r[0]] == sorted([(1, a), (2, b), (3, c), (4, ""), (4, None)], key=str)
+
+
 def test_run_equals_the_stages_in_turn(spark, folder):
     path, _, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
