@@ -9,8 +9,10 @@ a worker keeps the sums of the words it has read.
 
 Training is plain numpy: backpropagation through time over batches of words,
 Adam, a fixed seed.  It learns from at most ``BOUND`` documents of each
-language (smallest hashes of their ids), in one task; the weights (a few
-thousand numbers) travel to the tasks that predict.
+language (smallest hashes of their ids; of rows that repeat an id one text,
+the one with the smallest hash), in one task; the weights (a few thousand
+numbers) travel to the tasks that predict.  The ``LANGUAGES`` most frequent
+languages are learned: rarer ones beyond that number are never predicted.
 
 Cases.  Null text, or a text without a letter: ``und``, score 0.0.  Nothing to
 learn from: ``und`` for all.  Words longer than ``LONGEST`` bytes are read in
@@ -203,9 +205,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     names = sorted(r[0] for r in src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
     if not names:
         return [], None
-    ranked = src.where(F.col("lang").isin(names)).select("doc_id", "lang", F.row_number().over(
+    ranked = src.where(F.col("lang").isin(names)).select("doc_id", "lang").distinct().select("doc_id", "lang", F.row_number().over(
         Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("k")).where(F.col("k") <= bound)
-    sample = stored(ranked.select("doc_id", "lang").distinct(), "lang-sample")  # at most bound rows a language
+    sample = stored(ranked.select("doc_id", "lang"), "lang-sample")  # at most bound rows a language
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
@@ -216,7 +218,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return pa.table({"name": list(net.p), "shape": pa.array([list(v.shape) for v in net.p.values()], pa.list_(pa.int32())),
                          "values": pa.array([v.tobytes() for v in net.p.values()], pa.binary())})
 
-    rows = src.join(F.broadcast(sample), ["doc_id", "lang"]).select("doc_id", "lang", "text").groupBy(F.lit(0).alias("one")).applyInArrow(
+    # one text an id and language, however often it is repeated, chosen where the rows lie
+    once = src.join(F.broadcast(sample), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = once.groupBy(F.lit(0).alias("one")).applyInArrow(
         lambda t: learn(t), "name string, shape array<int>, values binary").collect()
     if not rows:
         return [], None

@@ -11,7 +11,8 @@ logit (weight ``penalty``), so that naming a group moves a score by next to
 nothing and neutral mentions are not taken for insults.
 
 Fitting uses at most ``BOUND`` labelled documents of either label (smallest
-hashes of their ids), in one task; scoring covers every whole text.  Scores
+hashes of their ids; of rows that repeat an id one text, the one with the
+smallest hash), in one task; scoring covers every whole text.  Scores
 see the text only.
 
 Cases.  Null or empty text: the score of a text without known words.
@@ -194,7 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             names, weight, bias = train(table.column(text), toxic, prior, penalty)
         return pa.table({"names": pa.array([names.tobytes()], pa.binary()), "weights": pa.array([weight.tobytes()], pa.binary()), "bias": [bias]})
 
-    rows = src.select("doc_id", text, "toxic").groupBy(F.lit(0).alias("one")).applyInArrow(
+    # one text an id, however often it is repeated, chosen where the rows lie
+    once = src.groupBy("doc_id").agg(F.min_by(text, F.xxhash64(text)).alias(text), F.max("toxic").alias("toxic"))
+    rows = once.groupBy(F.lit(0).alias("one")).applyInArrow(
         lambda t: learn(t), "names binary, weights binary, bias double").collect()
     if not rows:
         return np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior)))

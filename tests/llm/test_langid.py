@@ -61,6 +61,14 @@ def test_held_out_accuracy_and_contract(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in out if r["doc_id"] in (1003, 1004)} == {1003: "cc", 1004: "aa"}
 
 
+def test_rows_that_repeat_an_id_are_learned_from_once(spark):
+    df, docs = corpus(spark, 40)
+    learned = next(d for d in docs if zlib.crc32(str(d[0]).encode()) % 3 != 1)
+    again = spark.createDataFrame([(*learned, 1, "x")] * 50, df.schema)
+    (names, once), (_, often) = fit(df, steps=20), fit(df.unionByName(again), steps=20)
+    assert names == ["aa", "bb", "cc"] and all((once.p[k] == often.p[k]).all() for k in once.p)
+
+
 def test_nothing_to_learn_from(spark):
     df, docs = corpus(spark, 6)
     none = df.withColumn("lang", df.lang.cast("string")).selectExpr("doc_id", "text", "cast(null as string) AS lang")

@@ -48,6 +48,13 @@ def test_held_out_accuracy_and_contract(make_docs, make_labels):
     assert len(empty) == 1
 
 
+def test_rows_that_repeat_an_id_are_learned_from_once(make_docs, make_labels):
+    docs, labels = corpus(200)
+    one = next(d for d, (i, _, t) in zip(docs, labels) if t and not held(i))
+    once, often = (fit(make_docs(d), make_labels(labels)) for d in (docs, docs + [one] * 50))
+    assert all(np.array_equal(a, b) for a, b in zip(once, often))
+
+
 def test_labels_of_held_out_rows_change_nothing(make_docs, make_labels):
     docs, labels = corpus(200)
     flipped = [(i, q, 1 - t if held(i) else t) for i, q, t in labels]
