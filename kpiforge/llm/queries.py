@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge.llm import decontam, embedding_dedup, extraction, langid, line_dedup, ngram_join, packing, resample, sharding, toxicity
+from kpiforge.llm import whitening
 from kpiforge.sources.tables import read_table
 
 
@@ -64,9 +65,14 @@ def op10_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 16 leading components of the distinct integer vectors, scaled to variance one."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_importance_resampling, op3_consensus_extraction, op4_hash_tree_sharding, op5_counterfactual_toxicity,
-    op6_harmonic_packing, op7_log_template_lines, op8_cross_polytope_dedup, op9_template_decontamination, op10_byte_gru_language)}
+    op6_harmonic_packing, op7_log_template_lines, op8_cross_polytope_dedup, op9_template_decontamination, op10_byte_gru_language, op13_embedding_whitening)}
 
 _SHINGLES = r"""
 words AS (SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
