@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge.llm import decontam, embedding_dedup, extraction, langid, line_dedup, ngram_join, packing, resample, sharding, toxicity
-from kpiforge.llm import whitening
+from kpiforge.llm import fingerprints, whitening
 from kpiforge.sources.tables import read_table
 
 
@@ -65,6 +65,11 @@ def op10_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op11_lookup_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invertible lookup sketches of every document and its edited text, and how alike they and the next document are."""
+    return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the 16 leading components of the distinct integer vectors, scaled to variance one."""
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
@@ -72,7 +77,8 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_importance_resampling, op3_consensus_extraction, op4_hash_tree_sharding, op5_counterfactual_toxicity,
-    op6_harmonic_packing, op7_log_template_lines, op8_cross_polytope_dedup, op9_template_decontamination, op10_byte_gru_language, op13_embedding_whitening)}
+    op6_harmonic_packing, op7_log_template_lines, op8_cross_polytope_dedup, op9_template_decontamination, op10_byte_gru_language,
+    op11_lookup_fingerprints, op13_embedding_whitening)}
 
 _SHINGLES = r"""
 words AS (SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -82,7 +88,31 @@ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array
 grams AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM sets)
 """
 
+def _sketch_text(digests: str) -> str:
+    """DuckDB: a sketch of three rows of four cells as text."""
+    check = "[(k % 1000000007) * (k % 998244353) % 2147483647 for k in y]"
+    return (f"""array_to_string([lower(to_hex(len(y))) || '.' || lower(to_hex(coalesce(list_aggregate(y, 'bit_xor'), 0))) || '.' ||
+    lower(to_hex(coalesce(list_aggregate({check}, 'bit_xor'), 0)))
+    for y in [[k for k in {digests} if ((k >> (2 * (z // 4))) & 3) = z % 4] for z in range(12)]], ' ')""")
+
+
+def _alike(a: str, b: str) -> str:
+    return (f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / "
+            f"len(list_distinct(list_concat({a}, {b}))) END")
+
+
+_DIGESTS = ("list_distinct([('0x' || sha256(p)[1:15])::BIGINT for p in regexp_extract_all({text}, "
+            "'(?:[^\n]{{96,256}}?[.!?]+|[^\n]{{1,256}})\n*|\n+')])")
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_lookup_fingerprints": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id DESC) AS k, count(*) OVER () AS m FROM documents),
+pairs AS (SELECT a.doc_id, a.t, length(a.t) AS n, b.t AS x,
+    left(a.t, length(a.t) - length(a.t) // 2) || left(b.t, length(a.t) // 2) AS e FROM d a JOIN d b ON b.k = a.k % a.m + 1),
+u AS (SELECT doc_id, n, e, {_DIGESTS.format(text='t')} AS ua, {_DIGESTS.format(text='e')} AS ue, {_DIGESTS.format(text='x')} AS ux FROM pairs)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(e) AS edited_sha256, {_sketch_text('ua')} AS fingerprint, {_sketch_text('ue')} AS edited_fingerprint,
+    {_alike('ua', 'ue')} AS near_edited, {_alike('ua', 'ux')} AS near_next FROM u
+""",
     "op1_ngram_jaccard_join": f"""
 WITH RECURSIVE {_SHINGLES},
 inter AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS o
