@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiforge.llm import decontam, embedding_dedup, extraction, langid, line_dedup, ngram_join, packing, resample, sharding, toxicity
-from kpiforge.llm import fingerprints, whitening
+from kpiforge.llm import fingerprints, prefix_trie, whitening
 from kpiforge.sources.tables import read_table
 
 
@@ -70,6 +70,11 @@ def op11_lookup_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the 16 leading components of the distinct integer vectors, scaled to variance one."""
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
@@ -78,7 +83,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_importance_resampling, op3_consensus_extraction, op4_hash_tree_sharding, op5_counterfactual_toxicity,
     op6_harmonic_packing, op7_log_template_lines, op8_cross_polytope_dedup, op9_template_decontamination, op10_byte_gru_language,
-    op11_lookup_fingerprints, op13_embedding_whitening)}
+    op11_lookup_fingerprints, op12_prefix_trie, op13_embedding_whitening)}
 
 _SHINGLES = r"""
 words AS (SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -104,7 +109,33 @@ def _alike(a: str, b: str) -> str:
 _DIGESTS = ("list_distinct([('0x' || sha256(p)[1:15])::BIGINT for p in regexp_extract_all({text}, "
             "'(?:[^\n]{{96,256}}?[.!?]+|[^\n]{{1,256}})\n*|\n+')])")
 
+# DuckDB: CRC-32 of a number's decimal digits, bit by bit
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(d)::BIGINT for d in string_split(conv_id::VARCHAR, '')]),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_prefix_trie": f"""
+WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+    coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, {_CRC32} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+built AS (SELECT c.conv_id, 0 AS seg, k, r, t FROM convs c JOIN turns o ON o.conv_id = c.conv_id - c.conv_id % 5 AND o.k <= c.h
+    UNION ALL SELECT c.conv_id, 1, k, r, t FROM convs c JOIN turns o ON o.conv_id = c.conv_id AND o.k > c.h),
+numbered AS (SELECT conv_id, r, t, row_number() OVER (PARTITION BY conv_id ORDER BY seg, k) AS d FROM built),
+paths AS (SELECT conv_id, d, octet_length(encode(t)) AS size, md5(string_agg(length(r) || ':' || r || length(t) || ':' || t, '|')
+    OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS key FROM numbered
+    UNION ALL SELECT conv_id, 0, 0, 'root' FROM convs),
+ends AS (SELECT conv_id, max(d) AS len FROM paths GROUP BY conv_id),
+nodes AS (SELECT key, d, min(p.conv_id) AS conv_id, count(*) AS n, any_value(size) AS size, max(len) = d AS leaf,
+    coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (len = d), '') AS ids FROM paths p JOIN ends USING (conv_id) GROUP BY key, d),
+links AS (SELECT DISTINCT a.key AS upper, a.d AS ud, b.key AS lower, b.d AS ld FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND a.d <= b.d),
+below AS (SELECT upper AS key, ud AS d, count(*) FILTER (ld = ud + 1) AS children, count(*) FILTER (leaf) AS leaves, sum((n - 1) * size) AS saved
+    FROM links JOIN nodes ON key = lower AND d = ld GROUP BY ALL)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, children AS n_children, leaves AS n_leaves,
+    saved::BIGINT AS saved_tokens, sha256(ids) AS ends_sha256
+FROM nodes x JOIN below USING (key, d) LEFT JOIN links l ON l.lower = x.key AND l.ld = x.d AND l.ud = x.d - 1
+LEFT JOIN nodes p ON p.key = l.upper AND p.d = l.ud
+""",
     "op11_lookup_fingerprints": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id DESC) AS k, count(*) OVER () AS m FROM documents),
 pairs AS (SELECT a.doc_id, a.t, length(a.t) AS n, b.t AS x,
