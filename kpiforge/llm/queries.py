@@ -132,7 +132,7 @@ links AS (SELECT DISTINCT a.key AS upper, a.d AS ud, b.key AS lower, b.d AS ld F
 below AS (SELECT upper AS key, ud AS d, count(*) FILTER (ld = ud + 1) AS children, count(*) FILTER (leaf) AS leaves, sum((n - 1) * size) AS saved
     FROM links JOIN nodes ON key = lower AND d = ld GROUP BY ALL)
 SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, children AS n_children, leaves AS n_leaves,
-    saved::BIGINT AS saved_tokens, sha256(ids) AS ends_sha256
+    saved::BIGINT AS saved_tokens, sha256(x.ids) AS ends_sha256
 FROM nodes x JOIN below USING (key, d) LEFT JOIN links l ON l.lower = x.key AND l.ld = x.d AND l.ud = x.d - 1
 LEFT JOIN nodes p ON p.key = l.upper AND p.d = l.ud
 """,
