@@ -1163,17 +1163,16 @@ def q_followup_retrieval(spark, sf_dir):
 
 # ── U2, R5, R6: duplicate ids, a pin that is not indexed, a prompt with the chat's summary ──
 
-_DOUBLED_CTE = """bq AS (SELECT item_id, text FROM benchmark WHERE item_id < 20),
-doubled AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, 'zz ' || text FROM documents),
+_DOUBLED_CTE = """doubled AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, 'zz ' || text FROM documents),
 once AS (SELECT doc_id, min(text) AS text FROM doubled GROUP BY doc_id),
 """
 _PINS_ABSENT = (1, -5, 3)
 
 
-@register("tfidf_duplicates_pins", _tfidf_sql("bq", "item_id", "text", _DOUBLED_CTE, "once") + f"""
+@register("tfidf_duplicates_pins", _tfidf_sql("benchmark", "item_id", "text", _DOUBLED_CTE, "once") + f"""
 , hits AS (SELECT qid, doc_id, score, rank AS c FROM r WHERE rank <= 10 AND score >= 0.03),
 pins AS (SELECT * FROM (SELECT item_id AS qid, unnest([{', '.join(map(str, _PINS_ABSENT))}]) AS doc_id,
-                unnest(range(0, {len(_PINS_ABSENT)})) AS pp FROM bq) t WHERE doc_id IN (SELECT doc_id FROM once)),
+                unnest(range(0, {len(_PINS_ABSENT)})) AS pp FROM benchmark) t WHERE doc_id IN (SELECT doc_id FROM once)),
 m AS (SELECT COALESCE(h.qid, p.qid) AS qid, COALESCE(h.doc_id, p.doc_id) AS doc_id, h.score, h.c, p.pp
       FROM hits h FULL OUTER JOIN pins p ON h.qid = p.qid AND h.doc_id = p.doc_id)
 SELECT qid, doc_id, COALESCE(score, 0.0) AS score, pp IS NOT NULL AS pinned,
@@ -1187,9 +1186,8 @@ def q_tfidf_duplicates_pins(spark, sf_dir):
     """Every document twice under its id (de-duplicated before fitting); one pinned id is in no document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     twice = docs.unionByName(docs.select("doc_id", F.concat(F.lit("zz "), "text").alias("text")))
-    queries = read_table(spark, sf_dir, "benchmark").filter("item_id < 20")  # the batch of queries, against all documents
-    return retrieval.retrieve_pinned(retrieval.fit_tfidf(twice, "doc_id", "text"), queries, k=6, min_score=0.03,
-                                     pinned_ids=_PINS_ABSENT, qid_col="item_id", text_col="text")
+    return retrieval.retrieve_pinned(retrieval.fit_tfidf(twice, "doc_id", "text"), read_table(spark, sf_dir, "benchmark"), k=6,
+                                     min_score=0.03, pinned_ids=_PINS_ABSENT, qid_col="item_id", text_col="text")
 
 
 @register("chat_context", _tfidf_sql("fq", "conv_id", "query", _FOLLOWUP_CTE) + """
@@ -1373,3 +1371,82 @@ FROM (SELECT COUNT(DISTINCT order_id) AS orders, CAST(ROUND(SUM(sales), 2) AS DO
 def q_detail_loss_totals_all(spark, sf_dir):
     """A19 over every loss group, not only the shown ones."""
     return detail.detail_totals(detail.detail_summary(_ol(spark, sf_dir), "sub_category", top_k=None))
+
+
+# ── a table of plans answered at once: windows made from the months of `orders` ──
+
+from kpiforge.operators import plan_batch  # noqa: E402
+
+_MONTHS_SQL = "SELECT DISTINCT CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS m FROM orders"
+
+
+def batch_of_plans(spark, sf_dir) -> DataFrame:
+    """Five plans for each month with orders: a value, a comparison by region and one of half months, a ranking and a trend."""
+    m = read_table(spark, sf_dir, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("m")).distinct()
+    none, end = F.lit(None).cast("string"), F.last_day("m")
+
+    def plan(kind, intent, metric, by, start, last, compare=none, grain=none, k=None):
+        return F.struct(F.concat(F.lit(kind + "-"), F.date_format("m", "yyyyMM")).alias("plan_id"), F.lit(intent).alias("intent"),
+                        F.lit(metric).alias("metric"), F.lit(by).cast("string").alias("breakdown_by"), start.alias("start_date"),
+                        last.alias("end_date"), compare.alias("compare_period"), grain.alias("time_grain"), F.lit(k).cast("int").alias("top_k"))
+
+    start, quarter = F.col("m"), F.add_months("m", -2)
+    return m.select(F.inline(F.array(
+        plan("v", "kpi_value", "orders", "segment", start, end),
+        plan("c", "kpi_compare", "profit", "region", start, end, F.lit("yoy")),
+        plan("r", "kpi_rank", "sales", "sub_category", quarter, end, k=5),
+        plan("t", "kpi_trend", "profit_margin", None, quarter, end, grain=F.lit("month")),
+        plan("h", "kpi_compare", "sales", None, start, F.date_add("m", 14), F.lit("prev_period")))))
+
+
+@register("plan_batch", f"""
+WITH months AS ({_MONTHS_SQL}),
+p AS (SELECT strftime(m, '%Y%m') AS ym, m, last_day(m) AS e, CAST(m - INTERVAL 2 MONTH AS DATE) AS q FROM months),
+w AS (SELECT 'v-' || ym AS plan_id, 'kpi_value' AS intent, 'orders' AS metric, 'segment' AS dim, 0 AS side, m AS f, e AS l, CAST(NULL AS DATE) AS period, CAST(NULL AS INT) AS k FROM p
+  UNION ALL SELECT 'c-' || ym, 'kpi_compare', 'profit', 'region', 0, m, e, NULL, NULL FROM p
+  UNION ALL SELECT 'c-' || ym, 'kpi_compare', 'profit', 'region', 1, CAST(m - INTERVAL 12 MONTH AS DATE), CAST(e - INTERVAL 12 MONTH AS DATE), NULL, NULL FROM p
+  UNION ALL SELECT 'r-' || ym, 'kpi_rank', 'sales', 'sub_category', 0, q, e, NULL, 5 FROM p
+  UNION ALL SELECT 't-' || ym, 'kpi_trend', 'profit_margin', 'none', 0, s, last_day(s), s, NULL FROM (SELECT ym, CAST(unnest([q, q + INTERVAL 1 MONTH, m]) AS DATE) AS s FROM p)
+  UNION ALL SELECT 'h-' || ym, 'kpi_compare', 'sales', 'none', 0, m, m + 14, NULL, NULL FROM p
+  UNION ALL SELECT 'h-' || ym, 'kpi_compare', 'sales', 'none', 1, m - 15, m - 1, NULL, NULL FROM p),
+g AS (SELECT plan_id, side, period, CASE dim WHEN 'segment' THEN segment WHEN 'region' THEN region WHEN 'sub_category' THEN sub_category END AS value,
+    COUNT(*) AS n, CASE any_value(metric) WHEN 'sales' THEN CAST(SUM(sales) AS DOUBLE) WHEN 'profit' THEN CAST(SUM(profit) AS DOUBLE)
+      WHEN 'orders' THEN CAST(COUNT(DISTINCT order_id) AS DOUBLE) ELSE {SQL_METRIC['profit_margin']} END AS x
+  FROM w JOIN order_lines ON order_date BETWEEN f AND l GROUP BY ALL),
+a AS (SELECT DISTINCT plan_id, intent, metric, dim, k FROM w),
+z AS (SELECT a.plan_id, a.intent, a.metric, a.k, g.period, g.value AS breakdown,
+    CASE WHEN intent = 'kpi_compare' THEN COALESCE(MAX(x) FILTER (side = 0), 0.0) ELSE MAX(x) FILTER (side = 0) END AS current,
+    CASE WHEN intent = 'kpi_compare' THEN COALESCE(MAX(x) FILTER (side = 1), 0.0) END AS previous,
+    COALESCE(MAX(n) FILTER (side = 0), 0) > 0 AS seen, a.dim
+  FROM a LEFT JOIN g USING (plan_id) GROUP BY a.plan_id, a.intent, a.metric, a.k, a.dim, g.period, g.value),
+c AS (SELECT *, CASE WHEN previous <> 0 THEN (current - previous) / abs(previous) * 100 END AS change_pct FROM z
+  WHERE seen OR (dim = 'none' AND intent <> 'kpi_trend')),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY plan_id ORDER BY period NULLS FIRST, CASE WHEN intent = 'kpi_compare' THEN change_pct END NULLS LAST,
+    CASE WHEN intent IN ('kpi_value', 'kpi_rank') THEN current END DESC NULLS LAST, breakdown NULLS LAST) AS position FROM c)
+SELECT plan_id, intent, metric, period, breakdown, current, previous, change_pct, position FROM r WHERE k IS NULL OR position <= k""")
+def q_plan_batch(spark, sf_dir):
+    """All plans of all months from one pass over the lines."""
+    return plan_batch.answer_plans(_ol(spark, sf_dir), batch_of_plans(spark, sf_dir))
+
+
+# ── S7: stored sums and order sets, kept current by three deliveries ─────
+
+from kpiforge.operators.kpi_store import KpiStore  # noqa: E402
+from kpiforge.sources.tables import shared_path  # noqa: E402
+
+_STORE_SETS = "\nUNION ALL ".join(
+    f"SELECT '{d}' AS dimension, {v} AS value, period, {sql_metrics(['sales', 'profit', 'orders', 'profit_margin'])} FROM q GROUP BY 2, 3"
+    for d, v in [("total", "CAST(NULL AS VARCHAR)"), *[(d, d) for d in ("region", "segment", "category", "sub_category", "state")]])
+
+
+@register("stored_breakdown", "WITH q AS (SELECT *, CAST(date_trunc('quarter', order_date) AS DATE) AS period FROM order_lines)\n" + _STORE_SETS)
+def q_stored_breakdown(spark, sf_dir):
+    """S7, A20 by quarter from a store that took in lines shipped before 1996 (those of the first of a month twice, by mistake),
+    then the lines shipped later, late ones of orders it knew among them, then the first of each month again, whole."""
+    lines = _ol(spark, sf_dir)
+    early, first = F.coalesce(F.col("ship_date") < "1996-01-01", F.lit(False)), F.dayofmonth("order_date") == 1
+    store = KpiStore(spark, shared_path(spark, "kpi-store"))
+    store.deliver(lines.where(early).unionByName(lines.where(early & first)))
+    store.deliver(lines.where(~early))
+    store.deliver(lines.where(first), read_table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("order_date")).where(first))
+    return store.breakdown("quarter")
