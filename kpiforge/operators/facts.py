@@ -6,10 +6,8 @@ buckets and the total).  Partial aggregation shrinks every task's rows to a
 few hundred groups before the shuffle, so the scan is the only cost that
 grows with the data.  Distinct order counts (year and total only) come from
 a second, narrow aggregate.  The result, a row per period, value and bucket,
-is written once to the shared folder; every kind of fact is then a small
-frame over the entries it names (the top ones by ``orderBy().limit()``), and
-the frames are put together by ``unionByName``.  Nothing is collected to the
-driver.
+is written once to the shared folder; its entries are ranked in their set and
+gathered by kind of fact.  Nothing is collected to the driver.
 
 Like the reference's pandas code, fact aggregates drop NULL keys and rows
 without a parseable date (D17).
@@ -17,7 +15,7 @@ without a parseable date (D17).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.numeric import bucket_order, discount_bucket
@@ -46,25 +44,14 @@ SCHEMA_FACTS = (
 TOP_K_FACTS = (("sub_category", 10), ("category", 5), ("region", 4))
 DIM_FACTS = ("region", "segment", "category")
 
-def _meta(**kv) -> Column:
-    keys, vals = [], []
-    for k, v in kv.items():
-        keys.append(F.lit(k))
-        vals.append(v if isinstance(v, Column) else F.lit(str(v)))
-    return F.map_from_arrays(F.array(*keys), F.array(*vals))
+# SQL of the list texts of facts: [1995, 1996] / ['AFRICA', 'ASIA']; a value with an apostrophe stands in double quotes
+# unless it holds both kinds of quotes
+_QUOTED = ("""if(contains(v, "'") AND NOT contains(v, '"'), concat('"', replace(v, '\\\\', '\\\\\\\\'), '"'), """
+           """concat("'", replace(replace(v, '\\\\', '\\\\\\\\'), "'", "\\\\'"), "'"))""")
 
 
-def _py_list(arr: Column, quote: bool) -> Column:
-    """The list text of facts: ``[1995, 1996]`` / ``['AFRICA', 'ASIA']``; a value with an
-    apostrophe stands in double quotes unless it holds both kinds of quotes."""
-    def quoted(v):
-        v = F.replace(v, F.lit("\\"), F.lit("\\\\"))
-        plain = F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("\\'")), F.lit("'"))
-        return F.when(v.contains("'") & ~v.contains('"'), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(plain)
-
-    if quote:
-        arr = F.transform(arr, quoted)
-    return F.concat(F.lit("["), F.array_join(arr, ", "), F.lit("]"))
+def _values(rows: str, quote: bool) -> str:
+    return f"concat('[', array_join({f'transform({rows}, v -> {_QUOTED})' if quote else rows}, ', '), ']')"
 
 
 def fact_aggregates(df: DataFrame) -> DataFrame:
@@ -142,40 +129,31 @@ def fact_entries(df: DataFrame) -> DataFrame:
         F.col("max_discount").alias("md"), "orders"), "fact-entries")
 
 
-ENTRY = ("set", "k1", "k2", "s", "p", "ns", "np", "lo", "hi", "md", "orders")
+# ── texts: SQL over the entries of a kind of fact (``rows``), whose numbers are formatted before they are gathered ──
+
+_FACT = "array<struct<chunk_id:string,text:string,metadata:map<string,string>>>"
 
 
-def _entries(table: DataFrame, *sets: str, order=(), limit: int | None = None) -> DataFrame:
-    """One row ``rows``: the entries of the named sets, or the first ``limit`` of them in the given order."""
-    t = table.filter(F.col("set").isin(*sets))
-    if limit:
-        t = t.filter(F.col("k1").isNotNull()).orderBy(*order).limit(limit)
-    return t.agg(F.collect_list(F.struct(*ENTRY)).alias("rows"))
+def _fact(cond: str, chunk_id: str, text: list[str], **meta) -> str:
+    """An array of one fact where ``cond`` holds, else of none; ``text``: SQL of its parts."""
+    pairs = ", ".join(f"'{k}', {v}" if k in ("years", "values") else f"'{k}', '{v}'" for k, v in meta.items())
+    return f"if({cond}, array(struct('{chunk_id}' AS chunk_id, concat({', '.join(text)}) AS text, map({pairs}) AS metadata)), cast(array() as {_FACT}))"
 
 
-def _of(rows: Column, name: str) -> Column:
-    """Entries of one set (non-NULL key unless it is the total)."""
-    if name == "total":
-        return F.filter(rows, lambda r: r["set"] == name)
-    return F.filter(rows, lambda r: (r["set"] == name) & r["k1"].isNotNull())
+def _listed(rows: str, parts: list[str]) -> str:
+    """The texts of entries (``r``), put together with semicolons."""
+    return f"array_join(transform({rows}, r -> concat({', '.join(parts)})), '; ')"
 
 
-def _sorted(arr: Column, *keys) -> Column:
-    """Sort an array of entries by key functions (ascending, NULLs first)."""
-    wrapped = F.transform(arr, lambda r: F.struct(*[k(r).alias(f"_k{i}") for i, k in enumerate(keys)],
-                                                  r.alias("_r")))
-    return F.transform(F.sort_array(wrapped), lambda x: x["_r"])
+def _set(*names: str) -> str:
+    return f"filter(rows, r -> r.set IN ({', '.join(map(repr, names))}) AND r.k1 IS NOT NULL)"
 
 
-def _facts(cond: Column, chunk_id, text: Column, meta: Column) -> Column:
-    """Array with one fact struct when ``cond`` holds, else empty."""
-    cid = chunk_id if isinstance(chunk_id, Column) else F.lit(chunk_id)
-    one = F.array(F.struct(cid.alias("chunk_id"), text.alias("text"), meta.alias("metadata")))
-    return F.when(cond, one).otherwise(F.array().cast(f"array<struct<{FACT_SCHEMA.replace(' string', ':string').replace(' map', ':map')}>>"))
+_TOTAL = "get(filter(rows, r -> r.set = 'total'), 0)"
 
 
-def _d(c: Column) -> Column:
-    return F.coalesce(c.cast("double"), F.lit(0.0))
+def _total(field: str, otherwise: str = "'$0'") -> str:
+    return f"coalesce({_TOTAL}.{field}, {otherwise})"
 
 
 def _const_facts(filters: dict | None) -> Column:
@@ -188,145 +166,129 @@ def _const_facts(filters: dict | None) -> Column:
             parts.append(f"{label}: {', '.join(str(v) for v in f[key])}")
     items = [(cid, text, "schema") for cid, text in SCHEMA_FACTS]
     items.append(("filter_context", "Current dashboard filters: " + "; ".join(parts) + ".", "filter"))
-    return F.array(*[F.struct(F.lit(c).alias("chunk_id"), F.lit(t).alias("text"), _meta(type=k).alias("metadata"))
+    return F.array(*[F.struct(F.lit(c).alias("chunk_id"), F.lit(t).alias("text"), F.create_map(F.lit("type"), F.lit(k)).alias("metadata"))
                      for c, t, k in items])
 
 
-def _kpi_facts(rows: Column) -> Column:
+def _kpi_facts() -> str:
     """K3: KPI summary and profitability (also for an empty table: zeros)."""
-    tot = F.get(_of(rows, "total"), 0)
-    ts, tp = _d(tot["s"]), _d(tot["p"])
-    orders = F.coalesce(tot["orders"], F.lit(0))
-    pm = F.when(ts != 0, tp / ts * 100).otherwise(F.lit(0.0))
-    summary = F.concat(F.lit("KPI summary (current filters): Total Sales="), money(ts),
-                       F.lit(", Total Profit="), money(tp), F.lit(", Total Orders="),
-                       thousands(orders), F.lit(", Profit Margin="), fixed(pm, 2), F.lit("%."))
-    prof = F.concat(F.lit("Net profit "), money(tp), F.lit(" on revenue "), money(ts),
-                    F.lit(" → margin "), fixed(pm, 2), F.lit("%. "),
-                    F.when(tp > 0, F.lit("Profitable.")).otherwise(F.lit("Operating at a loss.")))
-    return F.concat(_facts(F.lit(True), "kpi_summary", summary, _meta(type="kpi")),
-                    _facts(F.lit(True), "kpi_profitability", prof, _meta(type="kpi", topic="profitability")))
-
-
-def _time_range_fact(rows: Column) -> Column:
+    sales, profit, margin = _total("sales_text"), _total("profit_text"), _total("margin2", "'0.00'")
+    return "concat(" + ", ".join((
+        _fact("true", "kpi_summary", ["'KPI summary (current filters): Total Sales='", sales, "', Total Profit='", profit, "', Total Orders='",
+                                      _total("orders_text", "'0'"), "', Profit Margin='", margin, "'%.'"], type="kpi"),
+        _fact("true", "kpi_profitability", ["'Net profit '", profit, "' on revenue '", sales, "' → margin '", margin, "'%. '",
+                                            f"if(coalesce({_TOTAL}.p, 0) > 0, 'Profitable.', 'Operating at a loss.')"],
+              type="kpi", topic="profitability"))) + ")"
+
+
+def _time_range_fact() -> str:
     """K4: date span, list of years, number of months."""
-    tot = F.get(_of(rows, "total"), 0)
-    years = F.sort_array(F.transform(_of(rows, "year"), lambda r: r["k1"].cast("int")))
-    yl = _py_list(F.transform(years, lambda y: y.cast("string")), quote=False)
-    text = F.concat(F.lit("Data spans "), tot["lo"].cast("string"), F.lit(" to "), tot["hi"].cast("string"),
-                    F.lit(". "), F.size(years).cast("string"), F.lit(" years: "), yl, F.lit(". "),
-                    F.size(_of(rows, "month")).cast("string"), F.lit(" months total."))
-    return _facts(tot["lo"].isNotNull(), "time_range", text, _meta(type="time", years=yl))
+    years = f"transform({_set('year')}, r -> r.k1)"
+    return _fact(f"{_TOTAL}.lo IS NOT NULL", "time_range", [
+        "'Data spans '", f"{_TOTAL}.lo", "' to '", f"{_TOTAL}.hi", "'. '", f"size({years})", "' years: '", _values(years, False), "'. '",
+        f"size({_set('month')})", "' months total.'"], type="time", years=_values(years, False))
 
 
-def _yearly_facts(rows: Column) -> Column:
+def _yearly_facts() -> str:
     """K5 (one per year), K6 (year-over-year changes), K7 (first -> last growth)."""
-    ys = _sorted(_of(rows, "year"), lambda r: r["k1"].cast("int"))
-    n = F.size(ys)
-
-    def year_fact(r):
-        s, p = _d(r["s"]), _d(r["p"])
-        pm = F.when(s != 0, p / s * 100).otherwise(F.lit(0.0))
-        text = F.concat(F.lit("Year "), r["k1"], F.lit(": Sales="), money(s), F.lit(", Profit="), money(p),
-                        F.lit(", Orders="), thousands(F.coalesce(r["orders"], F.lit(0))), F.lit(", Margin="),
-                        fixed(pm, 1), F.lit("%."))
-        return F.struct(F.concat(F.lit("yearly_"), r["k1"]).alias("chunk_id"), text.alias("text"),
-                        _meta(type="trend", grain="year", year=r["k1"]).alias("metadata"))
-
-    per_year = F.transform(ys, year_fact)
-
-    def pair(i):
-        prev, cur = F.element_at(ys, i - 1), F.element_at(ys, i)
-        ps, cs, pp, cp = _d(prev["s"]), _d(cur["s"]), _d(prev["p"]), _d(cur["p"])
-        chg = F.when(ps != 0, (cs - ps) / ps * 100).otherwise(F.lit(0.0))
-        pchg = F.when(pp != 0, (cp - pp) / F.abs(pp) * 100).otherwise(F.lit(0.0))
-        return F.concat(prev["k1"], F.lit("→"), cur["k1"], F.lit(": Sales "), signed(chg, 1),
-                        F.lit("%, Profit "), signed(pchg, 1), F.lit("%"))
-
-    lines = F.array_join(F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), pair), "; ")
-    yoy = _facts(n >= 2, "yoy_comparison", F.concat(F.lit("Year-over-year changes: "), lines, F.lit(".")),
-                 _meta(type="trend", topic="yoy"))
-    first, last = F.element_at(ys, 1), F.element_at(ys, -1)
-    s0, s1 = _d(first["s"]), _d(last["s"])
-    growth = F.when(s0 != 0, (s1 - s0) / s0 * 100).otherwise(F.lit(0.0))
-    gtext = F.concat(F.lit("Revenue growth "), first["k1"], F.lit("→"), last["k1"], F.lit(": "), signed(growth, 1),
-                     F.lit("% ("), money(s0), F.lit(" → "), money(s1), F.lit(")."))
-    grow = _facts(n >= 2, "yearly_growth", gtext, _meta(type="trend", topic="growth"))
-    return F.concat(per_year, yoy, grow)
-
-
-def _monthly_facts(rows: tuple[Column, Column]) -> Column:
+    years, first, last = _set("year"), f"element_at({_set('year')}, 1)", f"element_at({_set('year')}, -1)"
+    each = (f"transform({years}, r -> struct(concat('yearly_', r.k1) AS chunk_id, concat('Year ', r.k1, ': Sales=', r.sales_text, ', Profit=', "
+            "r.profit_text, ', Orders=', coalesce(r.orders_text, '0'), ', Margin=', r.margin1, '%.') AS text, "
+            "map('type', 'trend', 'grain', 'year', 'year', r.k1) AS metadata))")
+    pairs = _listed(f"filter({years}, r -> r.before IS NOT NULL)", ["r.before", "'→'", "r.k1", "': Sales '", "r.sales_change", "'%, Profit '", "r.profit_change", "'%'"])
+    several = f"size({years}) >= 2"
+    return "concat(" + ", ".join((
+        each, _fact(several, "yoy_comparison", ["'Year-over-year changes: '", pairs, "'.'"], type="trend", topic="yoy"),
+        _fact(several, "yearly_growth", ["'Revenue growth '", f"{first}.k1", "'→'", f"{last}.k1", "': '", f"{last}.growth", "'% ('",
+                                         f"{first}.sales_text", "' → '", f"{last}.sales_text", "').'"], type="trend", topic="growth"))) + ")"
+
+
+def _monthly_fact(best: bool) -> str:
     """K8: best month by sales; worst month by profit if it is a loss (earliest on ties)."""
-    best, worst = F.get(rows[0], 0), F.get(rows[1], 0)
-    label = lambda r: F.substring(r["k1"], 1, 7)  # noqa: E731  yyyy-MM of the month start
-    btext = F.concat(F.lit("Peak month by sales: "), label(best), F.lit(" — "), money(_d(best["s"])),
-                     F.lit(", profit "), money(_d(best["p"])), F.lit("."))
-    wtext = F.concat(F.lit("Worst month by profit: "), label(worst), F.lit(" — "), money(_d(worst["p"])),
-                     F.lit("."))
-    return F.concat(_facts(best.isNotNull(), "monthly_best_sales", btext, _meta(type="time", grain="month")),
-                    _facts(F.coalesce(_d(worst["p"]) < 0, F.lit(False)), "monthly_worst_profit", wtext,
-                           _meta(type="time", grain="month")))
-
-
-def _quarterly_fact(rows: Column) -> Column:
-    """K9: the last 8 quarters, oldest first."""
-    qs = F.reverse(F.slice(F.reverse(_sorted(_of(rows, "quarter"), lambda r: r["k1"])), 1, 8))
+    month = "substring(rows[0].k1, 1, 7)"  # yyyy-MM of the month start
+    if best:
+        return _fact("size(rows) > 0", "monthly_best_sales", ["'Peak month by sales: '", month, "' — '", "rows[0].sales_text", "', profit '",
+                                                              "rows[0].profit_text", "'.'"], type="time", grain="month")
+    return _fact("coalesce(get(rows, 0).p < 0, false)", "monthly_worst_profit", ["'Worst month by profit: '", month, "' — '", "rows[0].profit_text", "'.'"],
+                 type="time", grain="month")
 
-    def item(r):
-        q = r["k1"].cast("date")
-        return F.concat(F.year(q).cast("string"), F.lit("Q"), F.quarter(q).cast("string"), F.lit(": Sales="),
-                        money(_d(r["s"])), F.lit(", Profit="), money(_d(r["p"])))
 
-    text = F.concat(F.lit("Last 8 quarters: "), F.array_join(F.transform(qs, item), "; "), F.lit("."))
-    return _facts(F.size(qs) > 0, "quarterly_summary", text, _meta(type="trend", grain="quarter"))
+def _quarterly_fact() -> str:
+    """K9: the last 8 quarters, oldest first."""
+    each = _listed("rows", ["year(cast(r.k1 as date))", "'Q'", "quarter(cast(r.k1 as date))", "': Sales='", "r.sales_text", "', Profit='", "r.profit_text"])
+    return _fact("size(rows) > 0", "quarterly_summary", ["'Last 8 quarters: '", each, "'.'"], type="trend", grain="quarter")
 
 
-def _dimension_fact(rows: Column, dim: str) -> Column:
+def _dimension_fact(dim: str) -> str:
     """Sorted value list and per-value sales / profit, highest sales first."""
-    ds = _of(rows, dim)
-    values = F.sort_array(F.transform(ds, lambda r: r["k1"]))
-    detail = F.array_join(F.transform(
-        _sorted(ds, lambda r: -_d(r["s"]), lambda r: r["k1"]),
-        lambda r: F.concat(r["k1"], F.lit(": Sales="), money(_d(r["s"])), F.lit(", Profit="), money(_d(r["p"])))),
-        "; ")
-    vl = _py_list(values, quote=True)
-    text = F.concat(F.lit(f"Dimension '{dim}' values: "), vl, F.lit(". Detail: "), detail, F.lit("."))
-    return _facts(F.size(values) > 0, f"dim_{dim}", text, _meta(type="dimension", dimension=dim, values=vl))
-
-
-def _top_k_fact(rows: Column, dim: str, k: int, metric: str) -> Column:
+    values = _values(f"sort_array(transform({_set(dim)}, r -> r.k1))", True)
+    each = _listed(_set(dim), ["r.k1", "': Sales='", "r.sales_text", "', Profit='", "r.profit_text"])
+    return _fact(f"size({_set(dim)}) > 0", f"dim_{dim}", [f"'Dimension \\'{dim}\\' values: '", values, "'. Detail: '", each, "'.'"],
+                 type="dimension", dimension=dim, values=values)
+
+
+def _top_k_fact(dim: str, k: int, metric: str) -> str:
     """Top k values of a dimension by profit or by sales (ties: value order); ``rows`` holds those k."""
-    fld = {"profit": "p", "sales": "s"}[metric]
-    top = _sorted(_of(rows, dim), lambda r: -_d(r[fld]), lambda r: r["k1"])
-    items = F.array_join(F.transform(top, lambda r: F.concat(r["k1"], F.lit(" ("), money(_d(r[fld])), F.lit(")"))), ", ")
-    text = F.concat(F.lit(f"Top {k} {dim.replace('_', ' ')} by {metric}: "), items, F.lit("."))
-    return _facts(F.size(top) > 0, f"top{k}_{dim}_{metric}", text, _meta(type="rank", dimension=dim, metric=metric, k=k))
+    each = f"array_join(transform(rows, r -> concat(r.k1, ' (', r.{metric}_text, ')')), ', ')"
+    return _fact("size(rows) > 0", f"top{k}_{dim}_{metric}", [f"'Top {k} {dim.replace('_', ' ')} by {metric}: '", each, "'.'"],
+                 type="rank", dimension=dim, metric=metric, k=k)
+
+
+def _discount_fact() -> str:
+    """Mean profit, mean sales and line count per discount bucket; as percentages if the largest discount says so."""
+    found = f"filter({_set('raw', 'pct')}, r -> r.np > 0 AND r.set = if(coalesce({_TOTAL}.md > 1, false), 'pct', 'raw'))"
+    each = _listed(found, ["'Discount '", "r.k1", "': avg profit='", "r.mean_profit", "', avg sales='", "r.mean_sales", "' ('", "r.np", "' orders)'"])
+    return _fact(f"size({found}) > 0", "discount_impact", ["'Discount impact on profit: '", each, "'.'"], type="insight", topic="discount")
+
+
+def _segment_category_fact(n: int = 9) -> str:
+    """The ``n`` segment x category pairs with the highest profit; ``rows`` holds those n."""
+    each = _listed("rows", ["r.k1", "'/'", "r.k2", "': Profit='", "r.profit_text"])
+    return _fact("size(rows) > 0", "segment_category_cross", [f"'Top {n} Segment×Category combos by profit: '", each, "'.'"],
+                 type="cross", dimensions="segment,category")
+
+
+def _kinds() -> list[tuple[str, str, str]]:
+    """The kinds of facts in the reference's order, in SQL: which ranked entries belong to one, their order, the facts made of
+    those entries."""
+    def first(k: int, rank: str, name: str) -> str:
+        return f"set = '{name}' AND k1 IS NOT NULL AND {rank} <= {k}"
+
+    out = [("set IN ('none', 'total')", "0", _kpi_facts()), ("set IN ('total', 'year', 'month')", "-by_key", _time_range_fact()),
+           ("set = 'year'", "-by_key", _yearly_facts()), (first(1, "by_sales", "month"), "0", _monthly_fact(True)),
+           (first(1, "by_loss", "month"), "0", _monthly_fact(False)), (first(8, "by_key", "quarter"), "-by_key", _quarterly_fact())]
+    out += [(f"set = '{d}'", "by_sales", _dimension_fact(d)) for d in DIM_FACTS]
+    out += [(first(k, f"by_{m}", d), f"by_{m}", _top_k_fact(d, k, m)) for d, k in TOP_K_FACTS for m in ("profit", "sales")]
+    out += [("set IN ('total', 'raw', 'pct')", "bucket", _discount_fact()),
+            (first(9, "by_profit", "segment_category") + " AND k2 IS NOT NULL", "by_profit", _segment_category_fact())]
+    return out
 
 
-def _discount_fact(rows: Column) -> Column:
-    """Mean profit, mean sales and line count per discount bucket."""
-    percent = F.coalesce(F.get(_of(rows, "total"), 0)["md"] > 1, F.lit(False))
-    found = F.when(percent, _of(rows, "pct")).otherwise(_of(rows, "raw"))
-    bs = _sorted(F.filter(found, lambda r: r["np"] > 0), lambda r: bucket_order(r["k1"]))
+def _ranked(entries: DataFrame) -> DataFrame:
+    """Entries with their ranks in their set and their numbers as text: one exchange, by set."""
+    missing = F.expr("k1 IS NULL OR (set = 'segment_category' AND k2 IS NULL)")
+    s, p = F.expr("coalesce(cast(s as double), 0D)"), F.expr("coalesce(cast(p as double), 0D)")
 
-    def item(r):
-        return F.concat(F.lit("Discount "), r["k1"], F.lit(": avg profit="), money(r["p"].cast("double") / r["np"]),
-                        F.lit(", avg sales="), money(r["s"].cast("double") / r["ns"]), F.lit(" ("),
-                        r["np"].cast("string"), F.lit(" orders)"))
+    def rank(*order):
+        return F.row_number().over(Window.partitionBy("set").orderBy(missing, *order, "k1", "k2"))
 
-    text = F.concat(F.lit("Discount impact on profit: "), F.array_join(F.transform(bs, item), "; "), F.lit("."))
-    return _facts(F.size(bs) > 0, "discount_impact", text, _meta(type="insight", topic="discount"))
+    numbered = entries.withColumns({"ds": s, "dp": p}).withColumns({
+        "by_sales": rank(-F.col("ds")), "by_profit": rank(-F.col("dp")), "by_loss": rank(F.col("dp")), "by_key": rank(F.col("k1").desc())})
+    time = Window.partitionBy("set").orderBy(missing, F.col("by_key").desc())  # years in order
+    numbered = numbered.withColumns({"before": F.lag("k1").over(time), "s0": F.lag("ds").over(time), "p0": F.lag("dp").over(time),
+                                     "s1": F.first("ds").over(time.rowsBetween(Window.unboundedPreceding, 0))})
+    margin = F.expr("if(ds != 0, dp / ds * 100, 0D)")
+    return numbered.withColumns({
+        "bucket": bucket_order(F.col("k1")), "sales_text": money(F.col("ds")), "profit_text": money(F.col("dp")), "orders_text": thousands(F.col("orders")),
+        "margin1": fixed(margin, 1), "margin2": fixed(margin, 2), "mean_sales": money(F.expr("try_divide(cast(s as double), ns)")),
+        "mean_profit": money(F.expr("try_divide(cast(p as double), np)")),
+        "sales_change": signed(F.expr("if(s0 != 0, (ds - s0) / s0 * 100, 0D)"), 1),
+        "profit_change": signed(F.expr("if(p0 != 0, (dp - p0) / abs(p0) * 100, 0D)"), 1),
+        "growth": signed(F.expr("if(s1 != 0, (ds - s1) / s1 * 100, 0D)"), 1)})
 
 
-def _segment_category_fact(rows: Column, n: int = 9) -> Column:
-    """The ``n`` segment x category pairs with the highest profit."""
-    cs = F.filter(_of(rows, "segment_category"), lambda r: r["k2"].isNotNull())
-    top = F.slice(_sorted(cs, lambda r: -_d(r["p"]), lambda r: r["k1"], lambda r: r["k2"]), 1, n)
-    items = F.array_join(F.transform(top, lambda r: F.concat(r["k1"], F.lit("/"), r["k2"], F.lit(": Profit="),
-                                                            money(_d(r["p"])))), "; ")
-    text = F.concat(F.lit(f"Top {n} Segment×Category combos by profit: "), items, F.lit("."))
-    return _facts(F.size(top) > 0, "segment_category_cross", text,
-                  _meta(type="cross", dimensions="segment,category"))
+_ENTRY = ("set, k1, k2, p, np, md, lo, hi, before, sales_text, profit_text, orders_text, margin1, margin2, mean_sales, mean_profit, "
+          "sales_change, profit_change, growth")
 
 
 def build_facts(df: DataFrame, filters: dict | None = None) -> DataFrame:
@@ -334,33 +296,23 @@ def build_facts(df: DataFrame, filters: dict | None = None) -> DataFrame:
     reference's order of kinds.
 
     The lines are read twice, by the grouping-sets aggregate and by the
-    distinct-count aggregate (:func:`fact_entries`, run here); the kinds of
-    facts are small frames over their result, put together by name (U1).
+    distinct-count aggregate (:func:`fact_entries`, run here).  Their result is
+    ranked in every set (one exchange, by set), each entry goes to the kinds of
+    facts it belongs to, and a kind is one row with the entries its text names
+    (U1): one pass, however many kinds there are.
     """
     t = fact_entries(df)
-    rows = F.col("rows")
-
-    def by(field, *ties):
-        return [-_d(F.col(field)), *[F.col(k) for k in ties]]
-
-    frames = [t.agg(_const_facts(filters).alias("f"))]
-    frames += [_entries(t, *sets).select(build(rows).alias("f")) for sets, build in (
-        (("total",), _kpi_facts), (("total", "year", "month"), _time_range_fact), (("year",), _yearly_facts))]
-    best, worst = _entries(t, "month", order=by("s", "k1"), limit=1), _entries(t, "month", order=[_d(F.col("p")), F.col("k1")], limit=1)
-    frames.append(best.select(_monthly_facts((rows, F.array().cast(best.schema["rows"].dataType))).alias("f")))
-    frames.append(worst.select(_monthly_facts((F.array().cast(worst.schema["rows"].dataType), rows)).alias("f")))
-    frames.append(_entries(t, "quarter", order=[F.col("k1").desc()], limit=8).select(_quarterly_fact(rows).alias("f")))
-    frames += [_entries(t, d).select(_dimension_fact(rows, d).alias("f")) for d in DIM_FACTS]
-    frames += [_entries(t, d, order=by({"profit": "p", "sales": "s"}[m], "k1"), limit=k).select(_top_k_fact(rows, d, k, m).alias("f"))
-               for d, k in TOP_K_FACTS for m in ("profit", "sales")]
-    frames.append(_entries(t, "total", "raw", "pct").select(_discount_fact(rows).alias("f")))
-    crossed = t.filter(F.col("k1").isNotNull() & F.col("k2").isNotNull())
-    frames.append(_entries(crossed, "segment_category", order=by("p", "k1", "k2"), limit=9).select(_segment_category_fact(rows).alias("f")))
-    out = None
-    for frame in frames:
-        one = frame.select(F.explode("f").alias("f")).select("f.chunk_id", "f.text", "f.metadata")
-        out = one if out is None else out.unionByName(one)
-    return out
+    none = t.sparkSession.range(1).select(F.lit("none").alias("set"))  # a table without lines still has a KPI summary
+    kinds = _kinds()
+    member = ", ".join(f"if({holds}, struct({k} AS kind, {order} AS pos), NULL)" for k, (holds, order, _) in enumerate(kinds))
+    gathered = _ranked(t.unionByName(none, allowMissingColumns=True)).selectExpr(
+        f"inline(filter(array({member}), k -> k IS NOT NULL))", f"struct({_ENTRY}) AS entry").groupBy("kind").agg(
+        F.expr("transform(sort_array(collect_list(struct(pos, entry))), x -> x.entry)").alias("rows"))
+    facts = F.expr("CASE " + " ".join(f"WHEN kind = {k} THEN {build}" for k, (_, _, build) in enumerate(kinds)) + " END")
+    facts = F.concat(F.when(F.col("kind") == 0, _const_facts(filters)).otherwise(F.array().cast(_FACT)), facts)
+    # a fact for each year, value and kind at most: few rows
+    return gathered.select("kind", F.posexplode(facts).alias("at", "f")).coalesce(1).sortWithinPartitions("kind", "at").select(
+        "f.chunk_id", "f.text", "f.metadata")
 
 
 # ── numeric views of single facts (for checks and callers that want numbers) ──
@@ -407,7 +359,6 @@ def segment_category_top(df: DataFrame, n: int = 9) -> DataFrame:
            .groupBy("segment", "category")
            .agg(F.coalesce(F.sum("profit").cast("double"), F.lit(0.0)).alias("profit"),
                 F.coalesce(F.sum("sales").cast("double"), F.lit(0.0)).alias("sales")))
-    from pyspark.sql import Window
     w = Window.orderBy(F.col("profit").desc(), F.col("segment"), F.col("category"))
     return g.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
 
