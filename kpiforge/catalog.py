@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiforge.operators import kpi
-from kpiforge.sources.order_lines import order_lines
+from kpiforge.sources.order_lines import latest_order_date, order_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -187,7 +187,7 @@ WHERE order_date BETWEEN CAST({_ANCHOR} - INTERVAL 30 DAY AS DATE) AND {_ANCHOR}
 GROUP BY region""")
 def q_relative_30d(spark, sf_dir):
     df = _ol(spark, sf_dir)
-    start, end = relative_window(df, 30, "day")
+    start, end = relative_window(df, 30, "day", latest=latest_order_date(spark, sf_dir))
     return kpi.kpi_value(df, ["sales", "orders"], start, end, breakdown_by="region")
 
 
@@ -262,7 +262,7 @@ FROM order_lines
 WHERE order_date BETWEEN CAST({_ANCHOR} - INTERVAL 30 DAY AS DATE) AND {_ANCHOR}
 GROUP BY state ORDER BY sales DESC NULLS LAST, breakdown ASC NULLS LAST LIMIT 10""")
 def q_rank_recent(spark, sf_dir):
-    return compare.rank_recent(_ol(spark, sf_dir), "state", top_k=10, days=30)
+    return compare.rank_recent(_ol(spark, sf_dir), "state", top_k=10, days=30, latest=latest_order_date(spark, sf_dir))
 
 
 # ── N1-N3 ────────────────────────────────────────────────────────────────
@@ -970,7 +970,7 @@ GROUP BY segment""")
 def q_current_quarter(spark, sf_dir):
     from kpiforge.operators.filters import current_window
     df = _ol(spark, sf_dir)
-    start, end = current_window(df, "quarter")
+    start, end = current_window(df, "quarter", latest=latest_order_date(spark, sf_dir))
     return kpi.kpi_value(df, ["sales", "profit_margin"], start, end, breakdown_by="segment")
 
 
@@ -1327,7 +1327,8 @@ _RELATIVE = {"relative_6w": (6, "week", "42 DAY"), "relative_5m": (5, "month", "
 def _make_relative(n, unit):
     def q(spark, sf_dir):
         df = _ol(spark, sf_dir)
-        return kpi.kpi_value(df, ["sales", "profit"], *relative_window(df, n, unit), breakdown_by="region")
+        return kpi.kpi_value(df, ["sales", "profit"], *relative_window(df, n, unit, latest=latest_order_date(spark, sf_dir)),
+                             breakdown_by="region")
     return q
 
 
@@ -1343,14 +1344,15 @@ WHERE order_date BETWEEN CASE g WHEN 'week' THEN CAST(date_trunc('week', {_ANCHO
       WHEN 'month' THEN CAST(date_trunc('month', {_ANCHOR}) AS DATE) ELSE CAST(date_trunc('year', {_ANCHOR}) AS DATE) END AND {_ANCHOR}
 GROUP BY g""")
 def q_current_periods(spark, sf_dir):
-    """F8: this week, month and year up to the latest date."""
+    """F8: this week, month and year up to the latest date: one scan, a line counts for each window it lies in."""
+    from kpiforge.functions.metrics import metric_cols
     from kpiforge.operators.filters import current_window
 
-    df, out = _ol(spark, sf_dir), None
-    for g in ("week", "month", "year"):
-        one = kpi.kpi_value(df, ["sales", "orders"], *current_window(df, g)).select(F.lit(g).alias("grain"), "sales", "orders")
-        out = one if out is None else out.unionByName(one)
-    return out
+    df, last = _ol(spark, sf_dir), latest_order_date(spark, sf_dir)
+    inside = {g: F.col("order_date").between(*current_window(df, g, latest=last)) for g in ("week", "month", "year")}
+    rows = df.where(inside["week"] | inside["month"] | inside["year"]).withColumn(
+        "grain", F.explode(F.array_compact(F.array(*[F.when(holds, F.lit(g)) for g, holds in inside.items()]))))
+    return rows.groupBy("grain").agg(*metric_cols(["sales", "orders"]))
 
 
 @register("detail_profit_positive", """
@@ -1450,3 +1452,32 @@ def q_stored_breakdown(spark, sf_dir):
     store.deliver(lines.where(~early))
     store.deliver(lines.where(first), read_table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("order_date")).where(first))
     return store.breakdown("quarter")
+
+
+# ── R2, R3 by score bounds; R1, U2 from an index that took three updates ──
+
+from kpiforge.operators import retrieval_bounds  # noqa: E402
+from kpiforge.operators.retrieval_store import TfidfStore  # noqa: E402
+
+
+@register("tfidf_topk_bounded", _TFIDF_SQL + """
+SELECT qid, doc_id, score, rank FROM r WHERE rank <= 10""", with_view=False)
+def q_tfidf_topk_bounded(spark, sf_dir):
+    """The top 10 of every benchmark item; blocks of documents that cannot reach them are not read."""
+    idx = retrieval_bounds.bounded_index(retrieval.fit_tfidf(read_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return retrieval_bounds.retrieve_bounded(idx, read_table(spark, sf_dir, "benchmark"), 10, "item_id", "text")
+
+
+@register("tfidf_updated", _TFIDF_SQL + """
+SELECT qid, doc_id, score, rank FROM r WHERE rank <= 10""", with_view=False)
+def q_tfidf_updated(spark, sf_dir):
+    """An index of English drafts and benchmark items; then all documents come (the drafts' last versions replace them), then the
+    benchmark items go."""
+    docs, items = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read_table(spark, sf_dir, "benchmark")
+    drafts = docs.where("lang = 'en'").select("doc_id", F.concat(F.lit("draft "), F.coalesce("text", F.lit(""))).alias("text"))
+    foreign = items.select((-1 - F.col("item_id")).alias("doc_id"), "text")
+    store = TfidfStore(spark, shared_path(spark, "tfidf-store"))
+    store.update(drafts.unionByName(foreign), id_col="doc_id")
+    store.update(docs, id_col="doc_id")
+    store.update(delete=foreign, id_col="doc_id")
+    return retrieval.retrieve(store.index(), items, 10, "item_id", "text")

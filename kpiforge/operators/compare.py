@@ -81,10 +81,10 @@ def rank_by_change(df: DataFrame, metric: str, breakdown_by: str, start, end,
 
 
 def rank_recent(df: DataFrame, breakdown_by: str, top_k: int | None = 10, days: int = 30,
-                filters=None) -> DataFrame:
+                filters=None, latest=None) -> DataFrame:
     """C5 (what the reference does, D18): top values by sales of the last ``days`` days."""
     breakdown_by = dimension(breakdown_by)
-    start, end = relative_window(df, days, "day")
+    start, end = relative_window(df, days, "day", latest=latest)
     rows = in_lists(df, filters).filter(F.col("order_date").between(start, end))
     return limited(rows.groupBy(F.col(breakdown_by).alias("breakdown"))
                        .agg(metric_agg("sales").alias("sales"))

@@ -92,12 +92,13 @@ def valid_discount(col: Column) -> Column:
     return col.isNotNull() & col.between(0, 1)
 
 
-def anchor_date(df: DataFrame, col: str = "order_date") -> Column:
-    """Latest date of the table as a scalar subquery."""
-    return df.agg(F.max(col)).scalar()
+def anchor_date(df: DataFrame, col: str = "order_date", latest: date | None = None) -> Column:
+    """Latest date of the table (J3): the one given (from file statistics, see ``sources.latest_order_date``; windows are then
+    literals, which reach the scan), else a scalar subquery, which reads the table once more."""
+    return df.agg(F.max(col)).scalar() if latest is None else F.lit(latest)
 
 
-def relative_window(df: DataFrame, n: int, unit: str, col: str = "order_date") -> tuple[Column, Column]:
+def relative_window(df: DataFrame, n: int, unit: str, col: str = "order_date", latest: date | None = None) -> tuple[Column, Column]:
     """"past/last N day|week|month|year" ending at the latest date.
 
     start = anchor - N units; both ends included, so N days span N+1 dates
@@ -105,7 +106,7 @@ def relative_window(df: DataFrame, n: int, unit: str, col: str = "order_date") -
     """
     if unit not in RELATIVE_UNITS:
         raise ValueError(f"Invalid unit: {unit!r}")
-    a = anchor_date(df, col)
+    a = anchor_date(df, col, latest)
     if unit == "day":
         start = F.date_sub(a, n)
     elif unit == "week":
@@ -117,11 +118,11 @@ def relative_window(df: DataFrame, n: int, unit: str, col: str = "order_date") -
     return start, a
 
 
-def current_window(df: DataFrame, grain: str, col: str = "order_date") -> tuple[Column, Column]:
+def current_window(df: DataFrame, grain: str, col: str = "order_date", latest: date | None = None) -> tuple[Column, Column]:
     """F8: this week / month / quarter / year up to the latest date (week = from Monday)."""
     if grain not in ("week", "month", "quarter", "year"):
         raise ValueError(f"Invalid grain: {grain!r}")
-    a = anchor_date(df, col)
+    a = anchor_date(df, col, latest)
     return F.trunc(a, grain), a
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from kpiforge.functions.metrics import DIMENSIONS, METRICS, ratio_pct
 from kpiforge.sources.order_lines import MONEY
-from kpiforge.sources.tables import shared_table
+from kpiforge.sources.tables import newest_version, shared_table
 
 TOTAL = "total"
 GRAINS = ("month", "quarter", "year", "all")
@@ -41,15 +41,6 @@ _CELL = ["dimension", "value", "month", "bucket"]
 _TYPES = {"sales": "decimal(38,2)", "profit": "decimal(38,4)", "lines": "bigint"}
 
 
-def newest_version(spark: SparkSession, folder: str) -> int:
-    """The highest ``version=N`` below ``folder`` whose write is complete (-1: none)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "version=*/_SUCCESS"))
-    return max((int(s.getPath().getParent().getName().split("=")[1]) for s in done or ()), default=-1)
-
-
 def order_numbers(orders: DataFrame, start: int = 0, parts: int | None = None) -> DataFrame:
     """``order_id, number``: distinct ids of ``orders(order_id, order_date)`` numbered densely from ``start + 1``, by first day.
 

@@ -19,12 +19,14 @@ Scale notes
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType
 
 from kpiforge.functions.numeric import clean_numeric
-from kpiforge.sources.tables import read_table
+from kpiforge.sources.tables import extent, read_table
 
 ORDER_LINES_COLUMNS = ("order_id", "order_date", "ship_date", "region", "state", "segment",
                        "category", "sub_category", "product_name", "sales", "discount", "profit")
@@ -180,6 +182,24 @@ def filter_options(df: DataFrame) -> DataFrame:
     )
 
 
+def latest_order_date(spark: SparkSession, sf_dir: str) -> date | None:
+    """J3 without a pass over the star join: the date of the latest order line (None: there is none).
+
+    The latest date of ``orders`` is nearly always it; whether a line joins to an
+    order of that date is asked with ``take(1)``, which stops at the first one.
+    """
+    orders, lines = f"{sf_dir.rstrip('/')}/orders.parquet", order_lines(spark, sf_dir)
+    last = extent(spark, orders, "o_orderdate").select(F.col("high").cast("date")).first()[0]
+    if last is None or lines.where(F.col("order_date") == F.lit(last)).select("order_id").take(1):
+        return last
+    return lines.agg(F.max("order_date")).first()[0]
+
+
+def latest_wide_date(spark: SparkSession, path: str) -> date | None:
+    """J3 of a wide table (:func:`materialize_order_lines`): from its files' footers."""
+    return extent(spark, path, "order_date").first()["high"]
+
+
 def preview(df: DataFrame, n: int = 100) -> DataFrame:
     """First ``n`` rows by order date; ties broken on every column.
 

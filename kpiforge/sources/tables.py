@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kpiforge.session import checkpoint_dir
 
@@ -38,3 +39,22 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def newest_version(spark: SparkSession, folder: str) -> int:
+    """The highest ``version=N`` below ``folder`` whose write is complete (-1: none)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "version=*/_SUCCESS"))
+    return max((int(s.getPath().getParent().getName().split("=")[1]) for s in done or ()), default=-1)
+
+
+def extent(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """One row ``low, high`` of a Parquet column, planned so that the files' footers answer it (numbers and dates; other types
+    are read, that one column).  Aggregates reach the footers through the second reader of Spark's Parquet source only, so
+    this plan has a session of its own and leaves the settings of ``spark`` alone."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).agg(F.min(column).alias("low"), F.max(column).alias("high"))

@@ -4,10 +4,13 @@ import contextlib
 import io
 import re
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
 from kpiforge import catalog
 from kpiforge.operators import kpi
-from kpiforge.sources.order_lines import materialize_order_lines, order_lines
+from kpiforge.sources.order_lines import latest_order_date, latest_wide_date, materialize_order_lines, order_lines
+from kpiforge.sources.tables import extent
 
 
 def plan(df) -> str:
@@ -76,3 +79,32 @@ def test_year_partition_pruning(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*order_year", p)
     assert kpi.kpi_value(wide, ["sales"], "1998-01-01", "1998-03-31").collect() == \
         kpi.kpi_value(order_lines(spark, SF_SMALL), ["sales"], "1998-01-01", "1998-03-31").collect()
+
+
+def test_windows_up_to_the_latest_date_scan_the_lines_once(spark):
+    for name in ("relative_30d", "relative_6w", "relative_5m", "relative_2y", "current_quarter", "current_periods", "rank_recent"):
+        p = plan(catalog.QUERIES[name](spark, SF_SMALL))
+        assert scans(p, "lineitem") == 1 and scans(p, "orders") == 1, name
+        assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", p), name  # the window is a literal
+
+
+def test_latest_date_from_footers(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    lines = order_lines(spark, SF_SMALL)
+    materialize_order_lines(lines, path)
+    assert "PushedAggregation: [MIN(order_date), MAX(order_date)]" in plan(extent(spark, path, "order_date"))
+    want = lines.agg(F.max("order_date")).first()[0]
+    assert latest_wide_date(spark, path) == latest_order_date(spark, SF_SMALL) == want
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") != ""  # settings of the session are as they were
+
+
+def test_latest_date_is_that_of_a_line(spark, tmp_path):
+    """The latest orders have no lines; then no order has."""
+    for t in ("lineitem", "customer", "nation", "region", "part"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    late = orders.limit(3).withColumn("o_orderkey", -F.col("o_orderkey") - 1).withColumn("o_orderdate", F.lit("2030-01-01").cast("timestamp"))
+    orders.unionByName(late).write.parquet(f"{tmp_path}/orders.parquet")
+    assert latest_order_date(spark, str(tmp_path)) == latest_order_date(spark, SF_SMALL)
+    orders.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert latest_order_date(spark, str(tmp_path)) is None
