@@ -1481,3 +1481,61 @@ def q_tfidf_updated(spark, sf_dir):
     store.update(docs, id_col="doc_id")
     store.update(delete=foreign, id_col="doc_id")
     return retrieval.retrieve(store.index(), items, 10, "item_id", "text")
+
+
+# ── S4: plans as SQL table functions; S1, S3: stored layouts; R7: live windows ──
+
+from kpiforge.sources import layout, sql_functions  # noqa: E402
+from kpiforge.streaming import live_window  # noqa: E402
+
+
+@register("sql_rank", f"""
+SELECT breakdown, value, CAST(ROW_NUMBER() OVER (ORDER BY value DESC NULLS LAST, breakdown) AS INT) AS position FROM (
+  SELECT sub_category AS breakdown, {SQL_METRIC['profit_margin']} AS value FROM order_lines
+  WHERE order_date >= DATE '1996-01-01' GROUP BY sub_category) t QUALIFY position <= 7""")
+def q_sql_rank(spark, sf_dir):
+    sql_functions.register_sql(spark, _ol(spark, sf_dir))
+    return spark.sql("SELECT * FROM kpi_rank('sub_category', 'profit_margin', 7, first => DATE'1996-01-01')")
+
+
+@register("sql_compare", f"""
+WITH a AS (SELECT state AS breakdown,
+  CAST(COUNT(DISTINCT CASE WHEN order_date BETWEEN DATE '1999-04-01' AND DATE '1999-06-30' THEN order_id END) AS DOUBLE) AS current,
+  CAST(COUNT(DISTINCT CASE WHEN order_date BETWEEN DATE '1998-12-31' AND DATE '1999-03-31' THEN order_id END) AS DOUBLE) AS previous,
+  COUNT(CASE WHEN order_date BETWEEN DATE '1999-04-01' AND DATE '1999-06-30' THEN 1 END) AS n FROM order_lines GROUP BY state)
+SELECT c.breakdown, c.current, c.previous, CASE WHEN previous <> 0 THEN (current - previous) / abs(previous) * 100 END AS change_pct, v.orders AS all_orders
+FROM a c JOIN (SELECT state AS breakdown, COUNT(DISTINCT order_id) AS orders FROM order_lines GROUP BY state) v USING (breakdown) WHERE n > 0""")
+def q_sql_compare(spark, sf_dir):
+    """Two functions joined in one statement."""
+    sql_functions.register_sql(spark, _ol(spark, sf_dir))
+    return spark.sql("""SELECT c.*, v.orders AS all_orders FROM kpi_compare('orders', 'state', DATE'1999-04-01', DATE'1999-06-30', 'prev_period') c
+        JOIN kpi_by('state') v ON v.breakdown = c.breakdown""")
+
+
+@register("by_region_co_located", f"SELECT region AS breakdown, {sql_metrics(['profit', 'orders'])} FROM order_lines GROUP BY region")
+def q_by_region_co_located(spark, sf_dir):
+    """S3 from tables bucketed by order: the lines are not moved to meet their orders."""
+    name = "star_" + shared_path(spark, "x").rsplit("-", 1)[1]
+    layout.store_by_order(spark, sf_dir, shared_path(spark, "star"), name, buckets=8)
+    return kpi.kpi_value(layout.lines_by_order(spark, sf_dir, name), ["profit", "orders"], breakdown_by="region")
+
+
+@register("clustered_filter", f"""
+SELECT category AS breakdown, {sql_metrics(['sales', 'orders'])} FROM order_lines
+WHERE order_date BETWEEN DATE '1997-01-01' AND DATE '1997-06-30' AND region IN ('ASIA', 'EUROPE') GROUP BY category""")
+def q_clustered_filter(spark, sf_dir):
+    """F1, F2 over the wide table stored along the Z-curve of date, region and category."""
+    path = shared_path(spark, "clustered")
+    layout.store_clustered(_ol(spark, sf_dir), path)
+    return kpi.kpi_value(spark.read.parquet(path), ["sales", "orders"], "1997-01-01", "1997-06-30", breakdown_by="category",
+                         filters={"region": ["ASIA", "EUROPE"]})
+
+
+@register("live_history_window", ORACLE_SQL["history_window"], with_view=False)
+def q_live_history_window(spark, sf_dir):
+    """R7 from a stream of `conversations` in batches that hold each conversation's turns out of order."""
+    conv, inbox, out = read_table(spark, sf_dir, "conversations"), shared_path(spark, "messages"), shared_path(spark, "windows")
+    conv.repartition(3, "turn").write.parquet(inbox)  # whole turns a file: late ones come in later batches
+    stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    live_window.start_windows(stream, out, shared_path(spark, "windows-state")).awaitTermination()
+    return live_window.current_windows(spark, out)

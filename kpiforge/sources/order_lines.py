@@ -43,22 +43,31 @@ def order_lines(spark: SparkSession, sf_dir: str, partitions: int | None = None)
     """
     li = read_table(spark, sf_dir, "lineitem", partitions).select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type",
+                                                 "p_retailprice")
+    orders = order_side(spark, sf_dir)
+    return wide_columns(li.join(orders, li.l_orderkey == orders.o_orderkey)
+                          .join(p, li.l_partkey == p.p_partkey))
+
+
+def order_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customers' attributes.
+
+    Dimensions first: orders get them in an orders-sized shuffle by custkey
+    when customer is too big to broadcast, so the line-sized data is shuffled at
+    most twice (by orderkey, by partkey).
+    """
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type",
-                                                 "p_retailprice")
-
-    # dimensions first: orders gets its customer attributes (an orders-sized
-    # shuffle by custkey when customer is too big to broadcast), so the
-    # line-sized data is shuffled at most twice (by orderkey, by partkey)
     geo = n.join(r, n.n_regionkey == r.r_regionkey)
     cust = c.join(geo, c.c_nationkey == geo.n_nationkey)
-    orders = o.join(cust, o.o_custkey == cust.c_custkey)
-    joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-                .join(p, li.l_partkey == p.p_partkey))
+    return o.join(cust, o.o_custkey == cust.c_custkey)
+
 
+def wide_columns(joined: DataFrame) -> DataFrame:
+    """The order-line columns of joined lines, orders and parts."""
     sales = F.col("l_extendedprice").cast("decimal(12,2)")
     disc = F.col("l_discount").cast("decimal(4,2)")
     cost = F.col("l_quantity").cast("decimal(12,2)") * F.col("p_retailprice").cast("decimal(12,2)") * 2
