@@ -1434,7 +1434,7 @@ def q_plan_batch(spark, sf_dir):
 # ── S7: stored sums and order sets, kept current by three deliveries ─────
 
 from kpiforge.operators.kpi_store import KpiStore  # noqa: E402
-from kpiforge.sources.tables import shared_path  # noqa: E402
+from kpiforge.sources.tables import shared_path, shared_table  # noqa: E402
 
 _STORE_SETS = "\nUNION ALL ".join(
     f"SELECT '{d}' AS dimension, {v} AS value, period, {sql_metrics(['sales', 'profit', 'orders', 'profit_margin'])} FROM q GROUP BY 2, 3"
@@ -1539,3 +1539,115 @@ def q_live_history_window(spark, sf_dir):
     stream = spark.readStream.schema(conv.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     live_window.start_windows(stream, out, shared_path(spark, "windows-state")).awaitTermination()
     return live_window.current_windows(spark, out)
+
+
+# ── S7: the dashboard's path, plans as users write them, and KPIs refreshed from a stream ──
+
+from kpiforge.plans import plan as plans  # noqa: E402
+from kpiforge.sources.order_lines import materialize_order_lines  # noqa: E402
+from kpiforge.streaming import refresh  # noqa: E402
+
+# frame -> its query alone, its keys and its values
+_FRAMES = {
+    "sales_profit_by_month": ("chart_sales_profit_by_month", ("order_date",), ("sales", "profit")),
+    "orders_by_month": ("orders_by_month", ("order_date",), ("orders",)),
+    "profit_by_region": ("chart_profit_by_region", ("region",), ("profit",)),
+    "profit_by_segment": ("chart_profit_by_segment", ("segment",), ("profit",)),
+    "profit_heatmap": ("heatmap_cells", ("segment", "region"), ("profit",)),
+    "discount_impact": ("discount_buckets", ("discount_bucket",), ("avg_sales", "avg_profit")),
+    "top_sub_categories": ("top_subcategories", ("sub_category",), ("profit",)),
+    "category_share": ("category_share", ("category",), ("profit", "share_pct")),
+}
+
+
+def _long(frame, keys, values, text: str, null: str) -> list[str]:
+    """The columns of a chart frame under the names that all of them share."""
+    k = [f"CAST({c} AS {text}) AS k{i + 1}" for i, c in enumerate(keys)] + [f"CAST({null} AS {text}) AS k2"] * (len(keys) == 1)
+    v = [f"CAST({c} AS DOUBLE) AS v{i + 1}" for i, c in enumerate(values)] + [f"CAST({null} AS DOUBLE) AS v2"] * (len(values) == 1)
+    return [f"'{frame}' AS frame", *k, *v]
+
+
+@register("dashboard_from_wide", "\nUNION ALL ".join(
+    f"SELECT {', '.join(_long(name, keys, values, 'VARCHAR', 'NULL'))} FROM ({ORACLE_SQL[own]}) t"
+    for name, (own, keys, values) in _FRAMES.items()), with_view=False)
+def q_dashboard_from_wide(spark, sf_dir):
+    """The wide table is written once, by year; all eight frames come from two passes over it."""
+    path, out = shared_path(spark, "wide"), None
+    materialize_order_lines(_ol(spark, sf_dir), path)
+    frames = dashboard.dashboard_frames(spark.read.parquet(path))
+    for name, (_, keys, values) in _FRAMES.items():
+        one = frames[name].selectExpr(*_long(name, keys, values, "STRING", "NULL"))
+        out = one if out is None else out.unionByName(one)
+    out = shared_table(out, "frames")
+    frames["shared"].unpersist()
+    return out
+
+
+# fixed values: plans as a question interface hands them over; some break a rule
+RAW_PLANS = (
+    {"intent": "kpi_value", "metrics": ["sales", "orders"]},
+    {"intent": "kpi_value", "metrics": "profit", "breakdown_by": "segment", "filters": {"region": ["ASIA", "AFRICA"]}},
+    {"intent": "kpi_value", "metrics": ["sales"], "time_grain": "year"},  # becomes a trend
+    {"intent": "kpi_trend", "metrics": ["profit", "profit_margin"], "time_grain": "quarter", "breakdown_by": "region", "start_date": "1997-01-01", "end_date": "1998-12-31"},
+    {"intent": "kpi_rank", "metrics": ["profit_margin", "sales"], "breakdown_by": "state", "top_k": 6, "order_by": "sales"},
+    {"intent": "kpi_compare", "metrics": ["sales"], "compare_period": "yoy", "breakdown_by": "segment", "start_date": "1999-01-01", "end_date": "1999-06-30"},
+    {"intent": "kpi_rank", "metrics": ["sales"], "breakdown_by": "state", "top_k": 51},
+    {"intent": "kpi_rank", "metrics": ["sales"], "top_k": 5},
+    {"intent": "kpi_trend", "metrics": ["sales"]},
+    {"intent": "kpi_value", "metrics": ["sales", "profit", "orders"]},
+    {"intent": "kpi_compare", "metrics": ["sales", "profit"], "compare_period": "mom", "start_date": "1999-01-01", "end_date": "1999-06-30"},
+    {"intent": "kpi_compare", "metrics": ["sales"], "compare_period": "yoy"},
+    {"intent": "kpi_value", "metrics": ["sales"], "start_date": "1999-02-01", "end_date": "1999-01-01"},
+    {"intent": "kpi_value", "metrics": ["sales"], "filters": {"region": "ASIA"}},
+    {"intent": "clarify"}, {"intent": "guess"},
+)
+_ASKED = "order_date BETWEEN DATE '1995-01-01' AND DATE '2000-12-31'"
+_D = SQL_METRIC
+
+
+@register("validated_plans", f"""
+SELECT 0 AS plan, CAST(NULL AS VARCHAR) AS problem, CAST(NULL AS DATE) AS period, CAST(NULL AS VARCHAR) AS breakdown, {_D['sales']} AS v1,
+  CAST({_D['orders']} AS DOUBLE) AS v2 FROM order_lines WHERE {_ASKED}
+UNION ALL SELECT 1, NULL, NULL, segment, {_D['profit']}, NULL FROM order_lines WHERE {_ASKED} AND region IN ('ASIA', 'AFRICA') GROUP BY segment
+UNION ALL SELECT 2, NULL, CAST(date_trunc('year', order_date) AS DATE) AS y, NULL, {_D['sales']}, NULL FROM order_lines WHERE {_ASKED} GROUP BY y
+UNION ALL SELECT 3, NULL, CAST(date_trunc('quarter', order_date) AS DATE) AS q, region, {_D['profit']}, {_D['profit_margin']} FROM order_lines
+  WHERE order_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY q, region
+UNION ALL SELECT * FROM (SELECT 4, NULL, NULL, state, {_D['profit_margin']}, {_D['sales']} AS s FROM order_lines WHERE {_ASKED} GROUP BY state
+  ORDER BY s DESC, state LIMIT 6) t
+UNION ALL SELECT 5, NULL, NULL, segment, c, p FROM (SELECT segment,
+  COALESCE(CAST(SUM(CASE WHEN order_date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30' THEN sales END) AS DOUBLE), 0.0) AS c,
+  COALESCE(CAST(SUM(CASE WHEN order_date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' THEN sales END) AS DOUBLE), 0.0) AS p,
+  COUNT(CASE WHEN order_date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30' THEN 1 END) AS n FROM order_lines GROUP BY segment) t WHERE n > 0
+UNION ALL SELECT k, problem, NULL, NULL, NULL, NULL FROM (VALUES (6, 'top_k'), (7, 'breakdown_by'), (8, 'time_grain'), (9, 'metrics'), (10, 'metrics'),
+  (12, 'end_date'), (13, 'filters'), (14, 'clarifying_question'), (15, 'intent')) t(k, problem)
+UNION ALL SELECT 11, NULL, NULL, NULL, COALESCE(CAST(SUM(CASE WHEN {_ASKED} THEN sales END) AS DOUBLE), 0.0),
+  COALESCE(CAST(SUM(CASE WHEN order_date BETWEEN DATE '1994-01-01' AND DATE '1999-12-31' THEN sales END) AS DOUBLE), 0.0) FROM order_lines""")
+def q_validated_plans(spark, sf_dir):
+    """Plan validation and dispatch: each raw plan's rows, or the field that broke a rule."""
+    lines, out = _ol(spark, sf_dir), None
+    for k, raw in enumerate(RAW_PLANS):
+        try:
+            plan = plans.validate_plan(raw, ("1995-01-01", "2000-12-31"))
+        except plans.PlanError as problem:
+            one = spark.range(1).select(F.lit(k).alias("plan"), F.lit(problem.part).alias("problem"))
+        else:
+            rows = plans.run_plan(lines, plan)
+            values = ("current", "previous") if plan.intent == "kpi_compare" else plan.metrics
+            keys = [F.col(c).cast(t) for c, t in (("period", "date"), ("breakdown", "string")) if c in rows.columns]
+            one = rows.select(F.lit(k).alias("plan"), *keys, *[F.col(c).cast("double").alias(f"v{i + 1}") for i, c in enumerate(values)])
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out.select("plan", F.col("problem").cast("string"), F.col("period").cast("date"), F.col("breakdown").cast("string"),
+                      F.col("v1").cast("double"), F.col("v2").cast("double"))
+
+
+@register("refreshed_by_month", """
+SELECT CAST(date_trunc('month', order_date) AS DATE) AS period, region, CAST(SUM(sales) AS DOUBLE) AS sales, CAST(SUM(profit) AS DOUBLE) AS profit,
+  COUNT(*) AS lines FROM order_lines GROUP BY 1, 2""")
+def q_refreshed_by_month(spark, sf_dir):
+    """S7 from a stream: order-line files arrive in several batches; the newest complete refresh is read."""
+    inbox, out = shared_path(spark, "lines-in"), shared_path(spark, "refresh")
+    _ol(spark, sf_dir).select("order_id", "order_date", "region", "sales", "profit").repartition(3).write.parquet(inbox)
+    schema = spark.read.parquet(inbox).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    refresh.start_refresh(stream, out, shared_path(spark, "refresh-state")).awaitTermination()
+    return refresh.latest_refresh(spark, out).select("period", "region", "sales", "profit", "lines")
