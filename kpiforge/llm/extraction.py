@@ -18,7 +18,8 @@ space, blocks are trimmed and joined in page order by one space.
 
 Cases.  Null or empty html: empty text.  No url: the page's own best
 container.  Open or stray tags are taken as they come; a page without markup
-is one block.  Very long pages are read whole.  Repeated rows each keep their
+is one block.  Very long pages are read whole, in time
+linear in their length, whatever they hold.  Repeated rows each keep their
 row and vote.  Empty table: no rows.  Other columns are ignored.
 """
 
@@ -51,20 +52,80 @@ CLOSES = {"p": frozenset("""address article aside blockquote center details div
 hr main menu nav ol p pre section table ul""".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
     "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"</?+([A-Za-z][^\s/>]*+)")
+_RUN = re.compile(r"[^>\"']*+")
 _ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "away", "link", "path", "text", "good")
+    """An element: its parent, the innermost element around it (or itself) that is no inline element, containers around it."""
+
+    __slots__ = ("tag", "label", "parent", "away", "link", "block", "depth", "level", "inside", "open", "text", "good")
 
     def __init__(self, tag, label, parent, away, link):
         self.tag, self.label, self.parent, self.away, self.link = tag, label, parent, away, link
-        self.path = None
-        self.text = self.good = 0
+        self.block = self if parent is None or tag not in INLINE else parent.block
+        self.depth = 0 if parent is None else parent.depth + (parent.tag in CONTAINERS)
+        self.open = {} if self.block is self else None  # inline elements that are open in a block, by tag
+        self.text = self.good = self.level = 0
+        self.inside = False
+
+
+class Marks:
+    """Tags, comments and declarations of a page, one after another, in time linear in its length: what a search found out about
+    the rest of the page (no ``>`` follows, a quote stays open) is not found out again at the next ``<``."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quote = {q: page.rfind(q) for q in "\"'"}
+        self.dead: set[int] = set()  # quotes from which no tag's end is reached
+
+    def _end(self, at: int) -> int:
+        """Where the attributes from ``at`` end: the first > outside quotes (-1: there is none)."""
+        page, n, seen = self.page, len(self.page), []
+        while at <= self.last:
+            at = _RUN.match(page, at).end()
+            if at >= n:
+                break
+            mark = page[at]
+            if mark == ">":
+                return at
+            if at in self.dead or at >= self.quote[mark]:
+                seen.append(at)
+                break
+            seen.append(at)
+            at = page.index(mark, at + 1) + 1
+        self.dead.update(seen)
+        return -1
+
+    def next(self, at: int):
+        """The first mark from ``at`` on: start, end, whether it closes, tag ("" for no tag) and attributes; None after the last."""
+        page = self.page
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                return None
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, False, "", ""
+            if at > self.last:
+                # no > follows: the rest is text, but for a comment
+                at = page.find("<!--", at)
+                if at < 0:
+                    return None
+                continue
+            if page.startswith(("<!", "<?"), at):
+                return at, page.index(">", at) + 1, False, "", ""
+            name = _NAME.match(page, at)
+            if name:
+                end = self._end(name.end())
+                end = page.find(">", name.end()) if end < 0 else end
+                if end >= 0:
+                    return at, end + 1, page[at + 1] == "/", name[1], page[name.end(): end]
+            at += 1
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -76,7 +137,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 def _label(tag: str, given: dict[str, str]) -> str:
     """The tag with its generalised classes."""
-    names = sorted({w for c in given.get("class", "").lower().split() if (w := re.sub(r"\d+", "#", c))})
+    names = sorted({w for c in given.get("class", "").lower().split() if (w := re.sub(r"\d+|>", "#", c))})
     return ".".join([tag, *names])
 
 
@@ -92,25 +153,36 @@ def _away(tag: str, given: dict[str, str]) -> bool:
     return bool(words & AWAY) or bool(words & WEAK and not words & BODY)
 
 
-def read(page: str) -> list[tuple[str, Node, int]]:
-    """Blocks of a page in order: text, innermost element that is no inline element, characters inside links."""
+def read(page: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
+    """Blocks of a page in order (text, innermost element that is no inline element, characters inside links), and its elements,
+    each after the one around it."""
     root = Node("", "", None, False, False)
-    top, blocks, held, links, at, n = root, [], [], 0, 0, len(page)
+    marks, top, blocks, nodes, held, links, at, n = Marks(page), root, [], [root], [], 0, 0, len(page)
+    count: dict[str, int] = {}  # open elements by tag
 
-    def flush(owner):
+    def flush():
         nonlocal links
         if held:
             text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text:
-                while owner.tag in INLINE:
-                    owner = owner.parent
-                blocks.append((text, owner, links))
+                blocks.append((text, top.block, links))
             held.clear()
             links = 0
 
+    def leave(until):
+        """Close elements from the innermost to ``until``, itself included."""
+        nonlocal top
+        while True:
+            gone, top = top, top.parent
+            count[gone.tag] -= 1
+            if gone.open is None:
+                gone.block.open[gone.tag] -= 1
+            if gone is until:
+                return
+
     while at < n:
-        mark = _MARK.search(page, at)
-        stop = mark.start() if mark else n
+        mark = marks.next(at)
+        stop = mark[0] if mark else n
         if stop > at:
             run = page[at:stop]
             held.append(run)
@@ -118,8 +190,7 @@ def read(page: str) -> list[tuple[str, Node, int]]:
                 links += len(run)
         if not mark:
             break
-        at = mark.end()
-        close, tag, rest = (mark[1], mark[2], mark[3]) if mark[2] else (mark[4], mark[5], mark[6])
+        _, at, close, tag, rest = mark
         if not tag:
             continue
         tag = tag.lower()
@@ -127,114 +198,98 @@ def read(page: str) -> list[tuple[str, Node, int]]:
             held.append(" ")
             continue
         if tag not in INLINE:
-            flush(top)
+            flush()
         if close:
-            found = top
-            while found is not root and found.tag != tag:
-                if tag in INLINE and found.tag not in INLINE:
-                    found = root
-                    break
-                found = found.parent
-            if found is not root:
-                top = found.parent
+            # an inline element is closed inside its block only; nothing is looked for that is not open
+            if (top.block.open if tag in INLINE else count).get(tag):
+                found = top
+                while found.tag != tag:
+                    found = found.parent
+                leave(found)
             continue
         if tag in VOID:
             continue
         if tag not in INLINE:  # an open inline element does not reach over blocks, an open paragraph not over the next
-            while top.tag in INLINE:
-                top = top.parent
+            if top is not top.block:
+                found = top
+                while found.parent is not top.block:
+                    found = found.parent
+                leave(found)
             found = top
-            while found is not root and found.tag in CLOSES:
+            while found is not root and found.tag in CLOSES:  # a chain of different tags: each closes itself
                 if tag in CLOSES[found.tag]:
-                    top = found.parent
+                    leave(found)
                     break
                 found = found.parent
         given = _attributes(rest) if rest else {}
-        top = Node(tag, _label(tag, given), top, top.away or _away(tag, given), top.link or tag == "a")
         if tag in RAW and not rest.endswith("/"):
             end = _END[tag].search(page, at)
             at = end.end() if end else n
-            top = top.parent
-    flush(top)
-    return blocks
+            continue
+        top = Node(tag, _label(tag, given), top, top.away or _away(tag, given), top.link or tag == "a")
+        nodes.append(top)
+        count[tag] = count.get(tag, 0) + 1
+        if top.open is None:
+            top.block.open[tag] = top.block.open.get(tag, 0) + 1
+    flush()
+    return blocks, nodes
 
 
 def _path(node: Node) -> str:
     """Labels from the outermost element down to this one."""
     chain = []
-    while node.path is None and node.tag:
-        chain.append(node)
+    while node.tag:
+        chain.append(node.label)
         node = node.parent
-    path = node.path or ""
-    for node in reversed(chain):
-        path = node.path = f"{path}>{node.label}" if path else node.label
-    return path
+    return ">".join(reversed(chain))
 
 
-def scores(blocks) -> dict[Node, float]:
+def scores(blocks, nodes) -> dict[Node, float]:
     """Score of each container: the square of its share of the page's running text, times the share of that in all its
     text, times a bonus for depth; so the deepest container that holds nearly all of the text scores best."""
-    total, seen = 0, {}
+    for node in nodes:
+        node.text = node.good = 0
     for text, node, links in blocks:
-        good = 0 if node.away else max(len(text) - 2 * links, 0)
-        total += good
-        while node is not None:
-            if node.tag in CONTAINERS and not node.away:
-                node.text += len(text)
-                node.good += good
-                seen[node] = None
-            node = node.parent
-    if not total:
-        return {}
-    return {x: (x.good / total) ** 2 * (x.good / x.text) * (1 + 0.1 * min(_depth(x), 8)) for x in seen if x.good}
-
-
-def _depth(node: Node) -> int:
-    """Containers around a container."""
-    n, node = 0, node.parent
-    while node is not None:
-        n += node.tag in CONTAINERS
-        node = node.parent
-    return n
+        node.text += len(text)
+        node.good += 0 if node.away else max(len(text) - 2 * links, 0)
+    for node in reversed(nodes[1:]):  # what an element holds, the one around it holds too
+        node.parent.text += node.text
+        node.parent.good += node.good
+    total = nodes[0].good
+    return {x: (x.good / total) ** 2 * (x.good / x.text) * (1 + 0.1 * min(x.depth, 8)) for x in nodes
+            if x.good and x.tag in CONTAINERS and not x.away}
 
 
-def best_container(blocks) -> tuple[Node | None, float]:
+def best_container(blocks, nodes) -> tuple[Node | None, float]:
     """The container with the highest score (ties: the deeper one)."""
-    rank = scores(blocks)
-    best = max(rank, key=lambda x: (rank[x], _depth(x)), default=None)
+    rank = scores(blocks, nodes)
+    best = max(rank, key=lambda x: (rank[x], x.depth), default=None)
     return best, rank.get(best, 0.0)
 
 
 def votes(page: str) -> dict[str, int]:
     """A page's vote: the path of its best container, with its score in thousandths."""
-    best, score = best_container(read(page))
+    best, score = best_container(*read(page))
     return {_path(best): round(1000 * score)} if best is not None else {}
 
 
 def main_text(page: str | None, path: str | None) -> str:
     """Text of the elements on the path; without one, of the page's best container, or else all that is not set aside."""
-    blocks = read(page or "")
-    inside = []
+    blocks, nodes = read(page or "")
     if path:
-        for text, node, _ in blocks:
-            if not node.away:
-                # an ancestor's path is a beginning of its descendants' paths
-                up = node if (_path(node) + ">").startswith(path + ">") else None
-                while up is not None and not (up.tag in CONTAINERS and _path(up) == path):
-                    up = up.parent
-                if up is not None:
-                    inside.append(text)
-    if not inside:
-        best, _ = best_container(blocks)
-        for text, node, _ in blocks:
-            up = node
-            while best is not None and up is not None and up is not best:
-                up = up.parent
-            if not node.away and up is best:
-                inside.append(text)
-            elif best is None and not node.away:
-                inside.append(text)
-    return " ".join(inside)
+        labels = path.split(">")
+        for node in nodes[1:]:  # level: how many labels of the path lead to an element (-1: it lies beside the path)
+            up = node.parent
+            on = 0 <= up.level < len(labels) and node.label == labels[up.level]
+            node.level = up.level + 1 if on else -1
+            node.inside = up.inside or (node.level == len(labels) and node.tag in CONTAINERS)
+        inside = [text for text, node, _ in blocks if node.inside and not node.away]
+        if inside:
+            return " ".join(inside)
+    best, _ = best_container(blocks, nodes)
+    for node in nodes:
+        node.inside = best is None or node is best or (node.parent is not None and node.parent.inside)
+    return " ".join(text for text, node, _ in blocks if node.inside and not node.away)
 
 
 def _vote(batches):

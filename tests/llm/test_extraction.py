@@ -1,5 +1,7 @@
 """Extraction: parsing, boilerplate, consensus of a host, and odd markup."""
 
+import time
+
 import pytest
 
 from kpiforge.llm.extraction import extract, host_paths, main_text, votes
@@ -81,3 +83,21 @@ def test_article_of_the_given_pages(spark, sf):
         body = re.search(r"<article>(.*?)</article>", p["html"], re.S)[1]
         blocks = (re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h1)>", body))
         assert got[p["page_id"]] == " ".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a \"", "<div>word one ", "<!", "<a \">\"", "<b>t</p>", "</div>x", "<script", "<tr><td>x<p>"])
+def test_time_is_linear_in_the_length(unit):
+    """A megabyte of open tags, open quotes or nested elements takes no more than its share of a shorter page's time."""
+    def seconds(size):
+        page = unit * (size // len(unit))
+        best = min(_timed(page) for _ in range(2))
+        return best
+
+    long, short = seconds(1 << 20), seconds(1 << 17)
+    assert long < 10 and long < 40 * short + 0.2  # eight times the length
+
+
+def _timed(page):
+    start = time.process_time()
+    main_text(page, "html>body>div")
+    return time.process_time() - start
