@@ -77,22 +77,47 @@ def parse(col):
         yield words, first, length, leaf, whole, rows[first] + i, number[first]
 
 
+FEW = 64  # lines of a leaf that are compared with each of its templates
+
+
 def grow_leaf(lines: list[np.ndarray], depth: int = DEPTH, similar: float = SIMILAR) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Template number of each line (equally long, same leading words), taken in order, and the templates."""
+    """Template number of each line (equally long, same leading words), taken in order, and the templates.
+
+    A line that may differ from its template in d of the words after the
+    leading ones agrees with it in at least one of any d + 1 places.  A leaf of
+    many lines lists its templates by their words in the d + 1 places where its
+    lines vary most, and a line is compared with those it finds there only; the
+    template it joins is the same.
+    """
     size = len(lines[0])
     table, n, of = np.zeros((4, size), np.uint32), 0, np.zeros(len(lines), np.int64)
     rest = max(size - depth, 0)
+    least = int(np.ceil(similar * rest - 1e-9))
+    listed = None
+    if len(lines) > FEW and least > 0:
+        words = np.stack(lines)[:, depth:]
+        varied = np.array([len(np.unique(words[:, k])) for k in range(rest)])
+        places = np.sort(np.argsort(-varied, kind="stable")[: rest - least + 1]) + depth
+        listed = [(int(k), {}) for k in places]
     for k, line in enumerate(lines):
         if n:
-            same = (table[:n, depth:] == line[depth:]).sum(1)
-            best = int(same.argmax())
-            if same[best] >= similar * rest:
+            if listed is None:
+                near, rows = None, table[:n]
+            else:
+                near = sorted({t for at, by in listed for t in by.get(int(line[at]), ())})
+                rows = table[near]
+            same = (rows[:, depth:] == line[depth:]).sum(1)
+            best = int(same.argmax()) if len(same) else -1
+            if best >= 0 and same[best] >= similar * rest:
+                best = best if near is None else near[best]
                 of[k] = best
                 table[best][table[best] != line] = ANY
                 continue
         if n == len(table):
             table = np.concatenate([table, np.zeros_like(table)])
         table[n], of[k] = line, n
+        for at, by in listed or ():
+            by.setdefault(int(line[at]), []).append(n)
         n += 1
     return of, list(table[:n])
 

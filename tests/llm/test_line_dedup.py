@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kpiforge.llm.line_dedup import ANY, drop_recurring, grow_leaf
@@ -74,6 +76,51 @@ def test_leaf():
     assert of.tolist() == [0, 0, 1] and templates[0].tolist() == [2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, ANY, ANY]
 
 
+def every_template(lines, depth=3, similar=0.7):
+    """The tree's rule, word for word: a line is compared with all templates so far."""
+    out, templates = [], []
+    for line in lines:
+        same = [sum(a == b for a, b in zip(t[depth:], line[depth:])) for t in templates]
+        best = max(range(len(same)), key=lambda k: (same[k], -k), default=None)
+        if best is not None and same[best] >= similar * max(len(line) - depth, 0):
+            templates[best] = [a if a == b else ANY for a, b in zip(templates[best], line)]
+            out.append(best)
+        else:
+            templates.append(list(line))
+            out.append(len(templates) - 1)
+    return out, templates
+
+
+@pytest.mark.parametrize("size,kinds,noise", [(3, 3, 2), (4, 5, 3), (8, 6, 3), (13, 20, 4), (20, 60, 7), (40, 30, 14)])
+def test_leaf_of_many_lines_follows_the_rule(size, kinds, noise):
+    rng = np.random.default_rng(size)
+    base = rng.integers(2, 12, (kinds, size))
+    lines = []
+    for _ in range(400):
+        line = base[rng.integers(kinds)].copy()
+        for _ in range(rng.integers(0, noise)):
+            line[rng.integers(min(3, size - 1), size)] = rng.integers(2, 14)
+        line[:3] = [2, 3, 4][:size]
+        lines.append(line.astype(np.uint32))
+    of, templates = grow_leaf(lines)
+    want, made = every_template([x.tolist() for x in lines])
+    assert of.tolist() == want and [t.tolist() for t in templates] == made
+    assert len(made) < 400
+
+
+def test_leaf_of_very_many_lines():
+    """Lines with equal openings that share no template: time follows their number, not its square."""
+    rng = np.random.default_rng(1)
+    lines = np.concatenate([np.full((40_000, 3), 7), rng.integers(2, 1 << 31, (40_000, 17))], 1).astype(np.uint32)
+
+    def seconds(n):
+        start = time.process_time()
+        assert len(grow_leaf(list(lines[:n]))[1]) == n
+        return time.process_time() - start
+
+    assert seconds(40_000) < 12 * seconds(5_000) + 1  # eight times the lines
+
+
 def test_long_passages_repeat_once(make_docs):
     passage = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
     docs = [(i, f"start of document {chr(97 + i)} {chr(98 + i)}\n{passage}\nend of {chr(97 + i)}{chr(97 + i)}") for i in range(12)]
