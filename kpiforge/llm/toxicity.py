@@ -37,13 +37,28 @@ STEMS = (5, 6, 7, 8, 10)
 Z = 4.0  # standard errors by which a term must tell the labels apart
 PENALTY = 1.0
 
-# fixed values: identity terms, each line one kind whose terms replace each other
+# fixed values: identity terms, each line one kind (of one language) whose terms replace each other
 IDENTITY = [
     "women men", "woman man", "female male", "girl boy", "girls boys", "she he",
     "muslim christian jewish hindu buddhist atheist", "muslims christians jews hindus buddhists atheists",
     "black white asian latino african european", "gay straight lesbian bisexual transgender",
     "immigrant native refugee", "immigrants natives refugees", "disabled deaf blind autistic", "old young elderly",
     "american mexican chinese indian russian turkish polish german french",
+    # French
+    "femmes hommes", "femme homme", "fille garçon", "filles garçons", "elle il",
+    "musulman chrétien juif hindou bouddhiste athée", "musulmans chrétiens juifs hindous bouddhistes athées",
+    "noir blanc asiatique arabe africain européen", "homosexuel hétérosexuel bisexuel transgenre", "immigré réfugié étranger",
+    "immigrés réfugiés étrangers", "handicapé sourd aveugle autiste", "jeune vieux âgé", "américain mexicain chinois indien russe turc polonais allemand français",
+    # German
+    "frauen männer", "frau mann", "mädchen junge", "sie er", "muslim christ jude hindu buddhist atheist",
+    "muslime christen juden hindus buddhisten atheisten", "schwarze weiße asiaten araber afrikaner europäer",
+    "schwul lesbisch hetero bisexuell transgender", "einwanderer flüchtling ausländer", "behindert taub blind autistisch", "alt jung",
+    "amerikaner mexikaner chinese inder russe türke pole deutscher franzose",
+    # Spanish
+    "mujeres hombres", "mujer hombre", "niña niño", "niñas niños", "ella él", "musulmán cristiano judío hindú budista ateo",
+    "musulmanes cristianos judíos hindúes budistas ateos", "negro blanco asiático árabe africano europeo", "gay heterosexual lesbiana bisexual transgénero",
+    "inmigrante refugiado extranjero", "inmigrantes refugiados extranjeros", "discapacitado sordo ciego autista", "joven viejo anciano",
+    "americano mexicano chino indio ruso turco polaco alemán francés",
 ]
 _WORDS = classes("", True)
 _LETTERS = np.where([(48 <= b < 58) or (65 <= b < 91) or b == 95 or (97 <= b < 123) or b >= 128 for b in range(256)], 1, 0).astype(np.uint8)
@@ -112,7 +127,10 @@ def swaps(rows: np.ndarray, cols: np.ndarray, names: np.ndarray) -> list[tuple[n
     """Counterfactual changes: for each text that names a group, (features, -1 or +1) with its terms replaced by others of their kind."""
     at = {int(k): i for i, k in enumerate(names.tolist())}
     kinds = [[(at[int(k)], term_features(t, at)) for k, t in zip(word_keys(line.split()), line.split())] for line in IDENTITY]
-    of = {c: (k, i) for k, line in enumerate(kinds) for i, (c, _) in enumerate(line)}
+    of: dict[int, tuple[int, int]] = {}
+    for k, line in enumerate(kinds):  # a term that two languages share stands with the kind that is listed first
+        for i, (c, _) in enumerate(line):
+            of.setdefault(c, (k, i))
     own: dict[int, set[int]] = {}
     for r, c in zip(rows.tolist(), cols.tolist()):
         if c in of:

@@ -75,6 +75,21 @@ def test_penalty_lowers_the_score_of_neutral_mentions(make_docs, make_labels):
     assert gap[1.0] < 0.25 * gap[0.0]
 
 
+@pytest.mark.parametrize("named,other", [("muslim", "christian"), ("musulmans", "juifs"), ("einwanderer", "ausländer"), ("inmigrantes", "extranjeros")])
+def test_penalty_acts_in_every_language(named, other):
+    """English, French, German, Spanish: texts that name one group more often when toxic; a neutral mention of it scores like
+    that of another group."""
+    import pyarrow as pa
+    docs, labels = corpus(600, 3)
+    texts = pa.array([t.replace("muslim", named) for _, t in docs])
+    toxic, gap = np.array([x[2] == 1 for x in labels]), {}
+    for penalty in (0.0, 1.0):
+        a, b, insult = logits(pa.array([f"w1 {named} w2", f"w1 {other} w2", "w1 w2 idiot"]), *toxicity.train(texts, toxic, 0.3, penalty))
+        gap[penalty] = abs(a - b)
+        assert insult > 0
+    assert gap[0.0] > 0.5 and gap[1.0] < 0.25 * gap[0.0]
+
+
 def test_gradient_step_matches_differences():
     """The penalised loss falls to a point where its numeric gradient is near zero."""
     rng = np.random.default_rng(0)
