@@ -11,8 +11,8 @@ Training is plain numpy: backpropagation through time over batches of words,
 Adam, a fixed seed.  It learns from at most ``BOUND`` documents of each
 language (smallest hashes of their ids; of rows that repeat an id one text,
 the one with the smallest hash), in one task; the weights (a few thousand
-numbers) travel to the tasks that predict.  The ``LANGUAGES`` most frequent
-languages are learned: rarer ones beyond that number are never predicted.
+numbers) travel to the tasks that predict.  Every language that a learnable row
+names is learned.
 
 Cases.  Null text, or a text without a letter: ``und``, score 0.0.  Nothing to
 learn from: ``und`` for all.  Words longer than ``LONGEST`` bytes are read in
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from kpiforge.llm.common import byte_view, classes, same_type, slices, stored, word_hashes, word_spans, worker_state
 
 BOUND = 600  # documents of each language that are learned from at most
-LANGUAGES = 256  # languages learned at most (the most frequent ones)
 HIDDEN, EMBED, LONGEST = 16, 8, 24
 STEPS, BATCH = 2500, 256
 CACHE = 1_000_000  # words a worker remembers; beyond it starts anew
@@ -202,10 +201,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     src = same_type(docs, {doc_id: "long", text: "string", lang: "string"}).select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    names = sorted(r[0] for r in src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    names = sorted(r[0] for r in src.select("lang").distinct().collect())  # as many as there are languages
     if not names:
         return [], None
-    ranked = src.where(F.col("lang").isin(names)).select("doc_id", "lang").distinct().select("doc_id", "lang", F.row_number().over(
+    ranked = src.select("doc_id", "lang").distinct().select("doc_id", "lang", F.row_number().over(
         Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("k")).where(F.col("k") <= bound)
     sample = stored(ranked.select("doc_id", "lang"), "lang-sample")  # at most bound rows a language
 
