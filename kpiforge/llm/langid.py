@@ -1,23 +1,23 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word (a run between white space) forwards
-and backwards, labels every byte position with a distribution over the learned
-languages, and a document's probabilities are the mean over all positions of
-all its words: whole texts count, however long.  State starts anew at each
-word, so a word that occurs often is read once and counted with its frequency;
-a worker keeps the sums of the words it has read.
-
-Training is plain numpy: backpropagation through time over batches of words,
-Adam, a fixed seed.  It learns from at most ``BOUND`` documents of each
-language (smallest hashes of their ids; of rows that repeat an id one text,
-the one with the smallest hash), in one task; the weights (a few thousand
-numbers) travel to the tasks that predict.  Every language that a learnable row
-names is learned.
+The network reads the bytes of a text forwards and backwards, white space and
+all, labels every byte position with a distribution over the learned languages,
+and a document's probabilities are the mean over all its positions: whole
+texts count, however long.  A long text is read in pieces of whole characters
+of about ``PIECE`` bytes; each direction starts ``CONTEXT`` bytes outside its
+piece, so positions at a piece's ends have words before and after them like
+others, and no position counts twice.
+
+Training is plain numpy: backpropagation through time over windows of
+``WINDOW`` bytes, Adam, a fixed seed.  It learns from at most ``BOUND``
+documents of each language (smallest hashes of their ids; of rows that repeat an
+id one text, the one with the smallest hash), in one task; the weights (about
+three thousand numbers) travel to the tasks that predict.  Every language that a
+learnable row names is learned.
 
 Cases.  Null text, or a text without a letter: ``und``, score 0.0.  Nothing to
-learn from: ``und`` for all.  Words longer than ``LONGEST`` bytes are read in
-pieces.  Repeated rows are predicted each.  A null ``doc_id`` is not held out.
-Empty table: no rows.  Other columns are ignored.
+learn from: ``und`` for all.  Repeated rows are predicted each.  A null
+``doc_id`` is not held out.  Empty table: no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiforge.llm.common import byte_view, classes, same_type, slices, stored, word_hashes, word_spans, worker_state
+from kpiforge.llm.common import byte_view, same_type, slices, stored
 
 BOUND = 600  # documents of each language that are learned from at most
-HIDDEN, EMBED, LONGEST = 16, 8, 24
-STEPS, BATCH = 2500, 256
-CACHE = 1_000_000  # words a worker remembers; beyond it starts anew
-_GAPS = classes("\x20\x09\x0a\x0b\x0c\x0d", False)
+HIDDEN, EMBED = 8, 8
+WINDOW, STEPS, BATCH = 48, 800, 128
+PIECE, CONTEXT = 448, 32  # bytes of a text that are read as one, and bytes around them that are read on the way
+TOGETHER = 1 << 19  # positions that are read at a time
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -125,70 +125,104 @@ def padded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return np.where(on, data[np.minimum(at, len(data) - 1)], 0), on
 
 
-def pieces(starts: np.ndarray, ends: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut at ``longest`` bytes: starts, ends, and the word each piece is of."""
-    n = -(-(ends - starts) // longest)
-    of = np.repeat(np.arange(len(starts)), n)
-    turn = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    first = starts[of] + turn * longest
-    return first, np.minimum(first + longest, ends[of]), of
-
-
 def train(texts: pa.Array, label: np.ndarray, languages: int, steps: int = STEPS, batch: int = BATCH, seed: int = 7) -> ByteGRU:
-    """Fit on words of the texts, languages drawn evenly."""
+    """Fit on windows of the texts, languages drawn evenly."""
     data, bounds = byte_view(texts)
-    starts, ends, rows = word_spans(data, bounds, _GAPS[0])
-    starts, ends, of = pieces(starts, ends)
-    of_label = label[rows][of]
-    pool = [np.flatnonzero(of_label == k) for k in range(languages)]
+    low, size = bounds[:-1], np.diff(bounds)
+    pool = [np.flatnonzero((label == k) & (size > 0)) for k in range(languages)]
     pool = [p for p in pool if len(p)]
     net, rng = ByteGRU(languages, seed=seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(p, -(-batch // len(pool))) for p in pool])
-        words, on = padded(data, starts[pick], ends[pick])
+        starts = low[pick] + (rng.random(len(pick)) * (np.maximum(size[pick] - WINDOW, 0) + 1)).astype(np.int64)
+        starts = whole(data, starts, low[pick] + size[pick] - 1)
+        words, on = padded(data, starts, np.minimum(starts + WINDOW, low[pick] + size[pick]))
         rate = 0.01 * min(1.0, 2 * (1 - step / (steps + 1)))
-        for k, g in net.gradients(words, on, of_label[pick]).items():
+        for k, g in net.gradients(words, on, label[pick]).items():
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             net.p[k] -= (rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
     return net
 
 
-class WordSums:
-    """Sum over the positions of a word of its language distributions, remembered by word hash."""
+def whole(data: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Places moved on to where a character starts (``most`` at last)."""
+    for _ in range(3):
+        inside = (data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80
+        at = np.minimum(at + inside, most)
+    return at
+
+
+class Reader:
+    """A network's sums over positions, without its tape: a byte's share of the gates is looked up."""
 
     def __init__(self, net: ByteGRU, languages: int):
-        self.net, self.languages = net, languages
-        self.known, self.sums = np.zeros(0, np.uint64), np.zeros((0, languages), np.float32)
-
-    def read(self, data, starts, ends) -> np.ndarray:
-        first, last, of = pieces(starts, ends)
-        out = np.zeros((len(starts), self.languages), np.float32)
-        order = np.argsort(last - first, kind="stable")
-        for lo in range(0, len(order), 2048):
-            part = order[lo: lo + 2048]
-            words, on = padded(data, first[part], last[part])
-            np.add.at(out, of[part], (self.net.probabilities(words, on) * on[:, :, None]).sum(1))
-        return out
-
-    def of(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of the distinct words, and each word's place among them."""
-        hashes, where, back = np.unique(word_hashes(data, starts, ends, _GAPS[1]), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
-        old = self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), bool)
-        sums = np.zeros((len(hashes), self.languages), np.float32)
-        sums[old] = self.sums[at[old]]
-        new = np.flatnonzero(~old)
-        if len(new):
-            sums[new] = self.read(data, starts[where[new]], ends[where[new]])
-            if len(self.known) + len(new) > CACHE:
-                self.known, self.sums = self.known[:0], self.sums[:0]
-            both = np.concatenate([self.known, hashes[new]])
-            order = np.argsort(both, kind="stable")
-            self.known, self.sums = both[order], np.concatenate([self.sums, sums[new]])[order]
-        return sums, back
+        self.languages, self.hidden, self.bias = languages, net.hidden, net.p["c"]
+        self.side = []
+        for k, d in enumerate("fb"):
+            gates = (net.p["e"] @ net.p[d + "x"] + net.p[d + "b"]).astype(np.float32)
+            hidden, out = net.p[d + "h"], net.p["o"][k * net.hidden: (k + 1) * net.hidden]
+            self.side.append((gates, hidden[:, : 2 * net.hidden].copy(), hidden[:, 2 * net.hidden:].copy(), out))
+
+    def _side(self, which: int, words: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Logits (time, piece, language) of one direction over pieces in falling order of length, the first ``live[t]`` at step t."""
+        gates, wzr, wc, out = self.side[which]
+        H, (t, n) = self.hidden, words.shape
+        h, logits = np.zeros((n, H), np.float32), np.zeros((t, n, self.languages), np.float32)
+        for k in range(t):
+            m = live[k]
+            own, g = h[:m], gates[words[k, :m]]
+            zr = own @ wzr
+            zr += g[:, : 2 * H]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            c = (zr[:, H:] * own) @ wc
+            c += g[:, 2 * H:]
+            np.tanh(c, out=c)
+            c -= own
+            c *= zr[:, :H]
+            own += c
+            logits[k, :m] = own @ out
+        return logits
+
+    def sums(self, data: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Sum of the distributions at positions first..last of pieces that are read from low to high."""
+        total = np.zeros((len(low), self.languages), np.float32)
+        order = np.argsort(low - high, kind="stable")
+        lo = 0
+        while lo < len(order):
+            t = int(high[order[lo]] - low[order[lo]])
+            part = order[lo: lo + max(TOGETHER // t, 1)]
+            lo += len(part)
+            size, step = high[part] - low[part], np.arange(t)[:, None]
+            live = np.searchsorted(-size, -np.arange(t), "left")  # pieces longer than the step
+            ahead = data[np.minimum(low[part] + step, len(data) - 1)]
+            back = data[np.maximum(high[part] - 1 - step, 0)]
+            f, b = self._side(0, ahead, live), self._side(1, back, live)
+            logit = f + b[np.maximum(size - 1 - step, 0), np.arange(len(part))] + self.bias
+            logit -= logit.max(2, keepdims=True)
+            q = np.exp(logit, out=logit)
+            q /= q.sum(2, keepdims=True)
+            at = low[part] + step
+            q *= ((at >= first[part]) & (at < last[part]))[:, :, None]
+            total[part] = q.sum(0)
+        return total
+
+
+def pieces(data: np.ndarray, bounds: np.ndarray, piece: int = PIECE, context: int = CONTEXT):
+    """Pieces of whole characters of all rows: row, first and end byte, and where reading starts and ends."""
+    size = np.diff(bounds)
+    n = -(-size // piece)
+    row = np.repeat(np.arange(len(size)), n)
+    low, high = bounds[:-1][row], bounds[1:][row]
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    first = whole(data, low + turn * piece, high)
+    last = whole(data, np.minimum(low + (turn + 1) * piece, high), high)
+    return row, first, last, whole(data, np.maximum(first - context, low), first), whole(data, np.minimum(last + context, high), high)
 
 
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
@@ -236,25 +270,22 @@ def predict(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text")
                      F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if net is None:
         return src.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    key = f"langid-{hash(net.p['o'].tobytes())}"
 
     def run(batches):
-        held = worker_state()
+        reader = Reader(net, len(names))
         for batch in batches:
-            words = held.get(key) or held.setdefault(key, WordSums(net, len(names)))
             data, bounds = byte_view(batch.column(2))
             total = np.zeros((batch.num_rows, len(names)))
-            size = np.zeros(batch.num_rows)
             for i, j in slices(bounds):
                 part, edge = data[bounds[i]: bounds[j]], bounds[i: j + 1] - bounds[i]
-                starts, ends, rows = word_spans(part, edge, _GAPS[0])
-                if len(starts):
-                    sums, at = words.of(part, starts, ends)
-                    for k in range(len(names)):
-                        total[i:j, k] = np.bincount(rows, weights=sums[at, k], minlength=j - i)
-                    size[i:j] = np.bincount(rows, weights=ends - starts, minlength=j - i)
+                if not len(part):
+                    continue
+                row, first, last, low, high = pieces(part, edge)
+                sums = reader.sums(part, low, high, first, last)
+                for k in range(len(names)):
+                    total[i:j, k] = np.bincount(row, weights=sums[:, k], minlength=j - i)
             letters = np.asarray(batch.column(3))
-            share = total / np.maximum(size, 1)[:, None]
+            share = total / np.maximum(np.diff(bounds), 1)[:, None]
             best = share.argmax(1)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(np.where(letters, np.array([*names], object)[best], "und"), pa.string()),

@@ -7,8 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kpiforge.llm import langid
-from kpiforge.llm.langid import ByteGRU, WordSums, fit, pieces, predict
+from kpiforge.llm.common import byte_view
+from kpiforge.llm.langid import ByteGRU, Reader, fit, pieces, predict
 
 
 def test_backpropagation_matches_differences():
@@ -78,17 +78,51 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_document_is_the_mean_over_all_positions():
-    net = ByteGRU(3, seed=2)
-    text = "alpha beta beta gamma " + "x" * 61
-    from kpiforge.llm.common import byte_view, word_spans
-    data, bounds = byte_view(pa.array([text]))
-    starts, ends, _ = word_spans(data, bounds, langid._GAPS[0])
-    sums, at = WordSums(net, 3).of(data, starts, ends)
-    total = np.zeros(3)
-    for word in text.split():
-        for k in range(0, len(word), langid.LONGEST):
-            part = np.frombuffer(word[k:k + langid.LONGEST].encode(), np.uint8)[None]
-            total += net.probabilities(part, np.ones(part.shape, bool))[0].sum(0)
-    assert np.allclose(sums[at].sum(0), total, atol=1e-3)
-    first, last, of = pieces(starts, ends)
-    assert (last - first).sum() == (ends - starts).sum() and (last - first).max() <= langid.LONGEST and of[-1] == len(starts) - 1
+    """Every position of a text counts once, with the network's own distributions where a text is one piece."""
+    net = ByteGRU(3, hidden=6, seed=2)
+    texts = ["alpha beta  gamma é", "", "x", "ü" * 300, "one two " * 40]
+    data, bounds = byte_view(pa.array(texts))
+    row, first, last, low, high = pieces(data, bounds, piece=1000)
+    assert row.tolist() == [0, 2, 3, 4] and (low == first).all() and (high == last).all()
+    got = Reader(net, 3).sums(data, low, high, first, last)
+    for k, t in zip(range(len(row)), (texts[0], texts[2], texts[3], texts[4])):
+        raw = np.frombuffer(t.encode(), np.uint8)[None]
+        assert np.allclose(got[k], net.probabilities(raw, np.ones(raw.shape, bool))[0].sum(0), atol=1e-3)
+
+
+def test_pieces_hold_whole_characters_and_cover_a_text_once():
+    texts = ["aé😀" * 200, "plain " * 100, "", "😀"]
+    data, bounds = byte_view(pa.array(texts))
+    row, first, last, low, high = pieces(data, bounds, piece=64, context=10)
+    for r, t in enumerate(texts):
+        own = np.flatnonzero(row == r)
+        raw = t.encode()
+        cut = [bytes(data[first[k]: last[k]]) for k in own]
+        assert b"".join(cut) == raw
+        for k in own:
+            bytes(data[first[k]: last[k]]).decode(), bytes(data[low[k]: high[k]]).decode()  # never inside a character
+            assert bounds[r] <= low[k] <= first[k] <= last[k] <= high[k] <= bounds[r + 1] and first[k] - low[k] <= 10
+
+
+def test_long_texts_read_alike_in_pieces():
+    """State from outside a piece reaches into it: the sums hardly depend on where a text is cut."""
+    net = ByteGRU(3, seed=3)
+    text = pa.array([" ".join(f"w{i % 13}ord{i % 7}" for i in range(600))])
+    data, bounds = byte_view(text)
+    sums = {}
+    for piece in (64, 448, 10 ** 6):
+        row, first, last, low, high = pieces(data, bounds, piece)
+        sums[piece] = Reader(net, 3).sums(data, low, high, first, last).sum(0) / len(data)
+    assert np.allclose(sums[64], sums[10 ** 6], atol=5e-3) and np.allclose(sums[448], sums[10 ** 6], atol=1e-3)
+
+
+def test_neighbouring_words_tell_languages_apart(spark):
+    """Both languages have the same words in the same numbers; only which follows which differs."""
+    rng = random.Random(4)
+    docs = []
+    for i in range(240):
+        pairs = [("ab", "cd"), ("ef", "gh")] if i % 2 else [("ab", "gh"), ("ef", "cd")]
+        docs.append((i, " ".join(" ".join(rng.choice(pairs)) + " mm mm" for _ in range(40)), "xx" if i % 2 else "yy"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    out = [r for r in predict(df, fit(df, steps=300)).collect() if r["held_out"]]
+    assert len(out) > 60 and np.mean([(r["lang_pred"] == "xx") == (r["doc_id"] % 2 == 1) for r in out]) > 0.95
