@@ -317,7 +317,9 @@ def repeated_passages(src: DataFrame, gone: DataFrame) -> DataFrame:
     runs = stored(src.withColumn("k", key).join(listed.hint("shuffle_hash"), "k").select("x0", "x1", "t", "names", "gone").mapInArrow(
         _runs, "run long, x0 long, x1 long, s int, e int"), "passage-runs")
     first = runs.groupBy("run").agg(F.min(F.struct("x0", "x1")).alias("lo"), F.max(F.struct("x0", "x1")).alias("hi")).where("lo <> hi")
-    again = runs.join(first.select("run", "lo"), "run").where("x0 <> lo.x0 OR x1 <> lo.x1")
+    # written: the join then has exchanges of its own on both sides, and Spark cuts a passage that very many documents share
+    first = stored(first.select("run", "lo"), "passage-first")
+    again = runs.join(first, "run").where("x0 <> lo.x0 OR x1 <> lo.x1")
     return again.groupBy("x0", "x1").agg(F.collect_set(F.struct("s", "e")).alias("runs")).mapInArrow(_merge, "x0 long, x1 long, cuts array<int>")
 
 
