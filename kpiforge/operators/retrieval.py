@@ -19,13 +19,13 @@ Semantics (same as the reference):
 * ties: id ascending (the reference's order comes from an unstable argsort).
   Documents sharing no token with the query (score 0) are not returned.
 
-Scale.  Fitting shuffles the texts once, by id (de-duplication); tokenising
-and counting then need no further shuffle and run once: the term frequencies
-are written to the shared folder and every later step reads them.  Document
-norms move one number per (document, task).  Scoring keeps the terms of the
-batch's tokens (left-semi join), deals them by document once, and sums and
-ranks inside the task: what moves between tasks afterwards is at most k rows
-per query and task (partial WindowGroupLimit), never query-document pairs.
+Scale.  Fitting shuffles the texts once, by id (de-duplication); tokens are
+counted in that task and written.  For document frequencies and norms the terms
+move once, packed (:func:`weighed`).  Top-k retrieval is exact and quadratic
+(documents x queries) by nature: both are dealt into blocks, and a task scores
+one block against the other in tables of bounded size, so that memory and disk
+follow the postings and the batch, never query-document pairs; at most k rows
+per query and block move on.  Only :func:`score` returns a row for each pair.
 Sides are broadcast only where Spark finds them small.
 """
 
@@ -37,9 +37,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.text import truncate, unigrams, with_bigrams
+from kpiforge.operators.retrieval_blocks import (NORMS, POSTINGS, QUERIES, best_of_block, block_norms, count_terms, pack_rows, pack_terms,
+                                                 weigh_bucket)
 from kpiforge.sources.tables import shared_table
 
 SCORE_DIGITS = 7
+BLOCK_DOCS, BLOCK_QUERIES = 1 << 15, 1 << 14  # documents and queries that one task scores, about
 
 
 @dataclass(frozen=True)
@@ -77,22 +80,46 @@ def token_rows(df: DataFrame, id_col: str, text_col: str, out_id: str,
     return t.select(*cols, F.explode_outer("_t").alias("tok")).filter(F.col("tok").isNotNull())
 
 
+def document_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, tok, c, n_tok`` of distinct documents: how often a token comes, and how many tokens the document has."""
+    one = distinct_documents(df, id_col, text_col).select("doc_id", F.lower("text").alias("text"))
+    return one.mapInArrow(count_terms, f"doc_id {one.schema['doc_id'].dataType.simpleString()}, tok string, c int, n_tok int")
+
+
+def with_tf(terms: DataFrame) -> DataFrame:
+    return terms.withColumn("tf", F.col("c") / F.col("n_tok"))
+
+
 def fit_tfidf(df: DataFrame, id_col: str = "id", text_col: str = "text") -> TfidfIndex:
     """Term frequencies, idf and norms, written once to the shared folder."""
-    one = distinct_documents(df, id_col, text_col)
-    toks = token_rows(one, "doc_id", "text", "doc_id", with_length=True)
-    terms = shared_table(toks.groupBy("doc_id", "tok").agg((F.count(F.lit(1)) / F.max("n_tok")).alias("tf")), "tfidf-terms")
+    terms = shared_table(document_terms(df, id_col, text_col), "tfidf-terms", "zstd")
     every = shared_table(df.select(F.col(id_col).alias("doc_id")).distinct(), "tfidf-ids")
-    n_docs = every.agg(F.count(F.lit(1))).scalar()
-    idf = shared_table(terms.groupBy("tok").agg(F.count("tf").alias("df"))
-                       .select("tok", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf")), "tfidf-idf")
-    return TfidfIndex(terms, idf, shared_table(_norms(terms, idf, every), "tfidf-docs"))
+    n_docs = every.count()
+    df_rows, docs = weighed(terms, every, n_docs)
+    idf = df_rows.select("tok", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return TfidfIndex(with_tf(terms), idf, docs)
+
 
+def weighed(terms: DataFrame, every: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Document frequencies ``(tok, df)`` of ``terms(doc_id, tok, c, n_tok)``, and ``(doc_id, norm)`` of every document.
 
-def _norms(terms: DataFrame, idf: DataFrame, every: DataFrame) -> DataFrame:
-    w = F.col("tf") * F.col("idf")
-    norm = terms.join(idf, "tok").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
-    return every.join(norm, "doc_id", "left").select("doc_id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
+    A task packs the terms of a few thousand documents by bucket of tokens: a token is written once, then its documents
+    by their place in the block.  That is dealt by bucket, the one time terms move; back come a block's sums of squared
+    weights.
+    """
+    kind = terms.schema["doc_id"].dataType.simpleString()
+    buckets = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = terms.select(F.pmod(F.xxhash64("tok"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "tok", "c", "n_tok").mapInArrow(
+        pack_terms, f"bucket int, block long, toks array<string>, sizes binary, docs binary, counts binary, ids array<{kind}>")
+    in_bucket = weigh_bucket(n_docs)
+    weights = shared_table(packed.groupBy("bucket").applyInArrow(
+        lambda t: in_bucket(t), f"block long, toks array<string>, dfs array<long>, sums binary, n_tok binary, ids array<{kind}>"), "tfidf-weights", "zstd")
+    dfs = weights.where("toks IS NOT NULL").select(F.inline(F.arrays_zip("toks", "dfs"))).toDF("tok", "df")
+    # a document's terms may lie in two blocks where a file was cut
+    norms = weights.where("toks IS NULL").select("block", "sums", "n_tok", "ids").groupBy("block").applyInArrow(
+        lambda t: block_norms(t), f"doc_id {kind}, s double").groupBy("doc_id").agg(F.sqrt(F.sum("s")).alias("norm"))
+    docs = every.join(norms, "doc_id", "left").select("doc_id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
+    return dfs, shared_table(docs, "tfidf-docs")
 
 
 def save_index(index: TfidfIndex, path: str, buckets: int = 0) -> TfidfIndex:
@@ -113,8 +140,9 @@ def save_index(index: TfidfIndex, path: str, buckets: int = 0) -> TfidfIndex:
 def query_vectors(index: TfidfIndex, queries: DataFrame, qid_col: str = "qid",
                   text_col: str = "text") -> DataFrame:
     """``(qid, tok, qw, idf)``: normalised query weights over known tokens only."""
-    q = (token_rows(queries, qid_col, text_col, "qid")
-         .groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("c")))
+    # written, so that its size is known when the join with the idf of all tokens is planned
+    q = shared_table(token_rows(queries, qid_col, text_col, "qid")
+                     .groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("c")), "query-tokens")
     qv = q.join(index.idf, "tok").select("qid", "tok", "idf", (F.col("c") * F.col("idf")).alias("_q"))
     norm = F.sqrt(F.sum(F.col("_q") * F.col("_q")).over(Window.partitionBy("qid")))
     return qv.select("qid", "tok", (F.col("_q") / norm).alias("qw"), "idf")
@@ -123,7 +151,6 @@ def query_vectors(index: TfidfIndex, queries: DataFrame, qid_col: str = "qid",
 def score(index: TfidfIndex, queries: DataFrame, qid_col: str = "qid", text_col: str = "text",
           digits: int = SCORE_DIGITS) -> DataFrame:
     """R2: ``(qid, doc_id, score)`` for every document sharing a token with a query."""
-    # written, so that its size is known when the joins below are planned
     qv = shared_table(query_vectors(index, queries, qid_col, text_col), "query-vectors")
     terms = index.terms.join(qv.select("tok").distinct(), "tok", "left_semi").repartition("doc_id")
     hits = terms.join(qv, "tok").groupBy("doc_id", "qid").agg(F.sum(F.col("qw") * F.col("tf") * F.col("idf")).alias("_s"))
@@ -132,11 +159,42 @@ def score(index: TfidfIndex, queries: DataFrame, qid_col: str = "qid", text_col:
 
 def retrieve(index: TfidfIndex, queries: DataFrame, k: int = 6, qid_col: str = "qid",
              text_col: str = "text", digits: int = SCORE_DIGITS) -> DataFrame:
-    """Top ``k`` documents per query: ``(qid, doc_id, score, rank)``."""
-    s = score(index, queries, qid_col, text_col, digits)
+    """Top ``k`` documents per query: ``(qid, doc_id, score, rank)``.
+
+    Documents and queries are dealt into blocks; each pair of blocks is scored in one task, a table of at most
+    ``CHUNK_QUERIES`` by ``CHUNK_DOCS`` scores at a time, and gives at most k rows a query.
+    """
+    spark = index.terms.sparkSession
+    qv = shared_table(query_vectors(index, queries, qid_col, text_col), "query-vectors")
+    tokens = shared_table(qv.select("tok").distinct().select("tok", F.monotonically_increasing_id().alias("t")), "query-tokens")
+    n_docs, n_queries = index.docs.count(), qv.select("qid").distinct().count()
+    over_docs = max(1, -(-n_docs // BLOCK_DOCS), min(n_docs, 2 * spark.sparkContext.defaultParallelism))
+    over_queries = max(1, -(-n_queries // BLOCK_QUERIES))
+
+    def block(col: str, n: int):
+        return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+
+    def packed(rows: DataFrame, kind: int):
+        id_type = rows.schema[1].dataType.simpleString()
+        return rows.mapInArrow(pack_rows(kind), f"block int, kind int, ids array<{id_type}>, row binary, t binary, w binary")
+
+    known = index.terms.where("doc_id IS NOT NULL").join(tokens, "tok").select(block("doc_id", over_docs), "doc_id", "t", "tf")
+    norms = index.docs.where("norm > 0").select(block("doc_id", over_docs), "doc_id", "norm")
+    asked = qv.join(tokens, "tok").select(block("qid", over_queries), "qid", "t", F.col("qw") * F.col("idf"))
+    docs = packed(known, POSTINGS).unionByName(packed(norms, NORMS))
+    asked = packed(asked, QUERIES)
+    id_type, q_type = (x.schema["ids"].dataType.simpleString() for x in (docs, asked))
+    to_all = {n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (over_docs, over_queries)}
+    both = docs.select(F.col("block").alias("db"), to_all[over_queries].alias("qb"), "kind", "ids", F.lit(None).cast(q_type).alias("qids"),
+                       "row", "t", "w").unionByName(
+        asked.select(to_all[over_docs].alias("db"), F.col("block").alias("qb"), "kind", F.lit(None).cast(id_type).alias("ids"),
+                     F.col("ids").alias("qids"), "row", "t", "w"))
+    in_block = best_of_block(k, digits)
+    schema = f"qid {q_type[6:-1]}, doc_id {id_type[6:-1]}, score double"
+    best = shared_table(both.groupBy("db", "qb").applyInArrow(lambda t: in_block(t), schema), "best-of-blocks")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    return (s.withColumn("rank", F.row_number().over(w).cast("long"))
-             .filter(F.col("rank") <= k))
+    return (best.withColumn("rank", F.row_number().over(w).cast("long"))
+                .filter(F.col("rank") <= k))
 
 
 def retrieve_pinned(index: TfidfIndex, queries: DataFrame, k: int = 6, min_score: float = 0.03,

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.operators.retrieval import TfidfIndex, _norms, distinct_documents, token_rows
+from kpiforge.operators.retrieval import TfidfIndex, document_terms, weighed, with_tf
 from kpiforge.sources.tables import newest_version, shared_table
 
 
@@ -55,9 +55,7 @@ class TfidfStore:
             raise ValueError("the first update adds documents")
         kind = add.schema[id_col].dataType if add is not None else self._segments("ids", 0).schema["doc_id"].dataType
         empty = self.spark.range(0).select(F.col("id").cast("string").cast(kind).alias("doc_id"), F.lit("").alias("text"))
-        one = empty if add is None else distinct_documents(add, id_col, text_col)
-        toks = token_rows(one, "doc_id", "text", "doc_id", with_length=True)
-        terms = toks.groupBy("doc_id", "tok").agg((F.count(F.lit(1)) / F.max("n_tok")).alias("tf"))
+        terms = document_terms(empty, "doc_id", "text") if add is None else document_terms(add, id_col, text_col)
         terms.write.mode("overwrite").parquet(f"{self.path}/terms/segment={k}")
         ids = empty.select("doc_id") if add is None else add.select(F.col(id_col).alias("doc_id")).distinct()
         ids.write.mode("overwrite").parquet(f"{self.path}/ids/segment={k}")
@@ -81,4 +79,4 @@ class TfidfStore:
         idf = shared_table(self.spark.read.parquet(f"{self.path}/df/version={version}").select(
             "tok", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf")), "tfidf-idf")
         terms = shared_table(self._segments("terms", version).join(live, ["doc_id", "segment"], "left_semi").drop("segment"), "tfidf-terms")
-        return TfidfIndex(terms, idf, shared_table(_norms(terms, idf, live.select("doc_id")), "tfidf-docs"))
+        return TfidfIndex(with_tf(terms), idf, weighed(terms, live.select("doc_id"), live.count())[1])

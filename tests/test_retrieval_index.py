@@ -84,3 +84,64 @@ def test_all_documents_deleted(spark, tmp_path):
     store.update(delete=docs)
     assert retrieve(store.index(), spark.createDataFrame([(1, "a b")], "qid long, text string"), 3).collect() == []
     assert rows(store.index(0).idf.select("tok")) == [("a",), ("a_b",), ("b",), ("b_c",), ("c",)]
+
+
+def test_blocks_of_documents_and_queries_give_the_exact_list(spark, monkeypatch):
+    """No row for each (query, document) pair is made: no aggregate by both is left in the plan."""
+    import math
+    import re
+    from collections import Counter
+
+    from kpiforge.operators import retrieval, retrieval_blocks
+
+    monkeypatch.setattr(retrieval, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 5)
+    rng = random.Random(11)
+    docs = corpus(rng, 150) + [(500 + k, "a bb ccc") for k in range(30)] + [(900, None)]
+    asked = corpus(rng, 17) + [(90, "a bb ccc"), (91, "zzzzz"), (92, "")]
+    index = fit_tfidf(spark.createDataFrame(docs, "id long, text string"))
+    found = retrieve(index, spark.createDataFrame(asked, "qid long, text string"), 7)
+    assert "HashAggregate" not in found._jdf.queryExecution().toString()
+
+    def tokens(text):
+        u = re.findall("[a-z0-9_]+", text or "")
+        return Counter(u + [f"{a}_{b}" for a, b in zip(u, u[1:])])
+
+    of = {d: tokens(t) for d, t in docs}
+    df = Counter(t for c in of.values() for t in c)
+    idf = {t: math.log((len(docs) + 1) / (n + 1)) + 1 for t, n in df.items()}
+
+    def unit(c):
+        w = {t: n * idf[t] for t, n in c.items() if t in idf}
+        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {t: x / norm for t, x in w.items()}
+
+    units, want = {d: unit(c) for d, c in of.items()}, []
+    for q, text in asked:
+        v = unit(tokens(text))
+        scored = sorted((-round(sum(x * u[t] for t, x in v.items() if t in u), 7), d) for d, u in units.items() if set(u) & set(v))
+        want += [(q, d, -s, r) for r, (s, d) in enumerate(scored[:7], 1)]
+    got = rows(found.select("qid", "doc_id", "score", "rank"))
+    assert [(q, r) for q, _, _, r in got] == [(q, r) for q, _, _, r in sorted(want)] and {x[:2] for x in got} == {x[:2] for x in want}
+    assert all(abs(a[2] - b[2]) < 2e-7 for a, b in zip(got, sorted(want)))
+    assert retrieval_blocks.CHUNK_DOCS > 16
+
+
+def test_long_and_repeated_texts_are_packed_exactly(spark, monkeypatch):
+    """Documents over several blocks of terms, with counts and numbers of one, two and four bytes."""
+    import numpy as np
+
+    from kpiforge.operators import retrieval_blocks as blocks
+
+    for x in ([0, 255], [256, 3], [70000, 1]):
+        sizes = np.array([1, 1])
+        assert blocks._wide(blocks._narrow(np.array(x)).tobytes(), sizes).tolist() == x
+    docs = [(1, "a " * 70000 + "b"), (2, "a b " * 200), (3, "b c"), (4, None), (5, "...")]
+    index = fit_tfidf(spark.createDataFrame(docs, "id long, text string"))
+    tf = {(r["doc_id"], r["tok"]): r["tf"] for r in index.terms.collect()}
+    assert tf[1, "a"] == 70000 / 140001 and tf[1, "a_b"] == 1 / 140001 and tf[2, "b_a"] == 199 / 799
+    norm = dict(rows(index.docs.select("doc_id", "norm")))
+    idf = dict(rows(index.idf.select("tok", "idf")))
+    for d in range(1, 6):
+        want = sum((x * idf[t]) ** 2 for (k, t), x in tf.items() if k == d) ** 0.5
+        assert abs(norm[d] - want) < 1e-12
