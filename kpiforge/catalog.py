@@ -1646,8 +1646,9 @@ SELECT CAST(date_trunc('month', order_date) AS DATE) AS period, region, CAST(SUM
 def q_refreshed_by_month(spark, sf_dir):
     """S7 from a stream: order-line files arrive in several batches; the newest complete refresh is read."""
     inbox, out = shared_path(spark, "lines-in"), shared_path(spark, "refresh")
-    _ol(spark, sf_dir).select("order_id", "order_date", "region", "sales", "profit").repartition(3).write.parquet(inbox)
+    files = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a task reads one, a batch a third of them
+    _ol(spark, sf_dir).select("order_id", "order_date", "region", "sales", "profit").repartition(files).write.parquet(inbox)
     schema = spark.read.parquet(inbox).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(inbox)
     refresh.start_refresh(stream, out, shared_path(spark, "refresh-state")).awaitTermination()
     return refresh.latest_refresh(spark, out).select("period", "region", "sales", "profit", "lines")

@@ -18,3 +18,20 @@ def test_stream_matches_batch(spark, tmp_path):
     want = kpi.kpi_trend(ol, ["sales"], "year", breakdown_by="region").collect()
     assert {(r["period"], r["breakdown"]): r["sales"] for r in want} == {k: v[0] for k, v in got.items()}
     assert sum(v[1] for v in got.values()) == ol.count()
+
+
+def test_refreshed_query_reads_its_lines_in_many_tasks_and_three_batches(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from conftest import SF_SMALL
+    from kpiforge import catalog
+
+    monkeypatch.setattr(catalog, "shared_path", lambda spark, name: str(tmp_path / name))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        catalog.QUERIES["refreshed_by_month"](spark, SF_SMALL).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(list(Path(tmp_path / "lines-in").glob("part-*.parquet"))) == 12
+    assert len(list(Path(tmp_path / "refresh").glob("epoch=*"))) == 3
