@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiforge.operators import kpi
-from kpiforge.sources.order_lines import latest_order_date, order_lines
+from kpiforge.sources.order_lines import latest_order_date, line_tasks, order_lines, order_lines_by_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,6 +82,10 @@ def _ol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_lines(spark, sf_dir)
 
 
+def _ol_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_lines_by_order(spark, sf_dir, line_tasks(spark, sf_dir))
+
+
 # ── Q1 / A7 / S6 / S8 ────────────────────────────────────────────────────
 
 @register("kpi_total", f"""
@@ -281,7 +285,7 @@ SELECT sub_category AS breakdown, category, COUNT(DISTINCT order_id) AS orders,
 FROM order_lines GROUP BY sub_category, category HAVING SUM(profit) < 0
 ORDER BY p ASC, breakdown, category LIMIT 15) t""")
 def q_detail_loss_groups(spark, sf_dir):
-    return detail.loss_reason(detail.detail_summary(_ol(spark, sf_dir), "sub_category"))
+    return detail.loss_reason(detail.detail_summary(_ol_by_order(spark, sf_dir), "sub_category"))
 
 
 @register("detail_loss_rows", """
@@ -500,7 +504,8 @@ SELECT CASE GROUPING(region, segment, category, sub_category) WHEN 7 THEN 'regio
        {sql_metrics(['sales', 'profit', 'orders', 'profit_margin'])}
 FROM order_lines GROUP BY GROUPING SETS ((region), (segment), (category), (sub_category), ())""")
 def q_grouping_sets_all(spark, sf_dir):
-    return kpi.breakdown_all(_ol(spark, sf_dir))
+    tasks = line_tasks(spark, sf_dir)
+    return kpi.breakdown_all(order_lines_by_order(spark, sf_dir, tasks), tasks=tasks)
 
 
 @register("filter_options", """
@@ -1127,7 +1132,7 @@ FROM (
   FROM order_lines GROUP BY sub_category, category HAVING SUM(profit) < 0
   ORDER BY p ASC, sub_category, category LIMIT 15) t""")
 def q_detail_loss_totals(spark, sf_dir):
-    return detail.detail_totals(detail.detail_summary(_ol(spark, sf_dir), "sub_category"))
+    return detail.detail_totals(detail.detail_summary(_ol_by_order(spark, sf_dir), "sub_category"))
 
 
 _FOLLOWUP_CTE = """fq AS (
@@ -1372,7 +1377,7 @@ FROM (SELECT COUNT(DISTINCT order_id) AS orders, CAST(ROUND(SUM(sales), 2) AS DO
       FROM order_lines GROUP BY sub_category, category HAVING SUM(profit) < 0) t""")
 def q_detail_loss_totals_all(spark, sf_dir):
     """A19 over every loss group, not only the shown ones."""
-    return detail.detail_totals(detail.detail_summary(_ol(spark, sf_dir), "sub_category", top_k=None))
+    return detail.detail_totals(detail.detail_summary(_ol_by_order(spark, sf_dir), "sub_category", top_k=None))
 
 
 # ── a table of plans answered at once: windows made from the months of `orders` ──
@@ -1428,7 +1433,8 @@ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY plan_id ORDER BY period NULLS FI
 SELECT plan_id, intent, metric, period, breakdown, current, previous, change_pct, position FROM r WHERE k IS NULL OR position <= k""")
 def q_plan_batch(spark, sf_dir):
     """All plans of all months from one pass over the lines."""
-    return plan_batch.answer_plans(_ol(spark, sf_dir), batch_of_plans(spark, sf_dir))
+    tasks = line_tasks(spark, sf_dir)
+    return plan_batch.answer_plans(order_lines_by_order(spark, sf_dir, tasks), batch_of_plans(spark, sf_dir), tasks)
 
 
 # ── S7: stored sums and order sets, kept current by three deliveries ─────

@@ -110,7 +110,7 @@ def kpi_rank(df: DataFrame, metrics, breakdown_by: str, top_k: int | None, start
 
 
 def breakdown_all(df: DataFrame, dims=("region", "segment", "category", "sub_category"),
-                  metrics=METRICS, approx_orders: bool = False) -> DataFrame:
+                  metrics=METRICS, approx_orders: bool = False, tasks: int | None = None) -> DataFrame:
     """Every single-dimension breakdown plus the total in ONE scan.
 
     ``dimension`` names the set (``total`` for the grand total) and ``value``
@@ -119,14 +119,16 @@ def breakdown_all(df: DataFrame, dims=("region", "segment", "category", "sub_cat
     task a line becomes one row for each set, lines of an order with the same
     value are summed, and what is left counts as one order there.  No further
     exchange is needed for that: rows that agree in the order lie together.
-    The sets are then a plain partial aggregate.  ``approx_orders=True`` (or
-    no order count) spares that exchange too, at ~1% error on ``orders``.
+    The sets are then a plain partial aggregate.  ``tasks``: how many tasks the
+    lines are dealt to; lines that lie so already are not moved.
+    ``approx_orders=True`` (or no order count) spares that exchange too, at ~1%
+    error on ``orders``.
     """
     dims, metrics = list(dims), list(metrics)
     if "orders" in metrics and not approx_orders:
         sets = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims],
                        F.struct(F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("value")))
-        rows = df.select("order_id", *dims, "sales", "profit").repartition("order_id").select(
+        rows = df.select("order_id", *dims, "sales", "profit").repartition(*([tasks] if tasks else []), "order_id").select(
             "order_id", "sales", "profit", F.inline(sets))
         once = rows.groupBy("order_id", "dimension", "value").agg(F.sum("sales").alias("sales"), F.sum("profit").alias("profit"))
         aggs = [F.count("order_id").alias(m) if m == "orders" else a for m, a in zip(metrics, metric_cols(metrics))]

@@ -49,22 +49,23 @@ class DayCube:
     repeats: DataFrame
 
 
-def _per_order_day(lines: DataFrame, dims) -> DataFrame:
-    """``order_id, dimension, value, day`` with sums: lines are dealt by order once."""
+def _per_order_day(lines: DataFrame, dims, tasks: int | None = None) -> DataFrame:
+    """``order_id, dimension, value, day`` with sums: lines are dealt by order once (not at all if they lie so in ``tasks`` tasks)."""
     named = [F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims]
     sets = F.array(F.struct(F.lit(TOTAL).alias("dimension"), F.lit(None).cast("string").alias("value")), *named)
     day = F.coalesce(F.col("order_date").cast("date"), F.lit(_UNDATED).cast("date")).alias("day")
-    rows = lines.select("order_id", day, "sales", "profit", *dims).repartition("order_id").select(
+    rows = lines.select("order_id", day, "sales", "profit", *dims).repartition(*([tasks] if tasks else []), "order_id").select(
         "order_id", "day", "sales", "profit", F.inline(sets))
     return rows.groupBy("order_id", "dimension", "value", "day").agg(
         F.sum("sales").alias("sales"), F.sum("profit").alias("profit"), F.count("sales").alias("n_sales"),
         F.count("profit").alias("n_profit"), F.count(F.lit(1)).alias("lines"))
 
 
-def build_cube(lines: DataFrame, dims=DIMENSIONS) -> DayCube:
-    """The cube of an order-line table, written to the shared folder."""
+def build_cube(lines: DataFrame, dims=DIMENSIONS, tasks: int | None = None) -> DayCube:
+    """The cube of an order-line table, written to the shared folder.  ``tasks``: how many tasks the lines are dealt to by order; what
+    one holds is several rows for each of its lines."""
     # days of an order with a value: the lines are not sorted or moved again, an order's rows lie together
-    days = _per_order_day(lines, dims)
+    days = _per_order_day(lines, dims, tasks)
     after = F.lead("day").over(Window.partitionBy("order_id", "dimension", "value").orderBy("day"))
     daily = shared_table(days.withColumn("next_day", F.when(F.col("order_id").isNotNull(), after)).groupBy(
         "dimension", "value", "day", "next_day").agg(
@@ -176,13 +177,13 @@ def check_plans(plans: DataFrame) -> DataFrame:
     return plans.withColumn("problem", problem)
 
 
-def answer_plans(lines: DataFrame | DayCube, plans: DataFrame) -> DataFrame:
+def answer_plans(lines: DataFrame | DayCube, plans: DataFrame, tasks: int | None = None) -> DataFrame:
     """``plan_id, intent, metric, period, breakdown, current, previous, change_pct, position`` of every answerable plan.
 
-    ``plans``: the columns of ``PLAN_COLUMNS`` (others are ignored), ``plan_id`` unique.  ``position`` orders a plan's rows as the single
+    ``tasks``: see :func:`build_cube`.  ``plans``: the columns of ``PLAN_COLUMNS`` (others are ignored), ``plan_id`` unique.  ``position`` orders a plan's rows as the single
     operator does.  Plans with a problem (:func:`check_plans`) have no rows.
     """
-    cube = lines if isinstance(lines, DayCube) else build_cube(lines)
+    cube = lines if isinstance(lines, DayCube) else build_cube(lines, tasks=tasks)
     good = shared_table(check_plans(plans.select(*PLAN_COLUMNS)).where("problem IS NULL").drop("problem"), "plans")
     windows = shared_table(_windows(good.where("intent <> 'kpi_trend'")).withColumn("period", F.lit(None).cast("date")).unionByName(
         _trend_windows(good, cube)), "plan-windows")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from kpiforge import catalog
-from kpiforge.operators import kpi
-from kpiforge.sources.order_lines import latest_order_date, latest_wide_date, materialize_order_lines, order_lines
+from kpiforge.operators import detail, kpi, plan_batch
+from kpiforge.sources.order_lines import (
+    latest_order_date, latest_wide_date, line_tasks, materialize_order_lines, order_lines, order_lines_by_order)
 from kpiforge.sources.tables import extent
 
 
@@ -108,3 +109,34 @@ def test_latest_date_is_that_of_a_line(spark, tmp_path):
     assert latest_order_date(spark, str(tmp_path)) == latest_order_date(spark, SF_SMALL)
     orders.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
     assert latest_order_date(spark, str(tmp_path)) is None
+
+
+def unhinted(spark, make):
+    """The plan of ``make()`` as if no side of a join were small."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return plan(make())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tasks_follow_the_lines(spark, monkeypatch):
+    monkeypatch.setitem(line_tasks.__globals__, "LINES_PER_TASK", 100)
+    few = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    assert line_tasks(spark, SF_SMALL) == -(-few // 100) > 40
+    monkeypatch.setitem(line_tasks.__globals__, "LINES_PER_TASK", 10 * few)
+    assert line_tasks(spark, SF_SMALL) is None
+
+
+def test_lines_dealt_by_order_are_not_moved_to_be_counted(spark):
+    def moves(p):
+        return [m for m in re.findall(r"Exchange hashpartitioning\(([^\n]*?), \d+\)", p) if "order" in m]
+
+    dealt = order_lines_by_order(spark, SF_SMALL, 9)
+    cube = plan_batch._per_order_day
+    for make in (lambda: kpi.breakdown_all(dealt, tasks=9), lambda: detail.detail_summary(dealt, top_k=None), lambda: cube(dealt, ["region", "state"], 9)):
+        assert sorted(m.split("#")[0] for m in moves(unhinted(spark, make))) == ["l_orderkey", "o_orderkey"]
+    plain = order_lines(spark, SF_SMALL)
+    for a, b in ((dealt, plain), (kpi.breakdown_all(dealt, tasks=9), kpi.breakdown_all(plain)), (detail.detail_summary(dealt), detail.detail_summary(plain))):
+        assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
