@@ -1522,7 +1522,7 @@ def q_sql_compare(spark, sf_dir):
 def q_by_region_co_located(spark, sf_dir):
     """S3 from tables bucketed by order: the lines are not moved to meet their orders."""
     name = "star_" + shared_path(spark, "x").rsplit("-", 1)[1]
-    layout.store_by_order(spark, sf_dir, shared_path(spark, "star"), name, buckets=8)
+    layout.store_by_order(spark, sf_dir, shared_path(spark, "star"), name)
     return kpi.kpi_value(layout.lines_by_order(spark, sf_dir, name), ["profit", "orders"], breakdown_by="region")
 
 

@@ -16,12 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiforge.sources.order_lines import order_side, wide_columns
+from kpiforge.sources.order_lines import LINES_PER_TASK, order_side, wide_columns
 from kpiforge.sources.tables import read_table
 
+MIN_BUCKETS = 8
 
-def store_by_order(spark: SparkSession, sf_dir: str, path: str, name: str, buckets: int = 64) -> tuple[str, str]:
-    """Write lines and orders (with their customers' attributes) below ``path`` as tables ``name_lines`` and ``name_orders``."""
+
+def store_by_order(spark: SparkSession, sf_dir: str, path: str, name: str, buckets: int | None = None) -> tuple[str, str]:
+    """Write lines and orders (with their customers' attributes) below ``path`` as tables ``name_lines`` and ``name_orders``.
+    A bucket is sorted, and later joined, by one task: unless ``buckets`` says how many, there is one for every ``LINES_PER_TASK``
+    lines and ``MIN_BUCKETS`` at least, so a task holds no more of a larger table."""
+    buckets = buckets or max(MIN_BUCKETS, -(-read_table(spark, sf_dir, "lineitem").count() // LINES_PER_TASK))
     lines = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
     made = f"{name}_lines", f"{name}_orders"

@@ -80,6 +80,15 @@ def test_co_located_join_moves_no_lines(spark, tmp_path):
         kpi.kpi_value(lines, ["profit", "orders"], breakdown_by="region"))
 
 
+def test_buckets_follow_the_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "LINES_PER_TASK", 500)
+    tables = layout.store_by_order(spark, SF_SMALL, str(tmp_path), "by_size")
+    n = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    for t in tables:
+        assert len(glob.glob(f"{tmp_path}/{t}/*.parquet")) == -(-n // 500) > layout.MIN_BUCKETS
+    assert rows(layout.lines_by_order(spark, SF_SMALL, "by_size")) == rows(order_lines(spark, SF_SMALL))
+
+
 def groups_read(path, low, high, region):
     """Row groups whose statistics allow a row of the filter, and all."""
     read = total = 0
