@@ -64,7 +64,8 @@ def z_order(df: DataFrame, date: str = "order_date", dims=("region", "category")
         # distinct values of a dimension: few, numbered by one window
         values = df.where(F.col(d).isNotNull()).select(F.col(d).alias(f"_v_{d}")).distinct()
         numbered = values.withColumn(f"_z_{d}", F.expr(f"row_number() OVER (ORDER BY _v_{d}) - 1")).withColumn(f"_n_{d}", F.expr("count(*) OVER ()"))
-        df = df.join(numbered, F.col(d) == F.col(f"_v_{d}"), "left")
+        # the values go to the rows: joined by exchange, all rows of a value would meet in one task
+        df = df.join(F.broadcast(numbered), F.col(d) == F.col(f"_v_{d}"), "left")
         codes.append(F.coalesce(_scaled(F.col(f"_z_{d}"), F.col(f"_n_{d}"), bits), F.lit(0)))
     return df.withColumn("z", interleaved(codes, bits)).drop(*[f"_{k}_{d}" for k in "vzn" for d in dims])
 

@@ -89,6 +89,17 @@ def test_buckets_follow_the_lines(spark, tmp_path, monkeypatch):
     assert rows(layout.lines_by_order(spark, SF_SMALL, "by_size")) == rows(order_lines(spark, SF_SMALL))
 
 
+def test_clustering_moves_no_lines_to_their_dimension(spark, make_lines):
+    """Even where Spark does not know that the values are few."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        p = plan(layout.z_order(make_lines([])))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert p.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in p
+
+
 def groups_read(path, low, high, region):
     """Row groups whose statistics allow a row of the filter, and all."""
     read = total = 0
