@@ -28,6 +28,8 @@ Null order ids count as no order, lines without a date belong to no month
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ from kpiforge.sources.tables import newest_version, shared_table
 
 TOTAL = "total"
 GRAINS = ("month", "quarter", "year", "all")
+WORDS = 512  # of 64 orders each, in a bitmap
+NO_ORDER = 64  # parts that lines without an order are dealt to
 _CELL = ["dimension", "value", "month", "bucket"]
 _TYPES = {"sales": "decimal(38,2)", "profit": "decimal(38,4)", "lines": "bigint"}
 
@@ -58,15 +62,42 @@ def order_numbers(orders: DataFrame, start: int = 0, parts: int | None = None) -
         "order_id", (F.col("first") + F.col("k") + start).cast("long").alias("number"))
 
 
+def _bitmaps(batches):
+    """Bitmaps of 32768 orders from their words of 64 (column 7: structs of a word's place and its bits)."""
+    for batch in batches:
+        words, cells = batch.column(7), batch.num_rows
+        place, bits = words.flatten().flatten()
+        of = np.repeat(np.arange(cells), np.asarray(words.value_lengths()))
+        table = np.zeros((cells, WORDS), "<i8")
+        table[of, np.asarray(place)] = np.asarray(bits)
+        ends = pa.array(np.arange(cells + 1, dtype=np.int32) * (8 * WORDS))
+        orders = pa.Array.from_buffers(pa.binary(), cells, [None, ends.buffers()[1], pa.py_buffer(table.tobytes())])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:7], orders], [*batch.schema.names[:7], "orders"])
+
+
 def order_cells(lines: DataFrame, numbers: DataFrame, dims=DIMENSIONS) -> DataFrame:
-    """Sums and order bitmaps of lines by dimension value, month and bucket of order numbers."""
+    """Sums and order bitmaps of lines by dimension value, month and bucket of order numbers.
+
+    Lines are dealt by bucket before they become one row for each dimension, so
+    all of a cell lies in one task: the orders of 64 numbers are or-ed into one
+    word there, and words, not lines, are put together as bitmaps.  Lines
+    without an order have no bits; they are dealt to ``NO_ORDER`` parts, and a
+    cell of theirs (``bucket`` null) is one row for each.
+    """
     named = [F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims]
     sets = F.array(F.struct(F.lit(TOTAL).alias("dimension"), F.lit(None).cast("string").alias("value")), *named)
-    # lines of an order with the same values are one row before they become one for each dimension
-    rows = lines.join(numbers, "order_id", "left").groupBy("number", "month", *dims).agg(
-        F.sum("sales").alias("sales"), F.sum("profit").alias("profit"), F.count(F.lit(1)).alias("lines")).select(
-        "month", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("bit"), "sales", "profit", "lines", F.inline(sets))
-    return rows.groupBy(*_CELL).agg(*[F.sum(c).cast(t).alias(c) for c, t in _TYPES.items()], F.bitmap_construct_agg("bit").alias("orders"))
+    spread = -1 - F.pmod(F.xxhash64("month", "sales", "profit", *dims), F.lit(NO_ORDER))
+    bit = F.bitmap_bit_position("number")
+    rows = lines.join(numbers, "order_id", "left").select(
+        "month", "sales", "profit", *dims, F.coalesce(F.bitmap_bucket_number("number"), spread).alias("bucket"),
+        F.shiftright(bit, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("bits"))
+    rows = rows.repartition("bucket").select("month", "bucket", "word", "bits", "sales", "profit", F.inline(sets))
+    words = rows.groupBy(*_CELL, "word").agg(F.sum("sales").alias("sales"), F.sum("profit").alias("profit"), F.count(F.lit(1)).alias("lines"),
+                                             F.bit_or("bits").alias("bits"))
+    cells = words.groupBy(*_CELL).agg(*[F.sum(c).cast(t).alias(c) for c, t in _TYPES.items()],
+                                      F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "bits"))).alias("words"))
+    schema = ", ".join(f"{n} {t}" for n, t in cells.dtypes[:7])
+    return cells.withColumn("bucket", F.when(F.col("bucket") > 0, F.col("bucket"))).mapInArrow(_bitmaps, f"{schema}, orders binary")
 
 
 def merged(cells: DataFrame) -> DataFrame:
@@ -88,9 +119,9 @@ class KpiStore:
         read = self.spark.read.option("basePath", f"{self.path}/{name}")
         return (read.schema(schema) if schema else read).parquet(*[f"{self.path}/{name}/batch={k}" for k in range(first, upto + 1)])
 
-    def _lines(self, upto: int, first: int = 0) -> DataFrame:
+    def _lines(self, upto: int, first: int = 0, kind: str | None = None) -> DataFrame:
         # a delivery without lines has no file that says what its columns are; the numbers' files say what an order id is
-        kind = dict(self._batches("numbers", upto).dtypes)["order_id"]
+        kind = kind or dict(self._batches("numbers", upto).dtypes)["order_id"]
         dims = "".join(f", {d} string" for d in self.dims)
         return self._batches("lines", upto, first, f"order_id {kind}, order_date date, sales {MONEY['sales']}, profit {MONEY['profit']}{dims}, "
                                                    "batch int, month date")
@@ -111,16 +142,19 @@ class KpiStore:
         months = F.trunc(F.col("order_date"), "month").alias("month")
         own = lines.select("order_id", F.col("order_date").cast("date"), *[F.col(c).cast(MONEY[c]) for c in ("sales", "profit")],
                            *[F.col(d).cast("string") for d in self.dims], months)
-        own.write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/lines/batch={k}")
+        # a month gets files of useful size, not one from each task
+        own.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/lines/batch={k}")
         days = self.spark.createDataFrame([], "day date") if replaces is None else replaces.select(F.col("order_date").alias("day")).distinct()
         days.where("day IS NOT NULL").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/replaced/batch={k}")
+        # from here on the delivery is read as it was stored: what it was made from is not computed again
+        own = self._lines(k, first=k, kind=dict(own.dtypes)["order_id"]).drop("batch")
         fresh, start = own, 0
         if k:
             known = self._batches("numbers", k - 1)
             start = known.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
-            fresh = own.join(known.select("order_id"), "order_id", "left_anti")
+            fresh = own.where("order_id IS NOT NULL").groupBy("order_id").agg(F.min("order_date").alias("order_date")).join(
+                known.select("order_id"), "order_id", "left_anti")
         order_numbers(fresh, start).write.mode("overwrite").parquet(f"{self.path}/numbers/batch={k}")
-        own = self._lines(k, first=k).drop("batch")
         numbers = self._batches("numbers", k).select("order_id", "number")
         stale = self.spark.read.parquet(f"{self.path}/replaced/batch={k}").select(F.trunc("day", "month").alias("month")).distinct()
         cells = order_cells(own.join(stale, "month", "left_anti"), numbers, self.dims)

@@ -99,3 +99,43 @@ def test_orders_beyond_one_bucket(spark):
     cells = order_cells(lines.unionByName(lines), order_numbers(lines), ["region"])
     assert {(r["dimension"], r["n"], r["k"]) for r in cells.groupBy("dimension").agg(
         F.sum(F.bitmap_count("orders")).alias("n"), F.count("*").alias("k")).collect()} == {("total", 100000, 4), ("region", 100000, 4)}
+
+
+def test_cells_are_made_from_words_of_orders(spark, make_lines):
+    """Bitmaps are those of Spark's own aggregate; lines without an order count in sums alone."""
+    rng = random.Random(8)
+    lines = make_lines(some_lines(rng, 500, range(50), 90000)).withColumn("month", F.trunc("order_date", "month"))
+    numbers = lines.where("order_id IS NOT NULL").select("order_id", (F.col("order_id") + 1).alias("number")).distinct()
+    cells = order_cells(lines, numbers, ["region", "state"])
+    text = cells._jdf.queryExecution().toString()
+    assert "bitmap_construct_agg" not in text and "SortAggregate" not in text  # lines are hashed, not sorted
+    got = cells.groupBy("dimension", "value", "month", "bucket").agg(
+        F.sum("sales").cast("double"), F.sum("profit").cast("double"), F.sum("lines"), F.bitmap_or_agg("orders")).collect()
+    want = []
+    for d in ("total", "region", "state"):
+        value = F.lit(None).cast("string") if d == "total" else F.col(d)
+        want += lines.join(numbers, "order_id", "left").groupBy(F.lit(d), value, "month", F.bitmap_bucket_number("number")).agg(
+            F.sum("sales").cast("double"), F.sum("profit").cast("double"), F.count("*"), F.bitmap_construct_agg(F.bitmap_bit_position("number"))).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want)))
+
+
+def test_a_month_is_a_few_files_whatever_the_tasks(spark, make_lines, tmp_path):
+    lines = make_lines(some_lines(random.Random(9), 400, range(25))).repartition(32)
+    KpiStore(spark, str(tmp_path / "store")).deliver(lines)
+    files = list((tmp_path / "store" / "lines").rglob("*.parquet"))
+    assert files and len(files) <= 8
+
+
+def test_a_delivery_is_computed_once(spark, make_lines, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    lines = make_lines(some_lines(random.Random(10), 50, range(25)))
+    store = KpiStore(spark, str(tmp_path / "store"))
+    for k in (1, 2):
+        store.deliver(lines.mapInArrow(watched, lines.schema))
+        assert seen.value == 50 * k
