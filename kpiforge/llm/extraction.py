@@ -61,15 +61,18 @@ _END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
 
 
 class Node:
-    """An element: its parent, the innermost element around it (or itself) that is no inline element, containers around it."""
+    """An element: its parent, the innermost element around it (or itself) that is no inline element, containers around it,
+    and by tag the innermost of the elements, from itself outwards, that a next one may close."""
 
-    __slots__ = ("tag", "label", "parent", "away", "link", "block", "depth", "level", "inside", "open", "text", "good")
+    __slots__ = ("tag", "label", "parent", "away", "link", "block", "depth", "level", "inside", "open", "text", "good", "nest", "ends")
 
     def __init__(self, tag, label, parent, away, link):
         self.tag, self.label, self.parent, self.away, self.link = tag, label, parent, away, link
         self.block = self if parent is None or tag not in INLINE else parent.block
         self.depth = 0 if parent is None else parent.depth + (parent.tag in CONTAINERS)
         self.open = {} if self.block is self else None  # inline elements that are open in a block, by tag
+        self.nest = 0 if parent is None else parent.nest + 1
+        self.ends = {**parent.ends, tag: self} if tag in CLOSES else {}
         self.text = self.good = self.level = 0
         self.inside = False
 
@@ -215,12 +218,9 @@ def read(page: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
                 while found.parent is not top.block:
                     found = found.parent
                 leave(found)
-            found = top
-            while found is not root and found.tag in CLOSES:  # a chain of different tags: each closes itself
-                if tag in CLOSES[found.tag]:
-                    leave(found)
-                    break
-                found = found.parent
+            ends = [x for x in top.ends.values() if tag in CLOSES[x.tag]]  # elements may nest in their like without end: no walk
+            if ends:
+                leave(max(ends, key=lambda x: x.nest))
         given = _attributes(rest) if rest else {}
         if tag in RAW and not rest.endswith("/"):
             end = _END[tag].search(page, at)

@@ -97,6 +97,13 @@ def test_time_is_linear_in_the_length(unit):
     assert long < 10 and long < 40 * short + 0.2  # eight times the length
 
 
+@pytest.mark.parametrize("unit", ["<tr><td>x<p>", "<tr><td><li>x", "<tr><td>x<dt>"])
+def test_rows_nest_in_rows_without_end(unit):
+    """Rows, cells and items that are never closed nest by the thousand; what a tag closes is found without a walk over them."""
+    long, short = (min(_timed(unit * (size // len(unit))) for _ in range(2)) for size in (1 << 16, 1 << 13))
+    assert long < 20 * short + 0.2  # eight times the length
+
+
 def _timed(page):
     start = time.process_time()
     main_text(page, "html>body>div")
