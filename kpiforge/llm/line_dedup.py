@@ -36,6 +36,7 @@ DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCS = 3
 LONG, ANCHOR = 50, 16  # words of a passage inside a line, at least, and of the runs that name it
+REACH = (LONG - ANCHOR) // 2  # words that every run has before its anchor or after it
 FLUSH = 1 << 23  # bytes of words and lines that one tree of a map task holds
 VARIABLE, ANY = 1, 0  # a word with a digit; a field that varies inside a template
 _EXACT = classes("\x20\x09\x0a\x0b\x0c\x0d", False)
@@ -44,6 +45,7 @@ _LAST = np.iinfo(np.int64).max
 _PACKED = "dest int, kind int, ids binary, sizes binary, words binary"
 _SCHEMA = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
 _TEMPLATES, _LINES = 0, 1
+_RUN = np.dtype([("run", "<i8"), ("s", "<i4"), ("e", "<i4")])
 
 
 def _words(col):
@@ -251,7 +253,8 @@ def _unpack(width: int):
 
 
 def _long_runs(col):
-    """Per slice: every run of ``LONG`` words of a line: its row, line number, name, hash, and first and end byte in its row."""
+    """Per slice with a run of ``LONG`` words in a line: row bounds, first row, per word its first and end byte, row and line number;
+    the first word of each such run; a function that hashes the words from some on, so many each; hashes of all runs of ``ANCHOR`` words."""
     for _, edge, i, starts, ends, rows, hashes, number, first in _words(col):
         size = np.diff(np.append(first, len(starts)))
         at = np.flatnonzero(np.repeat(first + size, size) >= np.arange(len(starts)) + LONG)
@@ -259,67 +262,118 @@ def _long_runs(col):
             continue
         up, down = _powers(len(hashes))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
-        low = mix((total[ANCHOR:] - total[:-ANCHOR]) * down[: len(hashes) - ANCHOR + 1])
-        span, most = 1, LONG - ANCHOR + 1
-        while span < most:  # minimum over 2, 4, ... and at last ``most`` runs
-            step = min(span, most - span)
-            low, span = np.minimum(low[:-step], low[step:]), span + step
-        whole = mix((total[at + LONG] - total[at]) * down[at])
-        yield rows[at] + i, number[at], low[at].view(np.int64), whole.view(np.int64), starts[at] - edge[rows[at]], ends[at + LONG - 1] - edge[rows[at]]
+
+        def hashed(k, n, total=total, down=down):
+            return mix((total[k + n] - total[k]) * down[k])
+
+        yield edge, i, starts, ends, rows, number, at, hashed, mix((total[ANCHOR:] - total[:-ANCHOR]) * down[: len(hashes) - ANCHOR + 1])
+
+
+def _lowest(low: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """The smallest of the anchors inside each run of ``LONG`` words, and the first place where it stands."""
+    at, span, most = np.arange(len(low)) if places else None, 1, LONG - ANCHOR + 1
+    while span < most:  # minimum over 2, 4, ... and at last ``most`` anchors
+        step = min(span, most - span)
+        if places:
+            at = np.where(low[:-step] <= low[step:], at[:-step], at[step:])
+        low, span = np.minimum(low[:-step], low[step:]), span + step
+    return low.view(np.int64), at
 
 
 def _names(batches):
     for batch in batches:
-        for row, _, name, _, _, _ in _long_runs(batch.column(1)):
+        for _, i, _, _, rows, _, at, _, anchors in _long_runs(batch.column(1)):
+            name, row = _lowest(anchors)[0][at], rows[at] + i
             new = np.concatenate([[True], (name[1:] != name[:-1]) | (row[1:] != row[:-1])])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), pa.array(name[new])], ["k", "name"])
 
 
-def _runs(batches):
-    """Runs of the names listed with each document, but for those in lines that go."""
+def _segments(batches):
+    """Runs of the names listed with each document, but for those in lines that go, as segments.
+
+    A run holds ``REACH`` words on one side of its anchor; with the anchor they are its closer name.  Consecutive runs of a closer name
+    are a segment: named, hashed as a whole, and packed run by run (hash, first and end byte).
+    """
     for batch in batches:
         listed = np.unique(np.asarray(batch.column(3).flatten()))
         gone = batch.column(4)
         flags, bounds = np.asarray(gone.flatten().fill_null(False)), np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(gone), 0)))])
-        for row, number, name, whole, first, end in _long_runs(batch.column(2)):
-            place = bounds[row] + number
-            goes = place < bounds[row + 1]
+        for edge, i, starts, ends, rows, number, at, hashed, anchors in _long_runs(batch.column(2)):
+            name, anchor = (x[at] for x in _lowest(anchors, True))
+            place = bounds[rows[at] + i] + number[at]
+            goes = place < bounds[rows[at] + i + 1]
             goes[goes] = flags[place[goes]]
-            own = np.isin(name, listed) & ~goes
-            of = pa.array(row[own])
-            yield pa.RecordBatch.from_arrays([pa.array(whole[own]), batch.column(0).take(of), batch.column(1).take(of),
-                                              pa.array(first[own].astype(np.int32)), pa.array(end[own].astype(np.int32))], ["run", "x0", "x1", "s", "e"])
+            own = (listed[np.minimum(np.searchsorted(listed, name), len(listed) - 1)] == name) & ~goes
+            at, anchor = at[own], anchor[own]
+            if not len(at):
+                continue
+            anchor -= np.where(anchor - at >= REACH, REACH, 0)
+            close, row = hashed(anchor, ANCHOR + REACH).view(np.int64), rows[at]
+            new = np.flatnonzero(np.concatenate([[True], (close[1:] != close[:-1]) | (at[1:] != at[:-1] + 1) | (number[at[1:]] != number[at[:-1]]) | (row[1:] != row[:-1])]))
+            last = np.append(new[1:], len(at)) - 1
+            size = (at[last] - at[new] + LONG).astype(np.uint64)
+            first, end = (starts[at] - edge[row]).astype(np.int32), (ends[at + LONG - 1] - edge[row]).astype(np.int32)
+            runs = np.empty(len(at), _RUN)
+            runs["run"], runs["s"], runs["e"] = hashed(at, LONG).view(np.int64), first, end
+            packed = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((np.append(new, len(at)) * _RUN.itemsize).astype(np.int32)), pa.py_buffer(runs)])
+            whole = mix(hashed(at[new], LONG + last - new) + size * MULTIPLIERS[2]).view(np.int64)
+            of = pa.array(row[new] + i)
+            yield pa.RecordBatch.from_arrays([pa.array(close[new]), pa.array(whole), batch.column(0).take(of), batch.column(1).take(of),
+                                              pa.array(first[new]), pa.array(end[last]), packed], ["name", "seg", "x0", "x1", "s", "e", "runs"])
+
+
+def _unpack_runs(batches):
+    for batch in batches:
+        data = batch.column(2)
+        runs = np.frombuffer(b"".join(data.to_pylist()), _RUN)
+        of = pa.array(np.repeat(np.arange(len(data)), np.asarray(pc.binary_length(data)) // _RUN.itemsize))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(runs["run"])), batch.column(0).take(of), batch.column(1).take(of),
+                                          pa.array(np.ascontiguousarray(runs["s"])), pa.array(np.ascontiguousarray(runs["e"]))], ["run", "x0", "x1", "s", "e"])
 
 
 def _merge(batches):
     """Overlapping runs as one cut."""
     for batch in batches:
-        out = []
-        for runs in batch.column(2).to_pylist():
-            cuts = []
-            for r in sorted((r["s"], r["e"]) for r in runs):
-                if cuts and r[0] <= cuts[-1][1]:
-                    cuts[-1][1] = max(cuts[-1][1], r[1])
-                else:
-                    cuts.append(list(r))
-            out.append([x for c in cuts for x in c])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["x0", "x1", "cuts"])
+        runs = batch.column(2)
+        row = np.asarray(pc.list_parent_indices(runs)).astype(np.int64)
+        flat = runs.flatten()
+        s, e = (np.asarray(x).astype(np.int64) + (row << 32) for x in flat.flatten())
+        order = np.argsort(s, kind="stable")
+        row, s, e = row[order], s[order], np.maximum.accumulate(e[order])
+        new = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]) if len(s) else np.zeros(0, bool))
+        cuts = np.stack([s[new], e[np.append(new[1:], len(s)) - 1]], 1).reshape(-1) & 0xFFFFFFFF if len(s) else np.zeros(0, np.int64)
+        bounds = 2 * np.searchsorted(row[new], np.arange(batch.num_rows + 1))
+        out = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(cuts.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], ["x0", "x1", "cuts"])
 
 
 def repeated_passages(src: DataFrame, gone: DataFrame) -> DataFrame:
-    """Passages to cut from documents ``i, m, t``: ``x0, x1`` and ``cuts`` (first byte, end byte, first byte, ...); ``gone``: lines that go."""
+    """Passages to cut from documents ``i, m, t``: ``x0, x1`` and ``cuts`` (first byte, end byte, first byte, ...); ``gone``: lines that go.
+
+    Equal runs have equal names and closer names.  A segment goes as a whole from all documents but the first that has it; where a
+    closer name has several different segments, the runs of each one's first document are compared one by one.
+    """
     src = src.select(F.coalesce("i", F.lit(_LAST)).alias("x0"), F.col("m").alias("x1"), "t")
-    key = F.xxhash64("x0", "x1")
+    key, doc = F.xxhash64("x0", "x1"), F.struct("x0", "x1")
     names = stored(src.select(key.alias("k"), "t").mapInArrow(_names, "k long, name long"), "passage-names")
     shared = names.groupBy("name").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("name")
     listed = names.join(shared, "name").groupBy("k").agg(F.collect_set("name").alias("names"))
     listed = stored(listed.join(gone.select(key.alias("k"), "gone"), "k", "left"), "passage-lists")
-    runs = stored(src.withColumn("k", key).join(listed.hint("shuffle_hash"), "k").select("x0", "x1", "t", "names", "gone").mapInArrow(
-        _runs, "run long, x0 long, x1 long, s int, e int"), "passage-runs")
-    first = runs.groupBy("run").agg(F.min(F.struct("x0", "x1")).alias("lo"), F.max(F.struct("x0", "x1")).alias("hi")).where("lo <> hi")
-    # written: the join then has exchanges of its own on both sides, and Spark cuts a passage that very many documents share
+    segments = stored(src.withColumn("k", key).join(listed.hint("shuffle_hash"), "k").select("x0", "x1", "t", "names", "gone").mapInArrow(
+        _segments, "name long, seg long, x0 long, x1 long, s int, e int, runs binary"), "passage-segments")
+    # written: each join then has exchanges of its own on both sides, and Spark cuts a passage that very many documents share
+    alike = stored(segments.groupBy("name", "seg").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")), "passage-alike")
+    closer = stored(alike.groupBy("name").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), (F.min("seg") != F.max("seg")).alias("differ")).where(
+        "a <> b").select("name", "differ"), "passage-closer")
+    alike = stored(alike.join(closer, "name").where("differ OR lo <> hi").select("name", "seg", "lo", "differ"), "passage-lowest")
+    later = F.expr("x0 <> lo.x0 OR x1 <> lo.x1")
+    found = stored(segments.join(alike, ["name", "seg"]).where(later | F.col("differ")).select(
+        "x0", "x1", "s", "e", F.when(~later, F.col("runs")).alias("runs")), "passage-found")
+    runs = stored(found.where("runs IS NOT NULL").select("x0", "x1", "runs").mapInArrow(
+        _unpack_runs, "run long, x0 long, x1 long, s int, e int"), "passage-runs")
+    first = runs.groupBy("run").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")).where("lo <> hi")
     first = stored(first.select("run", "lo"), "passage-first")
-    again = runs.join(first, "run").where("x0 <> lo.x0 OR x1 <> lo.x1")
+    again = found.where("runs IS NULL").select("x0", "x1", "s", "e").unionByName(runs.join(first, "run").where(later).select("x0", "x1", "s", "e"))
     return again.groupBy("x0", "x1").agg(F.collect_set(F.struct("s", "e")).alias("runs")).mapInArrow(_merge, "x0 long, x1 long, cuts array<int>")
 
 

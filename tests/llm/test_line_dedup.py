@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kpiforge.llm.line_dedup import ANY, drop_recurring, grow_leaf
+from kpiforge.llm import line_dedup
+from kpiforge.llm.line_dedup import ANY, drop_recurring, grow_leaf, repeated_passages
 
 
 def expected(docs, k=3):
@@ -144,6 +145,73 @@ def test_passages_inside_lines(make_docs):
     assert {d: r["n_dropped"] for d, r in out.items() if r["n_dropped"]} == {12: 1} and out[12]["n_lines"] == 2
 
 
+def every_run(docs, long=50):
+    """Cuts by the rule: each run of 50 words of a line goes from all documents but the first; runs that overlap are one cut."""
+    owners, own = {}, {}
+    for d, text in docs:
+        at = 0
+        for line in text.split("\n"):
+            words = list(re.finditer(rb"[^ ]+", line.encode()))
+            for k in range(len(words) - long + 1):
+                run = tuple(w[0] for w in words[k: k + long])
+                owners.setdefault(run, set()).add(d)
+                own.setdefault(d, []).append((run, at + words[k].start(), at + words[k + long - 1].end()))
+            at += len(line.encode()) + 1
+    out = {}
+    for d, runs in own.items():
+        for run, s, e in sorted(runs, key=lambda r: r[1:]):
+            if min(owners[run]) != d:
+                cuts = out.setdefault(d, [])
+                if cuts and s <= cuts[-1]:
+                    cuts[-1] = max(cuts[-1], e)
+                else:
+                    cuts += [s, e]
+    return out
+
+
+def edited_copies(seed):
+    rng = random.Random(seed)
+    few, many = ["ab", "é", "c", "dd"], [f"w{x}{y}" for x in "abcdefghijklmnop" for y in "abcdefghijklmnop"]
+    bases = [[rng.choice(v) for _ in range(150)] for v in (few, few[:2], many, many, many)] + [["x"] * 150]
+    docs = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            words = list(rng.choice(bases))
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                words[rng.randrange(150)] = rng.choice(["new", "other", "ab"])
+            low = rng.randrange(60)
+            words = words[low: low + rng.randrange(45, 150)] + rng.choice([[], words[:70]])
+            lines.append(f"l{rng.random()} " + "".join(w + rng.choice([" ", " ", "  "]) for w in words))
+        docs.append((i * 3, "\n".join(lines)))
+    return docs
+
+
+def test_passages_of_edited_copies_follow_the_rule(spark, make_docs):
+    """Copies cut anywhere and edited anywhere, few words and periods: the same cuts as run by run."""
+    none = spark.createDataFrame([], "x0 long, x1 long, gone array<boolean>")
+    for seed in (1, 2, 3):
+        docs = edited_copies(seed)
+        got = repeated_passages(line_dedup._source(make_docs(docs).repartition(4), "doc_id", "text"), none).collect()
+        assert {r["x0"]: r["cuts"] for r in got} == every_run(docs)
+
+
+def test_a_passage_is_few_rows(make_docs, monkeypatch):
+    """A passage of 2,000 words in 20 documents is dealt and joined by segments, not by each of its 1,951 runs."""
+    passage, rows = " ".join(f"p{i}" for i in range(2000)), {}
+    table = line_dedup.stored
+
+    def counted(df, name):
+        rows[name] = (out := table(df, name)).count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    docs = [(i, f"{' '.join(f'h{i}of{k}' for k in range(i + 1))} {passage}") for i in range(20)]
+    out = {r["doc_id"]: r["text"] for r in drop_recurring(make_docs(docs)).collect()}
+    assert all(("p1000" in t) == (d == 0) for d, t in out.items())
+    assert max(rows.values()) < 20 * 1951 / 4, rows
+
+
 def test_very_long_document_and_empty_table(make_docs):
     big = "\n".join(f"line {chr(97 + i % 26)} {'word ' * (i % 7)}x{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}" for i in range(15000))
     docs = [(1, big), (2, big), (3, big), (4, "other")]
