@@ -58,18 +58,18 @@ def _words(col):
         if not len(starts):
             continue
         hashes = word_hashes(part, starts, ends, _EXACT[1])
-        breaks = np.concatenate([[0], np.cumsum(part == 10)])
-        number = breaks[starts] - breaks[edge[rows]]
+        breaks = np.flatnonzero(part == 10)
+        passed = np.cumsum(np.bincount(np.searchsorted(starts, breaks), minlength=len(starts) + 1))[: len(starts)]
+        number = passed - np.searchsorted(breaks, edge)[rows]
         first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (number[1:] != number[:-1])]))
         yield part, edge, i, starts, ends, rows, hashes, number, first
 
 
 def parse(col):
     """Per slice of a text column: words (32 bits each) and, per line with a word, its first word, length, leaf, hash, row and number."""
-    for part, _, i, starts, ends, rows, hashes, number, first in _words(col):
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[part])])
+    for part, _, i, starts, _, rows, hashes, number, first in _words(col):
         words = np.maximum((hashes >> np.uint64(32)).astype(np.uint32), 2)
-        words[digits[ends] > digits[starts]] = VARIABLE
+        words[np.searchsorted(starts, np.flatnonzero(_DIGIT[part]), "right") - 1] = VARIABLE
         length = np.diff(np.append(first, len(starts)))
         at = np.arange(len(starts)) - np.repeat(first, length)
         mixed = mix(words.astype(np.uint64) * MULTIPLIERS[0] + (at + 1).astype(np.uint64) * MULTIPLIERS[1])
@@ -133,28 +133,36 @@ def _packed(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA)], schema=_SCHEMA)
 
 
-def _tree(leaf: np.ndarray, whole: np.ndarray, vectors: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Template of each distinct line of a tree, and the templates."""
-    of, out = np.zeros(len(leaf), np.int64), []
-    order = np.lexsort((whole, leaf))
-    start = np.flatnonzero(np.concatenate([[True], leaf[order][1:] != leaf[order][:-1]])) if len(order) else np.zeros(0, np.int64)
-    for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(order)]):
-        own = order[lo:hi]
-        if hi - lo == 1:
-            of[own[0]] = len(out)
-            out.append(vectors[own[0]])
-        else:
-            k, found = grow_leaf([vectors[x] for x in own])
-            of[own] = k + len(out)
-            out += found
-    return of, out
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of pieces, one piece after another."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
 
 
-def _first_key(ids: np.ndarray, marks: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest (id, mark) of each of n groups."""
-    order = np.lexsort((marks, ids, of))
-    first = order[np.searchsorted(of[order], np.arange(n))]
-    return ids[first], marks[first]
+def _tree(leaf: np.ndarray, whole: np.ndarray, words: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template of each distinct line of a tree (words from ``start``, so many each), and the templates: words and lengths."""
+    if not len(leaf):
+        return np.zeros(0, np.int64), words[:0], length[:0]
+    order = np.lexsort((whole, leaf))
+    low = np.flatnonzero(np.concatenate([[True], leaf[order][1:] != leaf[order][:-1]]))
+    size = np.diff(np.append(low, len(order)))
+    alone = order[low[size == 1]]
+    of, out, lengths, n = np.zeros(len(leaf), np.int64), [words[_spread(start[alone], length[alone])]], [length[alone]], len(alone)
+    of[alone] = np.arange(n)
+    for lo, count in zip(low[size > 1].tolist(), size[size > 1].tolist()):
+        own = order[lo: lo + count]
+        k, found = grow_leaf([words[x: x + y] for x, y in zip(start[own].tolist(), length[own].tolist())])
+        of[own] = k + n
+        out += found
+        lengths.append(np.full(len(found), len(found[0]), np.int64))
+        n += len(found)
+    return of, np.concatenate(out), np.concatenate(lengths)
+
+
+def _first_of(rank: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Smallest rank of each of n groups."""
+    low = np.full(n, _LAST)
+    np.minimum.at(low, of, rank)
+    return low
 
 
 def _parse_docs(buckets: int):
@@ -166,24 +174,29 @@ def _parse_docs(buckets: int):
             nonlocal made
             ids, marks = (np.concatenate(x) for x in zip(*docs))
             if lines:
-                leaf, whole, row, number = (np.concatenate([x[k] for x in lines]) for k in range(4))
-                vectors = [v for x in lines for v in x[4]]
+                leaf, whole, row, number, length, words = (np.concatenate([x[k] for x in lines]) for k in range(6))
+                start = np.cumsum(length) - length
                 hashes, where, back = np.unique(whole, return_index=True, return_inverse=True)
-                of, templates = _tree(leaf[where], hashes, [vectors[k] for k in where])
+                of, templates, size = _tree(leaf[where], hashes, words, start[where], length[where])
                 of = of[back]
-                pairs = np.unique(np.stack([of, row], 1), axis=0)
-                count = np.bincount(pairs[:, 0], minlength=len(templates))
-                low_id, low_mark = _first_key(ids[row], marks[row], of, len(templates))
-                name = ((split << 36) + made + np.arange(len(templates))).astype(np.int64)
-                made += len(templates)
-                leaf_of = np.zeros(len(templates), np.uint64)
+                count = np.bincount(np.unique(of * len(ids) + row) // len(ids), minlength=len(size))
+                order = np.lexsort((marks, ids))
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                low = order[_first_of(rank[row], of, len(size))]
+                name = ((split << 36) + made + np.arange(len(size))).astype(np.int64)
+                made += len(size)
+                leaf_of = np.zeros(len(size), np.uint64)
                 leaf_of[of] = leaf
-                size = np.array([len(t) for t in templates], np.int64)
                 dest = (leaf_of % np.uint64(buckets)).astype(np.int64)
-                table = np.stack([leaf_of.view(np.int64), name, count, low_id, low_mark], 1)
-                for d in np.unique(dest):
-                    own = np.flatnonzero(dest == d)
-                    yield _row(d, _TEMPLATES, table[own].tobytes(), size[own].tobytes(), np.concatenate([templates[k] for k in own]).tobytes())
+                order = np.argsort(dest, kind="stable")
+                templates = templates[_spread((np.cumsum(size) - size)[order], size[order])]
+                dest, size = dest[order], size[order]
+                table = np.stack([leaf_of.view(np.int64), name, count, ids[low], marks[low]], 1)[order]
+                own = np.flatnonzero(np.concatenate([[True], dest[1:] != dest[:-1], [True]]))
+                at = np.concatenate([[0], np.cumsum(size)])
+                for lo, hi in zip(own[:-1], own[1:]):
+                    yield _row(dest[lo], _TEMPLATES, table[lo:hi].tobytes(), size[lo:hi].tobytes(), templates[at[lo]: at[hi]].tobytes())
                 yield _row(made % buckets, _LINES, np.stack([ids[row], marks[row], number, name[of]], 1).tobytes())
             docs.clear()
             lines.clear()
@@ -194,7 +207,7 @@ def _parse_docs(buckets: int):
             marks = np.asarray(batch.column(1))
             docs.append((ids, marks))
             for words, first, length, leaf, whole, row, number in parse(batch.column(2)):
-                lines.append((leaf, whole, row + base, number, np.split(words, first[1:])))
+                lines.append((leaf, whole, row + base, number, length, words))
                 held += 4 * len(words) + 64 * len(first)
             base += batch.num_rows
             if held >= FLUSH:
@@ -210,33 +223,37 @@ def _join_trees(min_docs: int):
     """One bucket of leaves: templates of all tasks that are alike become one; those that recur name their first document."""
 
     def run(table: pa.Table) -> pa.Table:
-        out, heads, vectors = [], [], []
-        for dest, kind, ids, sizes, words in zip(*(table.column(k).to_pylist() for k in range(5))):
+        out, heads, sizes, words = [], [], [], []
+        for dest, kind, ids, size, vectors in zip(*(table.column(k).to_pylist() for k in range(5))):
             if kind == _LINES:
                 out.append((dest, kind, ids, b"", b""))
                 continue
             heads.append(np.frombuffer(ids, np.int64).reshape(-1, 5))
-            vectors += np.split(np.frombuffer(words, np.uint32), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
+            sizes.append(np.frombuffer(size, np.int64))
+            words.append(np.frombuffer(vectors, np.uint32))
         if heads:
-            head = np.concatenate(heads)
-            leaf = head[:, 0].view(np.uint64) if head[:, 0].flags.c_contiguous else head[:, 0].copy().view(np.uint64)
+            head, length, words = np.concatenate(heads), np.concatenate(sizes), np.concatenate(words)
+            start = np.cumsum(length) - length
+            leaf = head[:, 0].copy().view(np.uint64)
             # leaves that cannot reach the count need no comparison
             _, at = np.unique(leaf, return_inverse=True)
             able = np.bincount(at, weights=head[:, 2])[at] >= min_docs
-            head, leaf, vectors = head[able], leaf[able], [v for v, a in zip(vectors, able) if a]
+            head, leaf, start, length = head[able], leaf[able], start[able], length[able]
             if len(head):
-                length = np.array([len(v) for v in vectors])
+                words = words[_spread(start, length)]
                 start = np.cumsum(length) - length
-                joined = np.concatenate(vectors).astype(np.uint64)
-                at = np.arange(len(joined)) - np.repeat(start, length)
-                whole = np.add.reduceat(mix(joined * MULTIPLIERS[0] + (at + 1).astype(np.uint64) * MULTIPLIERS[1]), start) ^ leaf
+                at = np.arange(len(words)) - np.repeat(start, length)
+                whole = np.add.reduceat(mix(words.astype(np.uint64) * MULTIPLIERS[0] + (at + 1).astype(np.uint64) * MULTIPLIERS[1]), start) ^ leaf
                 hashes, where, back = np.unique(whole, return_index=True, return_inverse=True)
-                of, templates = _tree(leaf[where], hashes, [vectors[k] for k in where])
+                of, _, size = _tree(leaf[where], hashes, words, start[where], length[where])
                 of = of[back]
-                count = np.bincount(of, weights=head[:, 2], minlength=len(templates)).astype(np.int64)
-                low_id, low_mark = _first_key(head[:, 3], head[:, 4], of, len(templates))
+                count = np.bincount(of, weights=head[:, 2], minlength=len(size)).astype(np.int64)
+                order = np.lexsort((head[:, 4], head[:, 3]))
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                low = order[_first_of(rank, of, len(size))]
                 again = count[of] >= min_docs
-                out.append(_row(0, _TEMPLATES, np.stack([head[:, 1], low_id[of], low_mark[of]], 1)[again].tobytes()))
+                out.append(_row(0, _TEMPLATES, np.stack([head[:, 1], head[low[of], 3], head[low[of], 4]], 1)[again].tobytes()))
         return pa.Table.from_batches([_packed(out)])
 
     return run
