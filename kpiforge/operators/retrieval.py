@@ -1,9 +1,11 @@
 """Sparse TF-IDF retrieval over any ``(id, text)`` table.
 
 The index is three tables: term frequencies ``(doc_id, tok, tf)``, ``(tok,
-idf)`` and one row per document ``(doc_id, norm)``.  A batch of queries is
-scored from the terms the queries hold; work follows the postings that share
-a token with a query, not N x V.
+idf)`` and one row per document ``(doc_id, norm)``, which are read from packed
+ones: texts as blocks of word numbers, document frequencies by bucket of
+tokens, norms by block.  A batch of queries is scored from the terms the
+queries hold; work follows the postings that share a token with a query, not
+N x V.
 
 Semantics (same as the reference):
 * documents are de-duplicated by id first (U2; of several texts the smallest
@@ -19,30 +21,35 @@ Semantics (same as the reference):
 * ties: id ascending (the reference's order comes from an unstable argsort).
   Documents sharing no token with the query (score 0) are not returned.
 
-Scale.  Fitting shuffles the texts once, by id (de-duplication); tokens are
-counted in that task and written.  For document frequencies and norms the terms
-move once, packed (:func:`weighed`).  Top-k retrieval is exact and quadratic
-(documents x queries) by nature: both are dealt into blocks, and a task scores
-one block against the other in tables of bounded size, so that memory and disk
-follow the postings and the batch, never query-document pairs; at most k rows
-per query and block move on.  Only :func:`score` returns a row for each pair.
-Sides are broadcast only where Spark finds them small.
+Scale.  Fitting moves ids once, and of the texts only those whose id comes
+again.  Texts are written once as blocks of word numbers; terms are made from
+a block in each task that needs them and are never stored.  For document
+frequencies a block's distinct tokens move to their buckets and the numbers
+come back; for norms the blocks move once.  Top-k retrieval is exact and
+quadratic (documents x queries) by nature: each block of documents meets each
+block of queries in a task that reads both where they are written, and scores
+them in tables of bounded size, so that disk follows the texts, never
+query-document pairs; at most k rows per query and block move on.  Only
+:func:`score` returns a row for each pair.  Sides are broadcast only where
+Spark finds them small; norms also where they are few (``FEW_DOCS``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.text import truncate, unigrams, with_bigrams
-from kpiforge.operators.retrieval_blocks import (NORMS, POSTINGS, QUERIES, best_of_block, block_norms, count_terms, pack_rows, pack_terms,
-                                                 weigh_bucket)
+from kpiforge.operators.retrieval_blocks import (CHARS, DEALT, best_of_blocks, block_norms, block_vectors, blocks_schema, count_bucket, deal_tokens,
+                                                 find_in_bucket, list_terms, list_tokens, pack_words)
 from kpiforge.sources.tables import shared_table
 
 SCORE_DIGITS = 7
-BLOCK_DOCS, BLOCK_QUERIES = 1 << 15, 1 << 14  # documents and queries that one task scores, about
+BLOCK_DOCS, BLOCK_QUERIES = 1 << 15, 1 << 14  # documents that one task of a bounded search scores, and queries of a block, about
+FEW_DOCS = 1 << 22    # norms of so many documents (8 bytes each) are sent to all tasks
+ONE_FILE = {"maxRecordsPerFile": "1"}  # a block is a few MB: each is read by itself
 
 
 @dataclass(frozen=True)
@@ -50,6 +57,11 @@ class TfidfIndex:
     terms: DataFrame  # doc_id, tok, tf
     idf: DataFrame    # tok, idf
     docs: DataFrame   # doc_id, norm (0 for a document without tokens): every indexed document
+    blocks: DataFrame  # texts as blocks of word numbers (retrieval_blocks.blocks_schema)
+    norms: DataFrame  # block, norms of its documents in their order
+    dfs: DataFrame    # document frequencies, packed by bucket of tokens (retrieval_blocks.DEALT)
+    n_docs: int
+    buckets: int      # of tokens
 
     @property
     def postings(self) -> DataFrame:
@@ -80,10 +92,37 @@ def token_rows(df: DataFrame, id_col: str, text_col: str, out_id: str,
     return t.select(*cols, F.explode_outer("_t").alias("tok")).filter(F.col("tok").isNotNull())
 
 
-def document_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, tok, c, n_tok`` of distinct documents: how often a token comes, and how many tokens the document has."""
-    one = distinct_documents(df, id_col, text_col).select("doc_id", F.lower("text").alias("text"))
-    return one.mapInArrow(count_terms, f"doc_id {one.schema['doc_id'].dataType.simpleString()}, tok string, c int, n_tok int")
+def one_per_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, text)``, one row per id; texts move only where many ids, or this one, come again."""
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
+    n, again = ids.agg(F.sum("c"), F.sum(F.when(F.col("c") > 1, F.col("c")))).first()
+    if not again:
+        return rows
+    if 16 * again > n:
+        return distinct_documents(rows, "doc_id", "text")
+    twice = shared_table(ids.where("c > 1").select(F.col("doc_id").alias("id")), "tfidf-ids-again")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    return rows.join(twice, same, "left_anti").unionByName(distinct_documents(rows.join(twice, same, "left_semi"), "doc_id", "text"))
+
+
+def packed_texts(df: DataFrame, id_col: str, text_col: str, first: int = 0) -> DataFrame:
+    """Blocks of words of distinct documents, numbered from ``first``."""
+    one = one_per_id(df, id_col, text_col).select("doc_id", F.lower("text").alias("text"))
+    return one.mapInArrow(pack_words(first), blocks_schema(one.schema["doc_id"].dataType.simpleString()))
+
+
+def block_terms(blocks: DataFrame) -> DataFrame:
+    """``doc_id, tok, c, n_tok``: how often a token comes, and how many tokens the document has."""
+    return blocks.mapInArrow(list_terms, f"doc_id {id_type(blocks)}, tok string, c int, n_tok int")
+
+
+def id_type(blocks: DataFrame) -> str:
+    return blocks.schema["ids"].dataType.elementType.simpleString()
+
+
+def token_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def with_tf(terms: DataFrame) -> DataFrame:
@@ -91,35 +130,45 @@ def with_tf(terms: DataFrame) -> DataFrame:
 
 
 def fit_tfidf(df: DataFrame, id_col: str = "id", text_col: str = "text") -> TfidfIndex:
-    """Term frequencies, idf and norms, written once to the shared folder."""
-    terms = shared_table(document_terms(df, id_col, text_col), "tfidf-terms", "zstd")
-    every = shared_table(df.select(F.col(id_col).alias("doc_id")).distinct(), "tfidf-ids")
-    n_docs = every.count()
-    df_rows, docs = weighed(terms, every, n_docs)
-    idf = df_rows.select("tok", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return TfidfIndex(with_tf(terms), idf, docs)
+    """Texts as blocks of words, document frequencies and norms, written once to the shared folder."""
+    blocks = shared_table(packed_texts(df, id_col, text_col), "tfidf-texts", "zstd", **ONE_FILE)
+    n_docs = blocks.select(F.size("ids").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = token_buckets(df.sparkSession)
+    dfs, norms = weighed(blocks, n_docs, buckets)
+    return tfidf_index(blocks, norms, dfs, n_docs, buckets)
+
 
+def tfidf_index(blocks: DataFrame, norms: DataFrame, dfs: DataFrame, n_docs: int, buckets: int) -> TfidfIndex:
+    """The index whose tables are read from packed ones."""
+    idf = dfs.mapInArrow(list_tokens, "tok string, df long").select("tok", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    docs = few(norms, n_docs).join(blocks.select("block", "ids"), "block").select(
+        F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("norms").alias("norm"))).alias("d")).select("d.doc_id", "d.norm")
+    # null is no id of a document
+    docs = docs.select("doc_id", F.when(F.col("doc_id").isNull(), 0.0).otherwise(F.col("norm")).alias("norm"))
+    return TfidfIndex(with_tf(block_terms(blocks)), idf, docs, blocks, norms, dfs, n_docs, buckets)
 
-def weighed(terms: DataFrame, every: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Document frequencies ``(tok, df)`` of ``terms(doc_id, tok, c, n_tok)``, and ``(doc_id, norm)`` of every document.
 
-    A task packs the terms of a few thousand documents by bucket of tokens: a token is written once, then its documents
-    by their place in the block.  That is dealt by bucket, the one time terms move; back come a block's sums of squared
-    weights.
+def few(norms: DataFrame, n_docs: int) -> DataFrame:
+    return F.broadcast(norms) if n_docs <= FEW_DOCS else norms
+
+
+def weighed(blocks: DataFrame, n_docs: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Document frequencies (``DEALT``) of the tokens of ``blocks``, and ``(block, norms)``.
+
+    A block's distinct tokens go to their buckets, each once; back come their frequencies, for each block in the order in
+    which it gave them.  With these the block is weighed.
     """
-    kind = terms.schema["doc_id"].dataType.simpleString()
-    buckets = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = terms.select(F.pmod(F.xxhash64("tok"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "tok", "c", "n_tok").mapInArrow(
-        pack_terms, f"bucket int, block long, toks array<string>, sizes binary, docs binary, counts binary, ids array<{kind}>")
-    in_bucket = weigh_bucket(n_docs)
-    weights = shared_table(packed.groupBy("bucket").applyInArrow(
-        lambda t: in_bucket(t), f"block long, toks array<string>, dfs array<long>, sums binary, n_tok binary, ids array<{kind}>"), "tfidf-weights", "zstd")
-    dfs = weights.where("toks IS NOT NULL").select(F.inline(F.arrays_zip("toks", "dfs"))).toDF("tok", "df")
-    # a document's terms may lie in two blocks where a file was cut
-    norms = weights.where("toks IS NULL").select("block", "sums", "n_tok", "ids").groupBy("block").applyInArrow(
-        lambda t: block_norms(t), f"doc_id {kind}, s double").groupBy("doc_id").agg(F.sqrt(F.sum("s")).alias("norm"))
-    docs = every.join(norms, "doc_id", "left").select("doc_id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
-    return dfs, shared_table(docs, "tfidf-docs")
+    count = count_bucket(True)
+    counted = shared_table(blocks.mapInArrow(deal_tokens(buckets), DEALT).groupBy("bucket").applyInArrow(lambda t: count(t), DEALT),
+                           "tfidf-frequencies", "zstd")
+    norms = with_frequencies(blocks, counted.where("block IS NOT NULL"), block_norms(buckets, n_docs), "block long, norms array<double>")
+    return counted.where("block IS NULL"), shared_table(norms, "tfidf-norms")
+
+
+def with_frequencies(blocks: DataFrame, back: DataFrame, step, schema: str) -> DataFrame:
+    """``step`` over each block and the frequencies of its tokens."""
+    rows = blocks.unionByName(back.select("block", "bucket", "n", "dfs"), allowMissingColumns=True)
+    return rows.groupBy("block").applyInArrow(lambda t: step(t), schema)
 
 
 def save_index(index: TfidfIndex, path: str, buckets: int = 0) -> TfidfIndex:
@@ -134,7 +183,9 @@ def save_index(index: TfidfIndex, path: str, buckets: int = 0) -> TfidfIndex:
     terms.sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{path}/terms")
     index.idf.write.mode("overwrite").parquet(f"{path}/idf")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    return TfidfIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("terms", "idf", "docs")))
+    for name, packed in (("blocks", index.blocks), ("norms", index.norms), ("dfs", index.dfs)):
+        packed.write.mode("overwrite").options(**ONE_FILE if name == "blocks" else {}).parquet(f"{path}/{name}", compression="zstd")
+    return TfidfIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("terms", "idf", "docs", "blocks", "norms", "dfs")), index.n_docs, index.buckets)
 
 
 def query_vectors(index: TfidfIndex, queries: DataFrame, qid_col: str = "qid",
@@ -157,41 +208,31 @@ def score(index: TfidfIndex, queries: DataFrame, qid_col: str = "qid", text_col:
     return hits.join(index.docs, "doc_id").select("qid", "doc_id", F.round(F.col("_s") / F.col("norm"), digits).alias("score"))
 
 
+def packed_queries(index: TfidfIndex, queries: DataFrame, qid_col: str = "qid", text_col: str = "text") -> DataFrame:
+    """Blocks of queries, each with its known tokens and their normalised weights times idf; texts of an id are one query."""
+    q = shared_table(queries.groupBy(F.col(qid_col).alias("qid")).agg(F.collect_list(F.lower(text_col)).alias("texts")), "queries")
+    n, size = q.agg(F.count(F.lit(1)), F.sum(F.aggregate("texts", F.lit(64).cast("long"), lambda n, x: n + F.octet_length(x)))).first()
+    over = max(1, -(-n // BLOCK_QUERIES), -(-(size or 0) // CHARS))
+    kind = q.schema["qid"].dataType.simpleString()
+    blocks = shared_table(q.repartition(over, "qid").mapInArrow(pack_words(), blocks_schema(kind)), "query-texts", "zstd")
+    asked = blocks.mapInArrow(deal_tokens(index.buckets), DEALT).unionByName(index.dfs)
+    found = asked.groupBy("bucket").applyInArrow(lambda t: find_in_bucket(t), DEALT)
+    vectors = with_frequencies(blocks, found, block_vectors(index.buckets, index.n_docs),
+                               f"qblock long, qids array<{kind}>, qn int, qtoks binary, qlens binary, qrow binary, qcode binary, qw binary")
+    return shared_table(vectors, "query-vectors", "zstd", **ONE_FILE)
+
+
 def retrieve(index: TfidfIndex, queries: DataFrame, k: int = 6, qid_col: str = "qid",
              text_col: str = "text", digits: int = SCORE_DIGITS) -> DataFrame:
     """Top ``k`` documents per query: ``(qid, doc_id, score, rank)``.
 
-    Documents and queries are dealt into blocks; each pair of blocks is scored in one task, a table of at most
+    Every block of documents meets every block of queries; a pair is scored in one task, a table of at most
     ``CHUNK_QUERIES`` by ``CHUNK_DOCS`` scores at a time, and gives at most k rows a query.
     """
-    spark = index.terms.sparkSession
-    qv = shared_table(query_vectors(index, queries, qid_col, text_col), "query-vectors")
-    tokens = shared_table(qv.select("tok").distinct().select("tok", F.monotonically_increasing_id().alias("t")), "query-tokens")
-    n_docs, n_queries = index.docs.count(), qv.select("qid").distinct().count()
-    over_docs = max(1, -(-n_docs // BLOCK_DOCS), min(n_docs, 2 * spark.sparkContext.defaultParallelism))
-    over_queries = max(1, -(-n_queries // BLOCK_QUERIES))
-
-    def block(col: str, n: int):
-        return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-
-    def packed(rows: DataFrame, kind: int):
-        id_type = rows.schema[1].dataType.simpleString()
-        return rows.mapInArrow(pack_rows(kind), f"block int, kind int, ids array<{id_type}>, row binary, t binary, w binary")
-
-    known = index.terms.where("doc_id IS NOT NULL").join(tokens, "tok").select(block("doc_id", over_docs), "doc_id", "t", "tf")
-    norms = index.docs.where("norm > 0").select(block("doc_id", over_docs), "doc_id", "norm")
-    asked = qv.join(tokens, "tok").select(block("qid", over_queries), "qid", "t", F.col("qw") * F.col("idf"))
-    docs = packed(known, POSTINGS).unionByName(packed(norms, NORMS))
-    asked = packed(asked, QUERIES)
-    id_type, q_type = (x.schema["ids"].dataType.simpleString() for x in (docs, asked))
-    to_all = {n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (over_docs, over_queries)}
-    both = docs.select(F.col("block").alias("db"), to_all[over_queries].alias("qb"), "kind", "ids", F.lit(None).cast(q_type).alias("qids"),
-                       "row", "t", "w").unionByName(
-        asked.select(to_all[over_docs].alias("db"), F.col("block").alias("qb"), "kind", F.lit(None).cast(id_type).alias("ids"),
-                     F.col("ids").alias("qids"), "row", "t", "w"))
-    in_block = best_of_block(k, digits)
-    schema = f"qid {q_type[6:-1]}, doc_id {id_type[6:-1]}, score double"
-    best = shared_table(both.groupBy("db", "qb").applyInArrow(lambda t: in_block(t), schema), "best-of-blocks")
+    asked = packed_queries(index, queries, qid_col, text_col)
+    pairs = index.blocks.join(few(index.norms, index.n_docs), "block").crossJoin(asked)
+    schema = f"qid {asked.schema['qids'].dataType.elementType.simpleString()}, doc_id {id_type(index.blocks)}, score double"
+    best = shared_table(pairs.mapInArrow(best_of_blocks(k, digits), schema), "best-of-blocks")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return (best.withColumn("rank", F.row_number().over(w).cast("long"))
                 .filter(F.col("rank") <= k))

@@ -33,11 +33,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def shared_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def shared_table(df: DataFrame, name: str, compression: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later steps
     neither recompute it nor lose it with an executor."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

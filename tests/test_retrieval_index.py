@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_CHECK
 from kpiforge.operators.retrieval import fit_tfidf, retrieve
@@ -145,3 +146,94 @@ def test_long_and_repeated_texts_are_packed_exactly(spark, monkeypatch):
     for d in range(1, 6):
         want = sum((x * idf[t]) ** 2 for (k, t), x in tf.items() if k == d) ** 0.5
         assert abs(norm[d] - want) < 1e-12
+
+
+def written(monkeypatch, *modules):
+    """The tables that are written to the shared folder from here on: ``{name: (columns, physical plan)}``."""
+    from kpiforge.sources.tables import shared_table
+
+    seen = {}
+
+    def noted(df, name, *args, **options):
+        seen[name] = df.columns, df._jdf.queryExecution().executedPlan().toString()
+        return shared_table(df, name, *args, **options)
+
+    for module in modules:
+        monkeypatch.setattr(module, "shared_table", noted)
+    return seen
+
+
+def test_blocks_meet_where_they_lie(spark, monkeypatch):
+    """followup_retrieval: documents and queries are not dealt once more for each block of the others."""
+    from kpiforge.operators import retrieval
+
+    rng = random.Random(5)
+    index = fit_tfidf(spark.createDataFrame(corpus(rng, 80), "id long, text string"))
+    asked = spark.createDataFrame(corpus(rng, 30), "qid long, text string")
+    want = rows(retrieve(index, asked, 4))
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 4)
+    seen = written(monkeypatch, retrieval)
+    assert rows(retrieve(index, asked, 4)) == want
+    assert "hashpartitioning" not in seen["best-of-blocks"][1]
+
+
+def test_terms_are_not_written_as_rows(spark, monkeypatch, tmp_path):
+    """tfidf_updated, tfidf_topk: what is stored and moved are a block's words and its distinct tokens, not a row for each term."""
+    from kpiforge.operators import retrieval, retrieval_store
+
+    seen = written(monkeypatch, retrieval, retrieval_store)
+    docs = spark.createDataFrame(corpus(random.Random(2), 50), "id long, text string")
+    store = TfidfStore(spark, str(tmp_path / "index"))
+    store.update(docs)
+    store.update(docs.where("id < 20"), docs.where("id > 40"))
+    assert spark.read.parquet(str(tmp_path / "index/terms")).count() < 20
+    for index in (store.index(), fit_tfidf(docs)):
+        rows(retrieve(index, docs.toDF("qid", "text"), 3))
+    assert seen and not [name for name, (columns, _) in seen.items() if "tok" in columns]
+
+
+def test_words_and_terms_are_those_of_the_pattern(spark):
+    """Texts that touch in memory, several blocks of a task, words that read like pairs, other letters, null and empty texts, null ids."""
+    import re
+    from collections import Counter
+
+    from kpiforge.operators import retrieval, retrieval_blocks as blocks
+
+    rng = random.Random(9)
+    docs = [(k, "".join(rng.choice("ab_ é9-Z") for _ in range(rng.randint(0, 60)))) for k in range(200)]
+    docs += [(500, None), (501, ""), (502, "a_b a b a_b"), (503, "_"), (504, "ab"), (505, "ab " * 400), (None, "a b c")]
+    df = spark.createDataFrame(docs, "id long, text string").coalesce(1)
+
+    def tokens(text):
+        u = re.findall("[a-z0-9_]+", (text or "").lower())
+        return Counter(u + [f"{a}_{b}" for a, b in zip(u, u[1:])])
+
+    want = sorted(((d, t, n, sum(c.values())) for d, text in docs for c in [tokens(text)] for t, n in c.items()), key=repr)
+    size = {"CHARS": 4096}
+
+    def small(batches):
+        blocks.CHARS, before = size["CHARS"], blocks.CHARS
+        yield from blocks.pack_words(7 << 44)(batches)
+        blocks.CHARS = before
+
+    one = df.select("id", F.lower("text"))
+    packed = one.mapInArrow(lambda b: small(b), blocks.blocks_schema("bigint"))
+    kept = packed.collect()
+    assert len(kept) > 3 and [r["block"] for r in kept] == [(7 << 44) + k for k in range(len(kept))] and sum(len(r["ids"]) for r in kept) == len(docs)
+    assert sorted(map(tuple, retrieval.block_terms(packed).collect()), key=repr) == want
+    dealt = packed.mapInArrow(blocks.deal_tokens(5), blocks.DEALT)
+    frequencies = dealt.groupBy("bucket").applyInArrow(lambda t: blocks.count_bucket(False)(t), blocks.DEALT)
+    assert dict(frequencies.mapInArrow(blocks.list_tokens, "tok string, df long").collect()) == Counter(t for _, t, _, _ in want)
+    assert not frequencies.where("bucket < 0 OR bucket > 4").count()
+
+
+def test_few_and_many_repeated_ids(spark):
+    from kpiforge.operators.retrieval import one_per_id
+
+    docs = [(k, f"t{k}") for k in range(100)] + [(None, "z"), (None, "y")]
+    for more in ([], [(3, "a"), (3, None)], [(k, "a") for k in range(50)]):
+        got = one_per_id(spark.createDataFrame(docs + more, "i long, x string"), "i", "x")
+        want = {}
+        for i, t in docs + more:
+            want[i] = t if want.get(i) is None else min(want[i], t) if t is not None else want[i]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.items(), key=repr)
