@@ -42,12 +42,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiforge.functions.text import truncate, unigrams, with_bigrams
-from kpiforge.operators.retrieval_blocks import (CHARS, DEALT, best_of_blocks, block_norms, block_vectors, blocks_schema, count_bucket, deal_tokens,
+from kpiforge.operators.retrieval_blocks import (CHARS, DEALT, best_of_blocks, block_norms, block_vectors, blocks_schema, contexts, count_bucket, deal_tokens,
                                                  find_in_bucket, list_terms, list_tokens, pack_words)
 from kpiforge.sources.tables import shared_table
 
 SCORE_DIGITS = 7
 BLOCK_DOCS, BLOCK_QUERIES = 1 << 15, 1 << 14  # documents that one task of a bounded search scores, and queries of a block, about
+PART = 1 << 27        # bytes of texts in the prompts that one task puts together, about
 FEW_DOCS = 1 << 22    # norms of so many documents (8 bytes each) are sent to all tasks
 ONE_FILE = {"maxRecordsPerFile": "1"}  # a block is a few MB: each is read by itself
 
@@ -278,21 +279,28 @@ def context_block(ranked: DataFrame, docs: DataFrame, id_col: str = "id", text_c
     ``[Verified data facts from dashboard]`` and ``  - text`` for the first
     ``max_chunks`` results.  ``summaries``: ``(qid, summary)``.
     """
-    top = ranked.filter(F.col("position") <= max_chunks).select("qid", "doc_id", "position")
-    d = distinct_documents(docs.join(top.select(F.col("doc_id").alias(id_col)), id_col, "left_semi"), id_col, text_col)
-    j = top.join(d.withColumnRenamed("text", "_t"), "doc_id")
-    facts = (j.groupBy("qid").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("position", F.concat(F.lit("  - "), F.col("_t")).alias("l")))),
-        lambda x: x["l"]), "\n").alias("_facts")))
+    top = shared_table(ranked.filter(F.col("position") <= max_chunks).select("qid", "doc_id", "position"), "context-ranked")
+    named = shared_table(top.select(F.col("doc_id").alias(id_col)).distinct(), "context-ids")
+    texts = shared_table(distinct_documents(docs.join(named, id_col, "left_semi"), id_col, text_col), "context-texts", "zstd")
+    # a query without a list has no facts; only documents that are there count
+    found = top.join(texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")), "doc_id")
+    lists = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("position", "doc_id"))).alias("docs"), F.sum("n").alias("n"))
     if summaries is not None:
-        facts = facts.join(summaries.select("qid", F.col("summary").alias("_s")), "qid", "full_outer")
+        lists = lists.join(summaries.select("qid", F.col("summary").alias("_s")), "qid", "full_outer")
     else:
-        facts = facts.withColumn("_s", F.lit(None).cast("string"))
-    conv = F.when(F.coalesce(F.col("_s"), F.lit("")) != "",
-                  F.concat(F.lit("[Recent conversation]\n"), F.col("_s")))
-    fact_part = F.when(F.col("_facts").isNotNull(),
-                       F.concat(F.lit("\n[Verified data facts from dashboard]\n"), F.col("_facts")))
-    return facts.select("qid", F.concat_ws("\n", conv, fact_part).alias("context"))
+        lists = lists.withColumn("_s", F.lit(None).cast("string"))
+    head = F.when(F.coalesce(F.col("_s"), F.lit("")) != "", F.concat(F.lit("[Recent conversation]\n"), F.col("_s")))
+    lists = shared_table(lists.select("qid", head.alias("head"), F.col("docs"), F.coalesce("n", F.lit(0)).alias("n")), "context-lists", "zstd")
+    alone = lists.where("docs IS NULL").select("qid", F.concat_ws("\n", "head").alias("context"))
+    # queries with the same first document lie in a part, which holds each text once however many of them name it
+    size = lists.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = lists.where("docs IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64(F.col("docs")[0]["doc_id"]), F.lit(1 + size // PART)))
+    shares = dealt.groupBy("bucket").agg((1 + F.floor(F.sum("n") / PART)).alias("shares"))
+    dealt = dealt.join(shares, "bucket").withColumn("part", F.struct("bucket", F.pmod(F.xxhash64("qid"), "shares").alias("share")))
+    needed = dealt.select("part", F.explode("docs.doc_id").alias("doc_id")).distinct().join(texts, "doc_id").withColumn("there", F.lit(True))
+    rows = dealt.select("part", "qid", "docs", "head").unionByName(needed, allowMissingColumns=True)
+    kind = top.schema["qid"].dataType.simpleString()
+    return alone.unionByName(rows.groupBy("part").applyInArrow(lambda t: contexts(t), f"qid {kind}, context string"))
 
 
 __all__ = ["TfidfIndex", "distinct_documents", "fit_tfidf", "save_index", "query_vectors", "score", "retrieve",

@@ -618,3 +618,24 @@ def best_of_pairs(k: int, digits: int):
         return pa.table([qids.take(pa.array(q)), ids.take(pa.array(d)), pa.array(s)], ["qid", "doc_id", "score"])
 
     return run
+
+
+def contexts(table: pa.Table) -> pa.Table:
+    """Rows ``qid, docs (position, doc_id), head`` and ``doc_id, text`` of a part -> ``qid, context``: the head, then the texts in order."""
+    asked, known = pc.is_valid(table["docs"]), pc.is_valid(table["there"])
+    line, lists = {}, table.filter(asked)
+    for doc, text in zip(*(table.filter(known)[c].to_pylist() for c in ("doc_id", "text"))):
+        line[doc] = None if text is None else "  - " + text
+    out, held, size = [], [], 0
+    for qid, docs, head in zip(lists["qid"].combine_chunks(), lists["docs"].to_pylist(), lists["head"].to_pylist()):
+        found = sorted((d["position"], line[d["doc_id"]] or "", line[d["doc_id"]] is None) for d in docs if d["doc_id"] in line)
+        facts = ["\n[Verified data facts from dashboard]\n" + "\n".join(text for _, text, none in found if not none)] if found else []
+        held.append((qid, "\n".join(([] if head is None else [head]) + facts)))
+        size += len(held[-1][1])
+        if size > CHARS:
+            out, held, size = [*out, _pairs(held, table.schema.field("qid").type)], [], 0
+    return pa.Table.from_batches([*out, _pairs(held, table.schema.field("qid").type)])
+
+
+def _pairs(rows: list, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0].as_py() for r in rows], kind), pa.array([r[1] for r in rows], pa.string())], ["qid", "context"])

@@ -237,3 +237,30 @@ def test_few_and_many_repeated_ids(spark):
         for i, t in docs + more:
             want[i] = t if want.get(i) is None else min(want[i], t) if t is not None else want[i]
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.items(), key=repr)
+
+
+def test_a_prompt_part_holds_each_text_once(spark, monkeypatch):
+    """chat_context: many prompts name the same documents; texts do not move once for each prompt."""
+    from kpiforge.operators import retrieval
+
+    seen = written(monkeypatch, retrieval)
+    docs = [(k, f"text {k} " + "x" * 500) for k in range(6)] + [(7, None), (8, "twice b"), (8, "twice a")]
+    ranked = [(q, d, p) for q in range(300) for p, d in enumerate([q % 3, 5, 8], 1)] + [(900, 7, 1), (901, 77, 1), (902, 1, 9)]
+    summaries = [(0, "hello"), (5, ""), (950, "alone"), (951, None), (900, "no text")]
+    text = {**dict(docs), 8: "twice a"}
+    facts = {q: [text[d] for _, d in sorted((p, d) for a, d, p in ranked if a == q and p <= 6 and d in text)] for q in {r[0] for r in ranked}}
+    want = {}
+    for q in {q for q, f in facts.items() if f} | {q for q, _ in summaries}:
+        head = ["[Recent conversation]\n" + dict(summaries)[q]] if dict(summaries).get(q) else []
+        lines = "\n".join("  - " + t for t in facts.get(q, []) if t is not None)
+        want[q] = "\n".join(head + (["\n[Verified data facts from dashboard]\n" + lines] if facts.get(q) else []))
+    frames = (spark.createDataFrame(ranked, "qid long, doc_id long, position long"), spark.createDataFrame(docs, "id long, text string"))
+    chat = spark.createDataFrame(summaries, "qid long, summary string")
+    for part in (retrieval.PART if hasattr(retrieval, "PART") else 0, 5000):
+        monkeypatch.setattr(retrieval, "PART", part)
+        out = retrieval.context_block(*frames, summaries=chat)
+        assert dict(map(tuple, out.collect())) == want
+        assert "hashpartitioning(qid" not in out._jdf.queryExecution().executedPlan().toString()
+    assert dict(map(tuple, retrieval.context_block(*frames).collect())) == {
+        q: "\n[Verified data facts from dashboard]\n" + "\n".join("  - " + t for t in f if t is not None) for q, f in facts.items() if f}
+    assert seen["context-lists"][0] == ["qid", "head", "docs", "n"]
