@@ -21,6 +21,8 @@ as in :func:`fit_tfidf`, the smallest text of an id stays.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,5 +95,8 @@ class TfidfStore:
         df = self._frequencies(version)
         of = df.select("of").first()
         buckets = of["of"] if of else token_buckets(self.spark)
-        blocks = shared_table(self._blocks(version, live, n_docs), "tfidf-texts", "zstd", **ONE_FILE)
-        return tfidf_index(blocks, weighed(blocks, n_docs, buckets)[1], df.drop("of"), n_docs, buckets)
+        # a document without an id counts, but has no terms
+        named = F.col("doc_id").isNotNull()
+        blocks = shared_table(self._blocks(version, live.where(named), n_docs), "tfidf-texts", "zstd", **ONE_FILE)
+        index = tfidf_index(blocks, weighed(blocks, n_docs, buckets)[1], df.drop("of"), n_docs, buckets)
+        return replace(index, docs=index.docs.unionByName(live.where(~named).select("doc_id", F.lit(0.0).alias("norm"))))
